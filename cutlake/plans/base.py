@@ -17,7 +17,7 @@ BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
-FAMILIES = "durations".split()
+FAMILIES = "durations functions_".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,7 +48,7 @@ class Dialect:
         return f"sha2({col}, 256)" if self.spark else f"sha256({col})"
 
     def div(self, a: str, b: str) -> str:
-        return f"cast(({a}) div ({b}) as bigint)" if self.spark else f"cast(({a}) // ({b}) as bigint)"
+        return f"cast(floor(({a}) / ({b})) as bigint)"
 
     def json_int(self, col: str, key: str) -> str:
         if self.spark:
