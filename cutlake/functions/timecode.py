@@ -44,11 +44,29 @@ def hold_frames(start: Column, end: Column, count: int) -> Column:
     return F.when(end > start, F.sequence(F.greatest(start, end - count), end - 1))
 
 
+def round_exact(value: Column, digits: int) -> Column:
+    """Round to ``digits`` by the double's exact value, halves to even.
+
+    ``bround`` judges the printed value, which sees ties that the binary value
+    does not have. Here the product's rounding error is recovered exactly by
+    splitting the double in two halves, and decides those cases.
+    """
+    scale = float(10**digits)
+    x = value.cast("double")
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    product = x * scale
+    error = (high * scale - product) + (x - high) * scale
+    whole = F.floor(product).cast("double")
+    over = (product - whole) - 0.5
+    up = (over > -error) | ((over == -error) & (F.pmod(whole, F.lit(2.0)) == 1.0))
+    return F.when(up, whole + 1.0).otherwise(whole) / scale
+
+
 def segments(duration: Column, piece: float = 5.0, single: float = 7.0) -> Column:
     """Grading pieces ``array<struct<t0,t1>>``: one up to ``single`` seconds, else equal parts of about ``piece``."""
     d = duration.cast("double")
     n = F.greatest(F.lit(2), F.rint(d / piece).cast("int"))
-    edge = lambda i: F.when(i == 0, F.lit(0.0)).when(i == n, d).otherwise(F.bround(i * d / n, 2))
+    edge = lambda i: F.when(i == 0, F.lit(0.0)).when(i == n, d).otherwise(round_exact(i * d / n, 2))
     many = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(edge(i - 1).alias("t0"), edge(i).alias("t1")))
     one = F.array(F.struct(F.lit(0.0).alias("t0"), d.alias("t1")))
     empty = F.array().cast("array<struct<t0:double,t1:double>>")

@@ -365,13 +365,13 @@ def severity_order(targets: DataFrame, gates: list[str]) -> DataFrame:
 
 
 def contrast_gate(pixels: DataFrame, keys: list[str], ratio: str) -> DataFrame:
-    """Tenth and fiftieth percentile contrast and the share below 3; severe when the tenth is under 3 by half."""
+    """PASS: c10 >= 3, c50 >= 4.5, under 10 % below 3. SEVERE: c50 < 3 or half the pixels below 3. Else FAIL."""
     q = exact_quantiles(pixels, keys, ratio, {"c10": 0.10, "c50": 0.50})
     low = pixels.groupBy(*keys).agg(F.avg(F.when(F.col(ratio) < 3.0, 1.0).otherwise(0.0)).alias("below3"))
     ok = (F.col("c10") >= 3.0) & (F.col("c50") >= 4.5) & (F.col("below3") < 0.10)
     return q.join(low, keys).select(
         *keys, "n", F.round("c10", 6).alias("c10"), F.round("c50", 6).alias("c50"), F.round("below3", 6).alias("below3"),
-        F.when(ok, "PASS").otherwise("FAIL").alias("verdict"),
+        F.when(ok, "PASS").when((F.col("c50") < 3.0) | (F.col("below3") >= 0.50), "SEVERE").otherwise("FAIL").alias("verdict"),
     )
 
 
