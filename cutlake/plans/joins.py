@@ -172,12 +172,12 @@ def _(t):
 
 @query(
     "g27_shot_luma_delta",
-    f"""WITH {FC}, p AS (SELECT b.asset, block_id AS shot, frame, c50 - r50 AS d FROM b JOIN picture_blocks p ON p.asset = b.asset AND frame >= start_frame AND frame < end_frame WHERE r50 IS NOT NULL AND c50 IS NOT NULL),
+    f"""WITH {FC}, p AS (SELECT b.asset, block_id AS shot, frame, c50 * 255 - r50 * 255 AS d FROM b JOIN picture_blocks p ON p.asset = b.asset AND frame >= start_frame AND frame < end_frame WHERE r50 IS NOT NULL AND c50 IS NOT NULL),
     s AS (SELECT *, abs(d - lag(d) OVER (PARTITION BY asset, shot ORDER BY frame)) AS st FROM p)
     SELECT asset, shot, printf('%.2f', avg(d))::DOUBLE AS mean, printf('%.2f', arg_max(d, (abs(d), -frame)))::DOUBLE AS worst, arg_max(frame, (abs(d), -frame)) AS worst_frame, printf('%.2f', coalesce(max(st), 0.0))::DOUBLE AS step, coalesce(arg_max(frame, (st, frame)) FILTER (st IS NOT NULL), min(frame)) AS step_frame FROM s GROUP BY 1, 2""",
 )
 def _(t):
-    side = lambda s: t.frame_metrics.where(c("side") == s).withColumn("luma", c("y_q50"))
+    side = lambda s: t.frame_metrics.where(c("side") == s).withColumn("luma", c("y_q50") * 255)
     return J.shot_luma_delta(side("F"), side("O"), t.picture_blocks.withColumnRenamed("block_id", "shot"))
 
 
