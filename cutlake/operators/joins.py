@@ -186,8 +186,7 @@ def overlap_conflicts(states: DataFrame, keys: list[str], width: float | None =
     overlapping pair would square a crowded stretch.
     """
     reach = F.when(F.col("end_frame") > F.col("start_frame"), F.struct(F.col("end_frame").alias("end"), F.col("id").alias("id")))
-    held = S.scan(states.withColumn("_reach", reach), keys, ["start_frame", "id"], width, _max=S.running_max("_reach"))
-    before = S.scan(held, keys, ["start_frame", "id"], width, _before=S.prev("_max"))
+    before = S.scan(states.withColumn("_reach", reach), keys, ["start_frame", "id"], width, _before=S.max_before("_reach"))
     live = before.where((F.col("_before.end") > F.col("start_frame")) & (F.col("end_frame") > F.col("start_frame")))
     return live.select(*keys, "id", F.col("_before.id").alias("with_id"), F.least(F.col("_before.end"), F.col("end_frame")).alias("until"))
 
@@ -322,8 +321,7 @@ def stack_slots(states: DataFrame, key: str = "asset", width: float | None = Non
 
     import pandas as pd
 
-    reach = S.scan(states.select(key, "id", "start_frame", "end_frame"), [key], ["start_frame", "id"], width, _max=S.running_max("end_frame"))
-    prior = S.scan(reach, [key], ["start_frame", "id"], width, _before=S.prev("_max"))
+    prior = S.scan(states.select(key, "id", "start_frame", "end_frame"), [key], ["start_frame", "id"], width, _before=S.max_before("end_frame"))
     fresh = prior.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_before") <= F.col("start_frame")), F.struct("start_frame", "id")))
     runs = S.scan(fresh, [key], ["start_frame", "id"], width, _run=S.last_known("_new"))
     sized = runs.groupBy(key, "_run").agg(F.count("*").alias("_rows"))

@@ -47,12 +47,9 @@ def exact_quantiles(
     return found.select(*keys, F.col(count), *blend)
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Per key: ``median``, ``mad`` (median absolute deviation) and ``n``."""
-    middle = exact_quantiles(df, keys, value, {"median": 0.5})
-    off = df.join(middle, keys) if keys else df.crossJoin(F.broadcast(middle))
-    off = off.withColumn("_off", F.abs(F.col(value) - F.col("median")))
-    spread = exact_quantiles(off, keys, "_off", {"mad": 0.5}, count="_m")
-    if not keys:
-        return middle.crossJoin(F.broadcast(spread.drop("_m")))
+def median_and_mad(df: DataFrame, keys: list[str], value: str, also: dict[str, float] | None = None) -> DataFrame:
+    """Per key: ``median``, ``mad`` (median absolute deviation), ``n`` and any further quantiles."""
+    middle = exact_quantiles(df.select(*keys, value), keys, value, {"median": 0.5, **(also or {})})
+    off = df.select(*keys, value).join(middle.select(*keys, "median"), keys)
+    spread = exact_quantiles(off.select(*keys, F.abs(F.col(value) - F.col("median")).alias("_off")), keys, "_off", {"mad": 0.5}, count="_m")
     return middle.join(spread.drop("_m"), keys)

@@ -81,10 +81,7 @@ def gap_runs(
         F.least("_e", "_n").alias("_e"),
     )
     runs = coverage_runs(inside.where("_s < _e").unionByName(clock.where("_e > 0")), keys, "_s", "_e", width)
-    flat = S.scan(
-        runs.withColumn("_open", F.col("depth") == 1), keys, ["lo"], width, _was=S.prev("_open")
-    )
     # Neighbouring uncovered pieces only arise at shared edges; they are joined into one run.
-    begins = flat.where("_open").withColumn("_new", (~F.coalesce("_was", F.lit(False))).cast("long"))
-    grouped = S.scan(begins, keys, ["lo"], width, _run=S.running_sum("_new"))
-    return grouped.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    pieces = runs.where("depth = 1")
+    joined = S.islands(pieces, keys, ["lo"], ["lo", "hi"], lambda b, r: b["hi"] < r["lo"], width, "_run")
+    return joined.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")

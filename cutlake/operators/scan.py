@@ -10,6 +10,7 @@ only sets how many rows one task sees. The rows are shuffled once, on
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,11 @@ def running_max(value: str | Column) -> Step:
     return Step("max", _col(value))
 
 
+def max_before(value: str | Column) -> Step:
+    """Maximum over the rows strictly before this one (null on a key's first row)."""
+    return Step("bmax", _col(value))
+
+
 def running_min(value: str | Column) -> Step:
     return Step("min", _col(value))
 
@@ -90,9 +96,6 @@ def chunk_of(df: DataFrame, order: str, width: float | None) -> Column:
     return F.floor(F.col(order) / F.lit(float(width or 4096)))
 
 
-# How each kind behaves: inside a chunk, as chunk summary, across chunks, combined.
-_BEFORE = {"prev", "last", "sum", "max", "min"}
-
 
 def scan(
     df: DataFrame,
@@ -151,6 +154,11 @@ def scan(
             final[name] = F.when(inside.isNull() & carried.isNull(), F.lit(None)).otherwise(
                 F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
             )
+        elif kind == "bmax":
+            local[here] = F.max(value).over(part.rowsBetween(FIRST, -1))
+            summary[sums] = F.max(value)
+            carry[over] = F.max(F.col(sums)).over(earlier)
+            final[name] = F.greatest(inside, carried)
         elif kind == "total":
             summary[sums] = F.sum(value)
             carry[over] = F.sum(F.col(sums)).over(whole)
@@ -172,6 +180,41 @@ def scan(
     return joined.select(*kept, *[c.alias(n) for n, c in final.items()])
 
 
+def islands(
+    df: DataFrame,
+    keys: list[str],
+    order: list[str],
+    facts: list[str],
+    opens: Callable[[Column, Column], Column],
+    width: float | None = None,
+    label: str = "island",
+) -> DataFrame:
+    """Label runs of rows by the order columns of the row that opens them.
+
+    ``opens(before, row)`` says whether a row starts a run, from the ``facts``
+    of the row before and its own. Runs may cross chunks: inside a chunk the
+    rule is a window; between chunks it is judged on first and last rows only.
+    """
+    rows = df.withColumns(
+        {"_key": F.struct(*keys) if keys else F.struct(F.lit(0)), "_chunk": chunk_of(df, order[0], width), "_at": F.struct(*order), "_fact": F.struct(*facts)}
+    )
+    part = Window.partitionBy("_key", "_chunk").orderBy(*order)
+    stepped = rows.withColumn("_b", F.lag("_fact").over(part))
+    opened = stepped.withColumn("_o", F.when(F.col("_b").isNotNull() & opens(F.col("_b"), F.col("_fact")), F.col("_at")))
+    placed = opened.withColumn("_in", F.last("_o", ignorenulls=True).over(part.rowsBetween(FIRST, 0)))
+    chunks = opened.groupBy("_key", "_chunk").agg(
+        F.min_by(F.struct("_at", "_fact"), "_at").alias("_first"), F.max_by("_fact", "_at").alias("_last"), F.max("_o").alias("_top")
+    )
+    across = Window.partitionBy("_key").orderBy("_chunk")
+    before = F.lag("_last").over(across)
+    joined = chunks.withColumn("_entry", F.when(before.isNull() | opens(before, F.col("_first._fact")), F.col("_first._at")))
+    carried = joined.select(
+        "_key", "_chunk",
+        F.coalesce("_entry", F.last(F.coalesce("_top", "_entry"), ignorenulls=True).over(across.rowsBetween(FIRST, -1))).alias("_from"),
+    )
+    return placed.join(carried, ["_key", "_chunk"]).select(*df.columns, F.coalesce("_in", "_from").alias(label))
+
+
 def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key; Catalyst limits each map task to ``k`` before the shuffle."""
     spot = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from cutlake.functions import timecode as T
 from cutlake.operators import scan as S
 from cutlake.operators.nearest import as_of
-from cutlake.operators.quantiles import exact_quantiles, median_and_mad
+from cutlake.operators.quantiles import median_and_mad
 
 
 def halo(df: DataFrame, keys: list[str], pos: str, reach: int, width: int, columns: dict) -> DataFrame:
@@ -35,9 +35,7 @@ def merge_peaks(hits: DataFrame, keys: list[str], pos: str, height: str, gap: in
     A hit at least ``gap`` after the hit before it always starts anew, so the
     fold runs on each cluster of close hits by itself.
     """
-    stepped = S.scan(hits.select(*keys, pos, height), keys, [pos], width, _p=S.prev(pos))
-    opened = stepped.withColumn("_o", F.when(F.col("_p").isNull() | (F.col(pos) - F.col("_p") >= gap), F.col(pos)))
-    cluster = S.scan(opened, keys, [pos], width, _c=S.last_known("_o"))
+    cluster = S.islands(hits.select(*keys, pos, height), keys, [pos], [pos], lambda b, r: r[pos] - b[pos] >= gap, width, "_c")
     listed = cluster.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.col(height).cast("double").alias("h")))).alias("hs"))
     kind = "array<struct<p:bigint,h:double>>"
 
@@ -67,14 +65,14 @@ def cut_scores(frames: DataFrame, keys: list[str], frame: str, hist: str, lab_de
 
 def detect_cuts(scores: DataFrame, keys: list[str], frame: str, score: str) -> DataFrame:
     """Frames whose score clears the adaptive threshold, close ones merged to the highest; with the threshold used."""
-    mad = median_and_mad(scores, keys, score)
-    q = exact_quantiles(scores, keys, score, {"q95": 0.95}, count="_n")
+    mad = median_and_mad(scores, keys, score, {"q95": 0.95})
     limit = F.greatest(
         F.lit(0.115), F.col("median") + 8.0 * F.greatest(F.col("mad"), F.lit(0.002)), F.least(F.lit(0.35), F.col("q95") * 0.68)
     )
-    limits = mad.join(q, keys).select(*keys, limit.alias("threshold"))
+    limits = mad.select(*keys, limit.alias("threshold"))
     hits = scores.join(limits, keys).where(F.col(score) >= F.col("threshold"))
-    return merge_peaks(hits, keys, frame, score, 3).join(limits, keys)
+    kept = merge_peaks(hits, keys, frame, score, 3)
+    return kept.join(hits.select(*keys, frame, "threshold").dropDuplicates([*keys, frame]), [*keys, frame])
 
 
 def blocks_from_cuts(clocks: DataFrame, cuts: DataFrame, keys: list[str], frame: str, length: str) -> DataFrame:
@@ -190,13 +188,14 @@ def scenes(clips: DataFrame, keys: list[str], ts: str, tie: str, family: str, du
     night = T.is_night(F.col(ts))
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = clips.withColumns({"night": night, "_us": us})
-    seen = S.scan(rows, keys, [ts, tie], _f=S.prev(family), _n=S.prev("night"), _t=S.prev("_us"))
-    new = F.col("_t").isNull() | (F.col("_f") != F.col(family)) | (F.col("_n") != F.col("night")) | (F.col("_us") - F.col("_t") >= gap_minutes * 60_000_000)
-    run = S.scan(seen.withColumn("_new", new.cast("long")), keys, [ts, tie], scene=S.running_sum("_new"))
-    return run.groupBy(*keys, "scene").agg(
+    broken = lambda b, r: (b[family] != r[family]) | (b["night"] != r["night"]) | (r["_us"] - b["_us"] >= gap_minutes * 60_000_000)
+    run = S.islands(rows, keys, [ts, tie], [family, "night", "_us"], broken, label="_run")
+    grouped = run.groupBy(*keys, "_run").agg(
         F.min(family).alias("family"), F.bool_and("night").alias("night"), F.min(ts).alias("start"), F.count("*").alias("clips"),
         F.sum(F.when(F.col(duration) < 3.0, 1).otherwise(2)).alias("capacity"),
-    ).withColumn("story_day", T.story_day(F.col("start")))
+    )
+    numbered = S.scan(grouped.withColumn("_tie", F.col(f"_run.{tie}")), keys, ["start", "_tie"], scene=S.position())
+    return numbered.withColumn("story_day", T.story_day(F.col("start"))).drop("_run", "_tie")
 
 
 def display_clock(scene_rows: DataFrame, keys: list[str], ts: str, tie: str) -> DataFrame:
