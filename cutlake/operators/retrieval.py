@@ -44,7 +44,7 @@ def catalog_terms(catalog: DataFrame, features: DataFrame) -> DataFrame:
     return facts.join(features.select("path", "luma_p50", "sat_p50", "laplacian_var"), "path", "left")
 
 
-def _numeric(pair: bool = True) -> dict[str, Column]:
+def _numeric() -> dict[str, Column]:
     """Score terms that do not come from shared words, by evidence name."""
     c = F.col
     motion = F.least(F.lit(3.0), c("motion_speed") * 20.0) + F.least(F.lit(2.0), c("local_peaks") * 0.5)
@@ -107,13 +107,13 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
 
     bar = best.groupBy("role_id").agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
     lowest = -20.0
-    # No numeric sum exceeds 14; below the lowest possible sum everything qualifies.
+    # No numeric sum exceeds 16; below the lowest possible sum everything qualifies.
     need = terms.join(bar, "role_id", "left").withColumn(
         "_bar", F.when(F.coalesce("_n", F.lit(0)) >= top_n, F.col("_worst")).otherwise(F.lit(lowest - 20.0))
     )
     kind = F.concat_ws("", *[F.col(f).cast("int").cast("string") for f in ("moves", "stable", "human", "pair")])
-    weak = need.where(F.col("_bar") <= 14.0).select("role_id", "_bar", kind.alias("_kind"))
-    weak = weak.withColumn("_bucket", F.explode(F.sequence(F.floor(F.greatest("_bar", F.lit(0.0))), F.lit(14).cast("long"))))
+    weak = need.where(F.col("_bar") <= 16.0).select("role_id", "_bar", kind.alias("_kind"))
+    weak = weak.withColumn("_bucket", F.explode(F.sequence(F.floor(F.greatest("_bar", F.lit(0.0))), F.lit(16).cast("long"))))
     every = [[int(b) for b in f"{i:04b}"] for i in range(16)]
     bound = lambda m, s, h, p: (
         F.lit(4.5)

@@ -74,12 +74,12 @@ def _(t):
 @query(
     "a3_bed_penalty",
     """WITH f AS (SELECT l_linenumber AS state, l_returnflag AS text, 200.0 AS ink, round(avg(l_quantity), 3) AS bed, round(avg(l_tax) * 100, 3) AS sd FROM lineitem GROUP BY 1, 2),
-    w AS (SELECT l_suppkey AS stem, l_partkey AS t0, l_linenumber AS state, l_returnflag AS text, l_quantity AS bed, l_tax * 300 AS sd FROM lineitem)
+    w AS (SELECT l_suppkey AS stem, l_partkey AS t0, l_linenumber AS state, l_returnflag AS text, l_quantity AS bed, l_tax * 317.77 AS sd FROM lineitem)
     SELECT stem, t0, round(sum(greatest(0.0, abs(ink - f.bed) - abs(ink - w.bed)) / greatest(abs(ink - f.bed), 1.0) + greatest(0.0, w.sd - f.sd) / 50), 3) AS penalty FROM w JOIN f USING (state, text) GROUP BY 1, 2""",
 )
 def _(t):
     ref = t.lineitem.groupBy(c("l_linenumber").alias("state"), c("l_returnflag").alias("text")).agg(F.round(F.avg("l_quantity"), 3).alias("bed"), F.round(F.avg("l_tax") * 100, 3).alias("sd"))
-    windows = t.lineitem.select(c("l_suppkey").alias("stem"), c("l_partkey").alias("t0"), c("l_linenumber").alias("state"), c("l_returnflag").alias("text"), c("l_quantity").alias("bed"), (c("l_tax") * 300).alias("sd"))
+    windows = t.lineitem.select(c("l_suppkey").alias("stem"), c("l_partkey").alias("t0"), c("l_linenumber").alias("state"), c("l_returnflag").alias("text"), c("l_quantity").alias("bed"), (c("l_tax") * 317.77).alias("sd"))
     return R.bed_penalty(windows, ref.withColumn("ink", F.lit(200.0)), ["stem", "t0"])
 
 
@@ -146,16 +146,16 @@ def _(t):
 
 @query(
     "a8_rank_windows",
-    """WITH o AS (SELECT o_custkey AS slot, 'C' || o_orderkey % 9 AS clip_id, (o_totalprice / 400)::BIGINT AS s, max(o_totalprice / 3000) AS p05, max(150 + o_totalprice / 6000) AS p95 FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders) GROUP BY 1, 2, 3),
-    b AS (SELECT o_custkey AS slot, 'C' || o_orderkey % 9 AS clip_id, (o_totalprice / 400)::BIGINT + 30 AS s FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders) WHERE o_orderstatus = 'F'),
+    """WITH o AS (SELECT o_custkey AS slot, 'C' || o_orderkey % 9 AS clip_id, floor(o_totalprice / 400)::BIGINT AS s, max(o_totalprice / 3017) AS p05, max(150 + o_totalprice / 6011) AS p95 FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders) GROUP BY 1, 2, 3),
+    b AS (SELECT o_custkey AS slot, 'C' || o_orderkey % 9 AS clip_id, floor(o_totalprice / 400)::BIGINT + 30 AS s FROM (SELECT * REPLACE (floor(o_totalprice) AS o_totalprice) FROM orders) WHERE o_orderstatus = 'F'),
     f AS (SELECT *, round(255.0 - 25.0 / 0.6, 2) AS hi, round(25.0 / 0.6, 2) AS lo FROM o WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.slot = o.slot AND b.clip_id = o.clip_id AND o.s < b.s + 48 AND b.s < o.s + 48)),
     m AS (SELECT *, round(greatest(hi - p95, p05 - lo), 2) AS margin FROM f WHERE p95 < hi OR p05 > lo)
     SELECT slot, clip_id, s AS start_frame, s + 48 AS end_frame, margin, row_number() OVER (PARTITION BY slot ORDER BY margin DESC, clip_id = 'C3', clip_id, s) AS rank FROM m""",
 )
 def _(t):
     price = F.floor("o_totalprice")
-    start = F.round(price / 400).cast("long")
+    start = F.floor(price / 400)
     base = t.orders.select(c("o_custkey").alias("slot"), F.concat(F.lit("C"), (c("o_orderkey") % 9).cast("string")).alias("clip_id"), start.alias("start_frame"), price.alias("p"), "o_orderstatus")
-    options = base.groupBy("slot", "clip_id", "start_frame").agg((F.max(c("p")) / 3000).alias("p05"), F.max(c("p") / 6000 + 150).alias("p95")).withColumn("end_frame", c("start_frame") + 48).withColumn("plate_alpha", F.lit(0.6))
+    options = base.groupBy("slot", "clip_id", "start_frame").agg((F.max(c("p")) / 3017).alias("p05"), F.max(c("p") / 6011 + 150).alias("p95")).withColumn("end_frame", c("start_frame") + 48).withColumn("plate_alpha", F.lit(0.6))
     siblings = base.where("o_orderstatus = 'F'").select("slot", "clip_id", (c("start_frame") + 30).alias("start_frame"), (c("start_frame") + 78).alias("end_frame"))
     return R.rank_windows(options, siblings, F.lit("C3"), ["slot"])
