@@ -161,7 +161,9 @@ def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float
     Identical vectors are folded into one first (``copies``). For any signs, the
     signed sums of two vectors differ by no more than their total difference,
     so a pair within the limit lies in neighbouring cells of a grid over a few
-    signed sums: exact, and no vector meets all others.
+    signed sums. The result is exact for any limit; how few candidates meet
+    depends on the limit being small against the spread of the vectors, which
+    is what a search for near copies asks.
     """
     values = vectors.withColumn("_v", F.col(vector).cast("array<double>"))
     unique = values.groupBy("_v").agg(F.min(key).alias(key), F.count("*").alias("copies"))

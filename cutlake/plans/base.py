@@ -17,7 +17,7 @@ BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
-FAMILIES = "durations functions_ verdicts ledger filters joins series retrieval reuse lineage sources".split()
+FAMILIES = "durations functions_ verdicts ledger filters joins series retrieval reuse lineage sources streaming".split()
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}

@@ -137,10 +137,10 @@ def _(t):
     "g11_frame_distance_pairs",
     """WITH u AS (SELECT min(vec_id) AS id, CAST(embedding AS DOUBLE[]) AS v, count(*) AS copies FROM embeddings GROUP BY embedding),
     d AS (SELECT a.id AS a, b.id AS b, a.copies AS a_copies, b.copies AS b_copies, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) / len(a.v) AS distance FROM u a JOIN u b ON a.id < b.id)
-    SELECT a, b, a_copies, b_copies, round(distance, 9) AS distance FROM d WHERE distance <= 0.08""",
+    SELECT a, b, a_copies, b_copies, round(distance, 9) AS distance FROM d WHERE distance <= 0.1""",
 )
 def _(t):
-    return R.frame_distance_pairs(t.embeddings, "vec_id", "embedding", 0.08, 64).withColumn("distance", F.round("distance", 9))
+    return R.frame_distance_pairs(t.embeddings, "vec_id", "embedding", 0.1, 64).withColumn("distance", F.round("distance", 9))
 
 
 @query(
