@@ -45,6 +45,13 @@ def _fold_unicode(texts: pd.Series) -> pd.Series:
     return texts.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).casefold())
 
 
+@F.pandas_udf(T.StringType())
+def whole_normal_form(texts: pd.Series) -> pd.Series:
+    """:func:`normalize_text` as one Arrow function, for use from SQL."""
+    folded = texts.fillna("").map(lambda s: unicodedata.normalize("NFKC", s).casefold())
+    return folded.str.replace("[^0-9a-z]+", "", regex=True)
+
+
 def normalize_text(col: Column) -> Column:
     """Compatibility-normalised, case-folded text reduced to ``[0-9a-z]``; null reads as empty.
 

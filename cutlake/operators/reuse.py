@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -155,7 +159,7 @@ def closest_variants(matrix: DataFrame) -> DataFrame:
     return matrix.groupBy("family").agg(F.min(F.struct("changed", "a", "b")).alias("m")).select("family", "m.*")
 
 
-def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float, size: int, projections: int = 3) -> DataFrame:
+def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float, size: int, projections: int = 3, block: int = 256) -> DataFrame:
     """All pairs of distinct vectors whose mean absolute difference is at most ``limit``, with the distance.
 
     Identical vectors are folded into one first (``copies``). For any signs, the
@@ -163,26 +167,53 @@ def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float
     so a pair within the limit lies in neighbouring cells of a grid over a few
     signed sums. The result is exact for any limit; how few candidates meet
     depends on the limit being small against the spread of the vectors, which
-    is what a search for near copies asks.
+    is what a search for near copies asks. Vectors of neighbouring cells meet
+    in blocks that are compared as matrices.
     """
     values = vectors.withColumn("_v", F.col(vector).cast("array<double>"))
     unique = values.groupBy("_v").agg(F.min(key).alias(key), F.count("*").alias("copies"))
+    # The length is known, so sums over it are written out and compiled instead of interpreted per element.
+    def total(term) -> Column:
+        parts = [term(i) for i in range(size)]
+        while len(parts) > 1:
+            parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
     def signed_sum(block: int) -> Column:
-        # Signs flip in blocks of that many entries: a cheap pattern to write as an expression.
-        flip = lambda x, i: F.when(F.pmod(F.floor(i / F.lit(float(block))), F.lit(2)) == 0, x).otherwise(-x)
-        return F.aggregate(F.transform("_v", flip), F.lit(0.0), lambda a, x: a + x)
+        # Signs flip in blocks of that many entries.
+        return total(lambda i: F.get("_v", F.lit(i)) * (1.0 if (i // block) % 2 == 0 else -1.0))
 
     sums = {f"_g{p}": F.floor(signed_sum(2**p) / F.lit(float(size) * limit)) for p in range(projections)}
-    cells = unique.select(key, "_v", "copies", *[e.alias(n) for n, e in sums.items()])
-    near = cells
-    for p in range(projections):
-        near = near.withColumn(f"_g{p}", F.explode(F.array(F.col(f"_g{p}") - 1, F.col(f"_g{p}"), F.col(f"_g{p}") + 1)))
-    grid = [f"_g{p}" for p in range(projections)]
-    left = cells.select(F.col(key).alias("a"), F.col("_v").alias("_a"), F.col("copies").alias("a_copies"), *grid)
-    right = near.select(F.col(key).alias("b"), F.col("_v").alias("_b"), F.col("copies").alias("b_copies"), *grid)
-    gap = F.aggregate(F.zip_with("_a", "_b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("_a")
-    met = left.join(right, grid).where("a < b").withColumn("distance", gap)
-    return met.where(F.col("distance") <= limit).select("a", "b", "a_copies", "b_copies", "distance").orderBy("distance", "a", "b")
+    grid = list(sums)
+    home = unique.select(F.col(key).alias("id"), "_v", "copies", *[e.alias(n) for n, e in sums.items()])
+    near = home
+    for g in grid:
+        near = near.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
+    met = _blocks(home, grid, "a", block).join(_blocks(near, grid, "b", block), grid)
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                left, right = (np.asarray(v, dtype="float64").reshape(-1, size) for v in (row.a_vs, row.b_vs))
+                gap = np.abs(left[:, None, :] - right[None, :, :]).mean(axis=2)
+                i, j = np.nonzero((gap <= limit) & (np.asarray(row.a_ids)[:, None] < np.asarray(row.b_ids)[None, :]))
+                yield pd.DataFrame(
+                    {"a": np.asarray(row.a_ids)[i], "b": np.asarray(row.b_ids)[j], "a_copies": np.asarray(row.a_copies)[i], "b_copies": np.asarray(row.b_copies)[j], "distance": gap[i, j]}
+                )
+
+    pairs = met.select(*[f"{s}_{c}" for s in "ab" for c in ("ids", "vs", "copies")])
+    kind = dict(vectors.dtypes)[key]
+    found = pairs.mapInPandas(measure, f"a {kind}, b {kind}, a_copies long, b_copies long, distance double")
+    return found.orderBy("distance", "a", "b")
+
+
+def _blocks(cells: DataFrame, grid: list[str], side: str, block: int) -> DataFrame:
+    """Vectors of a cell in blocks of about ``block``, so a crowded cell becomes many small pieces of work."""
+    counted = cells.groupBy(*grid).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    placed = cells.join(counted, grid).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
+    rows = placed.groupBy(*grid, "_part").agg(F.collect_list(F.struct("id", "_v", "copies")).alias("rs"))
+    pick = lambda f: F.transform("rs", lambda r: r[f])
+    return rows.select(*grid, pick("id").alias(f"{side}_ids"), F.flatten(pick("_v")).alias(f"{side}_vs"), pick("copies").alias(f"{side}_copies"))
 
 
 def shot_stats(frames: DataFrame, keys: list[str], metrics: list[str], hue: str, hist: str) -> DataFrame:
