@@ -172,16 +172,10 @@ def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float
     """
     values = vectors.withColumn("_v", F.col(vector).cast("array<double>"))
     unique = values.groupBy("_v").agg(F.min(key).alias(key), F.count("*").alias("copies"))
-    # The length is known, so sums over it are written out and compiled instead of interpreted per element.
-    def total(term) -> Column:
-        parts = [term(i) for i in range(size)]
-        while len(parts) > 1:
-            parts = [parts[i] + parts[i + 1] if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0]
-
-    def signed_sum(block: int) -> Column:
-        # Signs flip in blocks of that many entries.
-        return total(lambda i: F.get("_v", F.lit(i)) * (1.0 if (i // block) % 2 == 0 else -1.0))
+    def signed_sum(width: int) -> Column:
+        # Signs flip in runs of that many entries.
+        flip = lambda x, i: F.when(F.pmod(F.floor(i / F.lit(float(width))), F.lit(2)) == 0, x).otherwise(-x)
+        return F.aggregate(F.transform("_v", flip), F.lit(0.0), lambda a, x: a + x)
 
     sums = {f"_g{p}": F.floor(signed_sum(2**p) / F.lit(float(size) * limit)) for p in range(projections)}
     grid = list(sums)
