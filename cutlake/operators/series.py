@@ -373,7 +373,7 @@ def device_summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     fit = F.coalesce("_fit", F.lit(0.0))
     return out.select(
         *keys, "first_frame", "sharp_frame", F.when(F.col("first_frame").isNotNull(), blur_axis(F.col("_x"), F.col("_y"))).alias("axis"),
-        F.round("_x", 2).alias("max_sigma_x"), F.round("_y", 2).alias("max_sigma_y"), F.round("_fit", 3).alias("median_fit"),
+        T.round_exact(F.col("_x"), 2).alias("max_sigma_x"), T.round_exact(F.col("_y"), 2).alias("max_sigma_y"), T.round_exact(F.col("_fit"), 3).alias("median_fit"),
         F.when(fit >= 0.6, "high").when(fit >= 0.4, "medium").otherwise("low").alias("confidence"),
     )
 

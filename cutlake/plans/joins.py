@@ -142,8 +142,9 @@ def _(t):
 
 @view
 def frame_metrics(q: Dialect) -> str:
-    return f"""SELECT l_linestatus AS side, l_suppkey AS asset, {q.div(q.day('l_shipdate'), '28')} AS frame, min(l_quantity) / 50 AS y_q05, round(avg(l_quantity) / 50, 6) AS y_q50, max(l_quantity) / 50 AS y_q95,
-      round(avg(l_discount) * 2, 6) AS saturation_mean, round(avg(l_tax) * 300, 6) AS lab_a_mean, round(avg(l_extendedprice) / 2000, 6) AS lab_b_mean FROM {q.t('lineitem')} GROUP BY l_linestatus, l_suppkey, {q.div(q.day('l_shipdate'), '28')}"""
+    return f"""SELECT l_linestatus AS side, l_suppkey AS asset, {q.div(q.day('l_shipdate'), '28')} AS frame, min(l_quantity) / 50 AS y_q05, avg(l_quantity) / 50 AS y_q50, max(l_quantity) / 50 AS y_q95,
+      sum(cast(round(l_discount * 100) as bigint)) / 50e0 / count(*) AS saturation_mean,
+      sum(cast(round(l_tax * 100) as bigint)) * 3e0 / count(*) AS lab_a_mean, sum(cast(round(l_extendedprice * 100) as bigint)) / 200000e0 / count(*) AS lab_b_mean FROM {q.t('lineitem')} GROUP BY l_linestatus, l_suppkey, {q.div(q.day('l_shipdate'), '28')}"""
 
 
 @view
@@ -172,12 +173,12 @@ def _(t):
 
 @query(
     "g27_shot_luma_delta",
-    f"""WITH {FC}, p AS (SELECT b.asset, block_id AS shot, frame, c50 * 255 - r50 * 255 AS d FROM b JOIN picture_blocks p ON p.asset = b.asset AND frame >= start_frame AND frame < end_frame WHERE r50 IS NOT NULL AND c50 IS NOT NULL),
+    f"""WITH {FC}, p AS (SELECT b.asset, block_id AS shot, frame, c50 * 255.3719 - r50 * 255.3719 AS d FROM b JOIN picture_blocks p ON p.asset = b.asset AND frame >= start_frame AND frame < end_frame WHERE r50 IS NOT NULL AND c50 IS NOT NULL),
     s AS (SELECT *, abs(d - lag(d) OVER (PARTITION BY asset, shot ORDER BY frame)) AS st FROM p)
     SELECT asset, shot, printf('%.2f', avg(d))::DOUBLE AS mean, printf('%.2f', arg_max(d, (abs(d), -frame)))::DOUBLE AS worst, arg_max(frame, (abs(d), -frame)) AS worst_frame, printf('%.2f', coalesce(max(st), 0.0))::DOUBLE AS step, coalesce(arg_max(frame, (st, frame)) FILTER (st IS NOT NULL), min(frame)) AS step_frame FROM s GROUP BY 1, 2""",
 )
 def _(t):
-    side = lambda s: t.frame_metrics.where(c("side") == s).withColumn("luma", c("y_q50") * 255)
+    side = lambda s: t.frame_metrics.where(c("side") == s).withColumn("luma", c("y_q50") * 255.3719)
     return J.shot_luma_delta(side("F"), side("O"), t.picture_blocks.withColumnRenamed("block_id", "shot"))
 
 

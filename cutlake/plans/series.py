@@ -245,7 +245,7 @@ def _(t):
     "w32_device_summary",
     f"""WITH {ONSET}, k AS (SELECT {CK}, max(greatest(0.0, sigma_x - floor_x)) AS x, max(greatest(0.0, sigma_y - floor_y)) AS y, median(fit) AS f FROM entry_curve JOIN ff USING ({CK}) JOIN sf USING ({CK}) JOIN fl USING ({CK}) WHERE n BETWEEN first_frame AND sharp_frame GROUP BY {CK})
     SELECT {CK}, first_frame, sharp_frame, CASE WHEN first_frame IS NULL THEN NULL WHEN x >= 1.5 AND x >= 1.6 * greatest(y, 0.3) THEN 'h' WHEN y >= 1.5 AND y >= 1.6 * greatest(x, 0.3) THEN 'v' ELSE 'iso' END AS axis,
-      round(x, 2) AS max_sigma_x, round(y, 2) AS max_sigma_y, round(f, 3) AS median_fit, CASE WHEN coalesce(f, 0) >= 0.6 THEN 'high' WHEN coalesce(f, 0) >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM ff LEFT JOIN sf USING ({CK}) LEFT JOIN k USING ({CK})""",
+      printf('%.2f', x)::DOUBLE AS max_sigma_x, printf('%.2f', y)::DOUBLE AS max_sigma_y, printf('%.3f', f)::DOUBLE AS median_fit, CASE WHEN coalesce(f, 0) >= 0.6 THEN 'high' WHEN coalesce(f, 0) >= 0.4 THEN 'medium' ELSE 'low' END AS confidence FROM ff LEFT JOIN sf USING ({CK}) LEFT JOIN k USING ({CK})""",
 )
 def _(t):
     return X.device_summary(t.entry_curve, CURVE_KEYS)

@@ -27,11 +27,11 @@ def label_texts(doc: Column | str, path: str, *fields: str) -> Column:
 
 def parse_catalog(lines: DataFrame, value: str = "value", origin: str | None = None) -> DataFrame:
     """One row per JSON object line; blank lines drop, any other line fails the job by name."""
-    doc = F.try_parse_json(F.col(value))
+    doc = F.col("doc")
     source = F.col(origin) if origin else F.lit("catalog")
     bad = doc.isNull() | ~F.schema_of_variant(doc).startswith("OBJECT")
     checked = F.when(bad, F.raise_error(F.concat(F.lit("not a JSON object in "), source, F.lit(": "), F.col(value)))).otherwise(F.lit(True))
-    rows = lines.where(F.trim(value) != "").withColumn("_ok", checked).where("_ok").withColumn("doc", doc)
+    rows = lines.where(F.trim(value) != "").withColumn("doc", F.try_parse_json(F.col(value))).withColumn("_ok", checked).where("_ok")
     motion = "$.camera_motion"
     return rows.select(
         get("doc", "$.path").alias("path"),
@@ -56,9 +56,10 @@ def read_catalog(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_features(docs: DataFrame, value: str = "value") -> DataFrame:
     """Feature rows of ``[...]`` or ``{"features": [...]}`` documents; the last row of a path wins."""
-    doc = F.try_parse_json(F.col(value))
+    parsed = docs.select(F.try_parse_json(F.col(value)).alias("_doc"))
+    doc = F.col("_doc")
     rows = F.coalesce(get(doc, "$.features", "array<variant>"), get(doc, "$", "array<variant>"))
-    at = docs.select(F.posexplode(rows).alias("pos", "r"))
+    at = parsed.select(F.posexplode(rows).alias("pos", "r"))
     flat = at.select(get("r", "$.path").alias("path"), "pos", *[get("r", f"$.{n}", "double").alias(n) for n in ("luma_p50", "sat_p50", "laplacian_var")])
     facts = F.struct("luma_p50", "sat_p50", "laplacian_var")
     return flat.where(F.coalesce("path", F.lit("")) != "").groupBy("path").agg(F.max_by(facts, "pos").alias("f")).select("path", "f.*")

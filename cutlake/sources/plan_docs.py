@@ -39,8 +39,8 @@ def sources(record: Column) -> Column:
 
 def flatten_plan(plans: DataFrame, key: str, value: str = "value") -> DataFrame:
     """Slot records of plan documents: key, index, slot, masters."""
-    doc = F.try_parse_json(F.col(value))
-    rows = plans.select(key, F.posexplode(records(doc)).alias("index", "r"))
+    parsed = plans.select(key, F.try_parse_json(F.col(value)).alias("_doc"))
+    rows = parsed.select(key, F.posexplode(records(F.col("_doc"))).alias("index", "r"))
     return rows.select(key, "index", slot_id(F.col("r"), F.col("index")).alias("slot"), sources(F.col("r")).alias("masters"))
 
 
@@ -50,7 +50,9 @@ def flatten_supersession(plans: DataFrame, key: str, value: str = "value") -> Da
     Shapes are tried in order: slot maps, a single installed block, a slot
     list, and a document that is itself one slot. The first that yields wins.
     """
-    doc = F.try_parse_json(F.col(value))
+    # The document is parsed once and each shape is worked out once: both are used several times below.
+    parsed = plans.select(key, F.try_parse_json(F.col(value)).alias("_doc"))
+    doc = F.col("_doc")
     own = F.coalesce(*[get(doc, f"$.{k}") for k in ("block_id", "block", "slot")])
     pair = lambda slot, masters: F.transform(masters, lambda m: F.struct(slot.alias("slot"), m.alias("master_id")))
 
@@ -62,11 +64,13 @@ def flatten_supersession(plans: DataFrame, key: str, value: str = "value") -> Da
     empty = F.array().cast("array<struct<slot:string,master_id:string>>")
     maps = F.concat(*[F.coalesce(from_map(n), empty) for n in ("recast", "reseated", "reseat")])
     installed = F.coalesce(pair(own, sources(get(doc, "$.installed", "variant"))), empty)
-    listed = F.flatten(F.transform(records(doc), lambda r, i: pair(slot_id(r, i), sources(r))))
+    listed = F.flatten(F.transform(F.col("_records"), lambda r, i: pair(slot_id(r, i), sources(r))))
     flat = F.when(own.isNotNull(), pair(own, sources(doc))).otherwise(empty)
-    some = lambda a: F.when(F.size(a) > 0, a)
-    chosen = F.coalesce(some(maps), some(installed), some(listed), flat)
-    return plans.select(key, F.explode(chosen).alias("p")).select(key, "p.*")
+    some = lambda name: F.when(F.size(name) > 0, F.col(name))
+    shaped = parsed.select(key, "_doc", maps.alias("_maps"), installed.alias("_installed"), records(doc).alias("_records"))
+    shaped = shaped.select(key, "_maps", "_installed", listed.alias("_listed"), flat.alias("_flat"))
+    chosen = F.coalesce(some("_maps"), some("_installed"), some("_listed"), F.col("_flat"))
+    return shaped.select(key, F.explode(chosen).alias("p")).select(key, "p.*")
 
 
 STATE = "array<struct<id:string,text:string,start:bigint,end_exclusive:bigint,box:array<double>,style_id:string>>"
@@ -74,7 +78,8 @@ STATE = "array<struct<id:string,text:string,start:bigint,end_exclusive:bigint,bo
 
 def normalise_states(contracts: DataFrame, key: str, value: str = "value") -> DataFrame:
     """Caption states of both contract layouts (a list of states, or states by id) in one schema."""
-    doc = F.try_parse_json(F.col(value))
+    parsed = contracts.select(key, F.try_parse_json(F.col(value)).alias("_doc"))
+    doc = F.col("_doc")
     box = lambda s: F.coalesce(*[get(s, p, "array<double>") for p in ("$.placement.core_bbox_xyxy", "$.placement.treatment_bbox_xyxy", "$.box")])
     near = lambda s: F.coalesce(*[get(s, p, "array<double>") for p in ("$.box", "$.placement.core_bbox_xyxy")])
 
@@ -95,4 +100,4 @@ def normalise_states(contracts: DataFrame, key: str, value: str = "value") -> Da
     as_list = F.transform(get(doc, "$.states", "array<variant>"), listed).cast(STATE)
     by_id = F.coalesce(get(doc, "$.states", "map<string,variant>"), get(doc, "$", "map<string,variant>"))
     as_map = F.transform(F.filter(F.map_entries(by_id), lambda e: get(e["value"], "$.text").isNotNull()), mapped).cast(STATE)
-    return contracts.select(key, F.explode(F.coalesce(as_list, as_map)).alias("s")).select(key, "s.*")
+    return parsed.select(key, F.explode(F.coalesce(as_list, as_map)).alias("s")).select(key, "s.*")

@@ -43,9 +43,10 @@ def receipt_header(name: Column, text: Column) -> dict[str, Column]:
 
 def parse_receipts(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
     """One row per receipt with its heads as an array; a status counts only directly under a head."""
-    numbered = F.transform(lines_of(F.col(text)), lambda line, i: F.struct(line.alias("line"), i.alias("i")))
+    split = files.withColumn("_lines", lines_of(F.col(text)))
+    numbered = F.transform("_lines", lambda line, i: F.struct(line.alias("line"), i.alias("i")))
     heads = F.filter(numbered, lambda x: x["line"].rlike(HEAD))
-    after = lambda i: F.try_element_at(lines_of(F.col(text)), i + 2)
+    after = lambda i: F.try_element_at("_lines", i + 2)
 
     def head(x: Column, seq: Column) -> Column:
         status = F.from_json(F.regexp_extract(F.coalesce(after(x["i"]), F.lit("")), BLOCK, 1), STATUS)
@@ -54,7 +55,7 @@ def parse_receipts(files: DataFrame, name: str = "name", text: str = "text") ->
             F.regexp_extract(x["line"], HEAD, 3).alias("at"), status["state"].alias("state"), status["why"].alias("why"), status["not_before"].alias("not_before"), x["line"].alias("line"),
         )
 
-    parsed = files.select(F.col(name).alias("receipt"), *[v.alias(k) for k, v in receipt_header(F.col(name), F.col(text)).items()], F.transform(heads, head).alias("heads"))
+    parsed = split.select(F.col(name).alias("receipt"), *[v.alias(k) for k, v in receipt_header(F.col(name), F.col(text)).items()], F.transform(heads, head).alias("heads"))
     return parsed.where("kind IS NOT NULL")
 
 
