@@ -73,9 +73,10 @@ def tokens(text: Column) -> Column:
     """Distinct ``[a-z0-9]+`` words of two or more letters, without stopwords, plus their concepts."""
     words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), 1))
     kept = F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
+    # One hashed intersection finds the few words that have a concept; only those are looked up.
+    named = F.array_intersect(kept, F.array(*[F.lit(w) for w in ALIAS]))
     alias = F.create_map(*[F.lit(x) for pair in ALIAS.items() for x in pair])
-    concepts = F.filter(F.transform(kept, lambda w: F.try_element_at(alias, w)), lambda c: c.isNotNull())
-    return F.array_union(kept, concepts)
+    return F.array_union(kept, F.transform(named, lambda w: F.element_at(alias, w)))
 
 
 def slug(text: Column) -> Column:

@@ -10,6 +10,7 @@ from cutlake.functions.text import tokens
 from cutlake.functions.timecode import required_source_frames
 from cutlake.operators import scan as S
 from cutlake.operators.ranges import range_join
+from cutlake.session import cut_lineage
 
 WEIGHTS = {"role": 5.0, "requirement": 3.0, "observation": 1.5}
 FLAGS = ["moves", "walks", "sports", "stable", "human", "pair"]
@@ -100,8 +101,9 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     """
     if not 1 <= top_n <= 100:
         raise ValueError("top_n must be between 1 and 100")
-    terms, clips = role_terms(roles), catalog_terms(catalog, features)
-    overlaps = score_overlaps(terms, clips)
+    # Token sets and overlaps are read several times below, so each is written once.
+    terms, clips = role_terms(roles), cut_lineage(catalog_terms(catalog, features))
+    overlaps = cut_lineage(score_overlaps(terms, clips))
     scored = _scored(overlaps, terms, clips)
     best = S.top_k_per(scored, ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
 

@@ -14,6 +14,7 @@ from cutlake.functions import timecode as T
 from cutlake.operators import scan as S
 from cutlake.operators.nearest import as_of
 from cutlake.operators.quantiles import median_and_mad
+from cutlake.session import cut_lineage
 
 
 def halo(df: DataFrame, keys: list[str], pos: str, reach: int, width: int, columns: dict) -> DataFrame:
@@ -363,7 +364,8 @@ def blur_axis(x: Column, y: Column) -> Column:
 
 def device_summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Per curve: onset, sharp frame, blur axis, largest excess blur, median fit and confidence."""
-    firsts, floors = first_frames(curve, keys), settled_floor(curve, keys)
+    # One row per curve, read several times: written once.
+    firsts, floors = cut_lineage(first_frames(curve, keys)), cut_lineage(settled_floor(curve, keys))
     sharps = sharp_frame(curve, firsts, floors, keys)
     j = curve.join(firsts, keys).join(sharps, keys).join(floors, keys)
     win = j.where((F.col("n") >= F.col("first_frame")) & (F.col("n") <= F.col("sharp_frame")))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cutlake.operators import durations as D
 from cutlake.plans.base import Dialect, query, view
+from cutlake.session import cut_lineage
 
 
 @view
@@ -70,7 +71,7 @@ def _(t):
 
 @query("g21_phase_stats", f"WITH RECURSIVE {KEPT.format(m=90)}, {GAPS.format(src='kept')} SELECT phase, n, p25_h, median_h, p75_h, source FROM stats")
 def _(t):
-    return D.phase_stats(D.phase_samples(D.gaps(D.dedupe_within(t.phase_events))))
+    return D.phase_stats(D.phase_samples(D.gaps(cut_lineage(D.dedupe_within(t.phase_events)))))
 
 
 @query(
@@ -79,7 +80,7 @@ def _(t):
     "SELECT part, phase, n, p25_h, median_h, p75_h, source FROM model",
 )
 def _(t):
-    return D.fit_durations(D.dedupe_within(t.phase_events)).select("part", "phase", "n", "p25_h", "median_h", "p75_h", "source")
+    return D.fit_durations(cut_lineage(D.dedupe_within(t.phase_events))).select("part", "phase", "n", "p25_h", "median_h", "p75_h", "source")
 
 
 ESTIMATE_SQL = f"""WITH {GAPS.format(src='phase_events')}, {FACTS.format(src='phase_events')},
@@ -102,7 +103,7 @@ SELECT row, phase, rounds_done, steps, round(l, 2) AS remaining_hours, round(gre
 @query("g23_estimate", ESTIMATE_SQL)
 def _(t):
     newest = t.phase_events.select(F.max("ts")).scalar()
-    return D.estimate(t.phase_events, D.fit_durations(t.phase_events), newest)
+    return D.estimate(t.phase_events, cut_lineage(D.fit_durations(t.phase_events)), newest)
 
 
 @query(

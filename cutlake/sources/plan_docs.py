@@ -24,17 +24,18 @@ def records(doc: Column) -> Column:
 
 
 def slot_id(record: Column, index: Column) -> Column:
-    named = []
-    for k in SLOT_KEYS:
-        text = F.nullif(F.trim(get(record, f"$.{k}")), F.lit(""))
-        named.append(F.when(text.rlike(r"^\d+$"), F.concat(F.lit(k), F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0")))).otherwise(text))
-    return F.coalesce(*named, F.concat(F.lit("idx"), F.lpad(index.cast("string"), F.greatest(F.length(index.cast("string")), F.lit(3)), F.lit("0"))))
+    given = F.array(*[F.struct(F.lit(k).alias("k"), F.trim(get(record, f"$.{k}")).alias("v")) for k in SLOT_KEYS])
+    wide = lambda text: F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0"))
+    named = F.transform(
+        F.filter(given, lambda g: F.coalesce(g["v"], F.lit("")) != ""), lambda g: F.when(g["v"].rlike(r"^\d+$"), F.concat(g["k"], wide(g["v"]))).otherwise(g["v"])
+    )
+    return F.coalesce(F.try_element_at(named, F.lit(1)), F.concat(F.lit("idx"), wide(index.cast("string"))))
 
 
 def sources(record: Column) -> Column:
     """Master ids named by the record's own source keys; nested prose is never read."""
-    named = F.array(*[master_id(get(record, f"$.{k}")) for k in SOURCE_KEYS])
-    return F.array_distinct(F.array_compact(named))
+    given = F.array_compact(F.array(*[get(record, f"$.{k}") for k in SOURCE_KEYS]))
+    return F.array_distinct(F.array_compact(F.transform(given, master_id)))
 
 
 def flatten_plan(plans: DataFrame, key: str, value: str = "value") -> DataFrame:
