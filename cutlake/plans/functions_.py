@@ -7,6 +7,7 @@ from cutlake.functions import rules as R
 from cutlake.functions import text as X
 from cutlake.functions import timecode as T
 from cutlake.plans.base import Dialect, query, view
+from cutlake.session import spread
 
 c = F.col
 
@@ -47,7 +48,7 @@ def part_files(q: Dialect) -> str:
 
 @query("f1_normalize_text", "SELECT doc_id, sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z]+', '', 'g')) AS digest FROM documents")
 def _(t):
-    return t.documents.select("doc_id", F.sha2(X.normalize_text(c("text")), 256).alias("digest"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.sha2(X.normalize_text(c("text")), 256).alias("digest"))
 
 
 @query(
@@ -340,7 +341,7 @@ def _(t):
     + f"], lambda b: b IS NOT NULL), ',') AS beats, list_filter([{', '.join(f'''CASE WHEN regexp_matches(low, '{p}') THEN '{n}' END''' for n, p in R.BEATS)}], lambda b: b IS NOT NULL)[1] AS primary_beat, regexp_matches(low, '{R.NIGHT}') AS night FROM x",
 )
 def _(t):
-    beats = t.documents.select("doc_id", R.beat_class(c("text")).alias("b"), R.is_night_text(c("text"), F.lit(None).cast("string")).alias("night"))
+    beats = spread(t.documents.select("doc_id", "text")).select("doc_id", R.beat_class(c("text")).alias("b"), R.is_night_text(c("text"), F.lit(None).cast("string")).alias("night"))
     return beats.select("doc_id", F.array_join("b", ",").alias("beats"), F.try_element_at("b", F.lit(1)).alias("primary_beat"), "night")
 
 

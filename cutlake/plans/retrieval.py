@@ -8,6 +8,7 @@ from cutlake.operators import retrieval as R
 from cutlake.plans.base import Dialect, query, view
 from cutlake.plans.filters import clips
 from cutlake.plans.ledger import STRICT
+from cutlake.session import spread
 
 c = F.col
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -34,7 +35,7 @@ def shot_roles(q: Dialect) -> str:
 
 @query("a2_tokens", f"WITH t AS (SELECT doc_id, {toks('text')} AS ts FROM documents) SELECT doc_id, len(ts)::INTEGER AS n, sha256(array_to_string(list_sort(ts), ' ')) AS digest FROM t")
 def _(t):
-    found = t.documents.select("doc_id", X.tokens(c("text")).alias("ts"))
+    found = spread(t.documents.select("doc_id", "text")).select("doc_id", X.tokens(c("text")).alias("ts"))
     return found.select("doc_id", F.size("ts").alias("n"), F.sha2(F.array_join(F.array_sort("ts"), " "), 256).alias("digest"))
 
 
@@ -54,7 +55,7 @@ def _roles(t):
 
 def _catalog(t):
     none = F.array().cast("array<string>")
-    return t.clip_catalog.withColumns({"semantic_groups": F.array("text"), "labels": none, "families": none})
+    return spread(t.clip_catalog).withColumns({"semantic_groups": F.array("text"), "labels": none, "families": none})
 
 
 @query(

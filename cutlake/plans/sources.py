@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cutlake.plans.base import Dialect, query, view
+from cutlake.session import spread
 from cutlake.sources import catalog as C
 from cutlake.sources import plan_docs as D
 from cutlake.sources import receipts as R
@@ -129,7 +130,7 @@ def _json_slot(t, key: str):
 def _(t):
     record, _ = _json_slot(t, "source_path")
     doc = F.when(c("l_linestatus") == "F", F.concat(lit('{"slots": [], "shots": ['), record, lit("]}"))).otherwise(F.concat(lit("["), record, lit("]")))
-    plans = t.lineitem.select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value"))
+    plans = spread(t.lineitem).select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value"))
     return D.flatten_plan(plans, "plan").select("plan", "index", "slot", F.array_join("masters", ",").alias("master"))
 
 
@@ -146,7 +147,7 @@ def _(t):
     listed = F.concat(lit('{"slots": ['), record, lit("]}"))
     flat = F.concat(lit('{"block": "b7", "source_path": "'), master, lit('", "runner_ups": ["CLIP_9999"]}'))
     doc = F.when(n == 1, now).when(n == 2, seat).when(n < 5, installed).when(n == 5, listed).otherwise(flat)
-    return D.flatten_supersession(t.lineitem.select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value")), "plan")
+    return D.flatten_supersession(spread(t.lineitem).select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value")), "plan")
 
 
 @query(
