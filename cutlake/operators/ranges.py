@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.operators import scan as S
+from cutlake.session import cut_lineage
 
 
 def _buckets(low: Column, high: Column, width: float) -> Column:
@@ -82,6 +83,6 @@ def gap_runs(
     )
     runs = coverage_runs(inside.where("_s < _e").unionByName(clock.where("_e > 0")), keys, "_s", "_e", width)
     # Neighbouring uncovered pieces only arise at shared edges; they are joined into one run.
-    pieces = runs.where("depth = 1")
+    pieces = cut_lineage(runs.where("depth = 1").drop("depth"))  # a reduced table that is read several times
     joined = S.islands(pieces, keys, ["lo"], ["lo", "hi"], lambda b, r: b["hi"] < r["lo"], width, "_run")
     return joined.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")

@@ -36,7 +36,7 @@ def merge_peaks(hits: DataFrame, keys: list[str], pos: str, height: str, gap: in
     A hit at least ``gap`` after the hit before it always starts anew, so the
     fold runs on each cluster of close hits by itself.
     """
-    cluster = S.islands(hits.select(*keys, pos, height), keys, [pos], [pos], lambda b, r: r[pos] - b[pos] >= gap, width, "_c")
+    cluster = S.islands(cut_lineage(hits.select(*keys, pos, height)), keys, [pos], [pos], lambda b, r: r[pos] - b[pos] >= gap, width, "_c")
     listed = cluster.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.col(height).cast("double").alias("h")))).alias("hs"))
     kind = "array<struct<p:bigint,h:double>>"
 
@@ -71,7 +71,7 @@ def detect_cuts(scores: DataFrame, keys: list[str], frame: str, score: str) -> D
         F.lit(0.115), F.col("median") + 8.0 * F.greatest(F.col("mad"), F.lit(0.002)), F.least(F.lit(0.35), F.col("q95") * 0.68)
     )
     limits = mad.select(*keys, limit.alias("threshold"))
-    hits = scores.join(limits, keys).where(F.col(score) >= F.col("threshold"))
+    hits = cut_lineage(scores.join(limits, keys).where(F.col(score) >= F.col("threshold")))
     kept = merge_peaks(hits, keys, frame, score, 3)
     return kept.join(hits.select(*keys, frame, "threshold").dropDuplicates([*keys, frame]), [*keys, frame])
 
