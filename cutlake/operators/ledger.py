@@ -91,23 +91,22 @@ def piece_coverage(items: DataFrame, key: str = "clip_id") -> DataFrame:
 
 def grade_summary(items: DataFrame, key: str = "clip_id") -> DataFrame:
     """One row of totals over the library."""
-    clips = items.agg(
-        F.count("*").alias("total"),
-        *[F.count_if(F.col("grade") == g).alias(f"whole_{g.lower()}") for g in GRADES],
-        *[F.count_if(F.col("ident") == i).alias(f"ident_{i.lower()}") for i in IDENTS],
-    )
     cut = pieces(items)
     known = F.col("standing").isin(GRADES)
-    per_clip = cut.groupBy(key).agg(F.count("*").alias("n"), F.count_if(known).alias("k"), *[F.count_if(F.col("standing") == g).alias(g) for g in GRADES])
-    parts = per_clip.agg(
+    # Grade and ident are the clip's own, the same on each of its pieces.
+    per_clip = cut.groupBy(key).agg(
+        F.max("grade").alias("_g"), F.max("ident").alias("_i"), F.count("*").alias("n"), F.count_if(known).alias("k"), *[F.count_if(F.col("standing") == g).alias(g) for g in GRADES]
+    )
+    return per_clip.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(F.col("_g") == g).alias(f"whole_{g.lower()}") for g in GRADES],
+        *[F.count_if(F.col("_i") == i).alias(f"ident_{i.lower()}") for i in IDENTS],
         F.sum("n").alias("segments_total"),
         F.sum("k").alias("segments_graded"),
         F.count_if(F.col("n") == F.col("k")).alias("clips_covered"),
         *[F.sum(g).alias(f"segments_{g.lower()}") for g in GRADES],
         F.min(F.when(F.col("k") < F.col("n"), F.col(key))).alias("first_uncovered_clip"),
     )
-    one = F.lit(1).alias("_one")
-    return clips.select(one, "*").join(parts.select(one, "*"), "_one").drop("_one")
 
 
 def grader_items(library: DataFrame, scores: DataFrame, usage: DataFrame, grades: DataFrame, identity: DataFrame) -> DataFrame:
