@@ -158,7 +158,7 @@ def frame_compare(reference: DataFrame, candidate: DataFrame, blocks: DataFrame,
     sides = [f"{s}_{m}" for s in ("r", "c") for m in METRICS]
     long = placed.unpivot([key, "block_id"], sides, "metric", "value")
     medians = exact_quantiles(long, [key, "block_id", "metric"], "value", {"median": 0.5})
-    wide = medians.groupBy(key, "block_id").agg(*[F.round(F.max(F.when(F.col("metric") == s, F.col("median"))), 8).alias(s) for s in sides])
+    wide = medians.groupBy(key, "block_id").agg(*[round_exact(F.max(F.when(F.col("metric") == s, F.col("median"))), 8).alias(s) for s in sides])
     j = flash.join(wide, [key, "block_id"], "left")
     luma = F.abs(F.col("c_y_q50") - F.col("r_y_q50"))
     ratio = F.col("c_saturation_mean") / F.greatest(F.col("r_saturation_mean"), F.lit(1e-9))
@@ -174,7 +174,7 @@ def frame_compare(reference: DataFrame, candidate: DataFrame, blocks: DataFrame,
     }
     failed = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks.items()]))
     return j.select(
-        key, "block_id", "unmatched", F.round(luma, 8).alias("luma_delta"), F.round(ratio, 8).alias("saturation_ratio"), F.round(axis, 8).alias("neutral_axis"),
+        key, "block_id", "unmatched", round_exact(luma, 8).alias("luma_delta"), round_exact(ratio, 8).alias("saturation_ratio"), round_exact(axis, 8).alias("neutral_axis"),
         F.array_join(failed, ",").alias("failed"), F.when(F.size(failed) == 0, "PASS").otherwise("FAIL").alias("status"),
     )
 

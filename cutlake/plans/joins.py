@@ -159,12 +159,12 @@ FC = """b AS (SELECT coalesce(r.asset, k.asset) AS asset, coalesce(r.frame, k.fr
 @query(
     "j9_frame_compare",
     f"""WITH {FC}, m AS (SELECT b.asset, block_id, count(*) FILTER (r50 IS NULL OR c50 IS NULL) AS unmatched, count(*) FILTER (c95 < 0.03 AND r95 >= 0.03) AS bl, count(*) FILTER (c5 > 0.97 AND r5 <= 0.97) AS wh,
-      round(median(r50), 8) AS r50, round(median(c50), 8) AS c50, round(median(rs), 8) AS rs, round(median(cs), 8) AS cs, round(median(ra), 8) AS ra, round(median(ca), 8) AS ca, round(median(rb), 8) AS rb, round(median(cb), 8) AS cb
+      printf('%.8f', median(r50))::DOUBLE AS r50, printf('%.8f', median(c50))::DOUBLE AS c50, printf('%.8f', median(rs))::DOUBLE AS rs, printf('%.8f', median(cs))::DOUBLE AS cs, printf('%.8f', median(ra))::DOUBLE AS ra, printf('%.8f', median(ca))::DOUBLE AS ca, printf('%.8f', median(rb))::DOUBLE AS rb, printf('%.8f', median(cb))::DOUBLE AS cb
       FROM b JOIN picture_blocks p ON p.asset = b.asset AND b.frame >= start_frame AND b.frame < end_frame GROUP BY 1, 2),
     k AS (SELECT *, abs(c50 - r50) AS l, cs / greatest(rs, 1e-9) AS sr, sqrt(pow(ca - ra, 2) + pow(cb - rb, 2)) AS ax FROM m),
     f AS (SELECT *, concat_ws(',', CASE WHEN unmatched > 0 THEN 'frame_counts' END, CASE WHEN NOT coalesce(l <= 0.1, false) THEN 'luma_parity' END, CASE WHEN NOT coalesce(CASE WHEN rs < 0.05 THEN abs(cs - rs) <= 0.08 ELSE sr BETWEEN 0.75 AND 1.25 END, false) THEN 'saturation_parity' END,
       CASE WHEN NOT coalesce(ax <= 12, false) THEN 'neutral_axis_cast' END, CASE WHEN bl > 0 THEN 'no_unexpected_black' END, CASE WHEN wh > 0 THEN 'no_unexpected_white' END) AS failed FROM k)
-    SELECT asset, block_id, unmatched, round(l, 8) AS luma_delta, round(sr, 8) AS saturation_ratio, round(ax, 8) AS neutral_axis, failed, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM f""",
+    SELECT asset, block_id, unmatched, printf('%.8f', l)::DOUBLE AS luma_delta, printf('%.8f', sr)::DOUBLE AS saturation_ratio, printf('%.8f', ax)::DOUBLE AS neutral_axis, failed, CASE WHEN failed = '' THEN 'PASS' ELSE 'FAIL' END AS status FROM f""",
 )
 def _(t):
     side = lambda s: t.frame_metrics.where(c("side") == s)
