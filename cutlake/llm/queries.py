@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import exact, sharding, warc
+from cutlake.llm import exact, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,12 @@ def op3(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op9_simhash")
+def op9(spark, folder):
+    groups = simhash.near_groups(table(spark, folder, "documents"))
+    return groups.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
 @query("op10_sharding")
 def op10(spark, folder):
     body = F.coalesce("text", F.lit(""))
