@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import exact, sharding, simhash, warc
+from cutlake.llm import decontaminate, exact, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,6 +50,31 @@ def op3(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+WORDS_4 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+
+@query(
+    "op4_decontaminate",
+    f"""WITH d AS (SELECT doc_id, {WORDS_4} AS w FROM documents),
+    i AS (SELECT item_id, {WORDS_4} AS w FROM benchmark),
+    g AS (SELECT DISTINCT item_id, least(13, len(w)) AS k, unnest(CASE WHEN len(w) < 13 THEN [array_to_string(w, ' ')]
+      ELSE list_transform(range(1, len(w) - 11), lambda s: array_to_string(w[s:s + 12], ' ')) END) AS gram FROM i WHERE len(w) > 0),
+    sizes AS (SELECT DISTINCT k FROM g),
+    starts AS (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: {{'s': s, 'gram': array_to_string(w[s:s + k - 1], ' ')}})) AS x
+      FROM d, sizes WHERE len(w) >= k),
+    found AS (SELECT doc_id, starts.k, x.s AS s, item_id FROM starts JOIN g ON starts.k = g.k AND x.gram = g.gram),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM (SELECT DISTINCT doc_id, s, k FROM found)) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""",
+)
+def op4(spark, folder):
+    hits = decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    names = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
+    return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
+
+
 @query("op9_simhash")
 def op9(spark, folder):
     groups = simhash.near_groups(table(spark, folder, "documents"))

@@ -7,6 +7,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutlake.llm import store, words
 from cutlake.llm.components import smallest_reachable
@@ -50,9 +51,8 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
                         out[part.at + i] = fingerprint(np.array(hashes, dtype=_U))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], names=["id", "fp"])
 
-    kind = docs.schema[id].dataType.simpleString()
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id)
+    return rows.mapInArrow(run, T.StructType([rows.schema["id"], T.StructField("fp", T.LongType())])).withColumnRenamed("id", id)
 
 
 def block_keys(fp: np.ndarray, distance: int = DISTANCE) -> list[np.ndarray]:
