@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, sharding, simhash, warc
+from cutlake.llm import decontaminate, exact, sharding, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,6 +75,22 @@ def op4(spark, folder):
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
 
 
+@query(
+    "op7_substring_dedup",
+    """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 18), lambda s: {'s': s, 'gram': array_to_string(w[s:s + 19], ' ')})) AS x FROM d WHERE len(w) >= 20),
+    late AS (SELECT doc_id, x.s AS s FROM starts QUALIFY row_number() OVER (PARTITION BY x.gram ORDER BY doc_id, x.s) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(s, s + 20)) AS p FROM late) GROUP BY doc_id),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+    dropped AS (SELECT doc_id, unnest(ps) AS p FROM gone),
+    kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n FROM words ANTI JOIN dropped USING (doc_id, p) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (doc_id)""",
+)
+def op7(spark, folder):
+    return substrings.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op9_simhash")
 def op9(spark, folder):
     groups = simhash.near_groups(table(spark, folder, "documents"))
