@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, sharding, simhash, substrings, warc
+from cutlake.llm import decontaminate, exact, packing, sharding, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary() -> str:
+    """The rank file of the 50k byte-level vocabulary; its ids are those of ``byte_bpe_50k.json``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
 @query(
     "op1_warc",
     """WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
@@ -40,6 +47,11 @@ def op1(spark, folder):
     return back.select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+@query("op2_packing")
+def op2(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), vocabulary())
+
+
 @query(
     "op3_exact_dedup",
     """WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
