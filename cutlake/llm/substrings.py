@@ -56,6 +56,18 @@ def _deltas(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data))
 
 
+def short(h: np.ndarray) -> bytes:
+    """The upper seven bytes of hashes; the bucket that they travel to tells the rest apart."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+
+
+def long(data: bytes) -> np.ndarray:
+    parts = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(parts), 8), np.uint8)
+    out[:, 1:] = parts
+    return out.view("<u8").ravel()
+
+
 class _Chunk:
     """Windows of some documents in the order of their ids: place ``p`` is a window of document ``doc_of(p)``."""
 
@@ -67,7 +79,10 @@ class _Chunk:
         self.hashes = np.concatenate([d[2] for d in docs])
 
     def head(self) -> bytes:
-        return zstandard.compress(np.concatenate([self.ids, self.texts, self.first]).tobytes(), 1)
+        """Ids, text digests (32 bits) and first places, small, since every row of the chunk carries them."""
+        steps = np.diff(self.ids, prepend=0)
+        low, high = steps & 0xFFFFFFFF, (steps >> 32) & 0xFFFFFFFF
+        return pack(np.concatenate([low, high, self.texts & 0xFFFFFFFF, np.diff(self.first)]))
 
     def rows(self, buckets: int):
         """For each bucket the hashes that open here and their places; then the places that repeat an earlier one here."""
@@ -89,7 +104,7 @@ class _Chunk:
         for b in range(buckets):
             part = opens[by[cuts[b] : cuts[b + 1]]]
             if len(part):
-                yield b, key, head, self.hashes[part].tobytes(), ascending(part)
+                yield b, key, head, short(self.hashes[part]), ascending(part)
 
 
 def _owner(first: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -97,9 +112,8 @@ def _owner(first: np.ndarray, places: np.ndarray) -> np.ndarray:
 
 
 def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    x = np.frombuffer(zstandard.decompress(data), np.int64)
-    n = (len(x) - 1) // 3
-    return x[:n], x[n : 2 * n], x[2 * n :]
+    low, high, texts, sizes = unpack(data).reshape(4, -1)
+    return np.cumsum(low | (high << 32)), texts.astype(np.int32).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
 ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("head", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
@@ -149,7 +163,7 @@ def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
                 if hashes is None:  # judged in its chunk already
                     yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, head, places), out.types)], schema=out)
                 else:
-                    held.append((chunk, head, np.frombuffer(hashes, _U), _deltas(places)))
+                    held.append((chunk, head, long(hashes), _deltas(places)))
         yield from judged(held)
 
     def judged(held):
@@ -235,16 +249,17 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     Hashes of all windows are dealt into buckets by hash: about one for each
     ``BUCKET_WINDOWS``, so a bucket fits a task at any size of the input. Of equal
     windows in a chunk of documents only the earliest travels, so a passage that is
-    everywhere sends one entry a chunk. Hashes have 64 bits.
+    everywhere sends one entry a chunk. Windows are equal if they agree in bucket and
+    in 56 more bits of their hash.
     """
     spark = docs.sparkSession
     own, body = F.coalesce(F.col(id).cast("long"), F.lit(LOWEST)), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(own.alias("id"), F.xxhash64(body).alias("digest"), body.alias("text"))
+    rows = docs.select(own.alias("id"), F.hash(body).cast("long").alias("digest"), body.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (6 * BUCKET_WINDOWS) + 1)
     cuts = _intervals(_repeats(_windows(rows, window, buckets), buckets), window)
     cuts = cuts.groupBy("_id", "_digest").agg(F.first("_starts").alias("_starts"), F.first("_ends").alias("_ends"))
-    named = docs.select(F.col(id).alias("_own"), own.alias("_k"), F.xxhash64(body).alias("_d"), body.alias("_text"))
+    named = docs.select(F.col(id).alias("_own"), own.alias("_k"), F.hash(body).cast("long").alias("_d"), body.alias("_text"))
     met = named.join(cuts.hint("merge"), (F.col("_k") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left").select("_own", "_text", "_starts", "_ends")
 
     def rebuild(batches):
