@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, packing, sharding, simhash, substrings, warc
+from cutlake.llm import decontaminate, exact, lines, packing, sharding, simhash, substrings, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -103,6 +103,19 @@ def op7(spark, folder):
     return substrings.remove_repeats(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query(
+    "op8_line_dedup",
+    """WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+    e AS (SELECT doc_id, source, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM d),
+    shared AS (SELECT trim(line) AS k FROM e WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 5),
+    m AS (SELECT doc_id, line, p, k IS NOT NULL AS gone FROM e LEFT JOIN shared ON trim(line) = k),
+    r AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+    SELECT doc_id, n_lines, n_removed, (octet_length(encode(t)) - octet_length(encode(kept)))::BIGINT AS removed_bytes, sha256(kept) AS kept_sha256 FROM r JOIN d USING (doc_id)""",
+)
+def op8(spark, folder):
+    return lines.drop_shared_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_removed", "removed_bytes", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op9_simhash")
 def op9(spark, folder):
     groups = simhash.near_groups(table(spark, folder, "documents"))
