@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, lines, packing, sharding, simhash, substrings, warc
+from cutlake.llm import decontaminate, exact, lines, packing, sharding, simhash, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +62,18 @@ def op3(spark, folder):
     return exact.exact_groups(table(spark, folder, "documents"))
 
 
+def toxic_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    return toxicity.learn(docs, labels, training=toxicity.fold(F.col("doc_id"), 3) != 1)
+
+
+@query("op5_toxicity")
+def op5(spark, folder):
+    docs = table(spark, folder, "documents")
+    scored = toxicity.score(docs, toxic_model(docs, table(spark, folder, "labels")))
+    held = F.coalesce(toxicity.fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 WORDS_4 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 
