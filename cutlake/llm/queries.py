@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, lines, packing, sharding, simhash, substrings, toxicity, warc
+from cutlake.llm import decontaminate, exact, lines, ngrams, packing, sharding, simhash, substrings, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,6 +99,13 @@ def op4(spark, folder):
     return hits.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
 
 
+@query("op6_lm_scoring")
+def op6(spark, folder):
+    held = F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = ngrams.lm_scores(table(spark, folder, "documents"), ~held)
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query(
     "op7_substring_dedup",
     """WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
