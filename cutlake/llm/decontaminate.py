@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutlake.llm import words
+from cutlake.llm.carry import carried, restored
 
 WINDOW, PART = 13, 20
 #: Words of test items in one automaton; more items are matched in further passes.
@@ -229,6 +230,4 @@ def _without(text: str, spans: str):
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The documents that are not contaminated, with all their columns and whole texts."""
-    carried = docs.withColumn("_all", F.struct(*(F.col(c) for c in docs.columns)))
-    clean = benchmark_hits(carried.select(F.col("_all"), F.col(text).alias("_text")), items, "_all", "_text", **how).where("not contaminated")
-    return clean.select("_all.*")
+    return restored(benchmark_hits(carried(docs, id, text), items, "_all", "_text", **how).where("not contaminated"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.llm import store
+from cutlake.llm.carry import carried, one_of_each, restored
 from cutlake.llm.groups import attach
 
 SALTS = 64
@@ -54,10 +55,6 @@ def drop_exact(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataF
     Rows that repeat both id and text are copies too: one of them stays.
     """
     gone = exact_groups(docs, id, text).where(~F.col("kept")).select(F.col(id).alias("_gid"), F.col("text_sha256").alias("_sha"))
-    digest = F.sha2(F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8"), 256)
-    left = docs.join(gone, F.col(id).eqNullSafe(F.col("_gid")) & (digest == F.col("_sha")), "left_anti")
-    repeated = store.keep(left.groupBy(id).count().where("count > 1").select(F.col(id).alias("_rid")), "repeated_ids")
-    if repeated.isEmpty():
-        return left
-    again = F.col(id).eqNullSafe(F.col("_rid"))
-    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([id, text]))
+    digest = F.sha2(F.encode(F.coalesce("_text", F.lit("")), "UTF-8"), 256)
+    left = carried(docs, id, text).join(gone, F.col("_id").eqNullSafe(F.col("_gid")) & (digest == F.col("_sha")), "left_anti")
+    return restored(one_of_each(left, ["_id", "_text"], store.keep))

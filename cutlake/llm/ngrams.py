@@ -261,6 +261,12 @@ def _offsets(sizes: DataFrame, shards: int) -> tuple[np.ndarray, int]:
     return np.concatenate(([0], np.cumsum(nodes))), total
 
 
+def _none(rows: DataFrame, shards: int) -> DataFrame:
+    """A row without n-grams for each shard, so that a shard without any has a file as well."""
+    empty = [F.lit(pack(np.zeros(0, np.int64))).alias(c) for c in ("keys", "words", "counts")]
+    return rows.sparkSession.range(shards).select(F.col("id").alias("shard"), *empty)
+
+
 def build(docs: DataFrame, text: str = "text", order: int = ORDER, discount: float = DISCOUNT, least: int = LEAST_COUNT, folder: str | None = None) -> Trie:
     """A trie of the n-grams of all texts up to ``order``, written to the shared folder.
 
@@ -291,7 +297,7 @@ def build(docs: DataFrame, text: str = "text", order: int = ORDER, discount: flo
         yield from _sizes(shard, len(keys), int(counts.sum()))
 
     own = lambda keys, _: shard_of(keys.astype(_U) << _U(1), shards)
-    sizes = _met(_counted(rows, unigrams, shards, own), shards, write_words, SIZES)
+    sizes = _met(_counted(rows, unigrams, shards, own).unionByName(_none(rows, shards)), shards, write_words, SIZES)
     offsets, total = _offsets(sizes, shards)
     trie = Trie(trie.folder, 1, total, int(offsets[-1]), [offsets])
     for level in range(2, order + 1):
@@ -345,9 +351,7 @@ def _deepen(rows: DataFrame, trie: Trie, level: int, buckets: int, discount: flo
         yield from _sizes(shard, len(values), int(counts.sum()))
 
     kept = _met(_counted(rows, grams, buckets, spread), buckets, keep, ROW)
-    # a shard without kept n-grams has a file as well, so every shard gets a row of none
-    none = rows.sparkSession.range(shards).select(F.col("id").alias("shard"), *(F.lit(pack(np.zeros(0, np.int64))).alias(c) for c in ("keys", "words", "counts")))
-    offsets, _ = _offsets(_met(kept.unionByName(none), shards, write, SIZES), shards)
+    offsets, _ = _offsets(_met(kept.unionByName(_none(rows, shards)), shards, write, SIZES), shards)
     return Trie(trie.folder, level, trie.tokens, trie.words, [*trie.offsets, offsets])
 
 

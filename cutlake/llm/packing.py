@@ -172,8 +172,10 @@ def pack(parts: DataFrame, order: list[str], length: str = "length", capacity: i
     where the program is solved. Parts are numbered by length and then ``order``;
     the n-th part of a length goes to the n-th place of that length in the plan,
     a table bounded by the configurations. Lengths are 1 to ``capacity``; a null
-    length is an error. An empty table gives an empty result.
+    length is an error. An empty table gives an empty result; columns of ``parts``
+    that have the name of a new one are replaced.
     """
+    parts = parts.drop("sequence_id", "offset", "_number")
     rows, _ = numbered(parts, [length, *order], "_number")
     counts = [(r[0], r[1]) for r in rows.groupBy(length).count().collect()]
     if any(x is None or not 0 < x <= capacity for x, _ in counts):

@@ -84,8 +84,10 @@ def shard_rows(df: DataFrame, order: list[str], shards: int, seed: int = 0) -> D
     Shard sizes differ by one row at most, slots count from 0 without a gap.
     Each row has its own place: copies of a text are not kept together. Null
     order values come first; rows equal in every order column get neighbouring
-    numbers in any order. An empty table gives an empty result.
+    numbers in any order. An empty table gives an empty result. Columns of ``df``
+    that have the name of a new one are replaced.
     """
-    rows, n = numbered(df, order)
-    placed = rows.withColumn("_p", position(F.col("row_number"), n, seed))
-    return placed.withColumn("shard", (F.col("_p") % shards).cast("int")).withColumn("slot", F.floor(F.col("_p") / shards).cast("long")).drop("_p")
+    rows, n = numbered(df.drop("row_number", "shard", "slot"), order)
+    place = position(F.col("row_number"), n, seed)
+    placed = rows.select(F.struct(*(F.col(f"`{c}`") for c in rows.columns)).alias("_all"), place.alias("_p"))
+    return placed.select("_all.*", (F.col("_p") % shards).cast("int").alias("shard"), F.expr(f"_p div {shards}").alias("slot"))

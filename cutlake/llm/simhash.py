@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutlake.llm import store, words
+from cutlake.llm.carry import carried, one_of_each, restored
 from cutlake.llm.components import smallest_reachable
 from cutlake.llm.groups import attach
 
@@ -168,9 +169,6 @@ def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) ->
     """
     groups = near_groups(docs, id, text, **how).where(F.col(id).isNotNull())
     gone = groups.groupBy(F.col(id).alias("_gid")).agg(F.max(F.col(id) == F.col("component_id")).alias("_stays")).where("not _stays")
-    left = docs.join(gone, F.col(id) == F.col("_gid"), "left_anti")
-    repeated = store.keep(left.where(F.col(id).isNotNull()).groupBy(id).count().where("count > 1").select(F.col(id).alias("_rid")), "repeated_ids")
-    if repeated.isEmpty():
-        return left
-    again = F.col(id) == F.col("_rid")
-    return left.join(repeated, again, "left_anti").unionByName(left.join(repeated, again, "left_semi").dropDuplicates([id]))
+    left = carried(docs, id, text).join(gone, F.col("_id") == F.col("_gid"), "left_anti")
+    single = one_of_each(left.where(F.col("_id").isNotNull()), ["_id"], store.keep)
+    return restored(single.unionByName(left.where(F.col("_id").isNull())))

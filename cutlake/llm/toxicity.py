@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cutlake.llm import store, words
+from cutlake.llm.carry import carried, restored
 
 #: The most labelled rows of each class that are learnt from, and the most features kept.
 TOXIC_ROWS, CLEAN_ROWS, FEATURES = 2000, 4000, 2000
@@ -227,5 +228,4 @@ def learn(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
 def drop_toxic(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
-    carried = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("_all"), F.col(text).alias("_text"))
-    return score(carried, model, "_all", "_text").where(F.col("score") < threshold).select("_all.*")
+    return restored(score(carried(docs, id, text), model, "_all", "_text").where(F.col("score") < threshold))
