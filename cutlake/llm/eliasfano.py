@@ -128,15 +128,18 @@ class Sequence:
             return out
         high, low = values >> self.low, (values & ((1 << self.low) - 1)).astype(_U)
         open_ = np.flatnonzero((high >= 0) & (high <= self._zeros[-1] - 1))
-        # the values with high part h stand behind the h-th zero
-        place = np.where(high[open_] > 0, self._zero(np.maximum(high[open_] - 1, 0)) + 1, 0)
+        high, low = high[open_], low[open_]
+        # the values with high part h stand between the zeros h - 1 and h; their low bits ascend
+        first = np.where(high > 0, self._zero(np.maximum(high - 1, 0)) + 1 - high, 0)
+        last = self._zero(high) - high
         while len(open_):
-            live = (self.bits[place >> 6] >> (place & 63).astype(_U)) & _U(1) == 1
-            open_, place = open_[live], place[live]
-            i = place - high[open_]
-            got = self._lows(i)
-            hit = got == low[open_]
-            out[open_[hit]] = i[hit]
-            more = got < low[open_]
-            open_, place = open_[more], place[more] + 1
+            live = first < last
+            open_, high, low, first, last = (x[live] for x in (open_, high, low, first, last))
+            middle = (first + last) >> 1
+            got = self._lows(middle)
+            hit = got == low
+            out[open_[hit]] = middle[hit]
+            above = got < low
+            first = np.where(above, middle + 1, np.where(hit, last, first))
+            last = np.where(above, last, middle)
         return out
