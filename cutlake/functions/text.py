@@ -109,18 +109,18 @@ OPTION_MARKERS = [
     r"(?:(?<=\s)|^)(\d{1,2})\.\s+(?=\S)",
     r"\(([a-hA-H])\)\s*",
 ]
+# Where a label ends and what is trimmed from it.
 LABEL_STOP = r"(?<=[^\s\d])[.;!?](?=\s|$)|\n"
 EDGE = r"[ \t,;:—–-]+"
 
 
-def _label(text: Column, limit: int) -> Column:
+def _label(text: Column) -> Column:
     cut = F.trim(F.element_at(F.split(text, LABEL_STOP, 2), 1))
     cut = F.regexp_replace(cut, r"(?i)[\s,;:—–-]+(?:or|and)?[\s,;:—–-]*$", "")
-    cut = F.regexp_replace(cut, f"^{EDGE}|{EDGE}$", "")
-    return F.when(F.length(cut) > limit, F.concat(F.rtrim(F.substring(cut, 1, limit)), F.lit("…"))).otherwise(cut)
+    return F.regexp_replace(cut, f"^{EDGE}|{EDGE}$", "")
 
 
-def _marked_run(text: Column, marker: str, limit: int) -> Column:
+def _marked_run(text: Column, marker: str) -> Column:
     """(prefix, options) of the consecutive run 1,2,3… or a,b,c… under one kind of marker."""
     pieces = F.split(F.regexp_replace(text, marker, "\u0001$1\u0002$0\u0003"), "\u0001")
     option = "array<struct<n:string,body:string>>"
@@ -145,16 +145,16 @@ def _marked_run(text: Column, marker: str, limit: int) -> Column:
         )
 
     found = F.aggregate(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), start, step)
-    options = F.transform(found["run"], lambda o: F.struct(o["n"].alias("n"), _label(o["body"], limit).alias("label")))
+    options = F.transform(found["run"], lambda o: F.struct(o["n"].alias("n"), _label(o["body"]).alias("label")))
     clean = (F.size(options) >= 2) & F.forall(options, lambda o: o["label"] != "")
     return F.when(clean, F.struct(found["prefix"].alias("prefix"), options.alias("options")))
 
 
-def parse_options(text: Column, limit: int = 140) -> Column:
+def parse_options(text: Column) -> Column:
     """Struct ``(prefix, options[(n, label)])``; whole text and no options when there is no clean run."""
-    safe = F.coalesce(text, F.lit(""))
+    safe = F.translate(F.coalesce(text, F.lit("")), "\u0001\u0002\u0003", "")  # the marks used below
     none = F.struct(safe.alias("prefix"), F.array().cast("array<struct<n:string,label:string>>").alias("options"))
-    return F.coalesce(*[_marked_run(safe, m, limit) for m in OPTION_MARKERS], none)
+    return F.coalesce(*[_marked_run(safe, m) for m in OPTION_MARKERS], none)
 
 
 def question_sentence(prefix: Column, has_options: Column) -> Column:

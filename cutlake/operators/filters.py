@@ -20,7 +20,7 @@ def find_clips(
     lighting: str | None = None,
     crop_safe: bool = False,
     min_duration: float = 0.0,
-    limit: int | None = 20,
+    limit: int | None = None,
     id_col: str = "clip_id",
 ) -> DataFrame:
     """Tagged clips that meet every given filter, most confident and energetic first."""
@@ -48,27 +48,28 @@ def find_clips(
 
 
 def eligible_pool(
-    clips: DataFrame, rules: DataFrame, out_num: int = 24, out_den: int = 1, require_clearance: bool = False
+    clips: DataFrame, rules: DataFrame, out_num: int = 24, out_den: int = 1, require_clearance: bool = False, ways: int = 64
 ) -> DataFrame:
     """(slot, clip) pairs that pass a slot's allow and deny sets and have enough frames.
 
     Clips meet rules by an equi-join on role; a rule without roles is reached
-    through the ``*`` role every clip also carries. A pair is taken only under
+    through the ``*`` role every clip also carries, in ``ways`` parts of the clips,
+    so that no key has all of them. A pair is taken only under
     the first role both share, so it appears once. Rules: slot, frames, roles,
     deny_roles, lighting, subject, world, deny_world, energy, exclude (arrays).
     """
     from cutlake.functions.timecode import required_source_frames
 
     none = F.array().cast("array<string>")
-    rule = rules.withColumn("_role", F.explode(F.when(F.size("roles") > 0, F.col("roles")).otherwise(F.array(F.lit("*")))))
-    clip = clips.withColumn("_role", F.explode(F.array_distinct(F.concat(F.coalesce("tags.roles", none), F.array(F.lit("*"))))))
+    rule = rules.withColumn("_role", F.explode(F.when(F.size("roles") > 0, F.col("roles")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(ways - 1)), lambda i: F.concat(F.lit("*"), i.cast("string"))))))
+    clip = clips.withColumn("_role", F.explode(F.array_distinct(F.concat(F.coalesce("tags.roles", none), F.array(F.concat(F.lit("*"), F.pmod(F.xxhash64("clip_id"), F.lit(ways)).cast("string")))))))
     pairs = clip.join(rule, "_role")
-    shared = F.element_at(F.array_intersect(F.col("roles"), F.coalesce("tags.roles", none)), 1)
+    shared = F.try_element_at(F.array_intersect(F.col("roles"), F.coalesce("tags.roles", none)), F.lit(1))
     allows = lambda rule_set, value: (F.size(rule_set) == 0) | F.coalesce(F.array_contains(F.col(rule_set), value), F.lit(False))
     world = F.coalesce(F.col("tags.world_cluster"), F.lit(""))
     need = required_source_frames(F.col("frames"), F.col("fps.num"), F.col("fps.den"), out_num, out_den)
     keep = (
-        ((F.col("_role") == "*") | (F.col("_role") == shared))
+        ((F.size("roles") == 0) | (F.col("_role") == shared))
         & ~F.arrays_overlap(F.coalesce("tags.roles", none), F.col("deny_roles"))
         & allows("lighting", F.coalesce(F.col("tags.lighting"), F.lit("")))
         & allows("subject", F.coalesce(F.col("tags.subject"), F.lit("")))

@@ -9,7 +9,6 @@ from cutlake.functions import rules as R
 from cutlake.functions.timecode import round_exact
 from cutlake.operators import scan as S
 from cutlake.operators.nearest import as_of, nearest
-from cutlake.operators.quantiles import exact_quantiles
 from cutlake.operators.ranges import gap_runs, range_join
 
 
@@ -143,23 +142,22 @@ def frame_compare(reference: DataFrame, candidate: DataFrame, blocks: DataFrame,
     """Block-by-block luma, saturation, cast and flash checks of two frame tables on one clock.
 
     Frames meet by an equi-join on (asset, frame); the block of a frame is the
-    newest block start at or before it. Medians come from one long table.
+    newest block start at or before it. A block is a shot, a short run of frames,
+    so its medians and counts are one aggregation.
     """
     named = [*METRICS, "y_q05", "y_q95"]
     ours = candidate.select(key, "frame", *[F.col(m).alias("c_" + m) for m in named])
     both = reference.select(key, "frame", *[F.col(m).alias("r_" + m) for m in named]).join(ours, [key, "frame"], "full_outer")
     starts = blocks.select(key, "start_frame", "block_id", "end_frame")
     placed = as_of(both, starts, [key], "frame", "start_frame", ["block_id", "end_frame"]).where("frame < end_frame")
-    flash = placed.groupBy(key, "block_id").agg(
+    sides = [f"{s}_{m}" for s in ("r", "c") for m in METRICS]
+    middle = lambda m: round_exact(F.median(F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))), 8).alias(m)
+    j = placed.groupBy(key, "block_id").agg(
+        *map(middle, sides),
         F.count_if(F.col("r_y_q50").isNull() | F.col("c_y_q50").isNull()).alias("unmatched"),
         F.count_if((F.col("c_y_q95") < 0.03) & (F.col("r_y_q95") >= 0.03)).alias("unexpected_black"),
         F.count_if((F.col("c_y_q05") > 0.97) & (F.col("r_y_q05") <= 0.97)).alias("unexpected_white"),
     )
-    sides = [f"{s}_{m}" for s in ("r", "c") for m in METRICS]
-    long = placed.unpivot([key, "block_id"], sides, "metric", "value")
-    medians = exact_quantiles(long, [key, "block_id", "metric"], "value", {"median": 0.5})
-    wide = medians.groupBy(key, "block_id").agg(*[round_exact(F.max(F.when(F.col("metric") == s, F.col("median"))), 8).alias(s) for s in sides])
-    j = flash.join(wide, [key, "block_id"], "left")
     luma = F.abs(F.col("c_y_q50") - F.col("r_y_q50"))
     ratio = F.col("c_saturation_mean") / F.greatest(F.col("r_saturation_mean"), F.lit(1e-9))
     calm = F.abs(F.col("c_saturation_mean") - F.col("r_saturation_mean")) <= 0.08
@@ -309,59 +307,38 @@ def plate_gaps(states: DataFrame, clocks: DataFrame, key: str = "asset", limit:
     return placed.select(key, F.explode(F.when(F.col("_all") <= limit, few).otherwise(some)).alias("frame"))
 
 
-def stack_slots(states: DataFrame, key: str = "asset", width: float | None = None, stretch_limit: int = 2048) -> DataFrame:
+def stack_slots(states: DataFrame, key: str = "asset") -> DataFrame:
     """Lowest free stack slot per state in (start, id) order.
 
-    When every earlier state has ended, all slots are free, so the stream
-    falls into stretches (unbroken runs of captions on one screen) that are
-    coloured independently: with array functions up to ``stretch_limit``
-    states, with a heap per stretch beyond it.
+    One shuffle by key and one ordered pass: only the states on screen are held, so
+    memory follows the depth of the stack and not the length of the key.
     """
     import heapq
 
     import pandas as pd
 
-    prior = S.scan(states.select(key, "id", "start_frame", "end_frame"), [key], ["start_frame", "id"], width, _before=S.max_before("end_frame"))
-    fresh = prior.withColumn("_new", F.when(F.col("_before").isNull() | (F.col("_before") <= F.col("start_frame")), F.struct("start_frame", "id")))
-    runs = S.scan(fresh, [key], ["start_frame", "id"], width, _run=S.last_known("_new"))
-    sized = runs.groupBy(key, "_run").agg(F.count("*").alias("_rows"))
-    tagged = runs.join(sized, [key, "_run"]).select(key, "id", "start_frame", "end_frame", "_run", "_rows")
-
-    listed = F.array_sort(F.collect_list(F.struct("start_frame", "id", "end_frame")))
-    short = tagged.where(F.col("_rows") <= stretch_limit).groupBy(key, "_run").agg(listed.alias("rs"))
-
-    def place(acc: Column, row: Column) -> Column:
-        spot = F.array_position(F.transform(acc["ends"], lambda e: e <= row["start_frame"]), True).cast("int")
-        slot = F.when(spot == 0, F.size(acc["ends"])).otherwise(spot - 1)
-        end = row["end_frame"].cast("long")
-        taken = F.transform(acc["ends"], lambda e, i: F.when(i == slot, end).otherwise(e))
-        ends = F.when(spot == 0, F.array_append(acc["ends"], end)).otherwise(taken)
-        return F.struct(ends.alias("ends"), F.array_append(acc["slots"], slot).alias("slots"))
-
-    start = F.struct(F.array().cast("array<bigint>").alias("ends"), F.array().cast("array<int>").alias("slots"))
-    pairs = F.arrays_zip(F.col("rs"), F.aggregate("rs", start, place)["slots"].alias("slot"))
-    few = short.select(key, F.explode(pairs).alias("p")).select(key, "p.rs.id", "p.rs.start_frame", "p.rs.end_frame", F.col("p.slot").cast("long").alias("slot"))
-
-    def colour(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["start_frame", "id"])
-        free: list[int] = []
-        busy: list[tuple[int, int]] = []
-        slots, top = [], 0
-        for begin, end in zip(ordered["start_frame"], ordered["end_frame"]):
-            while busy and busy[0][0] <= begin:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            if free:
-                slot = heapq.heappop(free)
-            else:
-                slot, top = top, top + 1
-            heapq.heappush(busy, (end, slot))
-            slots.append(slot)
-        return ordered[[key, "id", "start_frame", "end_frame"]].assign(slot=slots)
-
-    kinds = dict(runs.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, "id", "start_frame", "end_frame")) + ", slot long"
-    many = tagged.where(F.col("_rows") > stretch_limit).withColumn("_run", F.to_json("_run")).drop("_rows")
-    return few.unionByName(many.groupBy(key, "_run").applyInPandas(colour, schema))
+    columns = [key, "id", "start_frame", "end_frame"]
+
+    def colour(batches):
+        now, free, busy, top = None, [], [], 0
+        for pdf in batches:
+            slots = []
+            for own, begin, end in zip(pdf[key], pdf["start_frame"], pdf["end_frame"]):
+                if own != now:
+                    now, free, busy, top = own, [], [], 0
+                while busy and busy[0][0] <= begin:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if free:
+                    slot = heapq.heappop(free)
+                else:
+                    slot, top = top, top + 1
+                heapq.heappush(busy, (end, slot))
+                slots.append(slot)
+            yield pdf.assign(slot=pd.Series(slots, index=pdf.index, dtype="int64"))
+
+    rows = states.select(*columns).repartition(key).sortWithinPartitions(key, "start_frame", "id")
+    kinds = dict(rows.dtypes)
+    return rows.mapInPandas(colour, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", slot long")
 
 
 def state_span(frames: DataFrame, keys: list[str], frame: str, pixels: str, floor: int) -> DataFrame:
@@ -370,13 +347,22 @@ def state_span(frames: DataFrame, keys: list[str], frame: str, pixels: str, floo
     return frames.groupBy(*keys).agg(F.min(on).alias("start_frame"), (F.max(on) + 1).alias("end_frame"))
 
 
-def timing_diff(states: DataFrame, rendered: DataFrame, key: str = "asset") -> DataFrame:
-    """Frames where declared cover and rendered ink disagree."""
-    spans = states.where("end_frame > start_frame")
-    wanted = spans.select(key, F.explode(F.sequence("start_frame", F.col("end_frame") - 1)).alias("frame")).distinct()
+def timing_diff(states: DataFrame, rendered: DataFrame, key: str = "asset", width: float | None = None) -> DataFrame:
+    """Frames where declared cover and rendered ink disagree.
+
+    Both sides become steps of +1 and -1 at frames, added up where they fall
+    together, so an unbroken run costs two steps. A running sum tells which side
+    holds from one step to the next; only stretches with one side are listed.
+    """
+    step = lambda df, start, end, a, b: df.select(key, start.alias("frame"), F.lit(a).alias("_a"), F.lit(b).alias("_b")).unionByName(df.select(key, end.alias("frame"), F.lit(-a).alias("_a"), F.lit(-b).alias("_b")))
     drawn = rendered.select(key, "frame").distinct()
-    missing = wanted.join(drawn, [key, "frame"], "left_anti").withColumn("side", F.lit("missing"))
-    return missing.unionByName(drawn.join(wanted, [key, "frame"], "left_anti").withColumn("side", F.lit("unexpected")))
+    steps = step(states.where("end_frame > start_frame"), F.col("start_frame").cast("long"), F.col("end_frame").cast("long"), 1, 0)
+    steps = steps.unionByName(step(drawn, F.col("frame").cast("long"), F.col("frame").cast("long") + 1, 0, 1))
+    edges = steps.groupBy(key, "frame").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b")).where("_a <> 0 OR _b <> 0")
+    held = S.scan(edges, [key], ["frame"], width, _cover=S.running_sum("_a"), _ink=S.running_sum("_b"), _next=S.following("frame"))
+    side = F.when((F.col("_cover") > 0) & (F.col("_ink") == 0), "missing").when((F.col("_cover") == 0) & (F.col("_ink") > 0), "unexpected")
+    apart = held.select(key, "frame", "_next", side.alias("side")).where("side IS NOT NULL")
+    return apart.select(key, F.explode(F.sequence("frame", F.col("_next") - 1)).alias("frame"), "side")
 
 
 def timing_report(diff: DataFrame, assets: DataFrame, key: str = "asset") -> DataFrame:

@@ -32,14 +32,17 @@ def fold_grades(events: DataFrame, strict: bool = False, order: tuple[str, ...]
     segment; any other line speaks for the whole clip.
     """
     whole, part = fold_parts(events, strict, order)
-    entries = part.groupBy("stem").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(T.segment_key(F.col("t0"), F.col("t1")), "grade")))).alias("segments")
-    )
+    labelled = part.groupBy("stem", T.segment_key(F.col("t0"), F.col("t1")).alias("_label")).agg(F.max_by("grade", "at").alias("grade"))
+    entries = labelled.groupBy("stem").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_label", "grade")))).alias("segments"))
     return whole.join(entries, "stem", "left")
 
 
 def fold_parts(events: DataFrame, strict: bool = False, order: tuple[str, ...] = ("ts", "seq")) -> tuple[DataFrame, DataFrame]:
-    """The fold as two tables: whole-clip values per stem, and one row per (stem, t0, t1)."""
+    """The fold as two tables: whole-clip values per stem, and one row per (stem, t0, t1) with the place ``at`` of its line.
+
+    The grading reader files a segment under its two-decimal label, so bounds that
+    share a label are one segment and carry the newest line's bounds.
+    """
     at = F.struct(*order)
     grade, ident = F.col("grade"), F.col("ident")
     both = F.col("t0").isNotNull() & F.col("t1").isNotNull()
@@ -59,8 +62,11 @@ def fold_parts(events: DataFrame, strict: bool = False, order: tuple[str, ...] =
         latest(F.col("clip_id"), at).alias("clip_id"),
         F.max_by("ts", at).alias("ts"),
     )
-    part = named.where(windowed & grade.isNotNull()).groupBy("stem", "t0", "t1").agg(F.max_by(grade, at).alias("grade"))
-    return whole, part
+    graded = named.where(windowed & grade.isNotNull()).select("stem", "t0", "t1", grade.alias("grade"), at.alias("at"))
+    if strict:
+        return whole, graded.groupBy("stem", "t0", "t1").agg(F.max_by("grade", "at").alias("grade"), F.max("at").alias("at"))
+    newest = graded.groupBy("stem", T.segment_key(F.col("t0"), F.col("t1")).alias("_label")).agg(F.max_by(F.struct("t0", "t1", "grade"), "at").alias("s"), F.max("at").alias("at"))
+    return whole, newest.select("stem", "s.*", "at")
 
 
 def effective_settled(settled: DataFrame, events: DataFrame) -> DataFrame:

@@ -130,14 +130,14 @@ def ownership(registry: DataFrame, projects: DataFrame, foreign: str = FOREIGN)
     return rows.groupBy(F.col("_project").alias("project")).agg(F.max_by(F.struct(reason.isNull().alias("daemon_owned"), reason.alias("reason"), F.col("shortcode")), "ordinal").alias("o")).select("project", "o.*")
 
 
-def input_fingerprint(files: DataFrame, key: str = "project", path: str = "path", state: str = "state", digits: int = 2) -> DataFrame:
+def input_fingerprint(files: DataFrame, key: str = "project", path: str = "path", state: str = "state") -> DataFrame:
     """Digest over a project's (path, state) pairs that does not depend on row order.
 
-    Pairs are digested in sorted order inside buckets of the path's digest, then
-    the bucket digests in bucket order, so no task holds a whole project.
+    Each pair's digest is cut into four numbers of 60 bits; their sums and the
+    count are digested again. Sums combine on the map side, so no list of a
+    project's files is made, however many it has.
     """
     line = F.concat_ws("\u001f", F.col(path), F.coalesce(F.col(state), F.lit("")))
-    parts = files.select(key, F.substring(F.sha2(F.col(path), 256), 1, digits).alias("_b"), line.alias("_l")).groupBy(key, "_b").agg(
-        F.sha2(F.array_join(F.array_sort(F.collect_list("_l")), "\n"), 256).alias("_d")
-    )
-    return parts.groupBy(key).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]), ""), 256).alias("fingerprint"))
+    lanes = [F.conv(F.substring("_d", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
+    sums = files.select(key, F.sha2(line, 256).alias("_d")).groupBy(key).agg(F.count("*").alias("_n"), *(F.sum(x).alias(f"_s{i}") for i, x in enumerate(lanes)))
+    return sums.select(key, F.sha2(F.concat_ws(":", "_n", *(f"_s{i}" for i in range(4))), 256).alias("fingerprint"))

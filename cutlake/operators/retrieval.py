@@ -86,7 +86,7 @@ def score_overlaps(terms: DataFrame, clips: DataFrame) -> DataFrame:
     # A pair gathers at most the role's own words.
     said = lambda s: F.array_sort(F.collect_set(F.when(F.col("part") == s, F.col("term"))))
     grouped = met.agg(F.sum("weight").alias("word_score"), *[said(s).alias(s) for s in WEIGHTS])
-    lines = [F.when(F.size(s) > 0, F.concat(F.lit(f"{s}_terms:"), F.array_join(F.slice(s, 1, 12), ","))) for s in WEIGHTS]
+    lines = [F.when(F.size(s) > 0, F.concat(F.lit(f"{s}_terms:"), F.array_join(s, ","))) for s in WEIGHTS]
     return grouped.select("role_id", "path", "word_score", F.array_compact(F.array(*lines)).alias("words"))
 
 
@@ -99,8 +99,8 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     through an equi-join on flag class and score bucket, exactly the clips
     whose numeric upper bound reaches that score.
     """
-    if not 1 <= top_n <= 100:
-        raise ValueError("top_n must be between 1 and 100")
+    if top_n < 1:
+        raise ValueError("top_n must be at least 1")
     # Token sets and overlaps are read several times below, so each is written once.
     terms, clips = role_terms(roles), cut_lineage(catalog_terms(catalog, features))
     overlaps = cut_lineage(score_overlaps(terms, clips))
@@ -202,7 +202,7 @@ def spread_assignment(pools: DataFrame, variants: int, seed: str, keys: tuple[st
         pools.select(family, slot, "clip_id").distinct().withColumn("_d", digest), [family, slot], ["_d"], chunk=bucket, _r=S.position(), _n=S.total(F.lit(1).cast("long"))
     )
     size = ranked.groupBy(family, slot).agg(F.max("_n").alias("_n"))
-    offset = F.pmod(F.xxhash64(F.lit(seed), F.col(family), F.col(slot)), F.col("_n"))
+    offset = F.pmod(F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(seed), F.col(family), F.col(slot)), 256), 1, 12), 16, 10).cast("long"), F.col("_n"))
     asked = size.withColumn("variant", F.explode(F.sequence(F.lit(1), F.lit(variants)))).withColumn("_w", F.pmod(F.col("variant") + offset, F.col("_n")))
     seat = ranked.select(family, slot, (F.col("_r") - 1).alias("_w"), "clip_id")
     first = asked.join(seat, [family, slot, "_w"])

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.functions.color import circular_mean
-from cutlake.operators.quantiles import exact_quantiles
+from cutlake.operators.scan import top_k_per
 
 
 
@@ -154,9 +154,18 @@ def distance_matrix(slots: DataFrame) -> DataFrame:
     return shared.join(size, "family").select("family", "a", "b", (F.col("slots") - F.col("_same")).alias("changed"), F.round((F.col("slots") - F.col("_same")) / F.col("slots"), 4).alias("ratio"))
 
 
-def closest_variants(matrix: DataFrame) -> DataFrame:
-    """The pair of each family that differs least (first by name on a tie)."""
-    return matrix.groupBy("family").agg(F.min(F.struct("changed", "a", "b")).alias("m")).select("family", "m.*")
+def closest_variants(slots: DataFrame) -> DataFrame:
+    """The pair of each family of two or more variants that differs least (first by name on a tie).
+
+    A listed pair shares a slot and so differs less than any unlisted one; a family
+    whose variants share nothing gives its first two.
+    """
+    listed = distance_matrix(slots).groupBy("family").agg(F.min(F.struct("changed", "a", "b")).alias("m"))
+    two = top_k_per(slots.select("family", "variant").distinct(), ["family"], [F.col("variant")], 2).groupBy("family")
+    size = slots.groupBy("family").agg(F.countDistinct("slot_id").alias("changed"))
+    first = two.agg(F.min("variant").alias("a"), F.max("variant").alias("b")).where("a < b").join(size, "family")
+    both = first.select("family", F.struct("changed", "a", "b").alias("f")).join(listed, "family", "left")
+    return both.select("family", F.coalesce("m", "f").alias("m")).select("family", "m.*")
 
 
 def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float, size: int, projections: int = 3, block: int = 256) -> DataFrame:
@@ -211,15 +220,17 @@ def _blocks(cells: DataFrame, grid: list[str], side: str, block: int) -> DataFra
 
 
 def shot_stats(frames: DataFrame, keys: list[str], metrics: list[str], hue: str, hist: str) -> DataFrame:
-    """Median of each metric over a shot's frames (NaN left out), mean hue, mean hue histogram and its top bin."""
-    long = frames.unpivot(keys, metrics, "metric", "value")
-    q = exact_quantiles(long, [*keys, "metric"], "value", {"median": 0.5})
-    wide = q.groupBy(*keys).agg(*[F.max(F.when(F.col("metric") == m, F.col("median"))).alias(m) for m in metrics])
-    hues = frames.groupBy(*keys).agg(F.count("*").alias("frames"), F.round(circular_mean(F.col(hue)), 6).alias("hue_mean"))
+    """Median of each metric over a shot's frames (NaN left out), mean hue, mean hue histogram and its top bin.
+
+    A shot is a short run of frames, so its medians are taken in one aggregation;
+    equal values are held once with their count.
+    """
+    middle = lambda m: F.median(F.when(~F.isnan(F.col(m).cast("double")), F.col(m).cast("double"))).alias(m)
+    hues = frames.groupBy(*keys).agg(F.count("*").alias("frames"), F.round(circular_mean(F.col(hue)), 6).alias("hue_mean"), *map(middle, metrics))
     bins = frames.select(*keys, F.posexplode(hist).alias("bin", "share")).groupBy(*keys, "bin").agg(F.round(F.avg("share"), 9).alias("share"))
     top = bins.groupBy(*keys).agg(F.max_by(F.struct("bin", "share"), F.struct("share", -F.col("bin"))).alias("t"))
     dominant = F.when(F.col("t.share") > 0, F.col("t.bin")).otherwise(-1)
-    return hues.join(wide, keys, "left").join(top, keys, "left").select(*keys, "frames", *metrics, "hue_mean", dominant.alias("dominant_bin"))
+    return hues.join(top, keys, "left").select(*keys, "frames", *metrics, "hue_mean", dominant.alias("dominant_bin"))
 
 
 def feasibility_ratio(rows: DataFrame, key: str = "project", locked: bool = True, minimum: float = 0.80) -> DataFrame:

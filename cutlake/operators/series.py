@@ -20,11 +20,11 @@ from cutlake.session import cut_lineage
 def halo(df: DataFrame, keys: list[str], pos: str, reach: int, width: int, columns: dict) -> DataFrame:
     """Add window columns that look at most ``reach`` positions away.
 
-    Each row also visits the neighbouring chunks whose edge lies within reach;
+    Each row also visits every other chunk that has a position within reach;
     ``columns`` maps names to functions of the window spec; visitors drop out.
     """
     at = lambda shift: F.floor((F.col(pos) + shift) / F.lit(float(width)))
-    spread = df.withColumn("_home", at(0)).withColumn("_chunk", F.explode(F.array_distinct(F.array(at(-reach), F.col("_home"), at(reach)))))
+    spread = df.withColumn("_home", at(0)).withColumn("_chunk", F.explode(F.sequence(at(-reach), at(reach))))
     w = Window.partitionBy(*keys, "_chunk").orderBy(pos)
     seen = spread.select("*", *[make(w).alias(name) for name, make in columns.items()])
     return seen.where("_chunk = _home").drop("_chunk", "_home")

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from cutlake.operators import filters as P
 from cutlake.plans.base import Dialect, query, view
-from cutlake.session import spread
 
 c = F.col
 
@@ -120,7 +119,7 @@ TERMS = ["the", "tion", "secret", "of", "example.com", "entre"]
     SELECT doc_id, term, hits FROM h WHERE hits > 0""",
 )
 def _(t):
-    return P.redaction_hits(spread(t.documents.select("doc_id", "text")), TERMS, "doc_id", "text")
+    return P.redaction_hits(t.documents.select("doc_id", "text"), TERMS, "doc_id", "text")
 
 
 @view

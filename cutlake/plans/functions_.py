@@ -7,7 +7,6 @@ from cutlake.functions import rules as R
 from cutlake.functions import text as X
 from cutlake.functions import timecode as T
 from cutlake.plans.base import Dialect, query, view
-from cutlake.session import spread
 
 c = F.col
 
@@ -48,7 +47,7 @@ def part_files(q: Dialect) -> str:
 
 @query("f1_normalize_text", "SELECT doc_id, sha256(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^0-9a-z]+', '', 'g')) AS digest FROM documents")
 def _(t):
-    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.sha2(X.normalize_text(c("text")), 256).alias("digest"))
+    return t.documents.select("doc_id", "text").select("doc_id", F.sha2(X.normalize_text(c("text")), 256).alias("digest"))
 
 
 @query(
@@ -279,11 +278,11 @@ def _(t):
     r"""WITH n AS (SELECT id, name, replace(lower(name), '_', '-') AS low FROM receipt_names)
     SELECT id, CASE WHEN contains(low, 'superseded') THEN NULL WHEN contains(low, 'audit') THEN 'audit'
       WHEN contains(low, 'cardfix') OR contains(low, 'deliver') THEN 'deliver'
-      WHEN regexp_matches(low, 'fix[-_ ]?(\d{1,2})([^0-9]|$)') THEN 'fix' WHEN contains(low, 'study') THEN 'study' WHEN contains(low, 'intake') THEN 'intake'
+      WHEN regexp_matches(low, 'fix[-_ ]?(\d+)') THEN 'fix' WHEN contains(low, 'study') THEN 'study' WHEN contains(low, 'intake') THEN 'intake'
       WHEN contains(low, 'feasibility') THEN 'feasibility' WHEN regexp_matches(low, '(^|[^a-z])cast([^a-z]|$)') THEN 'cast'
       WHEN contains(low, 'build') THEN 'build' END AS phase,
-      try_cast(nullif(regexp_extract(low, 'fix[-_ ]?(\d{1,2})([^0-9]|$)', 1), '') AS INTEGER) AS fix_round,
-      try_cast(nullif(regexp_extract(lower(name), '^reel[-_ ]?0?(\d{1,2})([^0-9]|$)', 1), '') AS INTEGER) AS sequence FROM n""",
+      try_cast(nullif(regexp_extract(low, 'fix[-_ ]?(\d+)', 1), '') AS INTEGER) AS fix_round,
+      try_cast(nullif(regexp_extract(lower(name), '^reel[-_ ]?0*(\d+)', 1), '') AS INTEGER) AS sequence FROM n""",
 )
 def _(t):
     n = c("name")
@@ -309,6 +308,7 @@ seg AS (SELECT *, list_filter(string_split(token, '__')[1:3], lambda s: NOT rege
   CASE WHEN regexp_matches(trim(string_split(token, '__')[1]), '[\sa-z]') THEN '' ELSE upper(string_split(token, '__')[1]) END AS head,
   upper(array_to_string(list_filter(string_split(token, '__')[2:3], lambda s: NOT regexp_matches(trim(s), '[\sa-z]')), '  ')) AS rest FROM tok),
 scoped AS (SELECT *, upper(array_to_string(machine, '  ')) AS scope,
+  array_to_string(list_filter(string_split(upper(token), '__')[1:3], lambda s: NOT regexp_matches(trim(s), '\s')), '  ') AS any_case,
   CASE WHEN """ + _has("head", R.VERDICT_WORDS + R.DONE_WORDS + R.COLD_WORDS) + """ THEN head ELSE rest END AS basis FROM seg),
 laned AS (SELECT *, CASE WHEN """ + _has("basis", R.VERDICT_WORDS) + " AND NOT " + _has("basis", R.DONE_WORDS) + " AND NOT " + _has("basis", R.COLD_WORDS) + """ THEN 'verdict'
   WHEN """ + _has("basis", R.DONE_WORDS) + " THEN 'done' ELSE 'machine' END AS lane FROM scoped)"
@@ -323,11 +323,11 @@ def _(t):
 @query(
     "p11_plain_state",
     f"""WITH {TOKEN} SELECT id, CASE WHEN token = '' OR upper(token) = 'NO REVIEW STATE' THEN 'In progress'
-    WHEN {_has('scope', R.QUESTION_WORDS)} THEN 'The factory has a question for you' WHEN {_has('scope', R.POSTED_WORDS)} THEN 'Posted'
-    WHEN {_has('scope', R.PARKED_WORDS)} THEN 'Parked' WHEN {_has('scope', R.APPROVED_WORDS)} AND {_has('scope', R.HELD_WORDS)} THEN 'Approved — held for you'
-    WHEN {_has('scope', R.APPROVED_WORDS)} THEN 'Approved' WHEN {_has('scope', R.NEWCUT_WORDS)} AND {_has('scope', R.NEWCUT_CONTEXT)} THEN 'New version ready'
-    WHEN {_has('scope', R.WATCH_WORDS)} THEN 'Ready for you to watch' WHEN {_has('scope', R.QUEUED_WORDS)} THEN 'Queued — being planned'
-    WHEN {_has('scope', R.BUILDING_WORDS)} THEN 'Being built' WHEN lane = 'done' THEN 'Done' ELSE 'In progress' END AS phrase FROM laned""",
+    WHEN {_has('any_case', R.QUESTION_WORDS)} THEN 'The factory has a question for you' WHEN {_has('any_case', R.POSTED_WORDS)} THEN 'Posted'
+    WHEN {_has('any_case', R.PARKED_WORDS)} THEN 'Parked' WHEN {_has('any_case', R.APPROVED_WORDS)} AND {_has('any_case', R.HELD_WORDS)} THEN 'Approved — held for you'
+    WHEN {_has('any_case', R.APPROVED_WORDS)} THEN 'Approved' WHEN {_has('any_case', R.NEWCUT_WORDS)} AND {_has('any_case', R.NEWCUT_CONTEXT)} THEN 'New version ready'
+    WHEN {_has('any_case', R.WATCH_WORDS)} THEN 'Ready for you to watch' WHEN {_has('any_case', R.QUEUED_WORDS)} THEN 'Queued — being planned'
+    WHEN {_has('any_case', R.BUILDING_WORDS)} THEN 'Being built' WHEN lane = 'done' THEN 'Done' ELSE 'In progress' END AS phrase FROM laned""",
 )
 def _(t):
     tokened = t.state_texts.select("id", R.state_token(c("state")).alias("token"))
@@ -341,7 +341,7 @@ def _(t):
     + f"], lambda b: b IS NOT NULL), ',') AS beats, list_filter([{', '.join(f'''CASE WHEN regexp_matches(low, '{p}') THEN '{n}' END''' for n, p in R.BEATS)}], lambda b: b IS NOT NULL)[1] AS primary_beat, regexp_matches(low, '{R.NIGHT}') AS night FROM x",
 )
 def _(t):
-    beats = spread(t.documents.select("doc_id", "text")).select("doc_id", R.beat_class(c("text")).alias("b"), R.is_night_text(c("text"), F.lit(None).cast("string")).alias("night"))
+    beats = t.documents.select("doc_id", "text").select("doc_id", R.beat_class(c("text")).alias("b"), R.is_night_text(c("text"), F.lit(None).cast("string")).alias("night"))
     return beats.select("doc_id", F.array_join("b", ",").alias("beats"), F.try_element_at("b", F.lit(1)).alias("primary_beat"), "night")
 
 

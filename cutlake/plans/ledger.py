@@ -43,7 +43,7 @@ def bus_blocks(q: Dialect) -> str:
 FOLD = """w AS (SELECT stem, arg_max(CASE WHEN t0 IS NULL AND t1 IS NULL THEN grade END, (ts, seq)) FILTER (t0 IS NULL AND t1 IS NULL AND grade IS NOT NULL) AS grade,
   arg_max(ident, (ts, seq)) FILTER (t0 IS NULL AND t1 IS NULL AND ident IS NOT NULL) AS ident
   FROM grade_events WHERE (t0 IS NULL) = (t1 IS NULL) GROUP BY 1),
-seg AS (SELECT stem, t0, t1, arg_max(grade, (ts, seq)) AS grade FROM grade_events WHERE t0 IS NOT NULL AND t1 IS NOT NULL AND grade IS NOT NULL GROUP BY 1, 2, 3),
+seg AS (SELECT stem, any_value(t0) AS t0, any_value(t1) AS t1, arg_max(grade, (ts, seq)) AS grade FROM grade_events WHERE t0 IS NOT NULL AND t1 IS NOT NULL AND grade IS NOT NULL GROUP BY stem, printf('%.2f-%.2f', t0, t1)),
 segs AS (SELECT stem, string_agg(printf('%.2f-%.2f', t0, t1) || '=' || grade, ',' ORDER BY printf('%.2f-%.2f', t0, t1)) AS segments FROM seg GROUP BY 1)"""
 
 

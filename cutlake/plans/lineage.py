@@ -91,8 +91,9 @@ def _(t):
 
 @query(
     "l6_input_fingerprint",
-    """WITH b AS (SELECT o_custkey AS project, sha256(CAST(o_orderkey AS VARCHAR))[1:2] AS b, sha256(string_agg(o_orderkey || chr(31) || o_orderstatus, chr(10) ORDER BY o_orderkey || chr(31) || o_orderstatus)) AS d FROM orders GROUP BY 1, 2)
-    SELECT project, sha256(string_agg(d, '' ORDER BY b)) AS fingerprint FROM b GROUP BY 1""",
+    """WITH b AS (SELECT o_custkey AS project, sha256(o_orderkey || chr(31) || o_orderstatus) AS d FROM orders),
+    n AS (SELECT project, count(*) AS n, sum(('0x' || d[1:15])::HUGEINT) AS a, sum(('0x' || d[16:30])::HUGEINT) AS b, sum(('0x' || d[31:45])::HUGEINT) AS c, sum(('0x' || d[46:60])::HUGEINT) AS e FROM b GROUP BY 1)
+    SELECT project, sha256(concat_ws(':', n, a, b, c, e)) AS fingerprint FROM n""",
 )
 def _(t):
     return L.input_fingerprint(t.orders.select(c("o_custkey").alias("project"), c("o_orderkey").cast("string").alias("path"), c("o_orderstatus").alias("state")))

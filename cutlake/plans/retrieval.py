@@ -8,7 +8,6 @@ from cutlake.operators import retrieval as R
 from cutlake.plans.base import Dialect, query, view
 from cutlake.plans.filters import clips
 from cutlake.plans.ledger import STRICT
-from cutlake.session import spread
 
 c = F.col
 STOP = "[" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + "]"
@@ -35,7 +34,7 @@ def shot_roles(q: Dialect) -> str:
 
 @query("a2_tokens", f"WITH t AS (SELECT doc_id, {toks('text')} AS ts FROM documents) SELECT doc_id, len(ts)::INTEGER AS n, sha256(array_to_string(list_sort(ts), ' ')) AS digest FROM t")
 def _(t):
-    found = spread(t.documents.select("doc_id", "text")).select("doc_id", X.tokens(c("text")).alias("ts"))
+    found = t.documents.select("doc_id", "text").select("doc_id", X.tokens(c("text")).alias("ts"))
     return found.select("doc_id", F.size("ts").alias("n"), F.sha2(F.array_join(F.array_sort("ts"), " "), 256).alias("digest"))
 
 
@@ -55,7 +54,7 @@ def _roles(t):
 
 def _catalog(t):
     none = F.array().cast("array<string>")
-    return spread(t.clip_catalog).withColumns({"semantic_groups": F.array("text"), "labels": none, "families": none})
+    return t.clip_catalog.withColumns({"semantic_groups": F.array("text"), "labels": none, "families": none})
 
 
 @query(
@@ -139,7 +138,18 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", R.window_start(F.floor("l_extendedprice"), c("l_linenumber")).alias("start_frame"))
 
 
-@query("a7_spread_assignment")
+@query(
+    "a7_spread_assignment",
+    """WITH p AS (SELECT DISTINCT world AS family, energy AS slot, clip_id FROM clip_tags UNION SELECT DISTINCT world, lighting, clip_id FROM clip_tags),
+    s AS (SELECT *, row_number() OVER w - 1 AS seat, count(*) OVER (PARTITION BY family, slot) AS n, ('0x' || sha256('seed-1|' || family || '|' || slot)[1:12])::BIGINT AS o FROM p
+      WINDOW w AS (PARTITION BY family, slot ORDER BY sha256('seed-1|' || family || '|' || slot || '|' || clip_id))),
+    a AS (SELECT family, slot, clip_id, seat, n, v FROM s, range(1, 7) r(v) WHERE seat = (v + o) % n),
+    f AS (SELECT *, min(slot) OVER (PARTITION BY family, v, clip_id) = slot AS first FROM a),
+    m AS (SELECT f.family, f.slot, f.v, s.clip_id FROM f JOIN s ON s.family = f.family AND s.slot = f.slot AND s.seat = (f.seat + 6) % f.n WHERE NOT f.first),
+    c AS (SELECT m.*, min(slot) OVER (PARTITION BY family, v, clip_id) = slot AND NOT EXISTS (SELECT 1 FROM f WHERE f.first AND f.family = m.family AND f.v = m.v AND f.clip_id = m.clip_id) AS free FROM m)
+    SELECT family, slot, v::INTEGER AS variant, clip_id, 'first' AS choice FROM f WHERE first
+    UNION ALL SELECT family, slot, v::INTEGER, clip_id, CASE WHEN free THEN 'second' ELSE 'conflict' END FROM c""",
+)
 def _(t):
     pools = t.clip_tags.select(c("world").alias("family"), c("energy").alias("slot"), "clip_id").unionByName(t.clip_tags.select(c("world").alias("family"), c("lighting").alias("slot"), "clip_id"))
     return R.spread_assignment(pools, 6, "seed-1")

@@ -128,9 +128,9 @@ def _(t):
     return R.distance_matrix(_family(t))
 
 
-@query("g10_closest_variants", f"WITH {MATRIX}, r AS (SELECT family, n - k AS changed, a, b, row_number() OVER (PARTITION BY family ORDER BY n - k, a, b) AS rn FROM mx JOIN sz USING (family)) SELECT family, changed, a, b FROM r WHERE rn = 1")
+@query("g10_closest_variants", f"WITH {MATRIX}, u AS (SELECT DISTINCT family, variant FROM fs), r AS (SELECT x.family, n - coalesce(k, 0) AS changed, x.variant AS a, y.variant AS b, row_number() OVER (PARTITION BY x.family ORDER BY n - coalesce(k, 0), x.variant, y.variant) AS rn FROM u x JOIN u y ON x.family = y.family AND x.variant < y.variant JOIN sz ON sz.family = x.family LEFT JOIN mx ON mx.family = x.family AND mx.a = x.variant AND mx.b = y.variant) SELECT family, changed, a, b FROM r WHERE rn = 1")
 def _(t):
-    return R.closest_variants(R.distance_matrix(_family(t)))
+    return R.closest_variants(_family(t))
 
 
 @query(

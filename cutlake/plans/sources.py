@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from cutlake.plans.base import Dialect, query, view
-from cutlake.session import spread
 from cutlake.sources import catalog as C
 from cutlake.sources import plan_docs as D
 from cutlake.sources import receipts as R
@@ -130,7 +129,7 @@ def _json_slot(t, key: str):
 def _(t):
     record, _ = _json_slot(t, "source_path")
     doc = F.when(c("l_linestatus") == "F", F.concat(lit('{"slots": [], "shots": ['), record, lit("]}"))).otherwise(F.concat(lit("["), record, lit("]")))
-    plans = spread(t.lineitem).select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value"))
+    plans = t.lineitem.select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value"))
     return D.flatten_plan(plans, "plan").select("plan", "index", "slot", F.array_join("masters", ",").alias("master"))
 
 
@@ -147,7 +146,7 @@ def _(t):
     listed = F.concat(lit('{"slots": ['), record, lit("]}"))
     flat = F.concat(lit('{"block": "b7", "source_path": "'), master, lit('", "runner_ups": ["CLIP_9999"]}'))
     doc = F.when(n == 1, now).when(n == 2, seat).when(n < 5, installed).when(n == 5, listed).otherwise(flat)
-    return D.flatten_supersession(spread(t.lineitem).select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value")), "plan")
+    return D.flatten_supersession(t.lineitem.select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value")), "plan")
 
 
 @query(
@@ -242,14 +241,16 @@ def _(t):
 
 @query(
     "s16_harvest_signals",
-    """WITH d AS (SELECT source, lang || ' note ' || doc_id % 50 AS a, 'clip ' || lang || '?' AS b FROM documents), r AS (SELECT DISTINCT source, 'note' AS kind, a AS text FROM d UNION SELECT DISTINCT source, 'factory-CALL', b FROM d UNION SELECT DISTINCT source, 'audit-HARD', 'HARD-1 cut late' FROM d)
-    SELECT source || '::' || kind || '::' || text AS key, source, kind, text FROM r WHERE NOT (kind = 'factory-CALL' AND text = 'clip en?')""",
+    """WITH d AS (SELECT source, trim(regexp_replace(lang || ' note ' || coalesce(text, '') || ' ' || doc_id % 50, '\\s+', ' ', 'g')) AS a, 'clip ' || lang || '?' AS b, doc_id % 9 AS r FROM documents),
+    r AS (SELECT source, 'note' AS kind, a AS text, r FROM d UNION ALL SELECT source, 'factory-CALL', b, r FROM d UNION ALL SELECT source, 'audit-HARD', 'HARD-1 cut late', r FROM d)
+    SELECT source || '::' || kind || '::' || sha256(text) AS key, source, kind, text, min(r)::INTEGER AS row FROM r WHERE NOT (kind = 'factory-CALL' AND text = 'clip en?') GROUP BY source, kind, text""",
 )
 def _(t):
     doc = t.documents
-    text = F.concat(lit("Operator note (verbatim):\n"), "lang", lit(" note  "), (c("doc_id") % 50).cast("string"), lit("\n---\nCALL — clip "), "lang", lit("?\n- **HARD-1 cut late\n"))
-    seen = doc.select(F.concat("source", lit("::factory-CALL::clip en?")).alias("key")).distinct()
-    return R.harvest_signals(doc.select("source", text.alias("text")), seen).select("key", "source", "kind", "text")
+    body = F.concat("lang", lit(" note  "), F.coalesce("text", lit("")), lit("\n"), (c("doc_id") % 50).cast("string"))
+    text = F.concat(lit("row "), (c("doc_id") % 9).cast("string"), lit("\nOperator note (verbatim):\n"), body, lit("\n---\nCALL — clip "), "lang", lit("?\n- **HARD-1 cut late\n"))
+    seen = doc.select(F.concat("source", lit("::factory-CALL::"), F.sha2(lit("clip en?"), 256)).alias("key")).distinct()
+    return R.harvest_signals(doc.select("source", text.alias("text")), seen).select("key", "source", "kind", "text", "row")
 
 
 @query(

@@ -32,17 +32,6 @@ def local_session(cpus: int | str = 8, name: str = "cutlake") -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the scan itself gives fewer partitions than there are cores.
-
-    A table of a few large row groups is read by a few tasks; text work that
-    costs far more than moving the rows should not stay on them. On a table
-    that already has enough partitions nothing is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which every executor can reach.
 

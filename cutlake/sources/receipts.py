@@ -14,7 +14,7 @@ from cutlake.schemas import STATUS
 
 # Receipt name, head and status line patterns.
 NAME = r"^ui-(feedback|frame-note|batch-verdict|continue|drop|smoketest)\b"
-ROW = r"-row(\d{2,3})-"
+ROW = r"-row(\d{2,})-"
 STAMP = r"(\d{8})T(\d{6})Z"
 HEAD = r"^(ACK|CALL)\s+[—–-]+\s+(.+?)\s+[—–-]+\s+(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z)(.*)$"
 BLOCK = r"^<!--status (\{.*\}) -->\s*$"
@@ -114,6 +114,7 @@ def parse_call_cards(files: DataFrame, key: str, text: str = "text") -> DataFram
     return out.where("call_id IS NOT NULL")
 
 
+# The patterns of a signal.
 SIGNALS = {
     "note": r"(?s)(?:Operator (?:note|text) \(verbatim\):|RULING on [^\n]+:)\s*\n?(.*?)(?:\n---|\z)",
     "factory-CALL": r"(?m)^CALL — (.+)$",
@@ -122,15 +123,25 @@ SIGNALS = {
 }
 
 
+def row_named(name: Column, text: Column) -> Column:
+    """The row that a file's name or else its text gives: ``row12``, ``reel12``, ``row #12``."""
+    found = [F.regexp_extract(name, r"row(\d+)", 1), F.regexp_extract(name, r"reel(\d+)", 1), F.regexp_extract(text, r"(?i)\brow\s*#?(\d+)", 1)]
+    return F.coalesce(*(x.try_cast("int") for x in found))
+
+
 def harvest_signals(files: DataFrame, seen: DataFrame, epoch: str = "", source: str = "source", text: str = "text") -> DataFrame:
-    """New inbox rows found by the signal patterns; a key of source, kind and text start is never taken twice."""
+    """New inbox rows found by the signal patterns, with the ``row`` they speak of.
+
+    A key of source, kind and the digest of the whole tidied text is never taken
+    twice. The row comes from the source's name, else from the file's text.
+    """
     rows = None
     for kind, pattern in SIGNALS.items():
-        one = files.select(F.col(source).alias("source"), F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("text"))
+        one = files.select(F.col(source).alias("source"), F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(F.col(text), F.lit(pattern), 1)).alias("text"), row_named(F.col(source), F.col(text)).alias("row"))
         rows = one if rows is None else rows.unionByName(one)
     tidy = rows.withColumn("text", F.trim(F.regexp_replace("text", r"\s+", " "))).where("text <> ''")
-    keyed = tidy.withColumn("key", F.concat_ws("::", "source", "kind", F.substring("text", 1, 80)))
-    fresh = keyed.groupBy("key").agg(F.min(F.struct("source", "kind", "text")).alias("s")).join(seen.select("key"), "key", "left_anti").select("key", "s.*")
+    keyed = tidy.withColumn("key", F.concat_ws("::", "source", "kind", F.sha2("text", 256)))
+    fresh = keyed.groupBy("key").agg(F.min(F.struct("source", "kind", "text", "row")).alias("s")).join(seen.select("key"), "key", "left_anti").select("key", "s.*")
     return fresh.withColumn("triage", R.auto_triage(F.col("text"), F.col("kind"), F.col("source"), epoch))
 
 
@@ -146,7 +157,7 @@ def latest_activity(entries: DataFrame, now: Column, alive_seconds: int = 900, f
     age = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("n.mtime").cast("timestamp"))) / 1_000_000
     live = newest.where(age <= fresh_seconds).select("run", F.col("n.file").alias("file"), F.col("n.mtime").alias("mtime"), "restarts", age.alias("age_s"))
     lines = entries.drop("mtime").join(live, ["run", "file"])
-    row = F.regexp_extract("text", r"(?i)\brow\s*#?(\d{1,5})", 1).try_cast("int")
+    row = F.regexp_extract("text", r"(?i)\brow\s*#?(\d+)", 1).try_cast("int")
     role = _none_if_empty(F.upper(F.trim(F.regexp_extract("text", r"(?i)\brole:\s*([a-z-]+)", 1))))
     facts = lines.groupBy("run", "mtime", "restarts", "age_s").agg(
         F.min_by(row, F.when(row.isNotNull(), F.col("seq"))).alias("row"), F.min_by(role, F.when(role.isNotNull(), F.col("seq"))).alias("role"),

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from cutlake.operators import scan as S
 from cutlake.operators.ledger import OPEN_STATES, WAITING
 
+CHUNK_US = S.DAY_US // 24  # the stretch of microseconds that one task scans
+
 
 def events_stream(spark: SparkSession, path: str, schema, after_id: int = 0, id_col: str = "event_id", files_per_batch: int = 100, fmt: str = "parquet") -> DataFrame:
     """A stream of an event folder's rows after a cursor; the checkpoint keeps the place between runs."""
@@ -31,7 +33,7 @@ def debounce_bundles(notes: DataFrame, now: Column, keys: tuple[str, ...] = ("ro
     """Bundles of notes of one row less than ``gap`` apart, once the newest is at least ``gap`` old."""
     gap = gap_seconds * 1_000_000
     rows = notes.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    runs = S.islands(rows, list(keys), ["_us", tie], ["_us"], lambda b, r: r["_us"] - b["_us"] >= gap, label="_run")
+    runs = S.islands(rows, list(keys), ["_us", tie], ["_us"], lambda b, r: r["_us"] - b["_us"] >= gap, CHUNK_US, "_run")
     bundles = runs.groupBy(*keys, "_run").agg(F.min(ts).alias("first"), F.max(ts).alias("newest"), F.count("*").alias("notes"), F.max("_us").alias("_last"))
     settled = F.unix_micros(now.cast("timestamp")) - F.col("_last") >= gap
     return bundles.where(settled).drop("_run", "_last")
@@ -57,7 +59,7 @@ def leases(beats: DataFrame, ttl_seconds: int = 900, key: str = "project", ts: s
     """
     ttl = ttl_seconds * 1_000_000
     rows = beats.select(key, "owner", ts, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    runs = S.islands(rows, [key], ["_us", tie], ["_us"], lambda b, r: r["_us"] - b["_us"] >= ttl, label="_run")
+    runs = S.islands(rows, [key], ["_us", tie], ["_us"], lambda b, r: r["_us"] - b["_us"] >= ttl, CHUNK_US, "_run")
     beat = F.struct("_us", tie, "owner", ts)
     listed = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(beat)).alias("bs"))
     start = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("at"), F.array().cast("array<boolean>").alias("out"))
