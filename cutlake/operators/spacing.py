@@ -1,139 +1,109 @@
 """Keep an event only when the last *kept* one is far enough behind.
 
 The rule is sequential: whether a row stays depends on which earlier rows
-stayed. Two facts make it parallel. A row more than the window after its
-predecessor always stays, so the stream falls into independent islands. Inside
-a long island, a stretch of time acts on the state only through a small step
-function "last kept before -> last kept after"; stretches are summarised in
-parallel, the summaries are chained, and each stretch is then finished alone.
+stayed. It becomes parallel because a stretch of time acts on the state only
+through a small step function "last kept before -> last kept after": stretches
+are summarised by many tasks, the summaries of a key are chained (a row for each
+stretch of its time axis that has events, however many these are), and every
+stretch is then walked from its own entry state.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STRETCH = 64  # windows per stretch of a long island
+STRETCH = 64  # windows in a stretch
+
+
+def _column(batch: pa.RecordBatch, name: str) -> list:
+    return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
-def _successors(times: np.ndarray, window: int) -> np.ndarray:
-    return np.searchsorted(times, times + window, side="right")
+def _steps(times: np.ndarray, window: int, start: int) -> tuple[list[int], list[int]]:
+    """For each instant that can be the first kept one of a stretch, the last one kept after it; equal outcomes once."""
+    after = np.searchsorted(times, times + window, side="right").tolist()
+    exits = times.tolist()
+    for i in range(len(exits) - 1, -1, -1):
+        if after[i] < len(exits):
+            exits[i] = exits[after[i]]
+    # an earlier kept instant can hide those up to one window into the stretch
+    entries = 1 + int(np.searchsorted(times[:-1], start + window, side="right"))
+    first, last = times[:entries].tolist(), exits[:entries]
+    edge = [i for i in range(entries) if i + 1 == entries or last[i] != last[i + 1]]
+    return [first[i] for i in edge], [last[i] for i in edge]
 
 
-def keep_spaced(
-    df: DataFrame, keys: list[str], at: str, tie: list[str], window_us: int, island_limit: int = 4096
-) -> DataFrame:
+def keep_spaced(df: DataFrame, keys: list[str], at: str, tie: list[str], window_us: int, stretch: int = STRETCH) -> DataFrame:
     """Rows that survive the rule: drop when a kept row lies at most ``window_us`` before.
 
     ``at`` is a timestamp, ``tie`` orders rows of one instant. Null key parts
-    form their own group. Islands are found on a table of one row per (key,
-    window-wide bucket), since a gap longer than the window can only fall
-    between buckets; its size follows the time axis, not the row count.
-    Islands of up to ``island_limit`` rows are folded with array functions;
-    longer ones go through the stretch summaries. Both give the same rows.
+    form their own group, rows without a time are dropped. ``stretch`` (in windows) changes the spread of work only.
     """
+    span = stretch * window_us
     us = F.unix_micros(F.col(at).cast("timestamp"))
-    rows = df.withColumn("_us", us).withColumn("_key", F.struct(*keys))
-    rows = rows.withColumn("_bucket", F.floor(F.col("_us") / F.lit(float(window_us))))
-    buckets = rows.groupBy("_key", "_bucket").agg(
-        F.min("_us").alias("_lo"), F.max("_us").alias("_hi"), F.count("*").alias("_n")
-    )
-    axis = Window.partitionBy("_key").orderBy("_bucket")
-    ahead = F.lag("_hi").over(axis)
-    opened = buckets.withColumn("_open", F.when(ahead.isNull() | (F.col("_lo") - ahead > window_us), F.col("_lo")))
-    placed = opened.withColumn("_island", F.last("_open", ignorenulls=True).over(axis))
-    sized = placed.withColumn("_rows", F.sum("_n").over(Window.partitionBy("_key", "_island")))
-    tagged = rows.join(sized.select("_key", "_bucket", "_island", "_rows"), ["_key", "_bucket"])
-
-    plain = list(df.columns)
-    row = F.struct("_us", *tie, F.struct(*plain).alias("_row"))
-    short = (
-        tagged.where(F.col("_rows") <= island_limit)
-        .groupBy("_key", "_island")
-        .agg(F.array_sort(F.collect_list(row)).alias("rs"))
-    )
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<int>").alias("kept"))
-    picks = F.aggregate(
-        F.transform("rs", lambda x, i: F.struct(x["_us"].alias("us"), i.alias("i"))),
-        start,
-        lambda acc, x: F.when(
-            acc["last"].isNull() | (x["us"] - acc["last"] > window_us),
-            F.struct(x["us"].alias("last"), F.array_append(acc["kept"], x["i"]).alias("kept")),
-        ).otherwise(acc),
-    )["kept"]
-    spots = short.select("rs", F.explode(picks).alias("i"))
-    kept_short = spots.select(F.element_at("rs", F.col("i") + 1)["_row"].alias("_row")).select("_row.*")
-
-    long = (
-        tagged.where(F.col("_rows") > island_limit)
-        .withColumn("_group", F.struct("_key", "_island"))
-        .withColumn("_stretch", F.floor((F.col("_us") - F.col("_island")) / F.lit(float(STRETCH * window_us))))
-    )
-    return kept_short.unionByName(_long_islands(long, plain, tie, window_us))
-
-
-def _long_islands(long: DataFrame, plain: list[str], tie: list[str], window: int) -> DataFrame:
-    span = STRETCH * window
-    points = long.select(F.to_json("_group").alias("g"), "_island", "_stretch", "_us").distinct()
-
-    def summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy())
-        stretch = int(pdf["_stretch"].iloc[0])
-        after = _successors(times, window)
-        exits = times.copy()
-        for i in range(len(times) - 1, -1, -1):
-            if after[i] < len(times):
-                exits[i] = exits[after[i]]
-        head = int(pdf["_island"].iloc[0]) + stretch * span + window
-        before = np.concatenate([[np.iinfo(np.int64).min], times[:-1]])
-        entry = before <= head if stretch else np.arange(len(times)) == 0
-        first, last = times[entry], exits[entry]
-        # Neighbouring entries with one outcome act as one step.
-        edge = np.append(last[1:] != last[:-1], True)
-        return pd.DataFrame(
-            {"g": pdf["g"].iloc[0], "_stretch": stretch, "steps": [first[edge]], "outs": [last[edge]]}
-        )
-
-    steps = points.groupBy("g", "_island", "_stretch").applyInPandas(
-        summarise, "g string, _stretch long, steps array<long>, outs array<long>"
-    )
-
-    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values("_stretch")
-        state, entries = None, []
-        for first, out in zip(ordered["steps"], ordered["outs"]):
-            entries.append(state)
-            spot = 0 if state is None else int(np.searchsorted(first, state + window, side="right"))
-            if spot < len(first):
-                state = int(out[spot])
-        return pd.DataFrame(
-            {"g": ordered["g"].to_numpy(), "_stretch": ordered["_stretch"].to_numpy(), "_entry": pd.array(entries, "Int64")}
-        )
-
-    entry = steps.groupBy("g").applyInPandas(chain, "g string, _stretch long, _entry long")
-
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["_us"].to_numpy())
-        after = _successors(times, window)
-        state = pdf["_entry"].iloc[0]
-        i = 0 if pd.isna(state) else int(np.searchsorted(times, int(state) + window, side="right"))
-        picked = []
-        while i < len(times):
-            picked.append(times[i])
-            i = after[i]
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "_us": np.array(picked, dtype="int64")})
-
-    kept = (
-        points.join(entry, ["g", "_stretch"])
-        .groupBy("g", "_stretch")
-        .applyInPandas(finish, "g string, _us long")
-    )
-    # One row per kept instant: the first in tie order, found by a map-side minimum.
-    firsts = (
-        long.withColumn("g", F.to_json("_group"))
-        .groupBy("g", "_us")
-        .agg(F.min_by(F.struct(*plain), F.struct(*tie)).alias("_row"))
-    )
-    return firsts.join(kept, ["g", "_us"]).select("_row.*")
+    key = F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]), {"ignoreNullFields": "false"})
+    rows = df.select(F.struct(*df.columns).alias("_row"), F.struct(*tie).alias("_tie"), key.alias("g"), us.alias("us"))
+    part = ((F.col("us") - F.pmod("us", F.lit(span))) / F.lit(span)).cast("long")
+    points = rows.where("us IS NOT NULL").select("g", part.alias("stretch"), "us").repartition("g", "stretch").sortWithinPartitions("g", "stretch", "us")
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {"g": [], "stretch": [], "steps": [], "outs": []}
+        now, held = None, []
+
+        def close():
+            steps, outs = _steps(np.unique(np.array(held, dtype=np.int64)), window_us, now[1] * span)
+            for name, value in zip(out, (*now, steps, outs)):
+                out[name].append(value)
+
+        for batch in batches:
+            for g, part, t in zip(_column(batch, "g"), _column(batch, "stretch"), _column(batch, "us")):
+                if (g, part) != now:
+                    if now is not None:
+                        close()
+                    now, held = (g, part), []
+                held.append(t)
+            if len(out["g"]) > 4096:
+                yield pa.RecordBatch.from_pydict(out, schema=summary)
+                out = {n: [] for n in out}
+        if now is not None:
+            close()
+            yield pa.RecordBatch.from_pydict(out, schema=summary)
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            entries = []
+            for g, steps, outs in zip(_column(batch, "g"), _column(batch, "steps"), _column(batch, "outs")):
+                if g != now:
+                    now, state = g, None
+                entries.append(state)
+                spot = 0 if state is None else int(np.searchsorted(steps, state + window_us, side="right"))
+                if spot < len(steps):
+                    state = outs[spot]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int64())], names=["g", "stretch", "entry"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = None, None
+        for batch in batches:
+            kept: list[tuple[str, int]] = []
+            for g, part, t, entry in zip(*(_column(batch, n) for n in ("g", "stretch", "us", "entry"))):
+                if (g, part) != now:
+                    now, last = (g, part), entry
+                if last is None or t - last > window_us:
+                    kept.append((g, t))
+                    last = t
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in kept], pa.string()), pa.array([t for _, t in kept], pa.int64())], names=["g", "us"])
+
+    numbers = pa.list_(pa.int64())
+    summary = pa.schema([("g", pa.string()), ("stretch", pa.int64()), ("steps", numbers), ("outs", numbers)])
+    steps = points.mapInArrow(summarise, "g string, stretch long, steps array<long>, outs array<long>")
+    entry = steps.repartition("g").sortWithinPartitions("g", "stretch").mapInArrow(chain, "g string, stretch long, entry long")
+    kept = points.join(entry, ["g", "stretch"]).sortWithinPartitions("g", "stretch", "us").mapInArrow(walk, "g string, us long")
+    # one row per kept instant: the first in tie order, found by a map-side minimum
+    firsts = rows.groupBy("g", "us").agg(F.min_by("_row", "_tie").alias("_row"))
+    return firsts.join(kept, ["g", "us"]).select("_row.*")

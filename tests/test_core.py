@@ -66,8 +66,8 @@ def test_islands_cross_chunks(series, width):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [1, 5, 4096])
-def test_spacing_short_and_long_paths_agree(spark, limit):
+@pytest.mark.parametrize("stretch", [1, 5, 4096])
+def test_spacing_does_not_depend_on_the_stretch(spark, stretch):
     rng = random.Random(3)
     rows, want = [], set()
     for key, part, n, span in (("hot", None, 400, 40_000), ("b", 1, 30, 90_000), (None, 2, 25, 4_000)):
@@ -80,7 +80,7 @@ def test_spacing_short_and_long_paths_agree(spark, limit):
                 want.add(ident)
                 last = s
     df = spark.createDataFrame(rows, "k string, part int, ts timestamp, id long").repartition(4)
-    out = keep_spaced(df, ["k", "part"], "ts", ["id"], 90_000_000, island_limit=limit)
+    out = keep_spaced(df, ["k", "part"], "ts", ["id"], 90_000_000, stretch=stretch)
     assert {r.id for r in out.collect()} == want
     assert out.columns == df.columns
 
