@@ -215,6 +215,34 @@ def islands(
     return placed.join(carried, ["_key", "_chunk"]).select(*df.columns, F.coalesce("_in", "_from").alias(label))
 
 
+def walk(df: DataFrame, group: list[str], order: list[str], fold: Callable, schema: str) -> DataFrame:
+    """One ordered pass over each group with a state of fixed size.
+
+    ``fold()`` gives a fresh pair ``(row, end)`` for a group: ``row(values)`` takes the
+    tuple of a row's columns, ``end()`` closes the group, and both return the rows to
+    emit. Rows stream past, so memory does not follow the size of a group.
+    """
+    import pandas as pd
+
+    names = [f.name for f in T.StructType.fromDDL(schema).fields]
+    own = [df.columns.index(g) for g in group]
+
+    def run(batches):
+        now, row, end = None, None, list
+        for pdf in batches:
+            out = []
+            for values in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+                at = tuple(values[i] for i in own)
+                if at != now:
+                    out += end()
+                    now, (row, end) = at, fold()
+                out += row(values)
+            yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(end(), columns=names)
+
+    return df.repartition(*group).sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+
+
 def top_k_per(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of each key; Catalyst limits each map task to ``k`` before the shuffle."""
     spot = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

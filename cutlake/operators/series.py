@@ -36,18 +36,27 @@ def merge_peaks(hits: DataFrame, keys: list[str], pos: str, height: str, gap: in
     A hit at least ``gap`` after the hit before it always starts anew, so the
     fold runs on each cluster of close hits by itself.
     """
-    cluster = S.islands(hits.select(*keys, pos, height), keys, [pos], [pos], lambda b, r: r[pos] - b[pos] >= gap, width, "_c")
-    listed = cluster.groupBy(*keys, "_c").agg(F.array_sort(F.collect_list(F.struct(F.col(pos).cast("long").alias("p"), F.col(height).cast("double").alias("h")))).alias("hs"))
-    kind = "array<struct<p:bigint,h:double>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.array_append(acc, x)
-        swapped = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), x)
-        return F.when((F.size(acc) == 0) | (x["p"] - last["p"] >= gap), grown).when(x["h"] > last["h"], swapped).otherwise(acc)
-
-    kept = listed.select(*keys, F.explode(F.aggregate("hs", F.array().cast(kind), step)).alias("k"))
-    return kept.select(*keys, F.col("k.p").alias(pos), F.col("k.h").alias(height))
+    rows = hits.select(*keys, F.col(pos).cast("long").alias(pos), F.col(height).cast("double").alias(height))
+    cluster = S.islands(rows, keys, [pos], [pos], lambda b, r: r[pos] - b[pos] >= gap, width, "_c")
+    n = len(keys)
+
+    def fold():
+        last: list[tuple] = []
+
+        def row(values: tuple) -> list[tuple]:
+            x, done = values[: n + 2], []
+            if last and x[n] - last[0][n] < gap:
+                if x[n + 1] > last[0][n + 1]:
+                    last[0] = x
+            else:
+                done = last.copy()
+                last[:] = [x]
+            return done
+
+        return row, lambda: last
+
+    kinds = dict(rows.dtypes)
+    return S.walk(cluster.withColumn("_c", F.to_json("_c")), [*keys, "_c"], [pos], fold, ", ".join(f"`{c}` {kinds[c]}" for c in rows.columns))
 
 
 def bhattacharyya(a: Column, b: Column) -> Column:

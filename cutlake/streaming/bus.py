@@ -55,23 +55,29 @@ def leases(beats: DataFrame, ttl_seconds: int = 900, key: str = "project", ts: s
     """Each heartbeat with whether it holds the lease and from whom it took over.
 
     After a silence of the whole time-to-live any owner is taken, so the
-    history falls into stretches that are folded on their own.
+    history falls into runs that are walked on their own, the holder being all
+    that is remembered.
     """
     ttl = ttl_seconds * 1_000_000
     rows = beats.select(key, "owner", ts, tie, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
     runs = S.islands(rows, [key], ["_us", tie], ["_us"], lambda b, r: r["_us"] - b["_us"] >= ttl, CHUNK_US, "_run")
-    beat = F.struct("_us", tie, "owner", ts)
-    listed = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(beat)).alias("bs"))
-    start = F.struct(F.lit(None).cast("string").alias("owner"), F.lit(None).cast("long").alias("at"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(acc: Column, b: Column) -> Column:
-        free = acc["owner"].isNull() | (acc["owner"] == b["owner"].cast("string")) | (b["_us"] - acc["at"] >= ttl)
-        return F.struct(
-            F.when(free, b["owner"].cast("string")).otherwise(acc["owner"]).alias("owner"), F.when(free, b["_us"]).otherwise(acc["at"]).alias("at"), F.array_append(acc["out"], free).alias("out")
-        )
-
-    folded = listed.select(key, F.explode(F.arrays_zip("bs", F.aggregate("bs", start, step)["out"].alias("granted"))).alias("p"))
-    return folded.select(key, "p.bs.owner", f"p.bs.{ts}", f"p.bs.{tie}", "p.granted")
+    rows = runs.select(key, F.to_json("_run").alias("_run"), "_us", tie, "owner", ts)
+
+    def fold():
+        held: list[tuple] = []
+
+        def row(values: tuple) -> list[tuple]:
+            own, _, us, mark, owner, at = values
+            free = not held or held[0][0] == owner or us - held[0][1] >= ttl
+            if free:
+                held[:] = [(owner, us)]
+            return [(own, owner, at, mark, free)]
+
+        return row, list
+
+    kinds = dict(rows.dtypes)
+    schema = f"`{key}` {kinds[key]}, owner {kinds['owner']}, `{ts}` {kinds[ts]}, `{tie}` {kinds[tie]}, granted boolean"
+    return S.walk(rows, [key, "_run"], ["_us", tie], fold, schema)
 
 
 def leases_stream(beats: DataFrame, ttl_seconds: int = 900) -> DataFrame:
