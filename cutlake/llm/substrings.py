@@ -260,13 +260,23 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     cuts = _intervals(_repeats(_windows(rows, window, buckets), buckets), window)
     cuts = cuts.groupBy("_id", "_digest").agg(F.first("_starts").alias("_starts"), F.first("_ends").alias("_ends"))
     named = docs.select(F.col(id).alias("_own"), own.alias("_k"), F.hash(body).cast("long").alias("_d"), body.alias("_text"))
+    fields = named.schema.fields[:3]
+
+    def squeeze(batches):
+        small = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [small.compress(t.encode()) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.binary())], names=["_own", "_k", "_d", "_text"])
+
+    named = named.mapInArrow(squeeze, T.StructType([*fields, T.StructField("_text", T.BinaryType())]))
     met = named.join(cuts.hint("merge"), (F.col("_k") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left").select("_own", "_text", "_starts", "_ends")
 
     def rebuild(batches):
+        large = zstandard.ZstdDecompressor()
         for batch in batches:
             n, gone, kept = [], [], []
             for t, starts, ends in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                own = t.encode().split()
+                own = large.decompress(t).split()
                 n.append(len(own))
                 for a, b in zip(reversed(starts or ()), reversed(ends or ())):
                     del own[a:b]
