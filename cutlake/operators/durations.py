@@ -30,6 +30,17 @@ AHEAD = {
     "audit": [],
     "fix": ["audit"],
 }
+# How a phase is named to a reader.
+LABELS = {
+    "feasibility": "feasibility",
+    "cast": "casting",
+    "build": "build",
+    "audit": "audit",
+    "fix": "fix round",
+    "deliver": "delivery",
+    "intake": "intake",
+    "study": "reference study",
+}
 MIN_SAMPLES, MAX_GAP_HOURS, DEDUPE_MINUTES = 3, 48.0, 90
 DEFAULT_FIX_ROUNDS, INTAKE_FIX_ROUNDS, MIN_REMAINING_HOURS = 3.0, 1.0, 0.25
 QUARTILES = {"p25_h": 0.25, "median_h": 0.5, "p75_h": 0.75}
@@ -132,10 +143,13 @@ def fit_durations(events: DataFrame, key: str = "row") -> DataFrame:
     return stats.unionByName(rounds).unionByName(totals)
 
 
-def estimate(events: DataFrame, model: DataFrame, now: Column, key: str = "row", tie: tuple[str, ...] = ("event_id",)) -> DataFrame:
+def estimate(events: DataFrame, model: DataFrame, now: Column, key: str = "row", tie: tuple[str, ...] = ("event_id",), activity: DataFrame | None = None) -> DataFrame:
     """Hours left per row: median hours of the phases still ahead, minus time already spent.
 
-    ``model`` is the output of :func:`fit_durations`. Rows already delivered have no estimate.
+    ``events`` are deduplicated and merged from all sources, ``model`` is the output
+    of :func:`fit_durations`. Time is counted from the newest event of the row or, if
+    later, from its lane's last activity (``activity``: key, active_at). Rows already
+    delivered have no estimate.
     """
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     newest = F.max_by(F.struct("phase", us.alias("us")), F.struct("ts", *tie))
@@ -144,6 +158,9 @@ def estimate(events: DataFrame, model: DataFrame, now: Column, key: str = "row",
         F.countDistinct(F.when((F.col("phase") == "fix") & (F.col("fix_round") != 0), F.col("fix_round"))).alias("rounds_done"),
         F.max(F.col("phase").isin("intake", "study")).alias("_fresh"),
     )
+    if activity is not None:
+        busy = activity.groupBy(key).agg(F.max(F.unix_micros(F.col("active_at").cast("timestamp"))).alias("_busy"))
+        per_row = per_row.join(busy, key, "left").withColumn("_new", F.struct(F.col("_new.phase").alias("phase"), F.greatest("_new.us", "_busy").alias("us"))).drop("_busy")
     fitted_rounds = model.where("part = 'fix_rounds'").select(F.max("median_h")).scalar()
     target = F.when(F.col("_fresh"), F.lit(INTAKE_FIX_ROUNDS)).otherwise(F.coalesce(fitted_rounds, F.lit(DEFAULT_FIX_ROUNDS)))
     left = F.greatest(F.lit(0), F.bround(target).cast("int") - F.col("rounds_done").cast("int"))
@@ -165,6 +182,7 @@ def estimate(events: DataFrame, model: DataFrame, now: Column, key: str = "row",
     floor = F.lit(MIN_REMAINING_HOURS)
     out = totals.withColumn("_l", F.greatest(floor, F.col("median_h") - spent)).withColumn("_w", F.greatest(floor, F.col("p25_h") - spent))
     out = out.withColumn("_h", F.greatest("_l", F.col("p75_h") - spent))
+    labels, kind = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair]), events.schema["ts"].dataType
     return out.select(
         key,
         "phase",
@@ -172,4 +190,7 @@ def estimate(events: DataFrame, model: DataFrame, now: Column, key: str = "row",
         "steps",
         F.round("_l", 2).alias("remaining_hours"),
         F.round(F.greatest(floor, (F.col("_h") - F.col("_w")) / 2.0), 1).alias("spread_hours"),
+        F.when((F.col("phase") == "fix") & (F.col("rounds_done") > 0), F.concat_ws(" ", labels["fix"], "rounds_done")).otherwise(labels[F.col("phase")]).alias("phase_label"),
+        F.timestamp_micros("_us").cast(kind).alias("anchor"),
+        F.timestamp_micros(F.unix_micros(now.cast("timestamp")) + F.round(F.round("_l", 2) * 3600).cast("long") * 1_000_000).cast(kind).alias("eta"),
     )

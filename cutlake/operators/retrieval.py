@@ -59,10 +59,11 @@ def _numeric() -> dict[str, Column]:
         "stable_camera": F.when(c("stable") & c("is_locked"), 2.0),
         "human_evidence": F.when(c("human") & ((c("poses") > 0) | (c("faces") > 0) | c("has_human")), 1.5),
         "paired_action_evidence": F.when(c("pair") & (c("poses") >= 2), 3.0).when(c("pair") & c("has_pair"), 1.0),
-        "duration": F.when(c("target_duration").isNotNull(), F.when(covered, 1.0).otherwise(-20.0)),
+        "duration_covered": F.when(covered, 1.0),
+        "duration_shortfall": F.when(~covered, -20.0),
         "luma_tiebreak": F.when(c("target_luma").isNotNull() & c("luma_p50").isNotNull(), near("target_luma", "luma_p50", 1.5, 64.0)),
         "saturation_tiebreak": F.when(c("target_sat").isNotNull() & c("sat_p50").isNotNull(), near("target_sat", "sat_p50", 1.0, 128.0)),
-        "sharpness_tiebreak": F.when(c("laplacian_var").isNotNull() & ~F.isnan("laplacian_var"), sharp),
+        "sharpness_tiebreak": F.when(F.abs(c("laplacian_var")) < float("inf"), sharp),
     }
 
 

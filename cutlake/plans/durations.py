@@ -83,27 +83,32 @@ def _(t):
     return D.fit_durations(cut_lineage(D.dedupe_within(t.phase_events))).select("part", "phase", "n", "p25_h", "median_h", "p75_h", "source")
 
 
-ESTIMATE_SQL = f"""WITH {GAPS.format(src='phase_events')}, {FACTS.format(src='phase_events')},
+ESTIMATE_SQL = f"""WITH RECURSIVE {KEPT.format(m=90)}, {GAPS.format(src='kept')}, {FACTS.format(src='kept')},
 newest AS (SELECT row, arg_max(phase, (ts, event_id)) AS phase, max(ts) AS ts,
     count(DISTINCT CASE WHEN phase = 'fix' AND fix_round <> 0 THEN fix_round END) AS rounds_done,
-    bool_or(phase IN ('intake', 'study')) AS fresh FROM phase_events GROUP BY row),
+    bool_or(phase IN ('intake', 'study')) AS fresh FROM kept GROUP BY row),
+activity AS (SELECT user_id AS row, max(ts) AS at FROM events WHERE value > 50 GROUP BY 1),
 ahead(phase, tail) AS (VALUES ('intake', ['study', 'build', 'audit']), ('study', ['build', 'audit']),
   ('feasibility', ['cast', 'build', 'audit']), ('cast', ['build', 'audit']), ('build', ['audit']), ('audit', []), ('fix', ['audit'])),
-placed AS (SELECT n.*, tail, greatest(0, round_even(CASE WHEN fresh THEN 1.0 ELSE (SELECT median_h FROM model WHERE part = 'fix_rounds') END, 0)::BIGINT - rounds_done) AS rounds_left
-  FROM newest n JOIN ahead a USING (phase)),
+placed AS (SELECT n.row, n.phase, greatest(n.ts, coalesce(v.at, n.ts)) AS ts, n.rounds_done, tail, greatest(0, round_even(CASE WHEN fresh THEN 1.0 ELSE (SELECT median_h FROM model WHERE part = 'fix_rounds') END, 0)::BIGINT - rounds_done) AS rounds_left
+  FROM newest n JOIN ahead a USING (phase) LEFT JOIN activity v ON v.row = n.row),
 steps AS (SELECT row, phase, ts, rounds_done, unnest(tail || list_transform(range(2 * rounds_left), lambda i: CASE WHEN i % 2 = 0 THEN 'fix' ELSE 'audit' END) || ['deliver']) AS p FROM placed),
 sums AS (SELECT s.row, s.phase, s.ts, s.rounds_done, count(*) AS steps, sum(m.p25_h) AS a, sum(m.median_h) AS b, sum(m.p75_h) AS c
   FROM steps s JOIN model m ON m.part = 'phase' AND m.phase = s.p GROUP BY ALL),
 spent AS (SELECT *, greatest(0.0, epoch_us((SELECT max(ts) FROM phase_events) - ts) / 3600000000.0) AS e FROM sums),
 left_ AS (SELECT *, greatest(0.25e0, b - e) AS l, greatest(0.25e0, a - e) AS w FROM spent),
 high AS (SELECT *, greatest(l, c - e) AS h FROM left_)
-SELECT row, phase, rounds_done, steps, round(l, 2) AS remaining_hours, round(greatest(0.25e0, (h - w) / 2), 1) AS spread_hours FROM high"""
+SELECT row, phase, rounds_done, steps, round(l, 2) AS remaining_hours, round(greatest(0.25e0, (h - w) / 2), 1) AS spread_hours,
+  CASE phase WHEN 'fix' THEN CASE WHEN rounds_done > 0 THEN 'fix round ' || rounds_done ELSE 'fix round' END WHEN 'cast' THEN 'casting' WHEN 'deliver' THEN 'delivery' WHEN 'study' THEN 'reference study' ELSE phase END AS phase_label,
+  ts AS anchor, (SELECT max(ts) FROM phase_events) + to_seconds(round(round(l, 2) * 3600, 0)::BIGINT) AS eta FROM high"""
 
 
 @query("g23_estimate", ESTIMATE_SQL)
 def _(t):
     newest = t.phase_events.select(F.max("ts")).scalar()
-    return D.estimate(t.phase_events, cut_lineage(D.fit_durations(t.phase_events)), newest)
+    kept = cut_lineage(D.dedupe_within(t.phase_events))
+    activity = t.events.where("value > 50").select(F.col("user_id").alias("row"), F.col("ts").alias("active_at"))
+    return D.estimate(kept, cut_lineage(D.fit_durations(kept)), newest, activity=activity)
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,9 +49,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    context = df.sparkSession.sparkContext
-    folder = shared_folder(df.sparkSession)
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once as Parquet in the shared folder and read it back.
+
+    Later reads prune columns and survive lost executors. The files lie under
+    ``cutlake-<application id>`` and can go when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/cutlake-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
