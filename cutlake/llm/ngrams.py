@@ -23,6 +23,7 @@ from cutlake.llm import eliasfano, store, words
 
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.5, 2
 SHARD_TOKENS, CHUNK_TOKENS = 4_000_000, 1_500_000
+SLICE = 2 << 20  # bytes of text looked up together
 SCALE = 2048  # steps of log10 probability
 END = np.uint64(0xA0761D6478BD642F)
 _U = np.uint64
@@ -207,7 +208,7 @@ def _counted(rows: DataFrame, grams, shards: int, bucket) -> DataFrame:
     def run(batches):
         held, n = [], 0
         for batch in batches:
-            for part in words.slices(batch.column(0), lower=True):
+            for part in words.slices(batch.column(0), lower=True, limit=SLICE):
                 got, tokens = grams(part)
                 held.append(got)
                 n += tokens
@@ -420,7 +421,7 @@ def score(docs: DataFrame, trie: Trie, id: str = "doc_id", text: str = "text") -
     def run(batches):
         for batch in batches:
             out = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, float, float)]
-            for part in words.slices(batch.column(1), lower=True):
+            for part in words.slices(batch.column(1), lower=True, limit=SLICE):
                 tokens = Tokens(part)
                 nodes = path_nodes(trie, tokens, trie.order)
                 known = trie.word_ids(tokens.distinct)

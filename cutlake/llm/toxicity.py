@@ -29,11 +29,11 @@ def fold(id: Column, folds: int) -> Column:
     return F.pmod(F.crc32(F.encode(id.cast("string"), "UTF-8")), F.lit(folds))
 
 
-def instances(part: words.Texts) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, words.Words]:
+def instances(part: words.Texts) -> tuple[np.ndarray, list[np.ndarray], words.Words]:
     """Per word its sentence and its features: the word itself and its first bytes of several lengths (0: too short).
 
     A sentence ends with ``.``, ``!``, ``?``, a line or the text; sentences are
-    numbered through the slice. The fourth value are the words.
+    numbered through the slice. The third value are the words.
     """
     found = part.words(words.LETTERS)
     marks = ENDS[part.data]
@@ -42,15 +42,8 @@ def instances(part: words.Texts) -> tuple[np.ndarray, list[np.ndarray], np.ndarr
     np.cumsum(marks, out=cut[1:])
     cut[: len(part.data)] += np.searchsorted(heads, np.arange(len(part.data)), side="right")
     sentence = cut[found.starts]
-    features = [found.hashes()]
-    for k in PREFIXES:
-        long = found.ends - found.starts >= k
-        head = words.Words.__new__(words.Words)
-        head.data, head.starts, head.ends = found.data, found.starts[long], found.starts[long] + k
-        own = np.zeros(len(found), dtype=_U)
-        own[long] = words.mix(head.hashes() + _U(k))
-        features.append(own)
-    return sentence, features, cut, found
+    features = [found.hashes(), *map(found.head_hashes, PREFIXES)]
+    return sentence, features, found
 
 
 @dataclass
@@ -63,7 +56,7 @@ class Model:
 
     def sentences(self, part: words.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, words.Words]:
         """Log-odds per sentence that has words, its first word, and each word's sentence rank."""
-        sentence, features, _, found = instances(part)
+        sentence, features, found = instances(part)
         value = np.zeros(len(found))
         for h in features:
             value += _lookup(self.features, self.weights, h)
@@ -99,35 +92,36 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id: str, text: str, labe
 def train(sample: DataFrame, features: int = FEATURES, rounds: int = ROUNDS) -> Model:
     """Fit sentence weights to the document labels of ``sample(text, y)``, a bounded table.
 
-    Tasks reduce documents to feature hashes; the driver keeps the features that
-    are much more common in toxic documents and then fits
+    Spark counts in how many documents of each class a feature stands; the features
+    that are much more common in toxic ones are kept. The driver then fits
     ``P(toxic) = 1 - prod(1 - sigmoid(bias + sum of weights))`` over the sentences
     by gradient steps. Without labels of both classes no sentence is suspect.
     """
     def presence(batches):
         for batch in batches:
-            out, y = [], np.asarray(batch.column(1))
+            y, seen = np.asarray(batch.column(1)), ([], [])
             for part in words.slices(batch.column(0), lower=True):
-                _, every, _, found = instances(part)
+                _, every, found = instances(part)
                 for i in range(len(part)):
                     a, b = found.first[i], found.first[i + 1]
-                    own = np.unique(np.concatenate([h[a:b] for h in every]))
-                    out.append(own[own != 0].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(out, pa.binary())], names=["y", "features"])
-
-    seen = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(presence, "y int, features binary").collect()
-    y = np.array([r.y for r in seen])
-    n_toxic, n_clean = int((y == 1).sum()), int((y == 0).sum())
+                    seen[int(y[part.at + i])].append(np.unique(np.concatenate([h[a:b] for h in every])))
+            for toxic in (0, 1):
+                keys, n = np.unique(np.concatenate(seen[toxic] or [np.zeros(0, _U)]), return_counts=True)
+                for at in range(0, len(keys), 100_000):
+                    own, count = keys[at : at + 100_000].view(np.int64), n[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(count * toxic), pa.array(count * (1 - toxic))], names=["feature", "toxic", "clean"])
+
+    rows = sample.select("text", F.col("y").cast("int").alias("y"))
     none = Model(np.zeros(0, _U), np.zeros(0), 2 * START)
+    sizes = dict(rows.groupBy("y").count().collect())
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
         return none
-    toxic, a = np.unique(np.concatenate([np.frombuffer(r.features, _U) for r in seen if r.y == 1]), return_counts=True)
-    clean, c = np.unique(np.concatenate([np.frombuffer(r.features, _U) for r in seen if r.y == 0]), return_counts=True)
-    b = _lookup(clean, c.astype(float), toxic)
-    odds = (a + 0.5) / (n_toxic + 1) / ((b + 0.5) / (n_clean + 1))
-    good = np.flatnonzero((a >= max(2, LEAST_SHARE * n_toxic)) & (odds >= LEAST_ODDS))
-    good = good[np.argsort(-(a * np.log(odds))[good], kind="stable")][:features]
-    keys = np.sort(toxic[good])
+    counts = rows.mapInArrow(presence, "feature long, toxic long, clean long").where("feature <> 0").groupBy("feature").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
+    odds = (F.col("a") + 0.5) / (n_toxic + 1) / ((F.col("b") + 0.5) / (n_clean + 1))
+    good = counts.where((F.col("a") >= max(2, LEAST_SHARE * n_toxic)) & (odds >= LEAST_ODDS))
+    best = good.orderBy((F.col("a") * F.log(odds)).desc(), "feature").limit(features).select("feature").collect()
+    keys = np.sort(np.array([r.feature for r in best], dtype=np.int64).view(_U))
     if not len(keys):
         return none
 
@@ -135,7 +129,7 @@ def train(sample: DataFrame, features: int = FEATURES, rounds: int = ROUNDS) ->
         for batch in batches:
             out, y = [], np.asarray(batch.column(1))
             for part in words.slices(batch.column(0), lower=True):
-                sentence, every, _, found = instances(part)
+                sentence, every, found = instances(part)
                 hits = [(h_at, np.searchsorted(keys, h[h_at])) for h in every for h_at in [np.flatnonzero(np.isin(h, keys))]]
                 word = np.concatenate([w for w, _ in hits])
                 which = np.concatenate([f for _, f in hits])
@@ -147,7 +141,7 @@ def train(sample: DataFrame, features: int = FEATURES, rounds: int = ROUNDS) ->
                     out.append((int(len(np.unique(sentence[a:b]))), pairs.astype(np.int64).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array([n for n, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], names=["y", "sentences", "pairs"])
 
-    bag = sample.select("text", F.col("y").cast("int").alias("y")).mapInArrow(bags, "y int, sentences long, pairs binary").collect()
+    bag = rows.mapInArrow(bags, "y int, sentences long, pairs binary").collect()
     return _fit(keys, bag, rounds)
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE = 2 << 20
+SLICE = 1 << 20
 _U = np.uint64
 
 
@@ -81,13 +82,26 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        """A 64-bit hash per word, the same for the same bytes anywhere."""
+    @functools.cached_property
+    def _sums(self) -> np.ndarray:
         n = len(self.data)
-        power, inverse = _power_tables(n + 1)
         sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_BYTE[self.data] * power[:n], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
+        np.multiply(_BYTE[self.data], _power_tables(n + 1)[0][:n], out=sums[1:])
+        return np.cumsum(sums, out=sums)
+
+    def _hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self._sums[ends] - self._sums[starts]) * _power_tables(len(self.data) + 1)[1][starts])
+
+    def hashes(self) -> np.ndarray:
+        """A 64-bit hash per word, the same for the same bytes anywhere."""
+        return self._hash(self.starts, self.ends)
+
+    def head_hashes(self, size: int) -> np.ndarray:
+        """A hash of the first ``size`` bytes of each word, 0 for shorter words."""
+        long = self.ends - self.starts >= size
+        out = np.zeros(len(self), dtype=_U)
+        out[long] = mix(self._hash(self.starts[long], self.starts[long] + size) + _U(size))
+        return out
 
 
 def slices(column: pa.Array, lower: bool = False, limit: int = SLICE) -> Iterator[Texts]:
