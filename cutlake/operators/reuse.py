@@ -189,34 +189,33 @@ def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float
     sums = {f"_g{p}": F.floor(signed_sum(2**p) / F.lit(float(size) * limit)) for p in range(projections)}
     grid = list(sums)
     home = unique.select(F.col(key).alias("id"), "_v", "copies", *[e.alias(n) for n, e in sums.items()])
-    near = home
+    counted = home.groupBy(*grid).agg(F.ceil(F.count("*") / block).alias("_parts"))
+    placed = home.join(counted, grid).withColumn("_block", F.struct(*grid, F.pmod(F.xxhash64("id"), F.col("_parts")).alias("part")))
+    rows = placed.groupBy("_block").agg(F.collect_list(F.struct("id", "_v", "copies")).alias("rs"))
+    blocks = rows.select(F.to_json("_block").alias("_block"), *[F.transform("rs", lambda r: r[f]).alias(f) for f in ("id", "copies")], F.flatten(F.transform("rs", lambda r: r["_v"])).alias("v"))
+    # cells and block names meet their neighbours; vectors follow only to the pairs of blocks that are compared
+    names = counted.select(*grid, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
+    names = names.select(*grid, F.to_json(F.struct(*grid, "part")).alias("_block"))
+    near = names.withColumnRenamed("_block", "_b")
     for g in grid:
         near = near.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
-    met = _blocks(home, grid, "a", block).join(_blocks(near, grid, "b", block), grid)
+    both = names.withColumnRenamed("_block", "_a").join(near, grid).where("_a <= _b").select("_a", "_b")
+    side = lambda p: blocks.select(F.col("_block").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "copies", "v")])
+    pairs = both.join(side("a"), "_a").join(side("b"), "_b").select(*[f"{p}_{c}" for p in "ab" for c in ("id", "v", "copies")], (F.col("_a") == F.col("_b")).alias("same"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples(index=False):
-                left, right = (np.asarray(v, dtype="float64").reshape(-1, size) for v in (row.a_vs, row.b_vs))
+                left, right = (np.asarray(v, dtype="float64").reshape(-1, size) for v in (row.a_v, row.b_v))
                 gap = np.abs(left[:, None, :] - right[None, :, :]).mean(axis=2)
-                i, j = np.nonzero((gap <= limit) & (np.asarray(row.a_ids)[:, None] < np.asarray(row.b_ids)[None, :]))
-                yield pd.DataFrame(
-                    {"a": np.asarray(row.a_ids)[i], "b": np.asarray(row.b_ids)[j], "a_copies": np.asarray(row.a_copies)[i], "b_copies": np.asarray(row.b_copies)[j], "distance": gap[i, j]}
-                )
+                own, other = np.asarray(row.a_id), np.asarray(row.b_id)
+                i, j = np.nonzero((gap <= limit) & (~np.bool_(row.same) | (own[:, None] < other[None, :])))
+                a, b, turn = own[i], other[j], own[i] > other[j]
+                n, m = np.asarray(row.a_copies)[i], np.asarray(row.b_copies)[j]
+                yield pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "a_copies": np.where(turn, m, n), "b_copies": np.where(turn, n, m), "distance": gap[i, j]})
 
-    pairs = met.select(*[f"{s}_{c}" for s in "ab" for c in ("ids", "vs", "copies")])
     kind = dict(vectors.dtypes)[key]
-    found = pairs.mapInPandas(measure, f"a {kind}, b {kind}, a_copies long, b_copies long, distance double")
-    return found.orderBy("distance", "a", "b")
-
-
-def _blocks(cells: DataFrame, grid: list[str], side: str, block: int) -> DataFrame:
-    """Vectors of a cell in blocks of about ``block``, so a crowded cell becomes many small pieces of work."""
-    counted = cells.groupBy(*grid).agg(F.ceil(F.count("*") / block).alias("_parts"))
-    placed = cells.join(counted, grid).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")))
-    rows = placed.groupBy(*grid, "_part").agg(F.collect_list(F.struct("id", "_v", "copies")).alias("rs"))
-    pick = lambda f: F.transform("rs", lambda r: r[f])
-    return rows.select(*grid, pick("id").alias(f"{side}_ids"), F.flatten(pick("_v")).alias(f"{side}_vs"), pick("copies").alias(f"{side}_copies"))
+    return pairs.mapInPandas(measure, f"a {kind}, b {kind}, a_copies long, b_copies long, distance double")
 
 
 def shot_stats(frames: DataFrame, keys: list[str], metrics: list[str], hue: str, hist: str) -> DataFrame:

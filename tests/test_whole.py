@@ -91,3 +91,11 @@ def test_one_busy_key_is_scanned_in_chunks(spark, monkeypatch):
         monkeypatch.setattr(bus, "CHUNK_US", width)
         seen.append(sorted(tuple(r) for r in bus.leases(beats).collect()))
     assert seen[0] == seen[1] == seen[2] and len(seen[0]) == 2000
+
+
+def test_vectors_stay_out_of_the_neighbour_search(spark):
+    df = spark.createDataFrame([(i, [float(i % 7)] * 4) for i in range(40)], "id long, v array<double>")
+    plan = reuse.frame_distance_pairs(df, "id", "v", 0.05, 4)._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Generate explode(array(" in line:
+            assert "_v#" not in line and ", v#" not in line
