@@ -102,11 +102,10 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     """
     if top_n < 1:
         raise ValueError("top_n must be at least 1")
-    # Token sets and overlaps are read several times below, so each is written once.
+    # Token sets are read several times below, so they are written once; of the pairs only the best of each role.
     terms, clips = role_terms(roles), cut_lineage(catalog_terms(catalog, features))
-    overlaps = cut_lineage(score_overlaps(terms, clips))
-    scored = _scored(overlaps, terms, clips)
-    best = S.top_k_per(scored, ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
+    scored = _scored(score_overlaps(terms, clips), terms, clips)
+    best = cut_lineage(S.top_k_per(scored, ["role_id"], [F.col("score").desc(), F.col("path")], top_n))
 
     bar = best.groupBy("role_id").agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
     lowest = -20.0
@@ -128,10 +127,11 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     caps = F.array(*[F.struct(F.lit("".join(map(str, k))).alias("_kind"), bound(*k).alias("_cap")) for k in every])
     reach = clips.select("path", F.explode(caps).alias("k")).select("path", "k.*").withColumn("_bucket", F.floor("_cap"))
     contenders = reach.join(weak, ["_kind", "_bucket"]).where(F.col("_cap") >= F.col("_bar")).select("role_id", "path")
-    rest = contenders.join(overlaps.select("role_id", "path"), ["role_id", "path"], "left_anti")
     empty = F.array().cast("array<string>")
-    others = _scored(rest.select("role_id", "path", F.lit(0.0).alias("word_score"), empty.alias("words")), terms, clips)
-    return S.top_k_per(best.drop("rank").unionByName(others), ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
+    others = _scored(contenders.select("role_id", "path", F.lit(0.0).alias("word_score"), empty.alias("words")), terms, clips)
+    # A contender that shares words scores higher with them: that row is already among the best, or the best are full without it.
+    merged = best.drop("rank").unionByName(others).groupBy("role_id", "path").agg(F.max_by(F.struct("clip_id", "score", "evidence"), "score").alias("s"))
+    return S.top_k_per(merged.select("role_id", "path", "s.*"), ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
 
 
 def bed_penalty(windows: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:
