@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cutlake.llm import store
 from cutlake.llm.numbering import numbered
 
 CAPACITY, END = 2048, 0
@@ -213,5 +214,9 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, **how) -> DataFrame:
-    """Pieces of all documents with their sequence and offset."""
-    return pack(pieces(docs, vocabulary, id, text, capacity, **how), [id, "piece", "ids_crc32"], capacity=capacity)
+    """Pieces of all documents with their sequence and offset.
+
+    Pieces are written once, since a sort by ranges reads its input twice.
+    """
+    parts = store.keep(pieces(docs, vocabulary, id, text, capacity, **how), "pieces")
+    return pack(parts, [id, "piece", "ids_crc32"], capacity=capacity)
