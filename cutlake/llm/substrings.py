@@ -13,7 +13,7 @@ from cutlake.llm import words
 
 WINDOW = 20
 CHUNK_WINDOWS = 1_000_000
-BUCKET_WINDOWS = 1_000_000
+BUCKET_WINDOWS = 2_000_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 LOWEST = -(1 << 63)
@@ -79,10 +79,13 @@ class _Chunk:
         self.hashes = np.concatenate([d[2] for d in docs])
 
     def head(self) -> bytes:
-        """Ids, text digests (32 bits) and first places, small, since every row of the chunk carries them."""
-        steps = np.diff(self.ids, prepend=0)
-        low, high = steps & 0xFFFFFFFF, (steps >> 32) & 0xFFFFFFFF
-        return pack(np.concatenate([low, high, self.texts & 0xFFFFFFFF, np.diff(self.first)]))
+        """Ids, text digests (32 bits) and first places of all documents: once for the chunk."""
+        return pack(np.concatenate([*_halves(self.ids), self.texts & 0xFFFFFFFF, self.first[:-1]]))
+
+    def order(self, places: np.ndarray) -> bytes:
+        """Ids and first places of the documents that the places lie in: what their order needs."""
+        own = np.unique(_owner(self.first, places))
+        return pack(np.concatenate([*_halves(self.ids[own]), np.diff(self.first[own], prepend=0)]))
 
     def rows(self, buckets: int):
         """For each bucket the hashes that open here and their places; then the places that repeat an earlier one here."""
@@ -92,10 +95,8 @@ class _Chunk:
         lead = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         doc, lead_doc = _owner(self.first, order), _owner(self.first, lead)
         later = (self.ids[doc] != self.ids[lead_doc]) | (order - self.first[doc] != lead - self.first[lead_doc])
-        head, key = self.head(), int(words.mix(np.add.reduce(words.mix(self.ids.view(_U)) ^ self.texts.view(_U), keepdims=True))[0].view(np.int64))
-        repeats = np.sort(order[later])
-        if len(repeats):
-            yield key % buckets, key, head, None, ascending(repeats)
+        key = int(words.mix(np.add.reduce(words.mix(self.ids.view(_U)) ^ self.texts.view(_U), keepdims=True))[0].view(np.int64))
+        yield key % buckets, key, self.head(), None, ascending(np.sort(order[later]))
         opens = np.sort(order[~later])
         h = self.hashes[opens]
         bucket = (h % _U(buckets)).astype(np.int64)
@@ -104,16 +105,27 @@ class _Chunk:
         for b in range(buckets):
             part = opens[by[cuts[b] : cuts[b + 1]]]
             if len(part):
-                yield b, key, head, short(self.hashes[part]), ascending(part)
+                yield b, key, self.order(part), short(self.hashes[part]), ascending(part)
 
 
 def _owner(first: np.ndarray, places: np.ndarray) -> np.ndarray:
     return np.searchsorted(first, places, side="right") - 1
 
 
+def _halves(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    steps = np.diff(ids, prepend=0)
+    return steps & 0xFFFFFFFF, (steps >> 32) & 0xFFFFFFFF
+
+
 def _head(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    low, high, texts, sizes = unpack(data).reshape(4, -1)
-    return np.cumsum(low | (high << 32)), texts.astype(np.int32).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+    """Ids, text digests, first places of all documents of a chunk."""
+    low, high, texts, first = unpack(data).reshape(4, -1)
+    return np.cumsum(low | (high << 32)), texts.astype(np.int32).astype(np.int64), first
+
+
+def _order(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    low, high, first = unpack(data).reshape(3, -1)
+    return np.cumsum(low | (high << 32)), np.cumsum(first)
 
 
 ROW = pa.schema([("bucket", pa.int64()), ("chunk", pa.int64()), ("head", pa.binary()), ("hashes", pa.binary()), ("places", pa.binary())])
@@ -149,9 +161,12 @@ def _windows(rows: DataFrame, size: int, buckets: int) -> DataFrame:
 
 
 def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
-    """Per chunk and bucket the places of windows that start earlier elsewhere."""
+    """Per chunk and bucket the places of windows that start earlier elsewhere; a chunk's head comes with one of its rows."""
     out = pa.schema([("chunk", pa.int64()), ("head", pa.binary()), ("places", pa.binary())])
 
+    def one(*values):
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, out.types)], schema=out)
+
     def run(batches):
         held, bucket = [], None
         for batch in batches:
@@ -161,7 +176,7 @@ def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
                     yield from judged(held)
                     held, bucket = [], b
                 if hashes is None:  # judged in its chunk already
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, head, places), out.types)], schema=out)
+                    yield one(chunk, head, places)
                 else:
                     held.append((chunk, head, long(hashes), _deltas(places)))
         yield from judged(held)
@@ -181,7 +196,7 @@ def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
         doc, start = np.empty(len(hashes), np.int64), np.empty(len(hashes), np.int64)
         places = np.concatenate([x[3] for x in held])
         for r, (_, head, _, own) in enumerate(held):
-            ids, _, first = _head(head)
+            ids, first = _order(head)
             which, span = _owner(first, own), slice(sum(sizes[:r]), sum(sizes[: r + 1]))
             doc[span], start[span] = ids[which], own - first[which]
         at = at[np.lexsort((start[at], doc[at], hashes[at]))]
@@ -190,10 +205,10 @@ def _repeats(packed: DataFrame, buckets: int) -> DataFrame:
         late = at[(doc[at] != doc[lead]) | (start[at] != start[lead])]
         late = late[np.argsort(row[late], kind="stable")]
         cuts = np.searchsorted(row[late], np.arange(len(held) + 1))
-        for r, (chunk, head, _, _) in enumerate(held):
+        for r, (chunk, *_) in enumerate(held):
             own = late[cuts[r] : cuts[r + 1]]
             if len(own):
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((chunk, head, ascending(np.sort(places[own]))), out.types)], schema=out)
+                yield one(chunk, None, ascending(np.sort(places[own])))
 
     met = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(run, "chunk long, head binary, places binary")
@@ -208,14 +223,15 @@ def _intervals(found: DataFrame, size: int) -> DataFrame:
             for i in range(batch.num_rows):
                 c, h, places = (batch.column(k)[i].as_py() for k in range(3))
                 if c != chunk:
-                    if held:
-                        yield intervals(head, held)
-                    held, chunk, head = [], c, h
+                    yield from intervals(head, held)
+                    held, chunk, head = [], c, None
                 held.append(_deltas(places))
-        if held:
-            yield intervals(head, held)
+                head = h or head
+        yield from intervals(head, held)
 
     def intervals(head, held):
+        if not sum(map(len, held)):
+            return
         ids, texts, first = _head(head)
         places = np.sort(np.concatenate(held))
         doc = _owner(first, places)
@@ -227,7 +243,7 @@ def _intervals(found: DataFrame, size: int) -> DataFrame:
         owners, at = np.unique(doc[begin], return_index=True)
         cuts = pa.array(np.concatenate((at, [len(begin)])).astype(np.int32))
         lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (start[begin], start[end] + size)]
-        return pa.RecordBatch.from_arrays([pa.array(ids[owners]), pa.array(texts[owners]), *lists], names=["_id", "_digest", "_starts", "_ends"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[owners]), pa.array(texts[owners]), *lists], names=["_id", "_digest", "_starts", "_ends"])
 
     met = found.repartition("chunk").sortWithinPartitions("chunk")
     return met.mapInArrow(merge, "_id long, _digest long, _starts array<long>, _ends array<long>")
@@ -247,7 +263,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     earlier than one another. A null text has no words. Other columns are ignored.
 
     Hashes of all windows are dealt into buckets by hash: about one for each
-    ``BUCKET_WINDOWS``, so a bucket fits a task at any size of the input. Of equal
+    ``BUCKET_WINDOWS``, so a bucket fits a task at any size of the input. A row of a
+    chunk and bucket names only the documents that it has windows of. Of equal
     windows in a chunk of documents only the earliest travels, so a passage that is
     everywhere sends one entry a chunk. Windows are equal if they agree in bucket and
     in 56 more bits of their hash.
