@@ -273,7 +273,8 @@ def build(docs: DataFrame, text: str = "text", order: int = ORDER, discount: flo
 
     Words are cut at white space, A-Z lowered; a text ends with an end token. All
     words are kept with their exact counts; longer n-grams are kept from ``least``
-    occurrences on, at any size of the input. A kept n-gram's parts occur as often,
+    occurrences on, at any size of the input (1: all of them, with exact counts, as
+    the query does). A kept n-gram's parts occur as often,
     so each pass only counts n-grams whose parts the levels above hold. The mass of
     discounts and of n-grams not kept goes to the shorter context.
 

@@ -102,7 +102,7 @@ def op4(spark, folder):
 @query("op6_lm_scoring")
 def op6(spark, folder):
     held = F.coalesce(toxicity.fold(F.col("doc_id"), 5) == 1, F.lit(False))
-    scored = ngrams.lm_scores(table(spark, folder, "documents"), ~held)
+    scored = ngrams.lm_scores(table(spark, folder, "documents"), ~held, least=1)  # statistics of all n-grams
     return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

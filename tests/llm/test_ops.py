@@ -271,6 +271,25 @@ def test_language_model_edges(spark, docs):
     assert ngrams.lm_scores(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_language_model_query_counts_every_ngram(spark, small):
+    training = [brute.fold(i, 5) != 1 for i, _ in small]
+    want, total = brute.language_model(small, training, least=1)
+    got = {r.doc_id: r for r in entry.queries()["op6_lm_scoring"](spark, SMALL).collect()}
+    assert len(got) == len(small)
+    for (i, _), (n, known, base, own) in zip(small, want):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (n, known, total)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(own, abs=3 * n / ngrams.SCALE)
+
+
+def test_language_model_trie_holds_ngrams_seen_once(spark, small):
+    rows = small[:40]
+    trie = ngrams.build(spark.createDataFrame(rows, "doc_id long, text string"), least=1)
+    tokens = [brute.SPACED.findall((t or "").translate(brute.LOW)) + ["\0"] for _, t in rows]
+    for n in (1, 2, 3):
+        assert trie.offsets[n - 1][-1] == len({g for w in tokens for g in zip(*(w[k:] for k in range(n)))})
+
+
 @pytest.mark.parametrize("top", [1, 50, 10_000, 2**40, 2**61])
 def test_elias_fano(tmp_path, top):
     r = np.random.default_rng(top % 97)
