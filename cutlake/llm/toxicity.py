@@ -178,9 +178,11 @@ def _fit(keys: np.ndarray, bag: list, rounds: int) -> Model:
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text", suspect: float = 0.5) -> DataFrame:
     """``id, score, sentences`` of every whole text.
 
-    ``score`` is the noisy-or of the sentence scores; ``sentences`` are the byte
-    ranges and scores of those of at least ``suspect``. A text without words has no
-    sentence and gets the score of one without features. Other columns are ignored.
+    ``score`` is the noisy-or of the sentences that score at least ``suspect``;
+    ``sentences`` are their byte ranges and scores. The noisy-or of all sentences
+    stands in where it is higher, up to ``suspect``: weak sentences order texts,
+    but never pass it by their number. A text without words has no sentence and
+    gets the score of one without features. Other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [T.StructField("id", docs.schema[id].dataType), *T.StructType.fromDDL("score double, sentences array<struct<start:long,end:long,score:double>>").fields]
@@ -196,6 +198,8 @@ def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text",
                 sums = np.concatenate(([0.0], np.cumsum(soft)))
                 start = np.searchsorted(first, found.first)
                 total = sums[start[1:]] - sums[start[:-1]] + np.where(start[1:] == start[:-1], _softplus(np.float64(fitted.bias)), 0.0)
+                strong = np.concatenate(([0.0], np.cumsum(np.where(z >= limit, soft, 0.0))))
+                total = np.maximum(strong[start[1:]] - strong[start[:-1]], np.minimum(total, -np.log1p(-suspect)))
                 scores[part.at : part.at + len(part)] = np.clip(-np.expm1(-total), 0.0, 1.0)
                 ends = np.append(first[1:], len(found)) - 1
                 hot = np.flatnonzero(z >= limit)

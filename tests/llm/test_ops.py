@@ -236,6 +236,21 @@ def test_toxicity(spark):
         assert r.score >= rest - 1e-9
 
 
+def test_toxicity_does_not_grow_with_length(spark):
+    docs, labels = (queries.table(spark, "/root/testdata/sf0.01", name) for name in ("documents", "labels"))
+    model = queries.toxic_model(docs, labels)
+    found = toxicity.score(docs, model).where("size(sentences) > 0").join(docs, "doc_id").collect()
+    s, text = max(((s, r.text) for r in found for s in r.sentences), key=lambda x: x[0].score)
+    toxic = text.encode()[s.start : s.end].decode()
+    plain = "The river ran slowly past the old mill. "
+    rows = [(1, plain), (2, plain * 100_000), (3, plain * 50_000 + toxic + ". " + plain * 50_000), (4, toxic)]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[1].score <= 0.5 and got[2].score <= 0.5 + 1e-9 and not got[2].sentences
+    assert got[3].score == pytest.approx(got[4].score) and got[3].score >= toxicity.THRESHOLD and len(got[3].sentences) == 1
+    kept = toxicity.drop_toxic(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 2]
+
+
 def test_toxicity_edges(spark, docs):
     labels = spark.createDataFrame([(1, 1), (4, None), (6, 0), (None, 1), (9, 5)], "doc_id long, toxic int")
     for own in (labels, labels.limit(0)):
