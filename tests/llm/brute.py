@@ -104,3 +104,40 @@ def language_model(docs, training, order: int = 3, discount: float = 0.5, least:
 
 def fold(id, folds: int) -> int:
     return zlib.crc32(str(id).encode()) % folds
+
+
+def near_vectors(rows, threshold: float = 0.93):
+    """Per row of ``(id, vector, label)``: linked rows and the smallest id reachable."""
+    good = [v is not None and l is not None and any(v) and all(x is not None and math.isfinite(x) for x in v) for _, v, l in rows]
+
+    def linked(i, j):
+        (_, a, k), (_, b, l) = rows[i], rows[j]
+        if not (good[i] and good[j]) or k != l or len(a) != len(b):
+            return False
+        a, b = [x / max(map(abs, a)) for x in a], [x / max(map(abs, b)) for x in b]
+        return math.fsum(x * y for x, y in zip(a, b)) / math.sqrt(math.fsum(x * x for x in a) * math.fsum(x * x for x in b)) >= threshold
+
+    near = [[j for j in range(len(rows)) if j != i and linked(i, j)] for i in range(len(rows))]
+    least = [None] * len(rows)
+    for i in range(len(rows)):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        least[i] = min((rows[j][0] for j in seen if rows[j][0] is not None), default=None)
+    return [len(x) for x in near], least
+
+
+def hard_negatives(rows, anchor, positives: int = 5, negatives: int = 3, low: int = 50, high: int = 95, scale: int = 256):
+    """``(anchor, positive, rank, negative, positive score, negative score)`` of rows ``(id, vector, label)``."""
+    own = [(i, [math.floor(scale * x) for x in v], l) for i, v, l in rows if l is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = []
+    for n, (a, x, l) in enumerate(own):
+        if not anchor(a):
+            continue
+        ranked = sorted((-sum(p * q for p, q in zip(x, y)), math.inf if i is None else i, m) for m, (i, y, _) in enumerate(own) if m != n)
+        for s, _, m in [r for r in ranked if own[r[2]][2] == l][:positives]:
+            found = [(t, k) for t, _, k in ranked if own[k][2] != l and low * -s <= 100 * -t <= high * -s][:negatives]
+            out += [(a, own[m][0], r, own[k][0], -s, -t) for r, (t, k) in enumerate(found, 1)]
+    return out
