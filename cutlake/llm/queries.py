@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cutlake.llm import decontaminate, exact, lines, negatives, ngrams, packing, sharding, simhash, substrings, toxicity, vectornear, warc
+from cutlake.llm import collocations, decontaminate, exact, lines, negatives, ngrams, packing, sharding, simhash, substrings, toxicity, vectornear, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -149,6 +149,24 @@ def op10(spark, folder):
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query(
+    "op11_collocations",
+    """WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+    p AS (SELECT lang, regexp_extract_all(unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS w FROM d),
+    n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+    g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda s: array_to_string(w[s:s + k - 1], ' '))) AS phrase FROM p, range(1, 6) AS r(k) WHERE len(w) >= k),
+    f AS (SELECT lang, k, phrase, count(*) AS c FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT * FROM f WHERE k >= 2 AND NOT EXISTS (SELECT 1 FROM f x WHERE x.lang = f.lang AND x.k > f.k AND x.c >= f.c AND contains(' ' || x.phrase || ' ', ' ' || f.phrase || ' '))),
+    s AS (SELECT c.lang, c.phrase, c.c AS a, unnest(range(1, c.k)) AS j, string_split(c.phrase, ' ') AS w FROM c),
+    cuts AS (SELECT s.lang, s.phrase, a, j, x.c AS l, y.c AS r, n::BIGINT AS n, (1000::HUGEINT * a * n // (x.c::HUGEINT * y.c))::BIGINT AS score FROM s JOIN n USING (lang)
+      JOIN f x ON x.lang = s.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN f y ON y.lang = s.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+    low AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM low QUALIFY rank <= 2000""",
+)
+def op11(spark, folder):
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
 @query(
     "op12_vector_near",
     """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings

@@ -141,3 +141,29 @@ def hard_negatives(rows, anchor, positives: int = 5, negatives: int = 3, low: in
             found = [(t, k) for t, _, k in ranked if own[k][2] != l and low * -s <= 100 * -t <= high * -s][:negatives]
             out += [(a, own[m][0], r, own[k][0], -s, -t) for r, (t, k) in enumerate(found, 1)]
     return out
+
+
+def collocations(rows, least: int = 100, longest: int = 5, keep: int = 2000):
+    """``(lang, rank, phrase, a, l, r, n, score)`` of rows ``(text, lang)``."""
+    counts, totals = defaultdict(Counter), Counter()
+    for text, lang in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOW)):
+            w = tuple(re.findall(r"[^\x20\x09]+", piece))
+            totals[lang or "und" if lang != "" else ""] += len(w)
+            for k in range(1, longest + 1):
+                counts[lang or "und" if lang != "" else ""].update(w[i : i + k] for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in counts.items():
+        often = {p: a for p, a in f.items() if a >= least and len(p) >= 2}
+        inside = {}
+        for p, a in often.items():
+            for k in range(2, len(p)):
+                for s in range(len(p) - k + 1):
+                    inside[p[s : s + k]] = max(a, inside.get(p[s : s + k], 0))
+        found = []
+        for p, a in often.items():
+            if inside.get(p, 0) < a:
+                score, k = min((1000 * a * totals[lang] // (f[p[:k]] * f[p[k:]]), k) for k in range(1, len(p)))
+                found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
+        out += [(lang, i, p.decode(), -a, l, r, totals[lang], -s) for i, (s, a, p, l, r) in enumerate(sorted(found)[:keep], 1)]
+    return out
