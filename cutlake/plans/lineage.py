@@ -10,12 +10,12 @@ c = F.col
 
 @view
 def stage_receipts(q: Dialect) -> str:
-    """The first fourteen orders of a customer, in date order, as its stage receipts; a few are broken on purpose."""
-    ident = q.sha("concat(cast(o_custkey as string), '|', cast(i as string), '|', cast(o_orderkey as string))")
-    return f"""SELECT o_custkey AS project, i AS stage_idx, o_orderkey, CASE WHEN o_totalprice > 480000 THEN 'FAIL' WHEN o_totalprice < 16000 THEN 'PENDING' ELSE 'PASS' END AS status, {ident} AS receipt_id,
-      CASE WHEN i > 0 THEN CASE WHEN o_totalprice > 470000 THEN 'x' ELSE lag({ident}) OVER (PARTITION BY o_custkey ORDER BY i) END END AS predecessor_id, o_orderpriority AS receipt_sha256, CASE WHEN o_totalprice > 460000 THEN 'y' ELSE o_orderpriority END AS actual_sha256,
+    """All orders of a customer in date order: each run of fourteen is a project's stage receipts; a few are broken on purpose."""
+    ident = q.sha("concat(p, '|', cast(i as string), '|', cast(o_orderkey as string))")
+    return f"""SELECT p AS project, i AS stage_idx, o_orderkey, CASE WHEN o_totalprice > 480000 THEN 'FAIL' WHEN o_totalprice < 16000 THEN 'PENDING' ELSE 'PASS' END AS status, {ident} AS receipt_id,
+      CASE WHEN i > 0 THEN CASE WHEN o_totalprice > 470000 THEN 'x' ELSE lag({ident}) OVER (PARTITION BY p ORDER BY i) END END AS predecessor_id, o_orderpriority AS receipt_sha256, CASE WHEN o_totalprice > 460000 THEN 'y' ELSE o_orderpriority END AS actual_sha256,
       o_orderstatus AS art, CASE WHEN o_totalprice > 450000 THEN 'z' ELSE o_orderstatus END AS art_now, o_totalprice > 440000 AS changed
-      FROM (SELECT *, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS bigint) AS i FROM {q.t('orders')}) x WHERE i < 14"""
+      FROM (SELECT *, concat(cast(o_custkey as string), '-', cast({q.div('k', '14')} as string)) AS p, k % 14 AS i FROM (SELECT *, cast(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS bigint) AS k FROM {q.t('orders')}) x) y"""
 
 
 CHAIN = """lc AS (SELECT *, lag(receipt_id) OVER w AS pv FROM stage_receipts WINDOW w AS (PARTITION BY project ORDER BY stage_idx)),
@@ -53,9 +53,9 @@ LAYER_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in L.LAYERS)
 
 @query(
     "l4_layer_status",
-    f"""WITH {CHAIN}, ly(layer, stage) AS (VALUES {LAYER_ROWS}), st AS (SELECT project, {STAGE_LIST}[stage_idx + 1] AS stage, status, valid FROM vc), ev AS (SELECT c_custkey AS project, 'colour_grade_proof' AS layer, 'WITHHELD' AS status FROM customer WHERE c_mktsegment = 'MACHINERY'),
-    ca AS (SELECT c_custkey AS project, CASE c_mktsegment WHEN 'BUILDING' THEN 'render' END AS layer, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'VISUAL_QC' WHEN 'FURNITURE' THEN 'odd' END AS call_stage FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'FURNITURE') AND c_acctbal > 0),
-    r AS (SELECT c_custkey AS project, ly.*, list_position({STAGE_LIST}, stage) - 1 AS pos FROM customer, ly),
+    f"""WITH {CHAIN}, ly(layer, stage) AS (VALUES {LAYER_ROWS}), st AS (SELECT project, {STAGE_LIST}[stage_idx + 1] AS stage, status, valid FROM vc), ev AS (SELECT c_custkey || '-0' AS project, 'colour_grade_proof' AS layer, 'WITHHELD' AS status FROM customer WHERE c_mktsegment = 'MACHINERY'),
+    ca AS (SELECT c_custkey || '-0' AS project, CASE c_mktsegment WHEN 'BUILDING' THEN 'render' END AS layer, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 'VISUAL_QC' WHEN 'FURNITURE' THEN 'odd' END AS call_stage FROM customer WHERE c_mktsegment IN ('BUILDING', 'HOUSEHOLD', 'FURNITURE') AND c_acctbal > 0),
+    pr AS (SELECT c_custkey || '-0' AS project FROM customer UNION SELECT project FROM stage_receipts), r AS (SELECT project, ly.*, list_position({STAGE_LIST}, stage) - 1 AS pos FROM pr, ly),
     o AS (SELECT r.*, CASE WHEN st.status = 'PASS' THEN CASE WHEN valid THEN 'PROVEN' ELSE 'FAILED' END WHEN st.status = 'FAIL' THEN 'FAILED' ELSE 'PENDING_MACHINE' END AS own, ev.status AS e FROM r LEFT JOIN st USING (project, stage) LEFT JOIN ev USING (project, layer)),
     s AS (SELECT *, ['FAILED', 'PENDING_MACHINE', 'WITHHELD', 'PENDING_HUMAN', 'PROVEN'] AS sv FROM o), w AS (SELECT *, sv[least(list_position(sv, own), coalesce(list_position(sv, e), 9))] AS weak FROM s)
     SELECT project, layer, stage, CASE WHEN weak = 'PENDING_MACHINE' AND ((layer = 'human_approval' AND EXISTS (SELECT 1 FROM st WHERE st.project = w.project AND st.stage = 'LOCAL_REVIEW_READY' AND valid)) OR (layer = 'delivery_approval' AND EXISTS (SELECT 1 FROM st WHERE st.project = w.project AND st.stage = 'HUMAN_APPROVED' AND valid))
@@ -64,12 +64,13 @@ LAYER_ROWS = ", ".join(f"('{a}', '{b}')" for a, b in L.LAYERS)
 def _(t):
     stages = _verified(t).select("project", F.element_at(F.array(*[F.lit(s) for s in L.STAGES]), (c("stage_idx") + 1).cast("int")).alias("stage"), "status", "valid")
     segment = c("c_mktsegment")
-    evidence = t.customer.where(segment == "MACHINERY").select(c("c_custkey").alias("project"), F.lit("colour_grade_proof").alias("layer"), F.lit("WITHHELD").alias("status"))
+    first = F.concat(c("c_custkey").cast("string"), F.lit("-0")).alias("project")
+    evidence = t.customer.where(segment == "MACHINERY").select(first, F.lit("colour_grade_proof").alias("layer"), F.lit("WITHHELD").alias("status"))
     calls = t.customer.where(segment.isin("BUILDING", "HOUSEHOLD", "FURNITURE")).select(
-        c("c_custkey").alias("project"), F.when(segment == "BUILDING", "render").alias("layer"), F.when(segment == "HOUSEHOLD", "VISUAL_QC").when(segment == "FURNITURE", "odd").alias("call_stage"),
+        first, F.when(segment == "BUILDING", "render").alias("layer"), F.when(segment == "HOUSEHOLD", "VISUAL_QC").when(segment == "FURNITURE", "odd").alias("call_stage"),
         F.when(c("c_acctbal") <= 0, "ANSWERED").when(c("c_acctbal") > 5000, "awaiting_operator").alias("state"),
     )
-    return L.layer_status(t.customer.select(c("c_custkey").alias("project")), stages, evidence, calls)
+    return L.layer_status(t.customer.select(first).union(t.stage_receipts.select("project")).distinct(), stages, evidence, calls)
 
 
 @query(

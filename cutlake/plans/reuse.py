@@ -60,12 +60,12 @@ def _(t):
 
 @query(
     "g6_plan_health",
-    """WITH a AS (SELECT row, count(*) FILTER (kind = 'base') AS b, count(*) FILTER (kind = 'base' AND master_id IS NULL) AS s, count(DISTINCT file) FILTER (kind = 'variant') AS v FROM deliveries WHERE row % 3 > 0 OR kind <> 'base' GROUP BY 1)
+    """WITH r AS (SELECT * REPLACE (CASE WHEN row % 3 = 0 AND kind = 'base' THEN 'draft' ELSE kind END AS kind) FROM deliveries), a AS (SELECT row, count(*) FILTER (kind = 'base') AS b, count(*) FILTER (kind = 'base' AND master_id IS NULL) AS s, count(DISTINCT file) FILTER (kind = 'variant') AS v FROM r GROUP BY 1)
     SELECT s_suppkey AS row, coalesce(b, 0) AS base_records, coalesce(s, 0) AS sourceless, coalesce(v, 0) AS variants, CASE WHEN coalesce(b, 0) = 0 THEN 'UNRESOLVED' ELSE 'RESOLVED' END AS status, coalesce(s, 0) * 2 > coalesce(b, 0) AS delta_warning, coalesce(v, 0) < 95 + s_nationkey AS too_few_variants
     FROM supplier LEFT JOIN a ON row = s_suppkey""",
 )
 def _(t):
-    records = t.deliveries.withColumn("variant", c("file")).withColumn("_r", c("row") % 3).where("_r > 0 OR kind <> 'base'")
+    records = t.deliveries.withColumns({"variant": c("file"), "kind": F.when((c("row") % 3 == 0) & (c("kind") == "base"), "draft").otherwise(c("kind"))})
     return R.plan_health(records, t.supplier.select(c("s_suppkey").alias("row"), (c("s_nationkey") + 95).alias("expected_variants")))
 
 
@@ -83,21 +83,21 @@ def _(t):
 
 @query(
     "g8_reuse_violations",
-    """WITH s AS (SELECT l_suppkey AS project, l_orderkey AS block_id, l_partkey AS source FROM lineitem), b AS (SELECT s_suppkey AS project, o_orderkey AS block_id, CASE o_orderstatus WHEN 'F' THEN 'g1' WHEN 'O' THEN 'g2' ELSE '' END AS g FROM supplier JOIN orders ON o_totalprice > 60000)
-    SELECT project, source, count(*) AS uses FROM s LEFT JOIN b USING (project, block_id) GROUP BY 1, 2 HAVING count(*) > 1 AND (min(coalesce(g, '')) <> max(coalesce(g, '')) OR min(coalesce(g, '')) = '')""",
+    """WITH s AS (SELECT l_suppkey AS project, l_orderkey AS block_id, l_partkey AS source FROM lineitem), b AS (SELECT o_orderkey AS block_id, CASE WHEN o_totalprice <= 60000 THEN NULL WHEN o_orderstatus = 'F' THEN 'g1' WHEN o_orderstatus = 'O' THEN 'g2' ELSE '' END AS g FROM orders)
+    SELECT project, source, count(*) AS uses FROM s LEFT JOIN b USING (block_id) GROUP BY 1, 2 HAVING count(*) > 1 AND (min(coalesce(g, '')) <> max(coalesce(g, '')) OR min(coalesce(g, '')) = '')""",
 )
 def _(t):
     slots = t.lineitem.select(c("l_suppkey").alias("project"), c("l_orderkey").alias("block_id"), c("l_partkey").alias("source"))
-    group = t.orders.where("o_totalprice > 60000").select(c("o_orderkey").alias("block_id"), F.when(c("o_orderstatus") == "F", "g1").when(c("o_orderstatus") == "O", "g2").otherwise("").alias("repeat_group"))
+    group = t.orders.select(c("o_orderkey").alias("block_id"), F.when(c("o_totalprice") <= 60000, None).when(c("o_orderstatus") == "F", "g1").when(c("o_orderstatus") == "O", "g2").otherwise("").alias("repeat_group"))
     blocks = slots.select("project", "block_id").distinct().join(group, "block_id")
     return R.reuse_violations(slots, blocks)
 
 
 @view
 def family_slots(q: Dialect) -> str:
-    return f"""SELECT l_suppkey AS family, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN NULL ELSE concat(l_returnflag, l_linestatus) END AS variant, l_linenumber AS slot_id, CASE WHEN max(l_tax) > 0.07e0 THEN 'wide' ELSE 'close' END AS role, 24 AS frames,
-      cast({q.div('max(l_partkey)', '8')} as string) AS source_sha256, cast(max(l_quantity) as bigint) AS source_start_frame, cast(max(l_quantity) as bigint) + 24 AS source_end_frame FROM {q.t('lineitem')} WHERE l_linenumber < 7 OR l_tax > 0.03e0
-      GROUP BY l_suppkey, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN NULL ELSE concat(l_returnflag, l_linestatus) END, l_linenumber"""
+    return f"""SELECT l_suppkey AS family, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN NULL ELSE concat(l_returnflag, l_linestatus) END AS variant, CASE WHEN l_linenumber >= 7 AND l_tax <= 0.03e0 THEN 8 ELSE l_linenumber END AS slot_id, CASE WHEN max(l_tax) > 0.07e0 THEN 'wide' ELSE 'close' END AS role, 24 AS frames,
+      cast({q.div('max(l_partkey)', '8')} as string) AS source_sha256, cast(max(l_quantity) as bigint) AS source_start_frame, cast(max(l_quantity) as bigint) + 24 AS source_end_frame FROM {q.t('lineitem')}
+      GROUP BY l_suppkey, CASE WHEN l_returnflag = 'A' AND l_linestatus = 'F' THEN NULL ELSE concat(l_returnflag, l_linestatus) END, CASE WHEN l_linenumber >= 7 AND l_tax <= 0.03e0 THEN 8 ELSE l_linenumber END"""
 
 
 @query(

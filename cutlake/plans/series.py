@@ -60,12 +60,12 @@ def _(t):
 
 @query(
     "w12_blocks_from_cuts",
-    """WITH e AS (SELECT asset, frame AS b FROM supplier_days WHERE a >= 45 AND frame < 380 UNION SELECT s_suppkey, 399 FROM supplier), l AS (SELECT *, lag(b) OVER w AS p, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY asset ORDER BY b))
+    """WITH e AS (SELECT asset, frame AS b FROM supplier_days WHERE a >= 45 UNION SELECT asset, max(frame) + 19 FROM supplier_days GROUP BY 1), l AS (SELECT *, lag(b) OVER w AS p, row_number() OVER w AS i FROM e WINDOW w AS (PARTITION BY asset ORDER BY b))
     SELECT asset, 'p' || CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 3, '0') ELSE i::VARCHAR END AS block_id, coalesce(p + 1, 0) AS start_frame, b + 1 AS end_frame FROM l""",
 )
 def _(t):
-    clocks = t.supplier.select(c("s_suppkey").alias("asset"), F.lit(400).alias("frame_count"))
-    return X.blocks_from_cuts(clocks, t.supplier_days.where("a >= 45 AND frame < 380"), KEY, "frame", "frame_count")
+    clocks = t.supplier_days.groupBy("asset").agg((F.max("frame") + 20).alias("frame_count"))
+    return X.blocks_from_cuts(clocks, t.supplier_days.where("a >= 45"), KEY, "frame", "frame_count")
 
 
 ENV = """fe AS (SELECT asset, arg_min(flux, hop) AS f0, arg_max(flux, hop) AS f1, max(hop) AS hi FROM hops GROUP BY 1),
@@ -115,13 +115,13 @@ def _(t):
 
 @query(
     "w17_grid_phase",
-    """WITH o AS (SELECT asset, hop * 0.73 AS t FROM hops WHERE flux > 60), g AS (SELECT asset, 60.0 / (7.1234567e0 + length(asset)) AS p, max(hop) * 0.73 AS e FROM hops GROUP BY 1),
+    """WITH o AS (SELECT asset, hop * 0.73 AS t FROM hops), g AS (SELECT asset, 60.0 / (7.1234567e0 + length(asset)) AS p, max(hop) * 0.73 AS e FROM hops GROUP BY 1),
     x AS (SELECT asset, t, p, e, i, i * (p / 200) AS ph, ceil((e - i * (p / 200)) / p) AS n FROM o JOIN g USING (asset), range(200) r(i)),
     s AS (SELECT asset, i, ph, n, count(*) FILTER (abs(t - ph - least(greatest(round_even((t - ph) / p, 0), 0), n - 1) * p) < p * 0.1) AS k FROM x WHERE n >= 2 GROUP BY 1, 2, 3, 4),
     b AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY k DESC, i) AS rn FROM s) SELECT asset, round(ph, 7)::DOUBLE AS phase, k AS on_grid, round(k / n * 100, 1) AS hit_percent FROM b WHERE rn = 1""",
 )
 def _(t):
-    onsets = t.hops.where("flux > 60").select("asset", (c("hop") * 0.73).alias("t"))
+    onsets = t.hops.select("asset", (c("hop") * 0.73).alias("t"))
     grids = t.hops.groupBy("asset").agg((F.length("asset") + 7.1234567).alias("bpm"), (F.max("hop") * 0.73).alias("window_end"))
     return X.grid_phase(onsets, grids, KEY, "t").withColumn("phase", F.round("phase", 7))
 
@@ -253,24 +253,25 @@ def _(t):
 
 @query(
     "w33_swap_verdict",
-    """WITH s AS (SELECT asset, state, (state * 3)::BIGINT AS start_frame FROM (SELECT DISTINCT asset, state FROM entry_curve)), o AS (SELECT *, lag(state) OVER (PARTITION BY asset ORDER BY start_frame, state) AS p FROM s)
+    """WITH v AS (SELECT * REPLACE (asset || '/' || part AS asset) FROM entry_curve), s AS (SELECT asset, state, (state * 3)::BIGINT AS start_frame FROM (SELECT DISTINCT asset, state FROM v)), o AS (SELECT *, lag(state) OVER (PARTITION BY asset ORDER BY start_frame, state) AS p FROM s)
     SELECT o.asset, p AS from_state, o.state AS to_state, o.start_frame AS cut_frame, CASE WHEN opacity >= 0.75 AND greatest(sigma_x, sigma_y) <= 1.2 THEN 'hard swap' ELSE 'ramped' END AS verdict
-    FROM o LEFT JOIN (SELECT * FROM entry_curve WHERE part = 'A') e ON e.asset = o.asset AND e.state = o.state AND e.n = o.start_frame WHERE p IS NOT NULL""",
+    FROM o LEFT JOIN v e ON e.asset = o.asset AND e.state = o.state AND e.n = o.start_frame WHERE p IS NOT NULL""",
 )
 def _(t):
-    states = t.entry_curve.select("asset", "state").distinct().withColumn("start_frame", (c("state") * 3).cast("long"))
-    return X.swap_verdict(states, t.entry_curve.where("part = 'A'").withColumn("blur", F.greatest("sigma_x", "sigma_y")))
+    curve = t.entry_curve.withColumns({"asset": F.concat(c("asset").cast("string"), F.lit("/"), "part"), "blur": F.greatest("sigma_x", "sigma_y")})
+    states = curve.select("asset", "state").distinct().withColumn("start_frame", (c("state") * 3).cast("long"))
+    return X.swap_verdict(states, curve)
 
 
 @query(
     "w34_row_at",
-    f"""WITH cv AS (SELECT {CK}, n * 2 AS n, dx FROM entry_curve WHERE n > 1), a AS (SELECT {CK}, n AS frame FROM entry_curve UNION ALL SELECT DISTINCT {CK}, 100000 FROM entry_curve), h AS (SELECT {CK}, max(n) AS hi FROM cv GROUP BY ALL)
+    f"""WITH cv AS (SELECT {CK}, n * 2 AS n, dx FROM entry_curve), a AS (SELECT {CK}, n AS frame FROM entry_curve UNION ALL SELECT DISTINCT {CK}, 100000 FROM entry_curve), h AS (SELECT {CK}, max(n) AS hi FROM cv GROUP BY ALL)
     SELECT {CK}, frame, CASE WHEN frame > hi THEN (SELECT arg_max(x.dx, x.n) FROM cv x WHERE x.asset = a.asset AND x.state = a.state AND x.part = a.part) ELSE cv.dx END AS dx FROM a LEFT JOIN h USING ({CK}) LEFT JOIN cv ON cv.asset = a.asset AND cv.state = a.state AND cv.part = a.part AND cv.n = a.frame""",
 )
 def _(t):
     asked = t.entry_curve.select(*CURVE_KEYS, c("n").alias("frame"))
     asked = asked.unionByName(t.entry_curve.select(*CURVE_KEYS).distinct().withColumn("frame", F.lit(100000).cast("long")))
-    return X.row_at(t.entry_curve.where("n > 1").withColumn("n", c("n") * 2), asked, CURVE_KEYS, "dx")
+    return X.row_at(t.entry_curve.withColumn("n", c("n") * 2), asked, CURVE_KEYS, "dx")
 
 
 @query(

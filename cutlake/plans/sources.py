@@ -194,15 +194,15 @@ def _(t):
 
 @query(
     "s13_latest_activity",
-    """WITH e AS (SELECT conv_id % 40 AS run, conv_id AS file, TIMESTAMP '2026-01-01' + to_seconds(conv_id * 97) AS mtime, turn, CASE WHEN turn = 1 THEN 'role: ' || role || ' on row ' || (conv_id % 7) WHEN turn = 2 THEN 'row 99' ELSE 'hello' END AS text, CASE WHEN role = 'assistant' THEN 'tool' || turn END AS tool FROM conversations),
+    """WITH e AS (SELECT conv_id % 40 AS run, conv_id AS file, TIMESTAMP '2026-01-01' + to_seconds(conv_id * 97) AS mtime, turn, CASE WHEN turn = 1 THEN 'role: ' || role || ' on row ' || (conv_id % 7) || ' ' WHEN turn = 2 THEN 'row 99 ' ELSE '' END || coalesce(text, '') AS text, CASE WHEN role = 'assistant' THEN 'tool' || turn END AS tool FROM conversations),
     n AS (SELECT run, max((mtime, file)) AS n, count(DISTINCT file) - 1 AS restarts FROM e GROUP BY 1), l AS (SELECT e.*, restarts, epoch(TIMESTAMP '2026-01-01 13:00:00' - e.mtime) AS age FROM e JOIN n ON n.run = e.run AND n.n[2] = e.file WHERE epoch(TIMESTAMP '2026-01-01 13:00:00' - e.mtime) <= 100000),
-    f AS (SELECT run, any_value(mtime) AS mtime, any_value(age) AS age, any_value(restarts) AS restarts, arg_min(try_cast(nullif(regexp_extract(text, 'row (\\d+)', 1), '') AS INTEGER), turn) FILTER (text LIKE '%row %') AS row, arg_min(upper(nullif(regexp_extract(text, 'role: ([a-z]+)', 1), '')), turn) FILTER (text LIKE 'role:%') AS role,
+    f AS (SELECT run, any_value(mtime) AS mtime, any_value(age) AS age, any_value(restarts) AS restarts, arg_min(try_cast(nullif(regexp_extract(text, '(?i)\\brow\\s*#?(\\d+)', 1), '') AS INTEGER), turn) AS row, arg_min(nullif(upper(trim(regexp_extract(text, '(?i)\\brole:\\s*([a-z-]+)', 1))), ''), turn) AS role,
       arg_max(tool, turn) FILTER (tool IS NOT NULL) AS tool FROM l GROUP BY 1)
     SELECT row, arg_max(run, (mtime, run)) AS run, arg_max(coalesce(role, 'LANE'), (mtime, run)) AS role, arg_max((tool, 1), (mtime, run))[1] AS tool, arg_max(restarts, (mtime, run)) AS restarts, round(arg_max(age, (mtime, run)), 1) AS age_s, arg_max(age <= 45000, (mtime, run)) AS alive FROM f WHERE row IS NOT NULL GROUP BY 1""",
 )
 def _(t):
     mtime = lit("2026-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(c("conv_id") * 97).cast("decimal(18,6)"))
-    text = F.when(c("turn") == 1, F.concat(lit("role: "), "role", lit(" on row "), (c("conv_id") % 7).cast("string"))).when(c("turn") == 2, "row 99").otherwise("hello")
+    text = F.concat(F.when(c("turn") == 1, F.concat(lit("role: "), "role", lit(" on row "), (c("conv_id") % 7).cast("string"), lit(" "))).when(c("turn") == 2, "row 99 ").otherwise(""), F.coalesce("text", lit("")))
     entries = t.conversations.select(
         (c("conv_id") % 40).alias("run"), c("conv_id").alias("file"), mtime.alias("mtime"), c("turn").alias("seq"), text.alias("text"), F.when(c("role") == "assistant", F.concat(lit("tool"), c("turn").cast("string"))).alias("tool"), lit(None).cast("timestamp").alias("ts")
     )

@@ -203,12 +203,12 @@ def _(t):
 
 @query(
     "g28_presence",
-    """WITH a AS (SELECT target, state, max(ink) AS r, max(same_ink) AS d, max(other_ink) AS o, count(ink) AS sample_size FROM frame_ink WHERE separation < 45 GROUP BY 1, 2),
+    """WITH a AS (SELECT target, state, max(CASE WHEN separation < 45 THEN ink END) AS r, max(same_ink) AS d, max(other_ink) AS o, count(CASE WHEN separation < 45 THEN ink END) AS sample_size FROM frame_ink GROUP BY 1, 2),
     v AS (SELECT *, CASE WHEN r IS NULL OR r < 0.003 OR r > 0.55 THEN 'UNMEASURABLE' WHEN d >= 0.25 * r OR o >= 0.25 * r THEN 'PASS' ELSE 'FAIL' END AS verdict FROM a)
     SELECT target, state, sample_size, round(r, 6) AS reference_fraction, round(d, 6) AS delivered_fraction, verdict, CASE WHEN verdict = 'PASS' THEN o >= 0.25 * r AND NOT d >= 0.25 * r ELSE false END AS polarity_divergent FROM v""",
 )
 def _(t):
-    return V.presence(t.frame_ink.where("separation < 45"), ["target", "state"], "ink", "same_ink", "other_ink")
+    return V.presence(t.frame_ink.withColumn("ink", F.when(c("separation") < 45, c("ink"))), ["target", "state"], "ink", "same_ink", "other_ink")
 
 
 @query(
@@ -308,12 +308,12 @@ def _(t):
 
 @query(
     "j16_first_wins_merge",
-    """WITH u AS (SELECT c_custkey AS key, c_mktsegment AS value, 0 AS r FROM customer WHERE c_acctbal > 5000 UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT p_partkey, p_name, 2 FROM part)
+    """WITH u AS (SELECT c_custkey + CASE WHEN c_acctbal > 5000 THEN 0 ELSE 1000000000 END AS key, c_mktsegment AS value, 0 AS r FROM customer UNION ALL SELECT s_suppkey, s_name, 1 FROM supplier UNION ALL SELECT p_partkey, p_name, 2 FROM part)
     SELECT key, arg_min(value, r) AS value FROM u GROUP BY 1""",
 )
 def _(t):
     pair = lambda df, k, v: df.select(c(k).alias("key"), c(v).alias("value"))
-    return V.first_wins_merge([pair(t.customer.where("c_acctbal > 5000"), "c_custkey", "c_mktsegment"), pair(t.supplier, "s_suppkey", "s_name"), pair(t.part, "p_partkey", "p_name")], "key")
+    return V.first_wins_merge([pair(t.customer.withColumn("c_custkey", c("c_custkey") + F.when(c("c_acctbal") > 5000, 0).otherwise(1_000_000_000)), "c_custkey", "c_mktsegment"), pair(t.supplier, "s_suppkey", "s_name"), pair(t.part, "p_partkey", "p_name")], "key")
 
 
 @query(

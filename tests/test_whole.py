@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cutlake.functions import rules as R
 from cutlake.functions import text as X
 from cutlake.operators import filters, joins, ledger, lineage, reuse, series
+from cutlake.plans import base
 from cutlake.sources import receipts
 from cutlake.streaming import bus
 
@@ -99,3 +100,17 @@ def test_vectors_stay_out_of_the_neighbour_search(spark):
     for line in plan.splitlines():
         if "Generate explode(array(" in line:
             assert "_v#" not in line and ", v#" not in line
+
+
+def test_stand_ins_read_whole_tables(spark):
+    t = base.Tables(spark, "/root/testdata/sf0.001")
+    assert t.stage_receipts.count() == t.orders.count() and t.stage_receipts.agg(F.max("stage_idx")).first()[0] == 13
+    assert t.face_samples.count() == t.frame_metrics.select("asset", "frame").distinct().count()
+    placed = t.lineitem.groupBy("l_suppkey", "l_returnflag", "l_linestatus", "l_linenumber", ((F.col("l_linenumber") == 7) & (F.col("l_tax") <= 0.03)).alias("x")).count()
+    assert t.family_slots.count() == placed.count()
+
+
+def test_a_cut_outside_the_clock_is_an_error(spark):
+    clocks, cuts = spark.createDataFrame([("a", 10)], "asset string, n int"), spark.createDataFrame([("a", 9)], "asset string, frame int")
+    with pytest.raises(Exception, match="boundary outside the clock"):
+        series.blocks_from_cuts(clocks, cuts, ["asset"], "frame", "n").collect()
