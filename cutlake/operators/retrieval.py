@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutlake.functions import rules as R
@@ -13,6 +14,8 @@ from cutlake.operators.ranges import range_join
 from cutlake.session import cut_lineage
 
 WEIGHTS = {"role": 5.0, "requirement": 3.0, "observation": 1.5}
+#: Columns of the catalogue that a shortlist repeats where they exist.
+TOLD = ["source_sha256", "orientation", "coverage_board", "families", "labels"]
 FLAGS = ["moves", "walks", "sports", "stable", "human", "pair"]
 
 
@@ -36,8 +39,9 @@ def role_terms(roles: DataFrame) -> DataFrame:
 def catalog_terms(catalog: DataFrame, features: DataFrame) -> DataFrame:
     """Token set and numeric facts of each clip; labels and families are arrays of strings on the silver table."""
     words = F.concat_ws(" ", "path", F.array_join(F.coalesce("semantic_groups", F.array()), " "), F.array_join(F.coalesce("labels", F.array()), " "), F.array_join(F.coalesce("families", F.array()), " "))
+    told = [c for c in TOLD if c in catalog.columns]
     facts = catalog.select(
-        "path", "clip_id", F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"), F.coalesce("motion_speed", F.lit(0.0)).alias("motion_speed"),
+        "path", "clip_id", *(F.col(c).alias(f"_told_{c}") for c in told), F.coalesce("duration_s", F.lit(0.0)).alias("duration_s"), F.coalesce("motion_speed", F.lit(0.0)).alias("motion_speed"),
         F.coalesce("local_peaks", F.lit(0)).alias("local_peaks"), (F.coalesce("motion_label", F.lit("")) == "locked_or_nearly_locked").alias("is_locked"),
         F.coalesce("poses", F.lit(0)).alias("poses"), F.coalesce("faces", F.lit(0)).alias("faces"), tokens(words).alias("terms"),
     )
@@ -45,93 +49,185 @@ def catalog_terms(catalog: DataFrame, features: DataFrame) -> DataFrame:
     return facts.join(features.select("path", "luma_p50", "sat_p50", "laplacian_var"), "path", "left")
 
 
-def _numeric() -> dict[str, Column]:
-    """Score terms that do not come from shared words, by evidence name."""
+def _motion() -> Column:
+    return F.least(F.lit(3.0), F.col("motion_speed") * 20.0) + F.least(F.lit(2.0), F.col("local_peaks") * 0.5)
+
+
+def _sharpness() -> Column:
+    """Null where the measure is missing or not finite."""
+    return F.when(F.abs("laplacian_var") < float("inf"), F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), F.col("laplacian_var"))) / 8.0))
+
+
+def _numeric() -> list[tuple[str, Column, bool]]:
+    """Score terms that do not come from shared words: evidence name, value, whether the evidence carries the value."""
     c = F.col
-    motion = F.least(F.lit(3.0), c("motion_speed") * 20.0) + F.least(F.lit(2.0), c("local_peaks") * 0.5)
     covered = c("duration_s") + 1e-6 >= c("target_duration")
     near = lambda a, b, top, scale: F.greatest(F.lit(0.0), top - F.abs(c(a) - c(b)) / scale)
-    sharp = F.least(F.lit(1.0), F.log1p(F.greatest(F.lit(0.0), c("laplacian_var"))) / 8.0)
-    return {
-        "native_motion": F.when(c("moves"), motion),
-        "static_vs_walking": F.when(c("walks") & c("has_static"), -12.0),
-        "static_vs_sport": F.when(c("sports") & c("has_static"), -8.0),
-        "stable_camera": F.when(c("stable") & c("is_locked"), 2.0),
-        "human_evidence": F.when(c("human") & ((c("poses") > 0) | (c("faces") > 0) | c("has_human")), 1.5),
-        "paired_action_evidence": F.when(c("pair") & (c("poses") >= 2), 3.0).when(c("pair") & c("has_pair"), 1.0),
-        "duration_covered": F.when(covered, 1.0),
-        "duration_shortfall": F.when(~covered, -20.0),
-        "luma_tiebreak": F.when(c("target_luma").isNotNull() & c("luma_p50").isNotNull(), near("target_luma", "luma_p50", 1.5, 64.0)),
-        "saturation_tiebreak": F.when(c("target_sat").isNotNull() & c("sat_p50").isNotNull(), near("target_sat", "sat_p50", 1.0, 128.0)),
-        "sharpness_tiebreak": F.when(F.abs(c("laplacian_var")) < float("inf"), sharp),
-    }
+    return [
+        ("native_motion", F.when(c("moves"), _motion()), True),
+        ("action_contradiction:static_vs_walking", F.when(c("walks") & c("has_static"), -12.0), False),
+        ("action_contradiction:static_vs_sport", F.when(c("sports") & c("has_static"), -8.0), False),
+        ("stable_camera", F.when(c("stable") & c("is_locked"), 2.0), False),
+        ("human_evidence", F.when(c("human") & ((c("poses") > 0) | (c("faces") > 0) | c("has_human")), 1.5), False),
+        ("paired_action_evidence", F.when(c("pair") & (c("poses") >= 2), 3.0).when(c("pair") & c("has_pair"), 1.0), False),
+        ("duration_covered", F.when(covered, 1.0), False),
+        ("duration_shortfall", F.when(~covered, -20.0), False),
+        ("luma_tiebreak", F.when(c("target_luma").isNotNull() & c("luma_p50").isNotNull(), near("target_luma", "luma_p50", 1.5, 64.0)), True),
+        ("saturation_tiebreak", F.when(c("target_sat").isNotNull() & c("sat_p50").isNotNull(), near("target_sat", "sat_p50", 1.0, 128.0)), True),
+        ("sharpness_tiebreak", _sharpness(), True),
+    ]
 
 
 def _scored(pairs: DataFrame, terms: DataFrame, clips: DataFrame) -> DataFrame:
-    """Add numeric terms to (role_id, path, word_score, words) and sum them."""
-    joined = pairs.join(clips.drop("terms"), "path").join(terms.select("role_id", "target_duration", "target_luma", "target_sat", *FLAGS), "role_id")
+    """Full score and evidence of ``pairs(role_id, _c)``: each meets its clip and its role once."""
+    joined = pairs.join(clips, "_c").join(terms, "role_id").withColumns({f"_in_{s}": F.array_intersect(f"t_{s}", "terms") for s in WEIGHTS})
+    shared = {s: F.col(f"_in_{s}") for s in WEIGHTS}
     parts = _numeric()
-    total = F.col("word_score")
-    for value in parts.values():
+    total = F.lit(0.0)
+    for part, weight in WEIGHTS.items():
+        total = total + weight * F.size(shared[part])
+    for _, value, _ in parts:
         total = total + F.coalesce(value, F.lit(0.0))
-    named = F.array_compact(F.array(*[F.when(v.isNotNull() & (v != 0), F.lit(n)) for n, v in parts.items()]))
-    return joined.select("role_id", "path", "clip_id", F.round(total, 6).alias("score"), F.concat(F.col("words"), named).alias("evidence"))
+    lines = [F.when(F.size(x) > 0, F.concat(F.lit(f"{s}_terms:"), F.array_join(F.slice(F.array_sort(x), 1, 12), ","))) for s, x in shared.items()]
+    lines += [F.when(v.isNotNull(), F.format_string(f"{n}:%.3f", v) if valued else F.lit(n)) for n, v, valued in parts]
+    told = [F.col(c).alias(c.removeprefix("_told_")) for c in clips.columns if c.startswith("_told_")]
+    return joined.select("role_id", "path", "clip_id", F.round(total, 6).alias("score"), F.array_compact(F.array(*lines)).alias("evidence"), "duration_s", *told)
+
+
+def _wanted(terms: DataFrame) -> DataFrame:
+    """``role_id, term, part, weight`` of every word of every role."""
+    sides = [terms.select("role_id", F.explode(f"t_{s}").alias("term"), F.lit(s).alias("part"), F.lit(w).alias("weight")) for s, w in WEIGHTS.items()]
+    return sides[0].unionByName(sides[1]).unionByName(sides[2])
+
+
+def _frequent(counts: DataFrame) -> DataFrame:
+    """``term, _df`` of words that hold more than one posting in 1024: fewer than 1024, whatever the input. ``counts(term, df)`` is stored."""
+    total = counts.agg(F.sum("df")).first()[0] or 0
+    return counts.where(F.col("df") * 1024 > total).select("term", F.col("df").alias("_df"))
+
+
+def _salted(postings: DataFrame, often: DataFrame) -> DataFrame:
+    """Postings of frequent words are dealt to ``SALTS`` parts by clip."""
+    return postings.join(F.broadcast(often), "term", "left").withColumn("_salt", F.when(F.col("_df").isNotNull(), F.pmod(F.xxhash64("_c"), F.lit(SALTS))).otherwise(0).cast("int"))
+
+
+def _asked(wanted: DataFrame, often: DataFrame) -> DataFrame:
+    """What is wanted of a frequent word is asked of each of its parts."""
+    salts = F.when(F.col("_df").isNotNull(), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return wanted.join(F.broadcast(often), "term", "left").withColumn("_salt", F.explode(salts)).drop("_df")
 
 
 def score_overlaps(terms: DataFrame, clips: DataFrame) -> DataFrame:
     """Pairs that share a word, with weighted overlap, through an inverted-index join on the word."""
-    sides = [terms.select("role_id", F.explode(f"t_{s}").alias("term"), F.lit(s).alias("part"), F.lit(w).alias("weight")) for s, w in WEIGHTS.items()]
-    wanted = sides[0].unionByName(sides[1]).unionByName(sides[2])
-    held = clips.select("path", F.explode("terms").alias("term"))
-    met = held.join(wanted, "term").groupBy("role_id", "path")
+    own = clips.withColumn("_c", F.col("path"))
+    wanted = _wanted(terms)
+    counts = cut_lineage(own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
+    often = _frequent(counts)
+    held = _salted(own.select("_c", "path", F.explode("terms").alias("term")), often)
+    met = held.join(_asked(wanted, often), ["term", "_salt"]).groupBy("role_id", "path")
     # A pair gathers at most the role's own words.
     said = lambda s: F.array_sort(F.collect_set(F.when(F.col("part") == s, F.col("term"))))
     grouped = met.agg(F.sum("weight").alias("word_score"), *[said(s).alias(s) for s in WEIGHTS])
-    lines = [F.when(F.size(s) > 0, F.concat(F.lit(f"{s}_terms:"), F.array_join(s, ","))) for s in WEIGHTS]
+    lines = [F.when(F.size(s) > 0, F.concat(F.lit(f"{s}_terms:"), F.array_join(F.slice(s, 1, 12), ","))) for s in WEIGHTS]
     return grouped.select("role_id", "path", "word_score", F.array_compact(F.array(*lines)).alias("words"))
 
 
+BUCKET, SALTS, SEED_WORDS, SEEDS, SLACK = 0.5, 64, 8, 4, 1e-3
+
+
+def _postings(clips: DataFrame) -> DataFrame:
+    """``term, _c`` with the clip's numeric facts; ``_bucket`` of the most it can gain for any role. The empty word is in every clip."""
+    fact = lambda value, name: value.cast("float").alias(name)
+    held = clips.select(
+        "_c", F.explode(F.concat("terms", F.array(F.lit("")))).alias("term"), "has_static", fact(F.coalesce(_sharpness(), F.lit(0.0)), "_sharp"), fact(F.greatest(_motion(), F.lit(0.0)), "_move"),
+        F.when(F.col("is_locked"), 2.0).otherwise(0.0).alias("_hold"), F.when((F.col("poses") > 0) | (F.col("faces") > 0) | F.col("has_human"), 1.5).otherwise(0.0).alias("_people"),
+        F.when(F.col("poses") >= 2, 3.0).when(F.col("has_pair"), 1.0).otherwise(0.0).alias("_two"), F.col("duration_s").alias("_long"), fact(F.col("luma_p50"), "_luma"), fact(F.col("sat_p50"), "_sat"),
+    )
+    return held.withColumn("_bucket", F.floor(sum((F.col(c) for c in ("_sharp", "_move", "_hold", "_people", "_two")), F.lit(0.0)) / BUCKET))
+
+
+def _bound() -> Column:
+    """What the numeric terms of a posting give a role, up to rounding (the facts are single precision)."""
+    c = F.col
+    gain = c("_sharp") + F.when(c("moves"), c("_move")).otherwise(0.0) + F.when(c("stable"), c("_hold")).otherwise(0.0) + F.when(c("human"), c("_people")).otherwise(0.0) + F.when(c("pair"), c("_two")).otherwise(0.0)
+    lost = F.when(c("walks") & c("has_static"), -12.0).otherwise(0.0) + F.when(c("sports") & c("has_static"), -8.0).otherwise(0.0)
+    length = F.when(c("target_duration").isNull(), 0.0).when(c("_long") + 1e-6 < c("target_duration"), -20.0).otherwise(1.0)
+    near = lambda target, have, top, scale: F.coalesce(F.greatest(F.lit(0.0), top - F.abs(c(target) - c(have)) / scale), F.lit(0.0))
+    return gain + lost + length + near("target_luma", "_luma", 1.5, 64.0) + near("target_sat", "_sat", 1.0, 128.0)
+
+
+def _most() -> Column:
+    """The most that a role's own targets can add to what a posting's bucket counts."""
+    has = lambda name, most: F.when(F.col(name).isNotNull(), most).otherwise(0.0)
+    return has("target_duration", 1.0) + has("target_luma", 1.5) + has("target_sat", 1.0)
+
+
 def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n: int = 20) -> DataFrame:
     """The ``top_n`` best clips per role by score, then path: rank, score and evidence.
 
-    Pairs that share a word come from an inverted index. A clip without a
-    shared word can still rank when a role has few better pairs: such roles
-    (whose worst shortlisted score the numeric terms alone could beat) meet,
-    through an equi-join on flag class and score bucket, exactly the clips
-    whose numeric upper bound reaches that score.
+    Top-k by score bounds over an inverted index. Each role first scores a few
+    clips of its rarest words; its ``top_n``-th of these is a bar that the final list
+    reaches. The role's words stand in order from the most frequent, after an empty
+    word that every clip has. A clip whose rarest word of the role is the i-th
+    scores at most the weights up to there plus its numeric bound, so a posting is
+    read only where that reaches the bar: postings are keyed by word and bucket of
+    the numeric bound, and a role asks for the buckets that can matter. What is read is
+    added up per clip and bounded once more; for the clips that remain the other
+    words are looked up by word and clip, and those near the last place are scored in
+    full. Frequent words are split over tasks.
     """
     if top_n < 1:
         raise ValueError("top_n must be at least 1")
-    # Token sets and overlaps are read several times below, so each is written once.
-    terms, clips = role_terms(roles), cut_lineage(catalog_terms(catalog, features))
-    overlaps = cut_lineage(score_overlaps(terms, clips))
-    scored = _scored(overlaps, terms, clips)
-    best = S.top_k_per(scored, ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
-
-    bar = best.groupBy("role_id").agg(F.count("*").alias("_n"), F.min("score").alias("_worst"))
-    lowest = -20.0
-    # No numeric sum exceeds 16; below the lowest possible sum everything qualifies.
-    need = terms.join(bar, "role_id", "left").withColumn(
-        "_bar", F.when(F.coalesce("_n", F.lit(0)) >= top_n, F.col("_worst")).otherwise(F.lit(lowest - 20.0))
-    )
-    kind = F.concat_ws("", *[F.col(f).cast("int").cast("string") for f in ("moves", "stable", "human", "pair")])
-    weak = need.where(F.col("_bar") <= 16.0).select("role_id", "_bar", kind.alias("_kind"))
-    weak = weak.withColumn("_bucket", F.explode(F.sequence(F.floor(F.greatest("_bar", F.lit(0.0))), F.lit(16).cast("long"))))
-    every = [[int(b) for b in f"{i:04b}"] for i in range(16)]
-    bound = lambda m, s, h, p: (
-        F.lit(4.5)
-        + (F.least(F.lit(3.0), F.col("motion_speed") * 20.0) + F.least(F.lit(2.0), F.col("local_peaks") * 0.5) if m else 0.0)
-        + (F.when(F.col("is_locked"), 2.0).otherwise(0.0) if s else 0.0)
-        + (F.when((F.col("poses") > 0) | (F.col("faces") > 0) | F.col("has_human"), 1.5).otherwise(0.0) if h else 0.0)
-        + (F.when(F.col("poses") >= 2, 3.0).when(F.col("has_pair"), 1.0).otherwise(0.0) if p else 0.0)
-    )
-    caps = F.array(*[F.struct(F.lit("".join(map(str, k))).alias("_kind"), bound(*k).alias("_cap")) for k in every])
-    reach = clips.select("path", F.explode(caps).alias("k")).select("path", "k.*").withColumn("_bucket", F.floor("_cap"))
-    contenders = reach.join(weak, ["_kind", "_bucket"]).where(F.col("_cap") >= F.col("_bar")).select("role_id", "path")
-    rest = contenders.join(overlaps.select("role_id", "path"), ["role_id", "path"], "left_anti")
-    empty = F.array().cast("array<string>")
-    others = _scored(rest.select("role_id", "path", F.lit(0.0).alias("word_score"), empty.alias("words")), terms, clips)
-    return S.top_k_per(best.drop("rank").unionByName(others), ["role_id"], [F.col("score").desc(), F.col("path")], top_n)
+    terms = cut_lineage(role_terms(roles))
+    # dealt by path first: tokens are the heavy part, and a catalogue may come in few splits
+    clips = cut_lineage(catalog_terms(catalog.repartition("path"), features).withColumn("_c", F.monotonically_increasing_id()))
+    order = [F.col("score").desc(), F.col("path")]
+    weights = _wanted(terms).groupBy("role_id", "term").agg(F.sum("weight").alias("weight"))
+    weights = weights.unionByName(terms.select("role_id", F.lit("").alias("term"), F.lit(0.0).alias("weight")).distinct())
+    postings = cut_lineage(_postings(clips).join(weights.select("term").distinct(), "term", "left_semi"))
+    counts = cut_lineage(postings.groupBy("term").agg(F.count("*").alias("df"), F.max("_bucket").alias("_top")))
+    often = _frequent(counts)
+    postings = _salted(postings, often)
+    top_bucket = counts.agg(F.max("_top")).first()[0] or 0
+
+    own = W.partitionBy("role_id")  # a role's own words: few rows a key
+    common = own.orderBy(F.col("term") != "", F.col("df").desc(), "term").rowsBetween(W.unboundedPreceding, 0)
+    wanted = weights.join(counts.select("term", "df"), "term").withColumns({
+        "_reach": F.sum("weight").over(common), "_rare": F.row_number().over(own.orderBy("df", "term")),
+    })
+    wanted = cut_lineage(wanted)
+
+    few = wanted.where((F.col("_rare") <= SEED_WORDS) | (F.col("term") == ""))
+    thin = lambda df: F.pmod(F.xxhash64("_c"), df) < SEEDS * top_n  # noqa: E731  about so many clips of a word
+    some = postings.where(F.col("_df").isNull() | thin(F.col("_df"))).join(_asked(few, often), ["term", "_salt"]).where(thin(F.col("df")))
+    some = some.groupBy("role_id", "_c").agg(F.sum("weight").alias("_sum"))
+    some = S.top_k_per(some, ["role_id"], [F.col("_sum").desc(), F.col("_c")], SEEDS * top_n)
+    scored = _scored(some.select("role_id", "_c"), terms, clips).select("role_id", "path", "score")
+    bars = S.top_k_per(scored, ["role_id"], order, top_n).groupBy("role_id").agg(F.count("*").alias("_k"), F.min("score").alias("_worst"))
+    lowest = -1e9
+    reaches = wanted.groupBy("role_id").agg(F.collect_set("_reach").alias("_reaches"))
+    bar = F.when(F.col("_k") >= top_n, F.col("_worst") - SLACK).otherwise(lowest)
+    facts = ["target_duration", "target_luma", "target_sat", *FLAGS]
+    kinds = terms.select("role_id", *facts).dropDuplicates(["role_id"])
+    bars = cut_lineage(kinds.join(bars, "role_id", "left").join(reaches, "role_id").select("role_id", *facts, "_reaches", bar.alias("_bar")))
+
+    need = F.greatest(F.floor((F.col("_bar") - F.col("_reach") - _most()) / BUCKET), F.lit(0))
+    asked = wanted.join(bars.drop("_reaches"), "role_id").where(need <= top_bucket)
+    asked = asked.select("role_id", "term", "weight", "_reach", "_bar", *facts, F.explode(F.sequence(need, F.lit(top_bucket).cast("long"))).alias("_bucket"))
+    read = postings.join(_asked(asked, often), ["term", "_salt", "_bucket"]).withColumn("_cap", _bound()).where(F.col("_reach") + F.col("_cap") >= F.col("_bar"))
+    sums = read.groupBy("role_id", "_c").agg(F.sum("weight").alias("_sum"), F.first("_cap").alias("_cap"))
+    # words that were not read for a clip are those whose reach and the clip's bound stay under the bar
+    sums = sums.join(bars.select("role_id", "_bar", "_reaches"), "role_id")
+    unread = F.coalesce(F.array_max(F.filter("_reaches", lambda r: r + F.col("_cap") < F.col("_bar"))), F.lit(0.0))
+    open_ = (F.col("_sum") + unread + F.col("_cap")) >= F.col("_bar")
+    sums = cut_lineage(sums.where(open_).select("role_id", "_c", "_bar", "_cap", (F.col("_sum") + F.col("_cap")).alias("_near")))
+    more = sums.join(wanted.where("term <> ''").select("role_id", "term", "weight", "_reach"), "role_id").where(F.col("_reach") + F.col("_cap") < F.col("_bar"))
+    more = more.select("role_id", "_c", "term", "weight").join(postings.select("term", "_c"), ["term", "_c"])
+    near = sums.select("role_id", "_c", "_near").unionByName(more.select("role_id", "_c", F.col("weight").alias("_near"))).groupBy("role_id", "_c").agg(F.sum("_near").alias("_near"))
+    near = cut_lineage(near)
+    last = S.top_k_per(near, ["role_id"], [F.col("_near").desc(), F.col("_c")], top_n).groupBy("role_id").agg(F.min("_near").alias("_least"))
+    left = near.join(last, "role_id").where(F.col("_near") >= F.col("_least") - 2 * SLACK).select("role_id", "_c")
+    return S.top_k_per(_scored(left, terms, clips), ["role_id"], order, top_n)
 
 
 def bed_penalty(windows: DataFrame, reference: DataFrame, keys: list[str]) -> DataFrame:

@@ -103,6 +103,7 @@ def test_vectors_stay_out_of_the_neighbour_search(spark):
 
 
 def test_stand_ins_read_whole_tables(spark):
+    base.load_all()
     t = base.Tables(spark, "/root/testdata/sf0.001")
     assert t.stage_receipts.count() == t.orders.count() and t.stage_receipts.agg(F.max("stage_idx")).first()[0] == 13
     assert t.face_samples.count() == t.frame_metrics.select("asset", "frame").distinct().count()
