@@ -261,4 +261,4 @@ def collocations(
     lowest = parts.withColumn("_score", score).groupBy("_lang", "phrase", F.col("_a").alias("a"), "n").agg(F.min(F.struct("_score", "_k", "_l", "_r")).alias("_cut"))
     out = lowest.select(F.col("_lang").alias("lang"), "phrase", "a", F.col("_cut._l").alias("l"), F.col("_cut._r").alias("r"), "n", F.col("_cut._score").alias("score"))
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return out.withColumn("rank", rank.cast("long")).where(F.col("rank") <= keep).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return out.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("lang", F.col("_rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
