@@ -6,6 +6,7 @@ from cutlake.operators import ledger as L
 from cutlake.plans.base import Dialect, query, view
 from cutlake.streaming import bus as B
 from cutlake.streaming import jobs as J
+from cutlake.streaming import ordered as O
 from cutlake.streaming.run import drain
 
 c = F.col
@@ -71,6 +72,16 @@ def _(t):
     return drain(B.leases_stream(beats, ttl_seconds=43_200), "append").drop("batch")
 
 
+# What a watermark ten minutes behind the newest event has passed.
+PASSED = "epoch_us(ts) <= ((SELECT max(epoch_us(ts)) FROM events) // 1000 - 600000) * 1000"
+
+
+@query("t3_leases_in_order", LEASES.replace("AS rn FROM events)", f"AS rn FROM events WHERE {PASSED})"))
+def _(t):
+    beats = _stream(t, "events").select(c("user_id").alias("project"), c("event_type").alias("owner"), "ts", "event_id")
+    return drain(O.leases_in_order(beats, ttl_seconds=43_200), "append").drop("batch")
+
+
 @view
 def job_events(q: Dialect) -> str:
     return f"""SELECT o_custkey AS project, o_orderkey AS seq, o_orderdate AS ts, CASE o_orderpriority WHEN '1-URGENT' THEN 'enqueue' WHEN '2-HIGH' THEN 'claim' WHEN '3-MEDIUM' THEN 'start'
@@ -89,15 +100,27 @@ def _(t):
     return J.job_state(t.job_events, width=365 * 86_400_000_000)
 
 
-@query("t4_job_state_stream", f"{JOBS} SELECT project, split_part(code, ':', 1) AS status, split_part(code, ':', 2)::INTEGER AS attempt, events FROM l")
-def _(t):
+def _job_stream(t):
     p, s = c("o_orderpriority"), c("o_orderstatus")
     action = (
         F.when(p == "1-URGENT", "enqueue").when(p == "2-HIGH", "claim").when(p == "3-MEDIUM", "start")
         .when(p == "4-NOT SPECIFIED", F.when(s == "F", "finish").when(s == "O", "defer").otherwise("fail")).otherwise(F.when(s == "F", "enqueue").otherwise("fail"))
     )
-    events = _stream(t, "orders").select(c("o_custkey").alias("project"), c("o_orderkey").alias("seq"), action.alias("action"), c("o_orderdate").alias("ts"))
-    out = drain(J.job_state_stream(events), "update")
+    return _stream(t, "orders").select(c("o_custkey").alias("project"), c("o_orderkey").alias("seq"), action.alias("action"), c("o_orderdate").alias("ts"))
+
+
+@query(
+    "t4_job_state_in_order",
+    JOBS.replace("FROM job_events)", "FROM job_events WHERE ts <= (SELECT max(ts) FROM job_events) - INTERVAL 36 HOUR)") + " SELECT project, split_part(code, ':', 1) AS status, split_part(code, ':', 2)::INTEGER AS attempt, events FROM l",
+)
+def _(t):
+    out = drain(O.job_state_in_order(_job_stream(t), delay="36 hours"), "append")
+    return out.groupBy("project").agg(F.max_by(F.struct("status", "attempt", "events"), "events").alias("r")).select("project", "r.*")
+
+
+@query("t4_job_state_stream", f"{JOBS} SELECT project, split_part(code, ':', 1) AS status, split_part(code, ':', 2)::INTEGER AS attempt, events FROM l")
+def _(t):
+    out = drain(J.job_state_stream(_job_stream(t)), "update")
     rest = F.struct("status", "attempt", "events")
     return out.groupBy("project").agg(F.max_by(rest, "batch").alias("r")).select("project", "r.*")
 
@@ -111,6 +134,16 @@ def _(t):
     return B.due_schedules(plans, F.lit("2000-01-01").cast("timestamp")).select("id", "due_at", "late_seconds")
 
 
+@query(
+    "t5_due_stream",
+    """SELECT o_orderkey AS id, o_orderdate + INTERVAL 252 HOUR AS due_at FROM orders WHERE o_orderstatus <> 'F' AND o_orderdate + INTERVAL 252 HOUR <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 36 HOUR""",
+)
+def _(t):
+    made = c("o_orderdate")
+    plans = _stream(t, "orders").select(c("o_orderkey").alias("id"), made.alias("made"), (made + F.make_dt_interval(hours=F.lit(252))).alias("due_at"), F.when(c("o_orderstatus") == "F", made).alias("fired_at"))
+    return drain(O.due_stream(plans, clock="made", delay="36 hours"), "append").select("id", "due_at")
+
+
 @query(
     "t6_capture_schedule",
     """WITH p AS (SELECT o_orderkey AS project, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate END AS published_at FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_tax = 0.08))
@@ -155,14 +188,31 @@ def _(t):
     SELECT receipt, state, started, coalesce(work, started) AS working_since FROM r""",
 )
 def _(t):
+    out = drain(B.live_status_stream(_blocks(t)), "update")
+    now = out.groupBy("receipt").agg(F.max_by(F.struct("state", "started", "working_since"), "batch").alias("r")).select("receipt", "r.*")
+    return now.where("state IS NOT NULL")
+
+
+def _blocks(t):
     p, s = c("o_orderpriority"), c("o_orderstatus")
     state = (
         F.when(p == "1-URGENT", "picked_up").when(p == "2-HIGH", "queued").when(p == "3-MEDIUM", "progress")
         .when(p == "4-NOT SPECIFIED", F.when(s == "F", "finished").otherwise("running")).otherwise(F.when(s == "F", "called").otherwise("blocked"))
     )
-    blocks = _stream(t, "orders").select(c("o_custkey").alias("receipt"), c("o_orderkey").alias("seq"), c("o_orderdate").alias("ts"), state.alias("state"))
-    out = drain(B.live_status_stream(blocks), "update")
-    now = out.groupBy("receipt").agg(F.max_by(F.struct("state", "started", "working_since"), "batch").alias("r")).select("receipt", "r.*")
+    return _stream(t, "orders").select(c("o_custkey").alias("receipt"), c("o_orderkey").alias("seq"), c("o_orderdate").alias("ts"), state.alias("state"))
+
+
+@query(
+    "t8_live_status_in_order",
+    """WITH s AS (SELECT *, CASE o_orderpriority WHEN '1-URGENT' THEN 'picked_up' WHEN '2-HIGH' THEN 'queued' WHEN '3-MEDIUM' THEN 'progress' WHEN '4-NOT SPECIFIED' THEN CASE WHEN o_orderstatus = 'F' THEN 'finished' ELSE 'running' END ELSE CASE WHEN o_orderstatus = 'F' THEN 'called' ELSE 'blocked' END END AS state FROM orders),
+    e AS (SELECT o_custkey AS receipt, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS seq, o_orderdate AS ts, state, state IN ('picked_up', 'running', 'progress', 'queued', 'blocked') AS op FROM s WHERE o_orderdate <= (SELECT max(o_orderdate) FROM orders) - INTERVAL 36 HOUR),
+    x AS (SELECT receipt, coalesce(max(seq) FILTER (NOT op), -1) AS closed, coalesce(max(seq) FILTER (NOT op OR state IN ('queued', 'blocked')), -1) AS waited FROM e GROUP BY 1),
+    r AS (SELECT receipt, arg_min(ts, seq) AS started, arg_min(ts, seq) FILTER (seq > waited) AS work, coalesce(arg_max(state, seq) FILTER (state <> 'progress'), arg_max(state, seq)) AS state FROM e JOIN x USING (receipt) WHERE seq > closed GROUP BY 1)
+    SELECT receipt, state, started, coalesce(work, started) AS working_since FROM r""",
+)
+def _(t):
+    out = drain(O.live_status_in_order(_blocks(t), delay="36 hours"), "append")
+    now = out.groupBy("receipt").agg(F.max_by(F.struct("state", "started", "working_since"), "version").alias("r")).select("receipt", "r.*")
     return now.where("state IS NOT NULL")
 
 
