@@ -174,7 +174,7 @@ def _scan_slice(machine: Automaton, known: np.ndarray, found: words.Words, part:
             base = part.bounds[i]
             spans = [[s, e, int(found.starts[a + s] - base), int(found.ends[a + e - 1] - base)] for s, e in edges.reshape(-1, 2).tolist()]
             hits = int(hit[a:b].sum())
-        rows.append((b - a, hits, longest.get(i, 0), spans, sorted(items.get(i, ()))))
+        rows.append((b - a, hits, longest.get(i, 0), spans, sorted(items.get(i, ()), key=lambda x: (x is None, x or ""))))
     return rows
 
 
@@ -185,16 +185,15 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id: str = "doc_id", text:
     some word is hit and the hit words are at least one in ``part``. ``spans`` are
     the maximal runs of hit words as ``[first word, end word, first byte, end byte]``,
     ``longest`` the longest match that ends in a window (0: none), ``items`` the ids
-    with occurring windows as strings. ``cut`` adds ``kept_text``, the text without
+    with occurring windows as strings (an item without an id hits words like any other and is one null there). ``cut`` adds ``kept_text``, the text without
     its hit spans. A null text has no words; items without words match nothing;
-    items of one id are one item; no items leave every document clean.
+    items of one id are one item; no items leave every document clean; no documents give no rows.
 
     Items are matched in blocks of about ``block_words`` words, one automaton and one
     pass over the documents each, so what is broadcast has a bound.
     """
     rows = docs.select(F.col(id).alias("id"), F.col(text).cast("string").alias("text"))
     tests = items.select(F.col(item_id).cast("string").alias("name"), F.coalesce(F.col(item_text).cast("string"), F.lit("")).alias("body"))
-    tests = tests.where("name is not null")
     size = tests.agg(F.sum(F.octet_length("body") / 2)).first()[0] or 0
     blocks = max(1, -(-int(size) // (3 * block_words)))
     tests = tests.withColumn("block", F.pmod(F.xxhash64("name", "body"), F.lit(blocks)))

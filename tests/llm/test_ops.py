@@ -461,3 +461,12 @@ def test_sharding_query(spark, small):
     order = sorted((r.doc_id, r) for r in rows)
     for n, (_, r) in enumerate(order):
         assert (r.shard, r.slot) == sharding.locate(n, len(rows), 40, 42)
+
+
+def test_decontaminate_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta"), (2, "beta gamma"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "alpha beta"), ("x", "gamma"), (None, None)], "item_id string, text string")
+    got = {r.doc_id: r for r in decontaminate.benchmark_hits(docs, items).collect()}
+    assert (got[1].n_hit, got[1]["items"], got[1].contaminated) == (3, ["x", None], True)
+    assert (got[2].n_hit, got[2]["items"]) == (1, ["x"]) and (got[3].n_words, got[3].n_hit, got[3]["items"]) == (0, 0, [])
+    assert decontaminate.benchmark_hits(docs.where("doc_id > 9"), items).collect() == []
