@@ -23,7 +23,7 @@ from cutlake.llm import eliasfano, store, words
 
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.5, 2
 SHARD_TOKENS, CHUNK_TOKENS = 4_000_000, 1_500_000
-SLICE = 2 << 20  # bytes of text looked up together
+SLICE, SCORED = 2 << 20, 4 << 20  # bytes of text looked up together: when counted, when scored
 SCALE = 2048  # steps of log10 probability
 END = np.uint64(0xA0761D6478BD642F)
 _U = np.uint64
@@ -384,13 +384,13 @@ def _parents(trie: Trie, level: int, ids: np.ndarray) -> np.ndarray:
     return trie._shardwise(trie._place(level, ids), read, np.full(len(ids), -1, np.int64))
 
 
-def path_nodes(trie: Trie, tokens: Tokens, levels: int, least: int = 1) -> list[np.ndarray]:
+def path_nodes(trie: Trie, tokens: Tokens, levels: int, least: int = 1, ids: np.ndarray | None = None) -> list[np.ndarray]:
     """For each level and token the node of the n-gram that ends at the token, or -1.
 
     Lookups are made once for each distinct word or pair of the slice. ``least``
-    leaves words of fewer occurrences out.
+    leaves words of fewer occurrences out; ``ids`` are the words' ids if known.
     """
-    ids = trie.word_ids(tokens.distinct)
+    ids = trie.word_ids(tokens.distinct) if ids is None else ids
     if least > 1:
         ids = np.where(trie.counts(1, ids) >= least, ids, -1)
     out = [ids[tokens.at]]
@@ -422,10 +422,10 @@ def score(docs: DataFrame, trie: Trie, id: str = "doc_id", text: str = "text") -
     def run(batches):
         for batch in batches:
             out = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, float, float)]
-            for part in words.slices(batch.column(1), lower=True, limit=SLICE):
+            for part in words.slices(batch.column(1), lower=True, limit=SCORED):
                 tokens = Tokens(part)
-                nodes = path_nodes(trie, tokens, trie.order)
                 known = trie.word_ids(tokens.distinct)
+                nodes = path_nodes(trie, tokens, trie.order, ids=known)
                 counts = trie.counts(1, known)[tokens.at]
                 base = trie.unigram(counts)
                 own = base.copy()
