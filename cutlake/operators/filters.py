@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -200,14 +203,47 @@ def validate_feasibility(rows: DataFrame, inventory: DataFrame, key: str = "proj
     return found.unionByName(unknown.withColumn("violation", F.lit("unknown_clip")))
 
 
-def redaction_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str) -> DataFrame:
-    """(document, term, hits) for every term found; the term list travels inside the plan, so nothing is joined."""
-    from cutlake.functions.text import term_hits
+def redaction_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str, deal: str | None = None) -> DataFrame:
+    """(document, term, hits) for every term found: non-overlapping, in lower case; terms of up to three letters need spaces around them.
+
+    All terms are searched in one pass over each text by an Aho-Corasick automaton,
+    which travels inside the plan, so nothing is joined. ``deal`` names a column by which rows
+    are dealt first, for inputs of fewer splits than cores.
+    """
+    listed = sorted({t.lower() for t in terms} - {""})
+    # a short term is sought with its spaces in the padded text; a long one may not reach into the padding
+    wanted = [(f" {t} " if len(t) <= 3 else t, t, len(t) <= 3) for t in listed]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        machine = ahocorasick.Automaton()
+        for needle, term, short in wanted:
+            machine.add_word(needle, (*machine.get(needle, ()), (term, len(needle), short)))
+        if wanted:
+            machine.make_automaton()
+        for batch in batches:
+            rows: list[tuple] = []
+            for at, text in enumerate(batch.column(1).to_pylist()):
+                if not wanted or not text:
+                    continue
+                hits: dict[str, int] = {}
+                free: dict[str, int] = {}
+                last = len(text)
+                for end, found in machine.iter(f" {text} "):
+                    for term, size, short in found:
+                        begin = end - size + 1
+                        if (short or (begin >= 1 and end <= last)) and begin >= free.get(term, 0):
+                            hits[term] = hits.get(term, 0) + 1
+                            free[term] = end + 1
+                rows += [(at, term, n) for term, n in hits.items()]
+            at, term, n = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(term, pa.string()), pa.array(n, pa.int64())], names=["id", "term", "hits"])
 
-    listed = F.array(*[F.lit(t.lower()) for t in terms])
-    counted = F.transform(listed, lambda t: F.struct(t.alias("term"), term_hits(F.col(text_col), t).alias("hits")))
-    hit = docs.select(id_col, F.explode(F.filter(counted, lambda c: c["hits"] > 0)).alias("h"))
-    return hit.select(id_col, "h.term", "h.hits")
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    rows = rows if deal is None else docs.select(id_col, text_col, *([] if deal in (id_col, text_col) else [deal])).repartition(deal).select(F.col(id_col).alias("id"), F.lower(text_col).alias("text"))
+    kind = dict(rows.dtypes)["id"]
+    return rows.mapInArrow(run, f"id {kind}, term string, hits long").withColumnRenamed("id", id_col)
 
 
 def validate_states(states: DataFrame, styles: DataFrame, clocks: DataFrame, key: str = "asset") -> DataFrame:

@@ -307,23 +307,28 @@ def plate_gaps(states: DataFrame, clocks: DataFrame, key: str = "asset", limit:
     return placed.select(key, F.explode(F.when(F.col("_all") <= limit, few).otherwise(some)).alias("frame"))
 
 
-def stack_slots(states: DataFrame, key: str = "asset") -> DataFrame:
+def stack_slots(states: DataFrame, key: str = "asset", width: float | None = None) -> DataFrame:
     """Lowest free stack slot per state in (start, id) order.
 
-    One shuffle by key and one ordered pass: only the states on screen are held, so
-    memory follows the depth of the stack and not the length of the key.
+    A key is cut wherever its screen is empty (no earlier state reaches the start), by
+    scans in chunks of ``width`` frames; each stretch is one ordered pass that holds
+    only the states on screen. A screen that is never empty is one stretch.
     """
     import heapq
 
     import pandas as pd
 
     columns = [key, "id", "start_frame", "end_frame"]
+    order = ["start_frame", "id"]
+    reached = S.scan(states.select(*columns), [key], order, width, _reach=S.max_before("end_frame"))
+    opens = F.when(F.col("_reach").isNull() | (F.col("start_frame") >= F.col("_reach")), 1).otherwise(0).cast("long")
+    cut = S.scan(reached.withColumn("_opens", opens).drop("_reach"), [key], order, width, _stretch=S.running_sum("_opens")).drop("_opens")
 
     def colour(batches):
         now, free, busy, top = None, [], [], 0
         for pdf in batches:
             slots = []
-            for own, begin, end in zip(pdf[key], pdf["start_frame"], pdf["end_frame"]):
+            for own, begin, end in zip(zip(pdf[key], pdf["_stretch"]), pdf["start_frame"], pdf["end_frame"]):
                 if own != now:
                     now, free, busy, top = own, [], [], 0
                 while busy and busy[0][0] <= begin:
@@ -334,9 +339,9 @@ def stack_slots(states: DataFrame, key: str = "asset") -> DataFrame:
                     slot, top = top, top + 1
                 heapq.heappush(busy, (end, slot))
                 slots.append(slot)
-            yield pdf.assign(slot=pd.Series(slots, index=pdf.index, dtype="int64"))
+            yield pdf[columns].assign(slot=pd.Series(slots, index=pdf.index, dtype="int64"))
 
-    rows = states.select(*columns).repartition(key).sortWithinPartitions(key, "start_frame", "id")
+    rows = cut.select(*columns, "_stretch").repartition(key, "_stretch").sortWithinPartitions(key, "_stretch", *order)
     kinds = dict(rows.dtypes)
     return rows.mapInPandas(colour, ", ".join(f"{c} {kinds[c]}" for c in columns) + ", slot long")
 

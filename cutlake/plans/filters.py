@@ -119,7 +119,7 @@ TERMS = ["the", "tion", "secret", "of", "example.com", "entre"]
     SELECT doc_id, term, hits FROM h WHERE hits > 0""",
 )
 def _(t):
-    return P.redaction_hits(t.documents.select("doc_id", "text"), TERMS, "doc_id", "text")
+    return P.redaction_hits(t.documents.select("doc_id", "text"), TERMS, "doc_id", "text", deal="doc_id")  # the table is one split
 
 
 @view

@@ -115,3 +115,33 @@ def test_a_cut_outside_the_clock_is_an_error(spark):
     clocks, cuts = spark.createDataFrame([("a", 10)], "asset string, n int"), spark.createDataFrame([("a", 9)], "asset string, frame int")
     with pytest.raises(Exception, match="boundary outside the clock"):
         series.blocks_from_cuts(clocks, cuts, ["asset"], "frame", "n").collect()
+
+
+def test_many_terms_in_one_pass(spark):
+    rng = random.Random(7)
+    pool = ["of", "the", "aa", "aaa", "aaaa", "tion", "a b", "é", "secret", "İx", *(f"t{i}" for i in range(10_000))]
+    texts = [" ".join(rng.choices(pool[:10], k=rng.randint(0, 40))) + rng.choice(["", " of", "aaaaaaaa", " OF OF OF "]) for _ in range(40)] + [None, "", "of", " t77 T77 t77"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    low = {r.id: r.low for r in docs.select("id", F.lower("text").alias("low")).collect()}
+    want = []
+    for i, text in low.items():
+        for term in {t.lower() for t in pool}:
+            n = 0 if text is None else f" {text} ".count(f" {term} ") if len(term) <= 3 else text.count(term)
+            want += [(i, term, n)] if n else []
+    for deal in (None, "id"):
+        got = filters.redaction_hits(docs, pool, "id", "text", deal=deal)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert filters.redaction_hits(docs, [], "id", "text").count() == 0
+
+
+def test_a_screen_is_cut_where_it_is_empty(spark):
+    rows = [("a", i, 10 * i, 10 * i + (15 if i % 50 else 9)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "asset string, id long, start_frame long, end_frame long")
+    got = joins.stack_slots(df, width=100)
+    want, ends = {}, []
+    for _, i, begin, end in rows:
+        slot = next((k for k, e in enumerate(ends) if e <= begin), len(ends))
+        ends[slot : slot + 1] = [end]
+        want[i] = slot
+    assert {r.id: r.slot for r in got.collect()} == want and set(want.values()) == {0, 1}
+    assert joins.stack_slots(df.where("id < 0")).collect() == []
