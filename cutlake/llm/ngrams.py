@@ -284,7 +284,7 @@ def build(docs: DataFrame, text: str = "text", order: int = ORDER, discount: flo
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = size // (6 * SHARD_TOKENS) + 1
+    shards = size // (3 * SHARD_TOKENS) + 1  # about half of SHARD_TOKENS words each
     buckets = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     trie = Trie(folder or store.new_folder(spark, "ngrams"), order)
 
