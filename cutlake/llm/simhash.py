@@ -164,11 +164,24 @@ def hexadecimal(fp):
 def drop_near(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each component stays, that with the smallest id, with all its columns.
 
-    Rows with a null id stay; an id repeated over several components stays if it
-    is the smallest of one, and one of its rows stays.
+    Rows with a null id stay. Rows that repeat an id are decided by their own texts:
+    each stays if the id is the smallest of its text's component, and of rows of one
+    id and fingerprint one stays.
     """
-    groups = near_groups(docs, id, text, **how).where(F.col(id).isNotNull())
-    gone = groups.groupBy(F.col(id).alias("_gid")).agg(F.max(F.col(id) == F.col("component_id")).alias("_stays")).where("not _stays")
-    left = carried(docs, id, text).join(gone, F.col("_id") == F.col("_gid"), "left_anti")
-    single = one_of_each(left.where(F.col("_id").isNotNull()), ["_id"], store.keep)
-    return restored(single.unionByName(left.where(F.col("_id").isNull())))
+    groups = store.keep(near_groups(docs, id, text, **how).where(F.col(id).isNotNull()).select(F.col(id).alias("_gid"), "fp", "component_id"), "near_groups")
+    stays = F.col("_gid") == F.col("component_id")
+    ids = groups.groupBy("_gid").agg(F.min("fp").alias("_low"), F.max("fp").alias("_high"), F.max(stays).alias("_stays"))
+    mixed = store.keep(ids.where("_low <> _high").select("_gid"), "ids_of_several_texts")
+    rows = carried(docs, id, text)
+    same = F.col("_id") == F.col("_gid")
+    single = rows.join(ids.where("_low = _high and not _stays").select("_gid"), same, "left_anti")
+    if mixed.isEmpty():
+        own = single.where(F.col("_id").isNotNull())
+        return restored(one_of_each(own, ["_id"], store.keep).unionByName(single.where(F.col("_id").isNull())))
+    single = single.join(mixed, same, "left_anti")
+    shingles = {k: v for k, v in how.items() if k in ("shingle", "seed")}
+    printed = fingerprints(rows.join(mixed, same, "left_semi").select(F.struct("*").alias("_row"), F.col("_text").alias("_body")), "_row", "_body", **shingles)
+    kept = groups.where(stays).select("_gid", F.col("fp").alias("_fp")).distinct()
+    several = printed.join(kept, (F.col("_row._id") == F.col("_gid")) & (F.col("fp") == F.col("_fp"))).dropDuplicates(["_gid", "fp"]).select("_row.*")
+    own = single.where(F.col("_id").isNotNull())
+    return restored(one_of_each(own, ["_id"], store.keep).unionByName(several).unionByName(single.where(F.col("_id").isNull())))

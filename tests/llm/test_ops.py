@@ -470,3 +470,21 @@ def test_decontaminate_items_without_an_id(spark):
     assert (got[1].n_hit, got[1]["items"], got[1].contaminated) == (3, ["x", None], True)
     assert (got[2].n_hit, got[2]["items"]) == (1, ["x"]) and (got[3].n_words, got[3].n_hit, got[3]["items"]) == (0, 0, [])
     assert decontaminate.benchmark_hits(docs.where("doc_id > 9"), items).collect() == []
+
+
+def test_near_rows_of_one_id_are_decided_by_their_texts(spark):
+    far = [" ".join(f"{c}{i * 7 + k}" for i in range(3000)) for k, c in enumerate("abc")]
+    near = far[0] + " more"
+    rows = [(1, far[0], "a"), (5, near, "b"), (5, far[1], "c"), (5, far[1], "d"), (7, far[2], "e"), (7, far[2], "e"), (8, far[2], "f"), (None, far[0], "g"), (9, None, "h"), (9, far[1] + " x", "i")]
+    got = sorted(((r.doc_id, r.text) for r in simhash.drop_near(awkward(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, far[0]), (5, far[1]), (7, far[2]), (9, None), (None, far[0])], key=repr)
+
+
+def test_lines_of_a_long_text_leave_in_linear_time(spark):
+    import time
+
+    text = "\n".join(f"shared {i}" if i % 2 else f"own {{}} {i}" for i in range(120_000))
+    docs = awkward(spark, [(i, text.replace("{}", str(i)), f"site{i}") for i in range(5)])
+    began = time.time()
+    got = lines.drop_shared_lines(docs).agg(F.min("n_removed"), F.max("n_removed"), F.max(F.length("kept_text"))).first()
+    assert got[0] == got[1] == 60_000 and got[2] > 600_000 and time.time() - began < 100
