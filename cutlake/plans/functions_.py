@@ -327,11 +327,13 @@ def _(t):
     WHEN {_has('any_case', R.PARKED_WORDS)} THEN 'Parked' WHEN {_has('any_case', R.APPROVED_WORDS)} AND {_has('any_case', R.HELD_WORDS)} THEN 'Approved — held for you'
     WHEN {_has('any_case', R.APPROVED_WORDS)} THEN 'Approved' WHEN {_has('any_case', R.NEWCUT_WORDS)} AND {_has('any_case', R.NEWCUT_CONTEXT)} THEN 'New version ready'
     WHEN {_has('any_case', R.WATCH_WORDS)} THEN 'Ready for you to watch' WHEN {_has('any_case', R.QUEUED_WORDS)} THEN 'Queued — being planned'
-    WHEN {_has('any_case', R.BUILDING_WORDS)} THEN 'Being built' WHEN lane = 'done' THEN 'Done' ELSE 'In progress' END AS phrase FROM laned""",
+    WHEN {_has('any_case', R.BUILDING_WORDS)} THEN 'Being built' WHEN lane = 'done' THEN 'Done' ELSE 'In progress' END AS phrase,
+    CASE phrase WHEN 'The factory has a question for you' THEN 'amber' WHEN 'Posted' THEN 'green' WHEN 'Approved — held for you' THEN 'amber' WHEN 'Approved' THEN 'green' WHEN 'New version ready' THEN 'blue' WHEN 'Ready for you to watch' THEN 'blue' WHEN 'Done' THEN 'green' ELSE 'grey' END AS color,
+    'v' || lpad(nullif(regexp_extract(upper(token), '(?:^|[^A-Z0-9])V(\\d{{1,3}})(?:[^0-9]|$)', 1), ''), 3, '0') AS version FROM laned""",
 )
 def _(t):
     tokened = t.state_texts.select("id", R.state_token(c("state")).alias("token"))
-    return tokened.select("id", R.plain_state(c("token"), R.lane_of(c("token"))).alias("phrase"))
+    return tokened.select("id", R.plain_card(c("token"), R.lane_of(c("token"))).alias("card")).select("id", "card.*")
 
 
 @query(

@@ -67,26 +67,28 @@ def _receipts(t):
     """One receipt per order: header lines, an ACK with a status, and for some a later head without one."""
     at = F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00'Z'")
     kind = F.when(c("o_orderpriority") == "1-URGENT", "feedback").when(c("o_orderpriority") == "2-HIGH", "frame-note").when(c("o_orderpriority") == "3-MEDIUM", "drop").otherwise("other")
-    name = F.concat(lit("ui-"), kind, lit("-row"), F.lpad((c("o_custkey") % 90).cast("string"), 2, "0"), lit("-"), F.date_format("o_orderdate", "yyyyMMdd"), lit("T010203Z.md"))
+    row = F.lpad((c("o_custkey") % 90).cast("string"), 2, "0")
+    bare = (kind == "drop") & (c("o_custkey") % 2 == 0)  # a batch order: its row stands in the body, its time is the file's
+    name = F.when(bare, F.concat(lit("ui-drop-"), c("o_orderkey").cast("string"), lit(".md"))).otherwise(F.concat(lit("ui-"), kind, lit("-row"), row, lit("-"), F.date_format("o_orderdate", "yyyyMMdd"), lit("T010203Z.md")))
     head = F.concat(lit("ACK — "), F.lower("o_orderstatus"), lit("-lane — "), at, lit(" — "), F.when(c("o_orderstatus") == "F", "finished").otherwise("picked up"), lit(": go"))
     block = F.concat(lit('<!--status {"v":1,"state":"'), F.when(c("o_orderstatus") == "F", "finished").otherwise("queued"), lit('","why":"disk"} -->'))
     later = F.when(c("o_totalprice") > 300000, F.concat(lit("\nCALL — boss — "), at, lit(" — keep it? 1 = yes, 2 = no\nnote\n"), block)).otherwise("")
-    text = F.concat(lit("Disposition: "), F.when(c("o_orderstatus") == "P", "REJECT").otherwise("NOTES"), lit("\nSent by: x ("), F.when(c("o_orderstatus") == "O", "EDITOR").otherwise("OPERATOR"), lit(")\n"), head, lit("\n"), block, later)
-    return t.orders.select("o_orderkey", name.alias("name"), text.alias("text"))
+    text = F.concat(lit("Disposition: "), F.when(c("o_orderstatus") == "P", "REJECT").otherwise("NOTES"), lit("\nSent by: x ("), F.when(c("o_orderstatus") == "O", "EDITOR").otherwise("OPERATOR"), lit(")\n"), F.when(bare, F.concat(lit("ORDER: build a 10-variant alternate batch for registry row "), (c("o_custkey") % 90).cast("string"), lit(".\n"))).otherwise(""), head, lit("\n"), block, later)
+    return t.orders.select("o_orderkey", name.alias("name"), text.alias("text"), (c("o_orderdate") + F.make_dt_interval(days=lit(1))).alias("modified"))
 
 
-RECEIPTS = """rc AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'feedback' WHEN '2-HIGH' THEN 'frame-note' WHEN '3-MEDIUM' THEN 'drop' END AS kind, 'ui-' || CASE o_orderpriority WHEN '1-URGENT' THEN 'feedback' WHEN '2-HIGH' THEN 'frame-note' WHEN '3-MEDIUM' THEN 'drop' END || '-row' || lpad((o_custkey % 90)::VARCHAR, 2, '0')
-  || '-' || strftime(o_orderdate, '%Y%m%d') || 'T010203Z.md' AS receipt, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority < '4')"""
+RECEIPTS = """rc AS (SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'feedback' WHEN '2-HIGH' THEN 'frame-note' WHEN '3-MEDIUM' THEN 'drop' END AS kind, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_custkey % 2 = 0 THEN 'ui-drop-' || o_orderkey || '.md' ELSE 'ui-' || CASE o_orderpriority WHEN '1-URGENT' THEN 'feedback' WHEN '2-HIGH' THEN 'frame-note' WHEN '3-MEDIUM' THEN 'drop' END || '-row' || lpad((o_custkey % 90)::VARCHAR, 2, '0')
+  || '-' || strftime(o_orderdate, '%Y%m%d') || 'T010203Z.md' END AS receipt, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_custkey % 2 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate::DATE + INTERVAL 3723 SECOND END AS sent, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders WHERE o_orderpriority < '4')"""
 
 
 @query(
     "s5_parse_receipts",
-    f"""WITH {RECEIPTS} SELECT receipt, kind, (o_custkey % 90)::INTEGER AS row, CASE o_orderstatus WHEN 'P' THEN 'REJECT' ELSE 'NOTES' END AS disposition, CASE o_orderstatus WHEN 'O' THEN 'editor' ELSE 'operator' END AS author, 0::BIGINT AS seq, 'ACK' AS head, lower(o_orderstatus) || '-lane' AS lane,
+    f"""WITH {RECEIPTS} SELECT receipt, kind, sent, (o_custkey % 90)::INTEGER AS row, CASE o_orderstatus WHEN 'P' THEN 'REJECT' ELSE 'NOTES' END AS disposition, CASE o_orderstatus WHEN 'O' THEN 'editor' ELSE 'operator' END AS author, 0::BIGINT AS seq, 'ACK' AS head, lower(o_orderstatus) || '-lane' AS lane,
       strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') AS at, CASE o_orderstatus WHEN 'F' THEN 'finished' ELSE 'queued' END AS state FROM rc
-    UNION ALL SELECT receipt, kind, (o_custkey % 90)::INTEGER, CASE o_orderstatus WHEN 'P' THEN 'REJECT' ELSE 'NOTES' END, CASE o_orderstatus WHEN 'O' THEN 'editor' ELSE 'operator' END, 1, 'CALL', 'boss', strftime(o_orderdate, '%Y-%m-%dT00:00:00Z'), NULL FROM rc WHERE o_totalprice > 300000""",
+    UNION ALL SELECT receipt, kind, sent, (o_custkey % 90)::INTEGER, CASE o_orderstatus WHEN 'P' THEN 'REJECT' ELSE 'NOTES' END, CASE o_orderstatus WHEN 'O' THEN 'editor' ELSE 'operator' END, 1, 'CALL', 'boss', strftime(o_orderdate, '%Y-%m-%dT00:00:00Z'), NULL FROM rc WHERE o_totalprice > 300000""",
 )
 def _(t):
-    return R.receipt_events(R.parse_receipts(_receipts(t))).select("receipt", "kind", "row", "disposition", "author", "seq", "head", "lane", "at", "state")
+    return R.receipt_events(R.parse_receipts(_receipts(t), modified="modified")).withColumn("sent", c("sent").cast("timestamp_ntz")).select("receipt", "kind", "sent", "row", "disposition", "author", "seq", "head", "lane", "at", "state")
 
 
 @query(

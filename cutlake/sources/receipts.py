@@ -16,6 +16,8 @@ from cutlake.schemas import STATUS
 NAME = r"^ui-(feedback|frame-note|batch-verdict|continue|drop|smoketest)\b"
 ROW = r"-row(\d{2,})-"
 STAMP = r"(\d{8})T(\d{6})Z"
+BATCH_ROW = r"(?m)^ORDER: build a 10-variant alternate batch for registry row (\d{1,3})\."
+EDITOR, EDITOR_LINE = "AUTHORITY: EDITOR", r"(?m)^Sent by:\s*\S+\s*\(EDITOR\)"
 HEAD = r"^(ACK|CALL)\s+[—–-]+\s+(.+?)\s+[—–-]+\s+(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z)(.*)$"
 BLOCK = r"^<!--status (\{.*\}) -->\s*$"
 
@@ -28,20 +30,26 @@ def lines_of(text: Column) -> Column:
     return F.split(text, r"\r?\n")
 
 
-def receipt_header(name: Column, text: Column) -> dict[str, Column]:
-    """Kind, row, sent time, disposition and author role of a receipt."""
+def receipt_header(name: Column, text: Column, modified: Column | None = None) -> dict[str, Column]:
+    """Kind, row, sent time, disposition and author role of a receipt.
+
+    A drop whose name has no row takes that of the batch its body orders; a name
+    without a stamp takes the file's time ``modified``.
+    """
+    kind = _none_if_empty(F.regexp_extract(name, NAME, 1))
     stamp = F.concat(F.regexp_extract(name, STAMP, 1), F.regexp_extract(name, STAMP, 2))
-    editor = text.contains("AUTHORITY: EDITOR") | text.rlike(r"(?m)^Sent by:\s*\S+\s*\(EDITOR\)")
+    sent = F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss"))
+    editor = text.contains(EDITOR) | text.rlike(EDITOR_LINE)
     return {
-        "kind": _none_if_empty(F.regexp_extract(name, NAME, 1)),
-        "row": F.regexp_extract(name, ROW, 1).try_cast("int"),
-        "sent": F.try_to_timestamp(stamp, F.lit("yyyyMMddHHmmss")),
+        "kind": kind,
+        "row": F.coalesce(F.regexp_extract(name, ROW, 1).try_cast("int"), F.when(kind == "drop", F.regexp_extract(text, BATCH_ROW, 1).try_cast("int"))),
+        "sent": sent if modified is None else F.coalesce(sent, modified.cast("timestamp")),
         "disposition": _none_if_empty(F.regexp_extract(text, r"(?m)^Disposition:\s*(\w+)", 1)),
         "author": F.when(editor, "editor").otherwise("operator"),
     }
 
 
-def parse_receipts(files: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+def parse_receipts(files: DataFrame, name: str = "name", text: str = "text", modified: str | None = None) -> DataFrame:
     """One row per receipt with its heads as an array; a status counts only directly under a head."""
     split = files.withColumn("_lines", lines_of(F.col(text)))
     numbered = F.transform("_lines", lambda line, i: F.struct(line.alias("line"), i.alias("i")))
@@ -55,7 +63,7 @@ def parse_receipts(files: DataFrame, name: str = "name", text: str = "text") ->
             F.regexp_extract(x["line"], HEAD, 3).alias("at"), status["state"].alias("state"), status["why"].alias("why"), status["not_before"].alias("not_before"), x["line"].alias("line"),
         )
 
-    parsed = split.select(F.col(name).alias("receipt"), *[v.alias(k) for k, v in receipt_header(F.col(name), F.col(text)).items()], F.transform(heads, head).alias("heads"))
+    parsed = split.select(F.col(name).alias("receipt"), *[v.alias(k) for k, v in receipt_header(F.col(name), F.col(text), None if modified is None else F.col(modified)).items()], F.transform(heads, head).alias("heads"))
     return parsed.where("kind IS NOT NULL")
 
 
@@ -66,8 +74,8 @@ def receipt_events(receipts: DataFrame) -> DataFrame:
 
 
 def read_receipts(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
-    return parse_receipts(files)
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"), F.col("_metadata.file_modification_time").alias("modified"))
+    return parse_receipts(files, modified="modified")
 
 
 def status_blocks(receipts: DataFrame) -> DataFrame:

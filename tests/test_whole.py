@@ -145,3 +145,16 @@ def test_a_screen_is_cut_where_it_is_empty(spark):
         want[i] = slot
     assert {r.id: r.slot for r in got.collect()} == want and set(want.values()) == {0, 1}
     assert joins.stack_slots(df.where("id < 0")).collect() == []
+
+
+def test_a_receipt_without_row_or_stamp_in_its_name(spark):
+    order = "ORDER: build a 10-variant alternate batch for registry row 7.\nmore"
+    rows = [("ui-drop-1.md", order), ("ui-feedback-2.md", order), ("ui-drop-row12-20260101T010203Z.md", order), ("ui-drop-3.md", "x " + order)]
+    files = spark.createDataFrame(rows, "name string, text string").withColumn("modified", F.timestamp_seconds(F.lit(60)))
+    got = {r.receipt: (r.row, r.sent) for r in receipts.parse_receipts(files, modified="modified").select("receipt", "row", F.unix_timestamp("sent").alias("sent")).collect()}
+    assert got == {"ui-drop-1.md": (7, 60), "ui-feedback-2.md": (None, 60), "ui-drop-row12-20260101T010203Z.md": (12, 1767229323), "ui-drop-3.md": (None, 60)}
+
+
+@pytest.mark.parametrize("token,card", [("APPROVED__V7__x", ("Approved", "green", "v007")), ("PUBLISHED__V0123", ("Posted", "green", None)), ("PARKED__V012", ("Parked", "grey", "v012")), ("", ("In progress", "grey", None)), ("APPROVED__HELD_FOR_YOU", ("Approved — held for you", "amber", None))])
+def test_plain_card(spark, token, card):
+    assert tuple(spark.range(1).select(R.plain_card(F.lit(token), F.lit("machine")).alias("c")).first().c) == card
