@@ -132,7 +132,7 @@ def _(t):
     record, _ = _json_slot(t, "source_path")
     doc = F.when(c("l_linestatus") == "F", F.concat(lit('{"slots": [], "shots": ['), record, lit("]}"))).otherwise(F.concat(lit("["), record, lit("]")))
     plans = t.lineitem.select((c("l_orderkey") * 1000000 + c("l_partkey")).alias("plan"), doc.alias("value"))
-    return D.flatten_plan(plans, "plan").select("plan", "index", "slot", F.array_join("masters", ",").alias("master"))
+    return D.flatten_plan(plans, "plan", deal=True).select("plan", "index", "slot", F.array_join("masters", ",").alias("master"))
 
 
 @query(

@@ -38,9 +38,13 @@ def sources(record: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(given, master_id)))
 
 
-def flatten_plan(plans: DataFrame, key: str, value: str = "value") -> DataFrame:
-    """Slot records of plan documents: key, index, slot, masters."""
-    parsed = plans.select(key, F.try_parse_json(F.col(value)).alias("_doc"))
+def flatten_plan(plans: DataFrame, key: str, value: str = "value", deal: bool = False) -> DataFrame:
+    """Slot records of plan documents: key, index, slot, masters.
+
+    ``deal`` shuffles the documents by key first: for inputs of fewer splits than
+    cores, as each document is heavy work. Inputs of many splits need none.
+    """
+    parsed = (plans.select(key, value).repartition(key) if deal else plans).select(key, F.try_parse_json(F.col(value)).alias("_doc"))
     rows = parsed.select(key, F.posexplode(records(F.col("_doc"))).alias("index", "r"))
     return rows.select(key, "index", slot_id(F.col("r"), F.col("index")).alias("slot"), sources(F.col("r")).alias("masters"))
 
