@@ -1,10 +1,11 @@
-"""N-gram language model in an Elias-Fano trie: built level by level in Spark, read from mapped files.
+"""N-gram language model in an Elias-Fano trie: counted and built in Spark, read from mapped files.
 
 A level is cut into shards by the hash of an n-gram's first word; a shard is a
 file of its own. Level 1 holds word hashes and counts; level ``k`` holds, for each
 node of level ``k - 1``, the words that follow it: pointers to the ranges of
 children, the children's word ids made monotone by adding the last value before
-the range, their counts and their quantised probabilities.
+the range, and their counts. Quantised probabilities, and the backoffs of the
+level above, lie in files beside them.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 from cutlake.llm import eliasfano, store, words
 
 ORDER, DISCOUNT, LEAST_COUNT = 3, 0.5, 2
-SHARD_TOKENS, CHUNK_TOKENS = 4_000_000, 1_500_000
-SLICE, SCORED = 2 << 20, 4 << 20  # bytes of text looked up together: when counted, when scored
+SHARD_TOKENS = 4_000_000
+SLICE = 4 << 20  # bytes of text that are counted or looked up together
 SCALE = 2048  # steps of log10 probability
 END = np.uint64(0xA0761D6478BD642F)
 _U = np.uint64
@@ -110,28 +111,29 @@ class Trie:
         def read(s, own):
             pointers, values = sequence(self.path(f"level{level}", s), "pointers"), sequence(self.path(f"level{level}", s), "values")
             i = parents[own] - self.offsets[level - 2][s]
-            lo, hi = pointers.at(i), pointers.at(i + 1)
+            heads = np.flatnonzero(np.diff(i, prepend=-1))  # a parent is looked up once for its neighbours in the list
+            lo, hi = pointers.at(i[heads]), pointers.at(i[heads] + 1)
+            base = np.zeros(len(heads), np.int64)
+            some = np.flatnonzero((hi > lo) & (lo > 0))
+            base[some] = values.at(lo[some] - 1) + 1
+            lo, hi, base = (np.repeat(x, np.diff(np.append(heads, len(i)))) for x in (lo, hi, base))
             out, some = np.full(len(own), -1, np.int64), np.flatnonzero(hi > lo)
-            lo = lo[some]
-            base = np.where(lo > 0, values.at(np.maximum(lo - 1, 0)) + 1, 0)
-            at = values.find(base + following[own][some])
-            good = (at >= lo) & (at < hi[some])
+            at = values.find(base[some] + following[own[some]])
+            good = (at >= lo[some]) & (at < hi[some])
             out[some[good]] = at[good] + self.offsets[level - 1][s]
             return out
 
         shard = np.where(following >= 0, self._place(level - 1, parents), -1)
         return self._shardwise(shard, read, np.full(len(parents), -1, np.int64))
 
-    def last_words(self, level: int, ids: np.ndarray) -> np.ndarray:
-        """The word id that a node of ``level`` (2 or deeper) ends with."""
-        def read(s, own):
-            pointers, values = sequence(self.path(f"level{level}", s), "pointers"), sequence(self.path(f"level{level}", s), "values")
-            i = ids[own] - self.offsets[level - 1][s]
-            starts = pointers.at(np.arange(pointers.n))
-            lo = starts[np.searchsorted(starts, i, side="right") - 1]
-            return values.at(i) - np.where(lo > 0, values.at(np.maximum(lo - 1, 0)) + 1, 0)
-
-        return self._shardwise(self._place(level, ids), read, np.full(len(ids), -1, np.int64))
+    def nodes(self, level: int, shard: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each node of a shard of ``level`` (2 or deeper), in order: its parent, counted within the shard, and its word id."""
+        pointers, values = sequence(self.path(f"level{level}", shard), "pointers"), sequence(self.path(f"level{level}", shard), "values")
+        starts = pointers.at(np.arange(pointers.n))
+        sizes = np.diff(starts)
+        x = values.at(np.arange(values.n))
+        base = np.where(starts[:-1] > 0, x[np.maximum(starts[:-1] - 1, 0)] + 1, 0) if len(x) else np.zeros(len(sizes), np.int64)
+        return np.repeat(np.arange(len(sizes)), sizes), x - np.repeat(base, sizes)
 
     def _quantised(self, name: str, key: str, level: int, ids: np.ndarray) -> np.ndarray:
         def read(s, own):
@@ -141,11 +143,11 @@ class Trie:
 
     def probabilities(self, level: int, ids: np.ndarray) -> np.ndarray:
         """Quantised log10 probabilities of nodes of level 2 or deeper (0 for id -1)."""
-        return self._quantised(f"level{level}", "probabilities", level, ids)
+        return self._quantised(f"chances{level}", "probabilities", level, ids)
 
     def backoffs(self, level: int, ids: np.ndarray) -> np.ndarray:
         """Quantised log10 weights that contexts leave to the shorter context (0 for id -1)."""
-        return self._quantised(f"level{level + 1}", "backoffs", level, ids)
+        return self._quantised(f"chances{level + 1}", "backoffs", level, ids)
 
 
 @functools.lru_cache(maxsize=8192)
@@ -179,54 +181,55 @@ class Tokens:
             inside[at[at < self.first[1:]]] = False
         return np.flatnonzero(inside)
 
+    def levels(self, order: int):
+        """The distinct n-grams of the slice, level by level from 2: places, numbers of parent and word, and each place's n-gram.
 
-def _merge(keys: np.ndarray, following: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = np.lexsort((following, keys))
-    keys, following = keys[order], following[order]
-    new = np.ones(len(keys), dtype=bool)
-    new[1:] = (keys[1:] != keys[:-1]) | (following[1:] != following[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], following[first], np.add.reduceat(counts[order], first) if len(first) else counts[:0]
-
-
-def _rows(shard: np.ndarray, keys: np.ndarray, following: np.ndarray, counts: np.ndarray, shards: int):
-    """Packed rows of sorted n-grams, one for each shard or bucket that has some."""
-    by = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[by], np.arange(shards + 1))
+        N-grams are numbered in the order of their words' hashes, so also in that of their ids.
+        """
+        number, n = self.at, len(self.distinct)
+        for level in range(2, order + 1):
+            at = self.after(level - 1)
+            code, back = np.unique(number[at - 1] * n + self.at[at], return_inverse=True)
+            number = np.zeros(len(self), np.int64)
+            number[at] = back
+            yield at, code // n, code % n, back
+
+
+def _rows(shard: np.ndarray, columns: list[np.ndarray], counts: np.ndarray, shards: int):
+    """Packed rows of n-grams that ascend by their first word, one for each shard that has some."""
+    cuts = np.searchsorted(shard, np.arange(shards + 1))
     for s in np.flatnonzero(np.diff(cuts)).tolist():
-        own = by[cuts[s] : cuts[s + 1]]
-        row = (s, _steps(keys[own]), pack(following[own]), pack(counts[own]))
+        own = slice(cuts[s], cuts[s + 1])
+        row = (s, _steps(columns[0][own]), pack(np.concatenate([c[own] for c in columns[1:]] or [counts[:0]])), pack(counts[own]))
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "keys", "words", "counts"])
 
 
-def _counted(rows: DataFrame, grams, shards: int, bucket) -> DataFrame:
-    """N-grams of ``rows(text)`` as packed rows; ``grams(part)`` gives keys and following words of a slice.
+def _counted(rows: DataFrame, grams, shards: int) -> DataFrame:
+    """N-grams of ``rows(text)`` as packed rows; ``grams(tokens)`` gives the shards, words and counts of a slice.
 
-    Equal n-grams of a chunk of texts travel once with their count, so a frequent
-    one costs an entry for each chunk.
+    Equal n-grams of a slice travel once with their count. Texts of several Arrow
+    batches are put together until they fill a slice.
     """
     def run(batches):
-        held, n = [], 0
+        held, size = [], 0
         for batch in batches:
-            for part in words.slices(batch.column(0), lower=True, limit=SLICE):
-                got, tokens = grams(part)
-                held.append(got)
-                n += tokens
-                if n >= CHUNK_TOKENS:
-                    yield from out(held)
-                    held, n = [], 0
+            held.append(batch.column(0).cast(pa.large_string()))
+            size += held[-1].nbytes
+            if size >= SLICE:
+                yield from out(pa.concat_arrays(held))
+                held, size = [], 0
         if held:
-            yield from out(held)
+            yield from out(pa.concat_arrays(held))
 
-    def out(held):
-        merged = _merge(*(np.concatenate([h[i] for h in held]) for i in range(3)))
-        yield from _rows(bucket(merged[0], merged[1]), *merged, shards)
+    def out(texts):
+        for part in words.slices(texts, lower=True, limit=SLICE):
+            yield from _rows(*grams(Tokens(part)), shards)
 
     return rows.mapInArrow(run, ROW)
 
 
 def _met(packed: DataFrame, shards: int, done, schema: str) -> DataFrame:
-    """Rows of a shard brought together; ``done(shard, keys, words, counts)`` gets their merged n-grams and yields batches."""
+    """Rows of a shard brought together; ``done(shard, columns, counts)`` gets their n-grams, equal ones still apart."""
     def run(batches):
         held, shard = [], None
         for batch in batches:
@@ -237,29 +240,34 @@ def _met(packed: DataFrame, shards: int, done, schema: str) -> DataFrame:
                         yield from one(shard, held)
                     held, shard = [], s
                 keys, following, counts = (batch.column(c)[i].as_py() for c in (1, 2, 3))
-                held.append((_unsteps(keys), unpack(following).view(np.int64), unpack(counts).view(np.int64)))
+                keys = _unsteps(keys)
+                following = unpack(following).view(np.int64)
+                held.append((keys, *(following.reshape(-1, len(keys)) if len(keys) else ()), unpack(counts).view(np.int64)))
         if held:
             yield from one(shard, held)
 
     def one(shard, held):
-        yield from done(shard, *_merge(*(np.concatenate([h[i] for h in held]) for i in range(3))))
+        some = [h for h in held if len(h[0])]
+        *columns, counts = (np.concatenate(x) for x in zip(*some)) if some else (None, np.zeros(0, np.int64))
+        held.clear()
+        yield from done(shard, columns if some else None, counts)
 
     return packed.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, schema)
 
 
-def _sizes(shard: int, nodes: int, total: int):
-    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, nodes, total)], names=["shard", "nodes", "total"])
+def _sizes(shard: int, level: int, nodes: int, total: int):
+    yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (shard, level, nodes, total)], names=["shard", "level", "nodes", "total"])
 
 
-SIZES = "shard long, nodes long, total long"
+SIZES = "shard long, level long, nodes long, total long"
 
 
-def _offsets(sizes: DataFrame, shards: int) -> tuple[np.ndarray, int]:
-    nodes, total = np.zeros(shards, np.int64), 0
-    for r in sizes.collect():  # a row of three numbers for each shard
-        nodes[r.shard] = r.nodes
+def _offsets(sizes: DataFrame, shards: int, levels: int) -> tuple[list[np.ndarray], int]:
+    nodes, total = np.zeros((levels, shards + 1), np.int64), 0
+    for r in sizes.collect():  # a row of four numbers for each shard and level
+        nodes[r.level - 1, r.shard + 1] = r.nodes
         total += r.total
-    return np.concatenate(([0], np.cumsum(nodes))), total
+    return list(np.cumsum(nodes, axis=1)), total
 
 
 def _none(rows: DataFrame, shards: int) -> DataFrame:
@@ -278,133 +286,125 @@ def build(docs: DataFrame, text: str = "text", order: int = ORDER, discount: flo
     so each pass only counts n-grams whose parts the levels above hold. The mass of
     discounts and of n-grams not kept goes to the shorter context.
 
-    Counts meet in buckets by the hash of the n-gram, so the followers of a common
-    word are counted by many tasks; only kept ones go to their shard.
+    Two passes count: one the words, one the n-grams of the full order together with
+    the shorter ones that end a text. All others are followed by a word, so their
+    counts are sums of those of their followers, and one shuffle gives every level.
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = size // (3 * SHARD_TOKENS) + 1  # about half of SHARD_TOKENS words each
-    buckets = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
     trie = Trie(folder or store.new_folder(spark, "ngrams"), order)
 
-    def unigrams(part):
-        tokens = Tokens(part)
-        return ((tokens.distinct >> _U(1)).astype(np.int64), np.zeros(len(tokens.distinct), np.int64), np.bincount(tokens.at, minlength=len(tokens.distinct))), len(tokens)
+    def unigrams(tokens):
+        return shard_of(tokens.distinct, shards), [(tokens.distinct >> _U(1)).astype(np.int64)], np.bincount(tokens.at, minlength=len(tokens.distinct))
 
-    def write_words(shard, keys, _, counts):
+    def write_words(shard, columns, counts):
+        keys, back = np.unique(columns[0] if columns else counts, return_inverse=True)
+        counts = _sums(back, counts)
         arrays, facts = eliasfano.encode(keys, "values")
         more, also = eliasfano.encode(np.concatenate(([0], np.cumsum(counts))), "sums")
         eliasfano.save(trie.path("words", shard), {**arrays, **more}, **facts, **also)
-        yield from _sizes(shard, len(keys), int(counts.sum()))
-
-    own = lambda keys, _: shard_of(keys.astype(_U) << _U(1), shards)
-    sizes = _met(_counted(rows, unigrams, shards, own).unionByName(_none(rows, shards)), shards, write_words, SIZES)
-    offsets, total = _offsets(sizes, shards)
-    trie = Trie(trie.folder, 1, total, int(offsets[-1]), [offsets])
-    for level in range(2, order + 1):
-        trie = _deepen(rows, trie, level, buckets, discount, least)
+        yield from _sizes(shard, 1, len(keys), int(counts.sum()))
+
+    sizes = _met(_counted(rows, unigrams, shards).unionByName(_none(rows, shards)), shards, write_words, SIZES)
+    offsets, tokens = _offsets(sizes, shards, 1)
+    trie = Trie(trie.folder, order, tokens, int(offsets[0][-1]), offsets)
+    if order > 1:
+        trie = _deepen(rows, trie, least)
+        for level in range(2, order + 1):
+            _weigh(spark, trie, level, discount)
     return trie
 
 
-def _deepen(rows: DataFrame, trie: Trie, level: int, buckets: int, discount: float, least: int) -> Trie:
-    """One more level: count, keep, then write each shard with its pointers, probabilities and the contexts' backoffs."""
-    shards = trie.shards
-
-    def grams(part):
-        tokens = Tokens(part)
-        nodes = path_nodes(trie, tokens, level - 1, least)
-        at = tokens.after(level - 1)
-        # the context and the same words without the first one must both be kept
-        key, following, rest = nodes[level - 2][at - 1], nodes[0][at], nodes[level - 2][at]
-        good = (key >= 0) & (following >= 0) & (rest >= 0)
-        key, following = key[good], following[good]
-        return _merge(key, following, np.ones(len(key), np.int64)), len(tokens)
-
-    spread = lambda keys, following: (words.mix(keys.astype(_U) * _U(0x9E3779B97F4A7C15) ^ following.astype(_U)) % _U(buckets)).astype(np.int64)
-
-    def keep(_, keys, following, counts):
-        many = counts >= least
-        keys, following, counts = keys[many], following[many], counts[many]
-        yield from _rows(trie._place(level - 1, keys), keys, following, counts, shards)
-
-    def write(shard, keys, following, counts):
-        first, last = trie.offsets[level - 2][shard], trie.offsets[level - 2][shard + 1]
-        parent = keys - first
-        pointers = np.searchsorted(parent, np.arange(last - first + 1))
-        opens = pointers[:-1][np.diff(pointers) > 0]
-        ends = np.append(opens[1:], len(parent)) - 1
-        base = np.concatenate(([0], np.cumsum(following[ends] + 1)))[:-1] if len(opens) else np.zeros(0, np.int64)
-        values = following + np.repeat(base, ends - opens + 1)
-        context = trie.counts(level - 1, np.arange(first, last))
-        share = (counts - discount) / context[parent]
-        left = np.maximum(1.0 - np.bincount(parent, share, minlength=last - first), 1e-12)
+def _sums(at: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    return np.bincount(at, counts).astype(np.int64)  # exact below 2**53
+
+
+def _deepen(rows: DataFrame, trie: Trie, least: int) -> Trie:
+    """All levels below the words, written from one shuffle of the n-grams of the full order."""
+    order, shards, first = trie.order, trie.shards, trie.offsets[0]
+
+    def grams(tokens):
+        ids, end = trie.word_ids(tokens.distinct), np.searchsorted(tokens.distinct, END >> _U(1) << _U(1))
+        spelt, parts = [ids], []
+        for level, (_, parent, word, back) in enumerate(tokens.levels(order), 2):
+            # words after the first are raised by one: 0 stands for none
+            spelt = [*(x[parent] for x in spelt), ids[word] + 1]
+            counts = np.bincount(back, minlength=len(parent))
+            out = slice(None) if level == order else word == end
+            parts.append([*(x[out] for x in spelt), *[np.zeros(len(counts[out]), np.int64)] * (order - level), counts[out]])
+        *columns, counts = (np.concatenate(x) for x in zip(*parts))
+        by = np.argsort(columns[0], kind="stable")
+        columns = [c[by] for c in columns]
+        return np.searchsorted(first, columns[0], side="right") - 1, columns, counts[by]
+
+    def write(shard, columns, counts):
+        above, number = int(first[shard + 1] - first[shard]), columns[0] - first[shard] if columns else counts
+        for level in range(2, order + 1):
+            word = columns[level - 1] if columns else counts
+            live = word > 0
+            code, back = np.unique(number[live] * trie.words + word[live] - 1, return_inverse=True)
+            total = _sums(back, counts[live])
+            many = total >= least
+            parent, following = code[many] // max(trie.words, 1), code[many] % max(trie.words, 1)
+            _write_level(trie.path(f"level{level}", shard), above, parent, following, total[many])
+            yield from _sizes(shard, level, len(parent), 0)
+            above = len(parent)
+            if columns:
+                live[live] = many[back]
+                number, counts, columns = (np.cumsum(many) - 1)[back[many[back]]], counts[live], [c[live] for c in columns]
+
+    offsets, _ = _offsets(_met(_counted(rows, grams, shards).unionByName(_none(rows, shards)), shards, write, SIZES), shards, order)
+    return Trie(trie.folder, order, trie.tokens, trie.words, [first, *offsets[1:]])
+
+
+def _write_level(path: str, above: int, parent: np.ndarray, following: np.ndarray, counts: np.ndarray) -> None:
+    pointers = np.searchsorted(parent, np.arange(above + 1))
+    opens = pointers[:-1][np.diff(pointers) > 0]
+    ends = np.append(opens[1:], len(parent)) - 1
+    base = np.concatenate(([0], np.cumsum(following[ends] + 1)))[:-1] if len(opens) else np.zeros(0, np.int64)
+    values = following + np.repeat(base, ends - opens + 1) if len(opens) else following
+    arrays, facts = {}, {}
+    for name, x in (("pointers", pointers), ("values", values), ("sums", np.concatenate(([0], np.cumsum(counts))))):
+        a, f = eliasfano.encode(x, name)
+        arrays |= a
+        facts |= f
+    eliasfano.save(path, arrays, **facts)
+
+
+def _weigh(spark, trie: Trie, level: int, discount: float) -> None:
+    """The probabilities of a level and the backoffs of the one above, a file for each shard, from the levels' files."""
+    def run(batches):
+        for batch in batches:
+            for shard in batch.column(0).to_pylist():
+                one(shard)
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], names=["id"])
+
+    def one(shard):
+        parent, following = trie.nodes(level, shard)
+        start, stop = trie.offsets[level - 1][shard : shard + 2]
+        above = np.arange(*trie.offsets[level - 2][shard : shard + 2])
+        share = (trie.counts(level, np.arange(start, stop)) - discount) / trie.counts(level - 1, above)[parent]
+        left = np.maximum(1.0 - np.bincount(parent, share, minlength=len(above)), 1e-12)
         if level == 2:
-            lower = trie.unigram(trie.counts(1, following))
+            lower = trie.unigram(_read(trie.counts, 1, following))
         else:
-            lower = shorter(trie, level - 1, keys, following)
+            shorter = trie.children(level - 1, _without_first(trie, level - 1, shard)[parent], following)
+            lower = trie.probabilities(level - 1, shorter)
         probability = np.log10(share + left[parent] * 10**lower)
-        arrays, facts = {}, {}
-        for name, x in (("pointers", pointers), ("values", values), ("sums", np.concatenate(([0], np.cumsum(counts))))):
-            a, f = eliasfano.encode(x, name)
-            arrays |= a
-            facts |= f
-        eliasfano.save(trie.path(f"level{level}", shard), {**arrays, "probabilities": quantised(probability), "backoffs": quantised(np.log10(left))}, **facts)
-        yield from _sizes(shard, len(values), int(counts.sum()))
-
-    kept = _met(_counted(rows, grams, buckets, spread), buckets, keep, ROW)
-    offsets, _ = _offsets(_met(kept.unionByName(_none(rows, shards)), shards, write, SIZES), shards)
-    return Trie(trie.folder, level, trie.tokens, trie.words, [*trie.offsets, offsets])
-
-
-def shorter(trie: Trie, level: int, nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
-    """log10 probability of words after the contexts ``nodes`` (of ``level``) without their first word."""
-    node = trie.last_words(level, nodes) if level == 2 else _drop_first(trie, level, nodes)
-    return trie.probabilities(level, trie.children(level, node, following))
-
-
-def _drop_first(trie: Trie, level: int, nodes: np.ndarray) -> np.ndarray:
-    """The nodes of ``level - 1`` that spell the nodes of ``level`` without their first word."""
-    spelt, up = [], nodes
-    for k in range(level, 1, -1):
-        spelt.append(trie.last_words(k, up))
-        up = _parents(trie, k, up)
-    node = spelt.pop()
-    for k in range(2, level):
-        node = trie.children(k, node, spelt.pop())
-    return node
-
-
-def _parents(trie: Trie, level: int, ids: np.ndarray) -> np.ndarray:
-    def read(s, own):
-        pointers = sequence(trie.path(f"level{level}", s), "pointers")
-        starts = pointers.at(np.arange(pointers.n))
-        return np.searchsorted(starts, ids[own] - trie.offsets[level - 1][s], side="right") - 1 + trie.offsets[level - 2][s]
-
-    return trie._shardwise(trie._place(level, ids), read, np.full(len(ids), -1, np.int64))
+        eliasfano.save(trie.path(f"chances{level}", shard), {"probabilities": quantised(probability), "backoffs": quantised(np.log10(left))})
 
+    spark.range(0, trie.shards, 1, trie.shards).mapInArrow(run, "id long").count()
 
-def path_nodes(trie: Trie, tokens: Tokens, levels: int, least: int = 1, ids: np.ndarray | None = None) -> list[np.ndarray]:
-    """For each level and token the node of the n-gram that ends at the token, or -1.
 
-    Lookups are made once for each distinct word or pair of the slice. ``least``
-    leaves words of fewer occurrences out; ``ids`` are the words' ids if known.
-    """
-    ids = trie.word_ids(tokens.distinct) if ids is None else ids
-    if least > 1:
-        ids = np.where(trie.counts(1, ids) >= least, ids, -1)
-    out = [ids[tokens.at]]
-    for level in range(2, levels + 1):
-        at = tokens.after(level - 1)
-        parents, own = out[-1][at - 1], tokens.at[at]
-        some = np.flatnonzero((parents >= 0) & (out[0][at] >= 0))
-        number, parent_at = np.unique(parents[some], return_inverse=True)
-        pair, back = np.unique(parent_at * len(tokens.distinct) + own[some], return_inverse=True)
-        found = trie.children(level, number[pair // len(tokens.distinct)], ids[pair % len(tokens.distinct)])
-        nodes = np.full(len(tokens), -1, np.int64)
-        nodes[at[some]] = found[back]
-        out.append(nodes)
-    return out
+def _without_first(trie: Trie, level: int, shard: int) -> np.ndarray:
+    """The nodes of ``level - 1`` that spell a shard's nodes of ``level`` without their first word."""
+    node = trie.nodes(2, shard)[1]  # of a pair: its second word
+    for k in range(3, level + 1):
+        parent, following = trie.nodes(k, shard)
+        node = trie.children(k - 1, node[parent], following)
+    return node
 
 
 def score(docs: DataFrame, trie: Trie, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -422,17 +422,16 @@ def score(docs: DataFrame, trie: Trie, id: str = "doc_id", text: str = "text") -
     def run(batches):
         for batch in batches:
             out = [np.zeros(batch.num_rows, t) for t in (np.int64, np.int64, float, float)]
-            for part in words.slices(batch.column(1), lower=True, limit=SCORED):
+            for part in words.slices(batch.column(1), lower=True, limit=SLICE):
                 tokens = Tokens(part)
-                known = trie.word_ids(tokens.distinct)
-                nodes = path_nodes(trie, tokens, trie.order, ids=known)
-                counts = trie.counts(1, known)[tokens.at]
-                base = trie.unigram(counts)
-                own = base.copy()
-                for level in range(2, trie.order + 1):
-                    at = tokens.after(level - 1)
-                    context, node = nodes[level - 2][at - 1], nodes[level - 1][at]
-                    own[at] = np.where(node >= 0, _read(trie.probabilities, level, node), own[at] + _read(trie.backoffs, level - 1, context))
+                ids = nodes = trie.word_ids(tokens.distinct)
+                counts = trie.counts(1, ids)
+                base = trie.unigram(counts)[tokens.at]
+                counts, own = counts[tokens.at], base.copy()
+                for level, (at, parent, word, back) in enumerate(tokens.levels(trie.order), 2):
+                    weight = trie.backoffs(level - 1, nodes)[parent]
+                    nodes = trie.children(level, nodes[parent], ids[word])
+                    own[at] = np.where(nodes[back] >= 0, trie.probabilities(level, nodes)[back], own[at] + weight[back])
                 heads = tokens.first[:-1]
                 span = slice(part.at, part.at + len(part))
                 for x, value in zip(out, (np.ones(len(tokens), np.int64), (counts > 0).astype(np.int64), base, own)):

@@ -266,7 +266,7 @@ def test_toxicity_edges(spark, docs):
 @pytest.mark.parametrize("order,tokens", [(1, 4_000_000), (2, 3_000), (3, 3_000), (4, 200_000)])
 def test_language_model(spark, small, order, tokens, monkeypatch):
     monkeypatch.setattr(ngrams, "SHARD_TOKENS", tokens)
-    monkeypatch.setattr(ngrams, "CHUNK_TOKENS", 20_000)
+    monkeypatch.setattr(ngrams, "SLICE", 20_000)
     rows = small[:60] + [(10_001, None), (10_002, ""), (10_003, "The the THE the the the"), (10_004, LONG[:3000])]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     training = [brute.fold(i, 5) != 1 for i, _ in rows]
@@ -305,6 +305,17 @@ def test_language_model_trie_holds_ngrams_seen_once(spark, small):
         assert trie.offsets[n - 1][-1] == len({g for w in tokens for g in zip(*(w[k:] for k in range(n)))})
 
 
+@pytest.mark.parametrize("least", [1, 2])
+def test_language_model_with_one_word_as_half_of_all_tokens(spark, small, least, monkeypatch):
+    monkeypatch.setattr(ngrams, "SHARD_TOKENS", 500)
+    rows = [(i, " ".join(f"the {w}" for w in (t or "").split()[:200])) for i, t in small[:50]] + [(9_001, "the " * 500), (9_002, "the")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in ngrams.lm_scores(frame, F.lit(True), least=least).collect()}
+    want, _ = brute.language_model(rows, [True] * len(rows), least=least)
+    for (i, _), (n, _, base, own) in zip(rows, want):
+        assert got[i].base_score == pytest.approx(base, rel=1e-9) and got[i].score == pytest.approx(own, abs=3 * n / ngrams.SCALE)
+
+
 @pytest.mark.parametrize("top", [1, 50, 10_000, 2**40, 2**61])
 def test_elias_fano(tmp_path, top):
     r = np.random.default_rng(top % 97)
