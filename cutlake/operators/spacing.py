@@ -3,13 +3,14 @@
 The rule is sequential: whether a row stays depends on which earlier rows
 stayed. It becomes parallel because a stretch of time acts on the state only
 through a small step function "last kept before -> last kept after": stretches
-are summarised by many tasks, the summaries of a key are chained (a row for each
-stretch of its time axis that has events, however many these are), and every
-stretch is then walked from its own entry state.
+are summarised by many tasks, runs of ``FAN`` summaries are composed into one of
+the same form, level by level, the few that are left of a key are chained, and
+the entry states go down the levels again until every stretch is walked from its own.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 STRETCH = 64  # windows in a stretch
+FAN, LEVELS = 1024, 1  # summaries that one of the next level stands for; levels of them
 
 
 def _column(batch: pa.RecordBatch, name: str) -> list:
@@ -38,11 +40,36 @@ def _steps(times: np.ndarray, window: int, start: int) -> tuple[list[int], list[
     return [first[i] for i in edge], [last[i] for i in edge]
 
 
-def keep_spaced(df: DataFrame, keys: list[str], at: str, tie: list[str], window_us: int, stretch: int = STRETCH) -> DataFrame:
+def _through(state: int | None, steps: list[int], outs: list[int], window: int) -> int | None:
+    """The last kept instant after a stretch that is entered with ``state``."""
+    spot = 0 if state is None else bisect_right(steps, state + window)
+    return outs[spot] if spot < len(steps) else state
+
+
+def _composed(parts: list[tuple[list[int], list[int]]], window: int) -> tuple[list[int], list[int]]:
+    """One step function for stretches in a row.
+
+    An entry reaches at most one window into the first stretch. Where it hides all
+    of it, the second stretch begins with nothing hidden.
+    """
+    steps, outs = parts[0]
+    if len(parts) > 1:
+        steps, outs = [*steps, parts[1][0][0]], [*outs, None]
+    for own in parts[1:]:
+        moved = {o: _through(o, *own, window) for o in set(outs)}
+        outs = [moved[o] for o in outs]
+        edge = [i for i in range(len(outs)) if i + 1 == len(outs) or outs[i] != outs[i + 1]]
+        steps, outs = [steps[i] for i in edge], [outs[i] for i in edge]
+    return steps, outs
+
+
+def keep_spaced(df: DataFrame, keys: list[str], at: str, tie: list[str], window_us: int, stretch: int = STRETCH, fan: int = FAN, levels: int = LEVELS) -> DataFrame:
     """Rows that survive the rule: drop when a kept row lies at most ``window_us`` before.
 
     ``at`` is a timestamp, ``tie`` orders rows of one instant. Null key parts
-    form their own group, rows without a time are dropped. ``stretch`` (in windows) changes the spread of work only.
+    form their own group, rows without a time are dropped. ``stretch`` (in windows), ``fan`` and ``levels`` change the
+    spread of work only: a task composes or chains ``fan`` summaries at a time, and what is left of a key at the
+    top is one row for each ``fan ** levels`` stretches.
     """
     span = stretch * window_us
     us = F.unix_micros(F.col(at).cast("timestamp"))
@@ -74,17 +101,31 @@ def keep_spaced(df: DataFrame, keys: list[str], at: str, tie: list[str], window_
             close()
             yield pa.RecordBatch.from_pydict(out, schema=summary)
 
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close():
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now, *_composed(held, window_us)), summary.types)], schema=summary)
+
+        for batch in batches:
+            for g, block, steps, outs in zip(*(_column(batch, n) for n in ("g", "block", "steps", "outs"))):
+                if (g, block) != now:
+                    if now is not None:
+                        yield close()
+                    now, held = (g, block), []
+                held.append((steps, outs))
+        if now is not None:
+            yield close()
+
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
         for batch in batches:
             entries = []
-            for g, steps, outs in zip(_column(batch, "g"), _column(batch, "steps"), _column(batch, "outs")):
-                if g != now:
-                    now, state = g, None
+            for g, block, steps, outs, entry in zip(*(_column(batch, n) for n in ("g", "block", "steps", "outs", "entry"))):
+                if (g, block) != now:
+                    now, state = (g, block), entry
                 entries.append(state)
-                spot = 0 if state is None else int(np.searchsorted(steps, state + window_us, side="right"))
-                if spot < len(steps):
-                    state = outs[spot]
+                state = _through(state, steps, outs, window_us)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(entries, pa.int64())], names=["g", "stretch", "entry"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,8 +142,18 @@ def keep_spaced(df: DataFrame, keys: list[str], at: str, tie: list[str], window_
 
     numbers = pa.list_(pa.int64())
     summary = pa.schema([("g", pa.string()), ("stretch", pa.int64()), ("steps", numbers), ("outs", numbers)])
-    steps = points.mapInArrow(summarise, "g string, stretch long, steps array<long>, outs array<long>")
-    entry = steps.repartition("g").sortWithinPartitions("g", "stretch").mapInArrow(chain, "g string, stretch long, entry long")
+    row, order = "g string, stretch long, steps array<long>, outs array<long>", ["g", "block", "stretch"]
+    own = [points.mapInArrow(summarise, row)]
+    for _ in range(levels):
+        blocks = own[-1].withColumn("block", F.floor(F.col("stretch") / fan).cast("long")).repartition("g", "block")
+        own[-1] = blocks
+        own.append(blocks.sortWithinPartitions(*order).mapInArrow(compose, row))
+    top = own.pop().withColumns({"block": F.lit(0).cast("long"), "entry": F.lit(None).cast("long")})
+    entry = top.repartition("g").sortWithinPartitions(*order).mapInArrow(chain, "g string, stretch long, entry long")
+    for blocks in reversed(own):
+        starts = entry.select("g", F.col("stretch").alias("block"), "entry")
+        met = blocks.join(starts, ["g", "block"]).select("g", "stretch", "block", "steps", "outs", "entry")
+        entry = met.repartition("g", "block").sortWithinPartitions(*order).mapInArrow(chain, "g string, stretch long, entry long")
     kept = points.join(entry, ["g", "stretch"]).sortWithinPartitions("g", "stretch", "us").mapInArrow(walk, "g string, us long")
     # one row per kept instant: the first in tie order, found by a map-side minimum
     firsts = rows.groupBy("g", "us").agg(F.min_by("_row", "_tie").alias("_row"))

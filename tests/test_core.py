@@ -85,6 +85,20 @@ def test_spacing_does_not_depend_on_the_stretch(spark, stretch):
     assert out.columns == df.columns
 
 
+@pytest.mark.parametrize("stretch,fan,levels", [(2, 1024, 1), (3, 7, 3), (1, 2, 2)])
+def test_spacing_of_one_key_with_a_hundred_thousand_stretches(spark, stretch, fan, levels):
+    n = 300_000 if levels == 1 else 6_000
+    us = "id * 700000 + pmod(xxhash64(id), 500000) + if(id % 97 = 0, 400000, 0)"
+    df = spark.range(n).select("id", F.lit("one").alias("k"), F.expr(f"timestamp_micros({us})").alias("ts"), F.expr(us).alias("us"))
+    want, last = [], None
+    for t, i in sorted((r.us, r.id) for r in df.select("us", "id").collect()):
+        if last is None or t - last > 1_000_000:
+            want.append(i)
+            last = t
+    got = keep_spaced(df, ["k"], "ts", ["id"], 1_000_000, stretch=stretch, fan=fan, levels=levels)
+    assert sorted(r.id for r in got.select("id").collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("width,salt", [(2.0, 1), (7.0, 3), (1000.0, 1)])
 def test_range_join_is_exact_for_any_width(spark, width, salt):
     rng = random.Random(5)
