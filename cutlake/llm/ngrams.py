@@ -390,8 +390,9 @@ def _weigh(spark, trie: Trie, level: int, discount: float) -> None:
         if level == 2:
             lower = trie.unigram(_read(trie.counts, 1, following))
         else:
-            shorter = trie.children(level - 1, _without_first(trie, level - 1, shard)[parent], following)
-            lower = trie.probabilities(level - 1, shorter)
+            nodes, at = np.unique(_without_first(trie, level - 1, shard), return_inverse=True)
+            ask, back = np.unique(at[parent] * trie.words + following, return_inverse=True)  # in the order of the files, each once
+            lower = trie.probabilities(level - 1, trie.children(level - 1, nodes[ask // max(trie.words, 1)], ask % max(trie.words, 1)))[back]
         probability = np.log10(share + left[parent] * 10**lower)
         eliasfano.save(trie.path(f"chances{level}", shard), {"probabilities": quantised(probability), "backoffs": quantised(np.log10(left))})
 
