@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cutlake.operators import scan as S
 from cutlake.operators.ledger import OPEN_STATES, WAITING
+from cutlake.streaming.buckets import BUCKET, BUCKETS, dealt, micros, pack, unpack, whole
 
 CHUNK_US = S.DAY_US // 24  # the stretch of microseconds that one task scans
 
@@ -80,53 +82,61 @@ def leases(beats: DataFrame, ttl_seconds: int = 900, key: str = "project", ts: s
     return S.walk(rows, [key, "_run"], ["_us", tie], fold, schema)
 
 
-def leases_stream(beats: DataFrame, ttl_seconds: int = 900) -> DataFrame:
+def leases_stream(beats: DataFrame, ttl_seconds: int = 900, buckets: int = BUCKETS) -> DataFrame:
     """The same rule on a stream of (project, owner, ts, event_id); append mode."""
+    ttl, memory = ttl_seconds * 1_000_000, "project long, owner string, at long"
 
     def hold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        owner, at = state.get if state.exists else (None, None)
+        held = {own: (owner, at) for own, owner, at in unpack(state.get[0] if state.exists else None)}
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         granted = []
-        for who, when in zip(rows["owner"], rows["ts"]):
-            us = int(pd.Timestamp(when).value // 1000)
-            free = owner is None or owner == who or us - at >= ttl_seconds * 1_000_000
+        for own, who, us in zip(whole(rows["project"]), rows["owner"].tolist(), micros(rows["ts"])):
+            owner, at = held.get(own, (None, None))
+            free = owner is None or owner == who or us - at >= ttl
             if free:
-                owner, at = who, us
+                held[own] = (who, us)
             granted.append(free)
-        state.update((owner, at))
-        yield pd.DataFrame({"project": key[0], "owner": rows["owner"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "granted": granted})
+        state.update((pack(memory, [(own, *m) for own, m in held.items()]),))
+        yield pd.DataFrame({"project": rows["project"].to_numpy(), "owner": rows["owner"].to_numpy(), "event_id": rows["event_id"].to_numpy(), "granted": granted})
 
-    return beats.groupBy("project").applyInPandasWithState(hold, "project long, owner string, event_id long, granted boolean", "owner string, at long", "append", "NoTimeout")
+    return dealt(beats, "project", buckets).groupBy(BUCKET).applyInPandasWithState(hold, "project long, owner string, event_id long, granted boolean", "block binary", "append", "NoTimeout")
 
 
-def live_status_stream(blocks: DataFrame) -> DataFrame:
+def live_status_stream(blocks: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Running effective state per receipt (columns of ``BUS_EVENT``); update mode.
 
     Keeps only the open run's start, its last working stretch and the newest
-    block that is not progress, so the state does not grow with the log.
+    block that is not progress, so a receipt's state does not grow with the log.
     """
     opened, waiting = set(OPEN_STATES), set(WAITING)
+    memory = "receipt long, started long, work long, effective string, version long"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        started, work, effective, version = state.get if state.exists else (None, None, None, 0)
+        held = {own: rest for own, *rest in unpack(state.get[0] if state.exists else None)}
         rows = pd.concat(list(batches)).sort_values("seq")
-        for at, now in zip(rows["ts"], rows["state"]):
-            us = int(pd.Timestamp(at).value // 1000)
+        touched = {}
+        for own, us, now in zip(whole(rows["receipt"]), micros(rows["ts"]), rows["state"].tolist()):
+            started, work, effective, version = held.get(own, (None, None, None, 0))
             if now not in opened:
                 started = work = effective = None
-                continue
-            started = us if started is None else started
-            work = None if now in waiting else (us if work is None else work)
-            if now != "progress" or effective is None or effective == "progress":
-                effective = now
-        version += len(rows)
-        state.update((started, work, effective, version))
-        since = started if work is None else work
-        stamp = lambda us: None if us is None else pd.Timestamp(us, unit="us")
-        yield pd.DataFrame({"receipt": [key[0]], "state": [effective], "started": pd.Series([stamp(started)], dtype="datetime64[us]"), "working_since": pd.Series([stamp(since)], dtype="datetime64[us]"), "version": [version]})
-
-    return blocks.groupBy("receipt").applyInPandasWithState(
-        fold, "receipt long, state string, started timestamp_ntz, working_since timestamp_ntz, version long", "started long, work long, effective string, version long", "update", "NoTimeout"
+            else:
+                started = us if started is None else started
+                work = None if now in waiting else (us if work is None else work)
+                if now != "progress" or effective is None or effective == "progress":
+                    effective = now
+            held[own] = touched[own] = (started, work, effective, version + 1)
+        state.update((pack(memory, [(own, *m) for own, m in held.items()]),))
+        stamps = lambda us: np.array(us, dtype="datetime64[us]")
+        newest = list(touched.values())
+        yield pd.DataFrame(
+            {
+                "receipt": pd.Series(list(touched), dtype="object" if None in touched else "int64"), "state": pd.Series([m[2] for m in newest], dtype="object"),
+                "started": stamps([m[0] for m in newest]), "working_since": stamps([m[0] if m[1] is None else m[1] for m in newest]), "version": [m[3] for m in newest],
+            }
+        )
+
+    return dealt(blocks, "receipt", buckets).groupBy(BUCKET).applyInPandasWithState(
+        fold, "receipt long, state string, started timestamp_ntz, working_since timestamp_ntz, version long", "block binary", "update", "NoTimeout"
     )
 
 

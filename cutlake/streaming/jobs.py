@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cutlake.operators import scan as S
+from cutlake.streaming.buckets import BUCKET, BUCKETS, dealt, pack, unpack, whole
 
 ACTIVE = ["QUEUED", "CLAIMED", "RUNNING"]
 BACKOFF = [60, 300, 900]
@@ -75,23 +76,25 @@ def retry_after(attempt: Column, failed_at: Column) -> Column:
     return F.timestamp_micros(F.unix_micros(failed_at.cast("timestamp")) + wait * 1_000_000)
 
 
-def job_state_stream(events: DataFrame, max_attempts: int = 2) -> DataFrame:
+def job_state_stream(events: DataFrame, max_attempts: int = 2, buckets: int = BUCKETS) -> DataFrame:
     """Running status per project of a stream of job events (columns of ``JOB_EVENT``); update mode.
 
     Events of one micro-batch are applied in (ts, seq) order.
     """
     table = transitions(max_attempts)
+    memory = "project long, code string, seen long"
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        code, seen = state.get if state.exists else ("NONE:0", 0)
+        held = {own: (code, seen) for own, code, seen in unpack(state.get[0] if state.exists else None)}
         rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for action in rows["action"]:
-            code = table.get(f"{code}|{action}", code)
-        seen += len(rows)
-        state.update((code, seen))
-        status, attempt = code.split(":")
-        yield pd.DataFrame({"project": [key[0]], "status": [status], "attempt": [int(attempt)], "events": [seen]})
-
-    return events.groupBy("project").applyInPandasWithState(
-        fold, "project long, status string, attempt int, events long", "code string, seen long", "update", "NoTimeout"
+        touched = {}
+        for own, action in zip(whole(rows["project"]), rows["action"].tolist()):
+            code, seen = held.get(own, ("NONE:0", 0))
+            held[own] = touched[own] = (table.get(f"{code}|{action}", code), seen + 1)
+        state.update((pack(memory, [(own, *m) for own, m in held.items()]),))
+        status, attempt = zip(*[code.split(":") for code, _ in touched.values()])
+        yield pd.DataFrame({"project": pd.Series(list(touched), dtype="object" if None in touched else "int64"), "status": status, "attempt": [int(a) for a in attempt], "events": [seen for _, seen in touched.values()]})
+
+    return dealt(events, "project", buckets).groupBy(BUCKET).applyInPandasWithState(
+        fold, "project long, status string, attempt int, events long", "block binary", "update", "NoTimeout"
     )

@@ -1,15 +1,21 @@
-"""Stream operators that keep event-time order: rows wait until the watermark passes, timers fold them, idle keys end."""
+"""Stream operators that keep event-time order: rows wait until the watermark passes, timers fold them, idle keys end.
+
+State and timers belong to buckets of keys (``buckets``), not to single keys.
+"""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from cutlake.operators.ledger import OPEN_STATES, WAITING
+from cutlake.streaming.buckets import BUCKET, BUCKETS, dealt, pack, unpack, whole
 from cutlake.streaming.jobs import transitions
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -19,84 +25,115 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 class InOrder(StatefulProcessor):
     """Folds each key's rows in (event time, tie) order, once no earlier row can come.
 
-    Rows are held in list state. A timer at the earliest held time fires when the
-    watermark is past it; all rows up to the watermark are then sorted and folded one
-    after another. ``fold(memory, row)`` returns the new memory and an output row or
-    None; ``last`` keeps only the newest output of a firing. A key that folded nothing
-    for ``idle_ms`` of event time loses its memory. Rows behind the watermark are not folded:
+    Keys come in buckets. A bucket's rows are held in list state, a block for each micro-batch. A timer at the
+    earliest held time fires when the watermark is past it; all rows up to the watermark are then sorted by key and
+    time and folded one after another. ``fold(memory, row)`` returns the key's new memory and an output row or
+    None; ``last`` keeps only a key's newest output of a firing. A key that folded nothing
+    for ``idle_ms`` of event time loses its memory. Rows behind the watermark, or without a time, are not folded:
     they are counted per key, and ``late(row)`` may give an output row for each;
-    where only the newest output is kept it carries the count.
+    where only the newest output is kept it carries the count. Times in outputs are microseconds.
     """
 
-    def __init__(self, row: str, memory: str, out: list[str], fold: Callable, last: bool, idle_ms: int | None, late: Callable | None = None):
-        self.row, self.memory, self.out, self.fold, self.last, self.idle_ms, self.late = row, memory, out, fold, last, idle_ms, late
+    def __init__(self, key: str, row: str, memory: str, out: str, fold: Callable, last: bool, idle_ms: int | None, late: Callable | None = None):
+        self.names = [key, "at_us", *(c.split()[0] for c in row.split(", "))]
+        self.row, self.memory = f"key long, at long, {row}", f"key long, seen long, {memory}"
+        self.out = [c.split() for c in out.split(", ")]
+        self.fold, self.last, self.idle_ms, self.late = fold, last, idle_ms, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"at long, {self.row}")
-        self.held = handle.getValueState("held", f"touched_us long, {self.memory}")
-        self.missed = handle.getValueState("missed", "n long")
+        self.waiting = handle.getListState("waiting", "block binary")
+        self.held = handle.getValueState("held", "block binary")
+        self.missed = handle.getListState("missed", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, limit, first, late = ["at_us", *(c.split()[0] for c in self.row.split(", "))], timerValues.getCurrentWatermarkInMs() * 1000, None, []
+        limit, first, late = timerValues.getCurrentWatermarkInMs() * 1000, None, []
         for batch in rows:
-            own = [tuple(_plain(x) for x in r) for r in batch[names].itertuples(index=False, name=None)]
-            late += [r for r in own if limit > 0 and r[0] <= limit]
-            if fresh := [r for r in own if limit <= 0 or r[0] > limit]:
-                self.waiting.appendList(fresh)
-                first = min(r[0] for r in fresh) if first is None else min(first, *(r[0] for r in fresh))
+            own = list(zip(*[whole(batch[n]) for n in self.names]))
+            late += [r for r in own if r[1] is None or 0 < limit >= r[1]]
+            if fresh := [r for r in own if r[1] is not None and (limit <= 0 or r[1] > limit)]:
+                self.waiting.appendValue((pack(self.row, fresh),))
+                earliest = min(r[1] for r in fresh)
+                first = earliest if first is None else min(first, earliest)
         if first is not None:
             self.handle.registerTimer(-(-first // 1000))
         if late:
-            self.missed.update((self._missed() + len(late),))
+            self.missed.appendValue((pack("key long, n long", Counter(r[0] for r in late).items()),))
             if self.late:
-                yield pd.DataFrame([(key[0], *self.late(r)) for r in late], columns=self.out)
+                yield self._frame([(r[0], *self.late(r[1:])) for r in late])
 
-    def _missed(self) -> int:
-        return self.missed.get()[0] if self.missed.exists() else 0
+    def _missed(self) -> Counter:
+        counts: Counter = Counter()
+        for (block,) in self.missed.get():
+            for own, n in unpack(block):
+                counts[own] += n
+        return counts
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.waiting.get())
-        ready, left = sorted(r for r in rows if r[0] <= limit), [r for r in rows if r[0] > limit]
-        held = tuple(self.held.get()) if self.held.exists() else None
-        seen, memory, out = (held[0], held[1:], []) if held else (None, None, [])
-        for row in ready:
-            if self.idle_ms is not None and seen is not None and row[0] - seen > self.idle_ms * 1000:
+        rows = [r for (block,) in self.waiting.get() for r in unpack(block)]
+        ready, left = [r for r in rows if r[1] <= limit], [r for r in rows if r[1] > limit]
+        kept = self.held.get()
+        held = {r[0]: r[1:] for r in unpack(kept[0] if kept else None)}
+        out: list[tuple] = []
+        newest: dict = {}
+        for row in _sorted(ready):
+            own = row[0]
+            seen, *memory = held.get(own, (None,))
+            if not memory or (self.idle_ms is not None and row[1] - seen > self.idle_ms * 1000):
                 memory = None
-            memory, made = self.fold(memory, row)
-            seen = row[0]
-            if made is not None:
-                out = [made] if self.last else [*out, made]
-        self.waiting.clear()
+            memory, made = self.fold(memory, row[1:])
+            held[own] = (row[1], *memory)
+            if made is not None and self.last:
+                newest[own] = made
+            elif made is not None:
+                out.append((own, *made))
+        if ready:
+            self.waiting.clear()
+            if left:
+                self.waiting.put([(pack(self.row, left),)])
         if left:
-            self.waiting.put(left)
-            self.handle.registerTimer(-(-min(r[0] for r in left) // 1000))
-        if self.idle_ms is not None and seen is not None and not left and limit - seen > self.idle_ms * 1000:
+            self.handle.registerTimer(-(-min(r[1] for r in left) // 1000))
+        before = len(held)
+        if self.idle_ms is not None:
+            busy = {r[0] for r in left}
+            held = {own: m for own, m in held.items() if own in busy or limit - m[0] <= self.idle_ms * 1000}
+            if idle := [m[0] for own, m in held.items() if own not in busy]:
+                self.handle.registerTimer(min(idle) // 1000 + self.idle_ms + 1)
+        if not held:
             self.held.clear()
-        elif memory is not None:
-            self.held.update((seen, *memory))
-            if self.idle_ms is not None and not left:
-                self.handle.registerTimer(seen // 1000 + self.idle_ms + 1)
+        elif ready or len(held) < before:
+            self.held.update((pack(self.memory, [(own, *m) for own, m in held.items()]),))
+        if newest:
+            missed = self._missed()
+            out = [(own, *made, missed[own]) for own, made in newest.items()]
         if out:
-            extra = (self._missed(),) if self.last else ()
-            yield pd.DataFrame([(key[0], *o, *extra) for o in out], columns=self.out)
+            yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        made = {}
+        for (name, kind), values in zip(self.out, zip(*rows)):
+            made[name] = np.array(values, dtype="datetime64[us]") if kind.startswith("timestamp") else pd.Series(values, dtype="object") if None in values else list(values)
+        return pd.DataFrame(made)
 
     def close(self) -> None:
         pass
 
 
-def _plain(value):
-    return value.item() if hasattr(value, "item") else value
+def _sorted(rows: list[tuple]) -> list[tuple]:
+    """Rows by their values from left to right, nulls first."""
+    try:
+        return sorted(rows)
+    except TypeError:
+        return sorted(rows, key=lambda r: [(v is not None, v) if v is not None else (False, 0) for v in r])
 
 
-def _ordered(rows: DataFrame, key: str, ts: str, delay: str, columns: str, memory: str, out: str, fold: Callable, last: bool = False, idle_seconds: int | None = None, late: Callable | None = None) -> DataFrame:
+def _ordered(rows: DataFrame, key: str, ts: str, delay: str, columns: str, memory: str, out: str, fold: Callable, last: bool = False, idle_seconds: int | None = None, late: Callable | None = None, buckets: int = BUCKETS) -> DataFrame:
     rows.sparkSession.conf.set(STORE, PROVIDER)  # list state and timers need it
-    names = [c.split()[0] for c in out.split(", ")]
-    seen = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
-    seen = seen.select(key, ts, F.unix_micros(ts).alias("at_us"), *(c.split()[0] for c in columns.split(", ")))
-    processor = InOrder(columns, memory, names, fold, last, None if idle_seconds is None else idle_seconds * 1000, late)
-    return seen.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
+    seen = dealt(rows, key, buckets).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
+    seen = seen.select(BUCKET, key, ts, F.unix_micros(ts).alias("at_us"), *(c.split()[0] for c in columns.split(", ")))
+    processor = InOrder(key, columns, memory, out, fold, last, None if idle_seconds is None else idle_seconds * 1000, late)
+    return seen.groupBy(BUCKET).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="append", timeMode="eventTime")
 
 
 def leases_in_order(beats: DataFrame, ttl_seconds: int = 900, delay: str = "10 minutes", idle_seconds: int | None = None) -> DataFrame:
@@ -148,52 +185,74 @@ def live_status_in_order(blocks: DataFrame, delay: str = "10 minutes", idle_seco
             started = us if started is None else started
             work = None if now in waiting else (us if work is None else work)
             effective = now if now != "progress" or effective in (None, "progress") else effective
-        stamp = lambda x: None if x is None else pd.Timestamp(x, unit="us")
-        return (started, work, effective, version + 1), (effective, stamp(started), stamp(started if work is None else work), version + 1)
+        return (started, work, effective, version + 1), (effective, started, started if work is None else work, version + 1)
 
     return _ordered(blocks, "receipt", "ts", delay, "seq long, state string", "started long, work long, effective string, version long",
                     "receipt long, state string, started timestamp_ntz, working_since timestamp_ntz, version long, late long", fold, last=True, idle_seconds=idle_seconds)
 
 
 class Due(StatefulProcessor):
-    """Emits each stored schedule once, when its time has come, by a timer that needs no input."""
+    """Emits each stored schedule of a bucket once, when its time has come, by a timer that needs no input."""
+
+    PLANS = "id long, due long, open boolean, touched long"
 
     def __init__(self, event_time: bool, keep_ms: int):
         self.event_time, self.keep_ms = event_time, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # a fired schedule is remembered for a while, so that a repeated row does not fire again
-        self.plan = handle.getValueState("plan", "due long, open boolean") if self.event_time else handle.getValueState("plan", "due long, open boolean", self.keep_ms)
+        self.plans = handle.getValueState("plans", "block binary")
+
+    def _now(self, timerValues) -> int:
+        return timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
+
+    def _load(self) -> dict:
+        kept = self.plans.get()
+        return {own: (due, open_, touched) for own, due, open_, touched in unpack(kept[0] if kept else None)}
+
+    def _store(self, plans: dict, now: int) -> None:
+        # a fired schedule is remembered, for a while where the wall clock decides, so that a repeated row does not fire again
+        rows = [(own, *p) for own, p in plans.items() if p[1] or self.event_time or p[2] + self.keep_ms > now]
+        if rows:
+            self.plans.update((pack(self.PLANS, rows),))
+        else:
+            self.plans.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        due, fired = None, False
+        came: dict = {}
         for batch in rows:
-            for at, done in zip(batch["due_us"], batch["was_fired"]):
-                due, fired = int(at), fired or bool(done)
-        known = self.plan.get() if self.plan.exists() else None
-        if fired:
-            self.plan.update((due or 0, False))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-        elif due is not None and known is None:
-            self.plan.update((due, True))
-            self.handle.registerTimer(-(-due // 1000))
+            for own, at, done in zip(whole(batch["id"]), batch["due_us"].tolist(), batch["was_fired"].tolist()):
+                came[own] = (at, done or (own in came and came[own][1]))
+        plans, now, first = self._load(), self._now(timerValues), None
+        for own, (due, fired) in came.items():
+            if fired:
+                plans[own] = (due, False, now)
+            elif own not in plans:
+                plans[own] = (due, True, now)
+                first = due if first is None else min(first, due)
+        self._store(plans, now)
+        if first is not None:
+            self.handle.registerTimer(-(-first // 1000))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.plan.exists():
-            due, open_ = self.plan.get()
-            if open_:
-                self.plan.update((due, False))
-                now = timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs()
-                yield pd.DataFrame({"id": [key[0]], "due_at": [pd.Timestamp(due, unit="us")], "late_seconds": [max(0, now * 1000 - due) // 1_000_000]})
+        plans, now = self._load(), self._now(timerValues)
+        ready = [(own, due) for own, (due, open_, _) in plans.items() if open_ and due <= now * 1000]
+        if ready:
+            for own, due in ready:
+                plans[own] = (due, False, now)
+            self._store(plans, now)
+        if left := [due for due, open_, _ in plans.values() if open_]:
+            self.handle.registerTimer(-(-min(left) // 1000))
+        if ready:
+            own, due = zip(*ready)
+            yield pd.DataFrame({"id": list(own), "due_at": np.array(due, dtype="datetime64[us]"), "late_seconds": [(now * 1000 - d) // 1_000_000 for d in due]})
 
     def close(self) -> None:
         pass
 
 
-def due_stream(schedules: DataFrame, clock: str | None = None, delay: str = "0 seconds", keep_days: int = 30) -> DataFrame:
+def due_stream(schedules: DataFrame, clock: str | None = None, delay: str = "0 seconds", keep_days: int = 30, buckets: int = BUCKETS) -> DataFrame:
     """:func:`cutlake.streaming.bus.due_schedules` of a stream of (id, due_at, fired_at): each open schedule once, when due, with its lateness.
 
     Without ``clock`` the wall clock decides and a timer fires in a later micro-batch even if
@@ -203,7 +262,7 @@ def due_stream(schedules: DataFrame, clock: str | None = None, delay: str = "0 s
     spark = schedules.sparkSession
     spark.conf.set(STORE, PROVIDER)
     rows = schedules if clock is None else schedules.withColumn(clock, F.col(clock).cast("timestamp")).withWatermark(clock, delay)
-    rows = rows.select("id", *([clock] if clock else []), F.unix_micros(F.col("due_at").cast("timestamp")).alias("due_us"), F.col("fired_at").isNotNull().alias("was_fired")).where("due_us IS NOT NULL")
-    return rows.groupBy("id").transformWithStateInPandas(
+    rows = dealt(rows, "id", buckets).select(BUCKET, "id", *([clock] if clock else []), F.unix_micros(F.col("due_at").cast("timestamp")).alias("due_us"), F.col("fired_at").isNotNull().alias("was_fired")).where("due_us IS NOT NULL")
+    return rows.groupBy(BUCKET).transformWithStateInPandas(
         statefulProcessor=Due(clock is not None, keep_days * 86_400_000), outputStructType="id long, due_at timestamp_ntz, late_seconds long", outputMode="append", timeMode="processingTime" if clock is None else "eventTime",
     )
