@@ -156,8 +156,17 @@ def violations(df: DataFrame, keep: list[str], checks: dict[str, Column]) -> Dat
     return df.select(*keep, F.explode(named).alias("violation"))
 
 
+def named_blocks(slots: DataFrame, projects: DataFrame, blocks: DataFrame, rule: Column, key: str = "project") -> DataFrame:
+    """Rows of ``projects`` (key) and ``blocks`` (block_id) for which ``rule`` holds, of pairs that slots name: never more rows than slots have pairs, where all that fit would be a product."""
+    named = slots.select(key, "block_id").distinct()
+    return named.join(blocks, "block_id").join(projects, key).where(rule)
+
+
 def validate_selection(slots: DataFrame, blocks: DataFrame, key: str = "project") -> DataFrame:
-    """Faults of cast slots against their blocks. Slots carry an ``ordinal``; a repeated block is reported once, at its last."""
+    """Faults of cast slots against their blocks. Slots carry an ``ordinal``; a repeated block is reported once, at its last.
+
+    Blocks that come from a rule and not from a table are better found for the named ones only (:func:`named_blocks`).
+    """
     spec = blocks.select(key, "block_id", F.col("frames").alias("_frames"), F.col("role").alias("_role"))
     joined = slots.join(spec, [key, "block_id"], "left")
     repeats = slots.groupBy(key, "block_id").agg(F.count("*").alias("_n"), F.max("ordinal").alias("ordinal")).where("_n > 1")

@@ -84,8 +84,8 @@ def _(t):
         F.when(c("l_discount") > 0.08, "REPLACE_me").when(c("l_discount") <= 0.07, "m").alias("source_path"), (F.rint(c("l_tax") * 100).cast("int") - 1).alias("source_start_frame"),
         F.lit(False).alias("reverse"), F.when(c("l_linestatus") == "F", 1.0).otherwise(0.5).alias("speed"),
     )
-    blocks = t.supplier.join(t.part, c("p_size") % 10 == c("s_suppkey") % 10).select(c("s_suppkey").alias("project"), c("p_partkey").alias("block_id"), c("p_size").cast("long").alias("frames"), c("p_name").alias("role"))
-    return P.validate_selection(slots, blocks)
+    parts = t.part.select(c("p_partkey").alias("block_id"), c("p_size").cast("long").alias("frames"), c("p_name").alias("role"))
+    return P.validate_selection(slots, P.named_blocks(slots, t.supplier.select(c("s_suppkey").alias("project")), parts, c("frames") % 10 == c("project") % 10))
 
 
 @query(

@@ -158,3 +158,15 @@ def test_a_receipt_without_row_or_stamp_in_its_name(spark):
 @pytest.mark.parametrize("token,card", [("APPROVED__V7__x", ("Approved", "green", "v007")), ("PUBLISHED__V0123", ("Posted", "green", None)), ("PARKED__V012", ("Parked", "grey", "v012")), ("", ("In progress", "grey", None)), ("APPROVED__HELD_FOR_YOU", ("Approved — held for you", "amber", None))])
 def test_plain_card(spark, token, card):
     assert tuple(spark.range(1).select(R.plain_card(F.lit(token), F.lit("machine")).alias("c")).first().c) == card
+
+
+def test_blocks_of_a_rule_are_found_for_named_pairs_only(spark):
+    import re
+
+    from cutlake.plans import base
+
+    base.load_all()
+    plan = base.QUERIES["p15_validate_selection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[([^\]]*)\]", plan)
+    # a join by remainder alone makes a tenth of all projects times all blocks
+    assert joins and all("#" in re.sub(r"\([^()]*% 10\)", "", k) for k in joins)
