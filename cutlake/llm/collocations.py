@@ -49,6 +49,17 @@ def _parts(ids: np.ndarray):
         at = to
 
 
+def _numbered(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different keys in order, the place of each key among them, their counts; ``most`` is above all keys. A table by key needs no sort where it is small."""
+    if most > 2 * len(keys) + 1024:
+        return np.unique(keys, return_inverse=True, return_counts=True)
+    counts = np.bincount(keys, minlength=most)
+    seen = np.flatnonzero(counts)
+    place = np.zeros(most, np.uint32)
+    place[seen] = np.arange(len(seen), dtype=np.uint32)
+    return seen, place[keys], counts[seen]
+
+
 TOKENS = "_chunk long, _lang string, _word string, _local long, _n long, _ids binary"
 
 
@@ -56,16 +67,21 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
     """Tokenised chunks of about ``chunk`` bytes: their words by language with counts, and their pieces as word numbers of the chunk, a 0 before each piece."""
 
     def flush(number, held, langs):
-        arrays = pa.concat_arrays([h[0] for h in held]).dictionary_encode()
-        codes = np.asarray(arrays.indices).astype(np.int64)
-        lang_codes, opens = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-        seen, local, counts = np.unique(lang_codes * len(arrays.dictionary) + codes, return_inverse=True, return_counts=True)
-        places = np.arange(len(local)) + np.cumsum(opens)
+        arrays = pa.chunked_array([h[0] for h in held]).unify_dictionaries()
+        dictionary = arrays.chunk(0).dictionary
+        keys = np.concatenate([np.asarray(one.indices).astype(np.int64) for one in arrays.chunks])
+        keys += np.concatenate([h[1] for h in held]).astype(np.int64) * len(dictionary)
+        opens = np.concatenate([h[2] for h in held])
+        del arrays
+        held.clear()
+        seen, local, counts = _numbered(keys, len(langs) * len(dictionary))
+        del keys
+        places = np.arange(len(local)) + np.cumsum(opens, dtype=np.int64)
         ids = np.zeros(len(local) + int(opens.sum()), np.uint32)
         ids[places] = local + 1
-        own = pa.array(seen // max(len(arrays.dictionary), 1))
+        own = pa.array(seen // max(len(dictionary), 1))
         columns = [
-            pa.array(np.full(len(seen), number)), pa.array(list(langs), pa.string()).take(own), arrays.dictionary.take(pa.array(seen % max(len(arrays.dictionary), 1))).cast(pa.string()),
+            pa.array(np.full(len(seen), number)), pa.array(list(langs), pa.string()).take(own), dictionary.take(pa.array(seen % max(len(dictionary), 1))).cast(pa.string()),
             pa.array(np.arange(1, len(seen) + 1)), pa.array(counts.astype(np.int64)), pa.nulls(len(seen), pa.binary()),
         ]
         names = [c.split()[0] for c in TOKENS.split(", ")]
@@ -82,15 +98,15 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
             for part in words.slices(batch.column(1), lower=True):
                 found = part.words(KIND)
                 n = np.diff(found.first)
-                stops = np.concatenate(([0], np.cumsum(ENDS[part.data])))
-                opens = np.zeros(len(found), np.int64)
+                stops = np.concatenate(([0], np.cumsum(ENDS[part.data], dtype=np.int32)))
+                opens = np.zeros(len(found), bool)
                 opens[1:] = stops[found.starts[1:]] > stops[found.ends[:-1]]
                 opens[found.first[:-1][n > 0]] = 1
                 lengths = found.ends - found.starts
                 offsets = np.concatenate(([0], np.cumsum(lengths))).astype(np.int64)
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(part.data[KIND[part.data]])])
-                codes = np.repeat(np.array(names[part.at : part.at + len(part)], np.int64), n)
-                held.append((column, codes, opens))
+                codes = np.repeat(np.array(names[part.at : part.at + len(part)], np.int32), n)
+                held.append((column.dictionary_encode(), codes, opens))  # a number for each word, the bytes of different ones only
                 size += len(part.data)
                 if size >= chunk:
                     yield from flush(number, held, langs)

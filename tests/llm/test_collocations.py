@@ -74,3 +74,22 @@ def test_collocations_edges(spark):
     long = "ab cd " * 200_000
     got = collocations.collocations(frame(spark, [(long, "en"), ("ab cd", "en")], 1), least=100, longest=2).collect()
     assert sorted(map(tuple, got)) == sorted(brute.collocations([(long, "en"), ("ab cd", "en")], least=100, longest=2))
+
+
+def test_words_of_a_chunk_are_held_as_numbers():
+    """Numbering a chunk's words takes memory for one table of keys, not for sorted copies of all words."""
+    import tracemalloc
+
+    import numpy as np
+
+    from cutlake.llm import collocations as C
+
+    keys = np.random.default_rng(1).integers(0, 50_000, 2_000_000)
+    want = np.unique(keys, return_inverse=True, return_counts=True)
+    tracemalloc.start()
+    got = C._numbered(keys, 50_000)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(np.array_equal(a, b) for a, b in zip(got, want)) and most < 12 * len(keys)
+    few = np.array([7, 10**9, 7])
+    assert [x.tolist() for x in C._numbered(few, 10**9 + 1)] == [[7, 10**9], [0, 1, 0], [2, 1]]
