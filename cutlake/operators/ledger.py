@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cutlake.functions import rules as R
 from cutlake.functions import timecode as T
 from cutlake.operators import scan as S
+from cutlake.session import cut_lineage
 
 OPEN_STATES = ["picked_up", "running", "progress", "queued", "blocked"]
 WAITING = ["queued", "blocked"]
@@ -297,18 +298,20 @@ def unlisted_cards(cards: DataFrame, declared: DataFrame) -> DataFrame:
 
 def newest_batch(files: DataFrame) -> DataFrame:
     """Files of the newest stamp that holds a variant video, one per name, with the count expected from cast files."""
-    variant = R.variant_of(F.col("name"))
-    video = F.lower("name").endswith(".mp4") & variant.isNotNull()
-    marked = files.withColumns({"_variant": variant, "_video": video, "_cast": F.regexp_extract("name", r"^cast_var(\d+)\.json$", 1)})
+    cast = F.regexp_extract("name", r"^cast_var(\d+)\.json$", 1)
+    # Patterns are searched once for each different name of a row and stamp, only where the ending allows, and the result is written once for its three readers.
+    best = F.min(F.struct((~F.col("path").contains("deliver")).alias("far"), "path")).alias("_best")
+    names = files.where(F.lower("name").endswith(".mp4") | F.col("name").endswith(".json")).groupBy("row", "stamp", "name").agg(best)
+    seen = names.withColumns({"_cast": F.when(F.col("name").endswith(".json"), cast), "_variant": F.when(F.lower("name").endswith(".mp4"), R.variant_of(F.col("name")))})
+    marked = cut_lineage(seen).where("_variant IS NOT NULL OR _cast <> ''").withColumn("_video", F.col("_variant").isNotNull())
     newest = marked.where("_video").groupBy("row").agg(F.max("stamp").alias("stamp"))
     batch = marked.join(newest, ["row", "stamp"])
     planned = batch.where("_cast <> ''").groupBy("row").agg(F.countDistinct(F.col("_cast").cast("int")).alias("expected"))
-    best = F.struct((~F.col("path").contains("deliver")).alias("far"), "path", "_variant")
-    chosen = batch.where("_video").groupBy("row", "stamp", "name").agg(F.min(best).alias("b"))
+    chosen = batch.where("_video")
     found = chosen.groupBy("row").agg(F.count("*").alias("found"))
     return (
         chosen.join(planned, "row", "left").join(found, "row")
-        .select("row", "stamp", "name", F.col("b._variant").alias("variant"), F.col("b.path").alias("path"), "expected", "found")
+        .select("row", "stamp", "name", F.col("_variant").alias("variant"), F.col("_best.path").alias("path"), "expected", "found")
     )
 
 

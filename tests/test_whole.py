@@ -170,3 +170,20 @@ def test_blocks_of_a_rule_are_found_for_named_pairs_only(spark):
     joins = re.findall(r"(?:SortMergeJoin|ShuffledHashJoin|BroadcastHashJoin) \[([^\]]*)\]", plan)
     # a join by remainder alone makes a tenth of all projects times all blocks
     assert joins and all("#" in re.sub(r"\([^()]*% 10\)", "", k) for k in joins)
+
+
+def test_entry_curves_are_read_once(spark):
+    from cutlake.plans import base
+
+    base.load_all()
+    for name in ("w28_walk_back", "w29_sharp_frame", "w30_clean_ramp", "w32_device_summary"):
+        plan = base.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") == 1 and "Join" not in plan, name
+
+
+def test_names_of_batches_are_searched_once(spark):
+    from cutlake.plans import base
+
+    base.load_all()
+    plan = base.QUERIES["w37_newest_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract" not in plan  # its readers see the written result
