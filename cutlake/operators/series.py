@@ -14,7 +14,6 @@ from cutlake.functions import timecode as T
 from cutlake.operators import scan as S
 from cutlake.operators.nearest import as_of
 from cutlake.operators.quantiles import median_and_mad
-from cutlake.session import cut_lineage
 
 
 def halo(df: DataFrame, keys: list[str], pos: str, reach: int, width: int, columns: dict) -> DataFrame:
@@ -318,12 +317,61 @@ def walk_back(curve: DataFrame, landed: DataFrame, keys: list[str]) -> DataFrame
     return placed.groupBy(*keys).agg(F.max(F.when(stops, F.col("n"))).alias("first_frame"))
 
 
+def entry_facts(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the curves with ``landed``, ``at_once``, ``first_frame``, ``floor_x``, ``floor_y`` and ``sharp_frame`` of their curve.
+
+    The rules of :func:`entry_onset`, :func:`walk_back`, :func:`settled_floor` and
+    :func:`sharp_frame` as windows that share one partitioning and order, so that the rows are
+    shuffled once; joined to each other they are read and shuffled for each. Curves
+    with a null key land, but are not walked back and have no sharp frame, as in a join.
+    """
+    w, whole = Window.partitionBy(*keys).orderBy("n"), Window.partitionBy(*keys)
+    blurred = F.col("sigma_x") + F.col("sigma_y")
+    rows = curve.withColumns(
+        {
+            "_p": present(), "_i": F.row_number().over(w), "_c": F.count("*").over(whole), "_b": F.sum("fit").over(w.rowsBetween(S.FIRST, -1)), "_t": F.sum("fit").over(whole),
+            "_q": F.lead(present()).over(w), "_pf": F.lag("fit").over(w), "_po": F.lag("opacity").over(w), "_ps": F.lag(blurred).over(w),
+        }
+    )
+    k = F.col("_i") - 1
+    after = (F.col("_t") - F.col("_b")) / (F.col("_c") - k)
+    gain = F.round(after - F.col("_b") / k, 9)
+    fits = (k >= 1) & (F.round(after, 9) >= ONSET_FIT) & F.col("_p") & (gain > 0)
+    tail = F.col("_c") - F.col("_i") < F.greatest(F.lit(3), F.floor(F.col("_c") / 3))
+    rows = rows.withColumns(
+        {
+            "_first": F.min("n").over(whole),
+            "at_once": F.bool_and(F.when(F.col("_i") <= 2, F.col("_p"))).over(whole),
+            "_best": F.max(F.when(fits, F.struct(gain.alias("g"), (-F.col("n")).alias("m")))).over(whole),
+            "_stable": F.min(F.when(F.col("_p") & F.coalesce("_q", F.lit(True)), F.col("n"))).over(whole),
+            **{f"floor_{a}": F.median(F.when(tail, F.col(f"sigma_{a}"))).over(whole) for a in ("x", "y")},
+        }
+    )
+    rows = rows.withColumn("landed", F.when(F.col("at_once"), F.col("_first")).when(F.col("_best.g") >= 0.10, -F.col("_best.m")).otherwise(F.col("_stable")))
+    rows = rows.withColumn("_lf", F.max(F.when(F.col("n") == F.col("landed"), F.col("fit"))).over(whole))
+    stops = (
+        F.col("_pf").isNull() | (F.col("_pf") < F.greatest(F.lit(0.25), 0.55 * F.col("_lf"))) | (F.col("_po") > F.col("opacity") + 0.03)
+        | (F.col("_ps") < blurred - 0.6) | (F.col("_po") < 0.05)
+    )
+    given = F.lit(True)
+    for key in keys:
+        given &= F.col(key).isNotNull()
+    walked = F.max(F.when(given & ~F.col("at_once") & (F.col("n") <= F.col("landed")) & stops, F.col("n"))).over(whole)
+    rows = rows.withColumn("_walked", walked).withColumn("first_frame", F.when(F.col("at_once"), F.col("landed")).otherwise(F.col("_walked")))
+    near = lambda axis: F.col(f"sigma_{axis}") <= F.greatest(F.lit(SHARP_SIGMA), F.col(f"floor_{axis}") + 0.6)
+    ok = (F.col("n") >= F.col("first_frame")) & near("x") & near("y") & (F.col("opacity") >= SHARP_ALPHA)
+    sharp = F.when(given & F.col("first_frame").isNotNull(), F.coalesce(F.min(F.when(ok, F.col("n"))).over(whole), F.max("n").over(whole)))
+    return rows.withColumn("sharp_frame", sharp).select(*curve.columns, "landed", "at_once", "first_frame", "floor_x", "floor_y", "sharp_frame")
+
+
 def first_frames(curve: DataFrame, keys: list[str]) -> DataFrame:
     """:func:`entry_onset`, walked back unless the ink was there at once."""
-    onset = entry_onset(curve, keys)
-    walked = walk_back(curve, onset.where("landed IS NOT NULL AND NOT at_once"), keys)
-    both = onset.join(walked, keys, "left")
-    return both.select(*keys, F.when(F.col("at_once"), F.col("landed")).otherwise(F.col("first_frame")).alias("first_frame"))
+    return entry_facts(curve, keys).groupBy(*keys).agg(F.max("first_frame").alias("first_frame"))
+
+
+def sharp_frames(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """Per curve its settled blur and :func:`sharp_frame`, null where no ink lands."""
+    return entry_facts(curve, keys).groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("floor_x", "floor_y", "sharp_frame")])
 
 
 def settled_floor(curve: DataFrame, keys: list[str]) -> DataFrame:
@@ -344,7 +392,15 @@ def sharp_frame(curve: DataFrame, firsts: DataFrame, floors: DataFrame, keys: li
 
 def clean_ramp(curve: DataFrame, firsts: DataFrame, sharps: DataFrame, floors: DataFrame, keys: list[str]) -> DataFrame:
     """Opacity that only rises and blur that only falls between onset and sharp frame; pinned outside."""
-    j = curve.join(firsts, keys).join(sharps, keys).join(floors, keys)
+    return _ramp(curve.join(firsts, keys).join(sharps, keys).join(floors, keys), keys)
+
+
+def clean_ramps(curve: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`clean_ramp` with the onset, sharp frame and settled blur of each curve."""
+    return _ramp(entry_facts(curve, keys).where("sharp_frame IS NOT NULL"), keys)
+
+
+def _ramp(j: DataFrame, keys: list[str]) -> DataFrame:
     inside = (F.col("n") >= F.col("first_frame")) & (F.col("n") < F.col("sharp_frame"))
     w = Window.partitionBy(*keys).orderBy("n")
     up, onward = w.rowsBetween(S.FIRST, 0), w.rowsBetween(0, S.LAST)
@@ -373,14 +429,12 @@ def blur_axis(x: Column, y: Column) -> Column:
 
 def device_summary(curve: DataFrame, keys: list[str]) -> DataFrame:
     """Per curve: onset, sharp frame, blur axis, largest excess blur, median fit and confidence."""
-    # One row per curve, read several times: written once.
-    firsts, floors = cut_lineage(first_frames(curve, keys)), cut_lineage(settled_floor(curve, keys))
-    sharps = sharp_frame(curve, firsts, floors, keys)
-    j = curve.join(firsts, keys).join(sharps, keys).join(floors, keys)
-    win = j.where((F.col("n") >= F.col("first_frame")) & (F.col("n") <= F.col("sharp_frame")))
-    excess = lambda a: F.max(F.greatest(F.lit(0.0), F.col(f"sigma_{a}") - F.col(f"floor_{a}")))
-    facts = win.groupBy(*keys).agg(excess("x").alias("_x"), excess("y").alias("_y"), F.median("fit").alias("_fit"))
-    out = firsts.join(sharps, keys, "left").join(facts, keys, "left")
+    rows = entry_facts(curve, keys)
+    win = F.col("sharp_frame").isNotNull() & (F.col("n") >= F.col("first_frame")) & (F.col("n") <= F.col("sharp_frame"))
+    excess = lambda a: F.max(F.when(win, F.greatest(F.lit(0.0), F.col(f"sigma_{a}") - F.col(f"floor_{a}"))))
+    out = rows.groupBy(*keys).agg(
+        F.max("first_frame").alias("first_frame"), F.max("sharp_frame").alias("sharp_frame"), excess("x").alias("_x"), excess("y").alias("_y"), F.median(F.when(win, F.col("fit"))).alias("_fit")
+    )
     fit = F.coalesce("_fit", F.lit(0.0))
     return out.select(
         *keys, "first_frame", "sharp_frame", F.when(F.col("first_frame").isNotNull(), blur_axis(F.col("_x"), F.col("_y"))).alias("axis"),

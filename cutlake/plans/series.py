@@ -215,9 +215,7 @@ def _(t):
 
 @query("w29_sharp_frame", f"WITH {ONSET} SELECT {CK}, round(floor_x, 6) AS floor_x, round(floor_y, 6) AS floor_y, sharp_frame FROM fl LEFT JOIN sf USING ({CK})")
 def _(t):
-    floors = X.settled_floor(t.entry_curve, CURVE_KEYS)
-    sharps = X.sharp_frame(t.entry_curve, X.first_frames(t.entry_curve, CURVE_KEYS), floors, CURVE_KEYS)
-    return floors.join(sharps, CURVE_KEYS, "left").withColumns({"floor_x": F.round("floor_x", 6), "floor_y": F.round("floor_y", 6)})
+    return X.sharp_frames(t.entry_curve, CURVE_KEYS).withColumns({"floor_x": F.round("floor_x", 6), "floor_y": F.round("floor_y", 6)})
 
 
 @query(
@@ -228,9 +226,7 @@ def _(t):
     FROM j WINDOW up AS (PARTITION BY {CK} ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), dn AS (PARTITION BY {CK} ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)""",
 )
 def _(t):
-    curve = t.entry_curve
-    firsts, floors = X.first_frames(curve, CURVE_KEYS), X.settled_floor(curve, CURVE_KEYS)
-    return X.clean_ramp(curve, firsts, X.sharp_frame(curve, firsts, floors, CURVE_KEYS), floors, CURVE_KEYS)
+    return X.clean_ramps(t.entry_curve, CURVE_KEYS)
 
 
 @query(
