@@ -278,15 +278,20 @@ def resolve_file(wants: DataFrame, index: DataFrame) -> DataFrame:
     """Path for (row, name, bytes): own row's deliver copy, own copy, then ownerless copies; never another row's.
 
     Inside a tier the copy of the wanted size wins, else the newest. The index
-    is reduced to one copy per (name, owner, tier, size) before the join.
+    is reduced to one copy per (name, owner, tier, size) before the join, ownerless copies
+    to one per name and one per name and size.
     """
     tier = F.when(F.col("owner").isNull(), 2).when(F.col("path").contains("/deliver/") & ~F.col("path").contains("/variants/"), 0).otherwise(1)
     copies = index.withColumn("_tier", tier).groupBy("name", "owner", "_tier", F.col("bytes").alias("_bytes")).agg(
         F.max(F.struct("mtime", "path")).alias("_best")
     )
     own = wants.join(copies.where("owner IS NOT NULL"), (wants["name"] == copies["name"]) & (wants["row"] == F.col("owner"))).drop(copies["name"])
-    free = wants.join(copies.where("owner IS NULL"), "name").select(*own.columns)
-    pool = own.unionByName(free)
+    # of ownerless copies a want can take only the best of its size or the newest of all, so two rows meet it and not every size
+    loose = copies.where("owner IS NULL").drop("owner")
+    sized = loose.withColumn("bytes", F.col("_bytes"))
+    newest = loose.groupBy("name", "_tier").agg(F.max("_best").alias("_best")).withColumn("_bytes", F.lit(None).cast(dict(loose.dtypes)["_bytes"]))
+    free = wants.join(sized, ["name", "bytes"]).unionByName(wants.join(newest, "name"))
+    pool = own.drop("owner").unionByName(free)
     rank = F.struct((-F.col("_tier")).alias("t"), F.coalesce(F.col("_bytes") == F.col("bytes"), F.lit(False)).alias("s"), F.col("_best.mtime").alias("m"), F.col("_best.path").alias("p"))
     found = pool.groupBy("row", "name").agg(F.max(rank)["p"].alias("path"))
     return wants.join(found, ["row", "name"], "left")

@@ -187,3 +187,14 @@ def test_names_of_batches_are_searched_once(spark):
     base.load_all()
     plan = base.QUERIES["w37_newest_batch"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract" not in plan  # its readers see the written result
+
+
+def test_wanted_files_meet_few_ownerless_copies(spark):
+    from cutlake.operators import ledger
+
+    wants = spark.range(40).selectExpr("id AS row", "'v.mp4' AS name", "id AS bytes")
+    index = spark.range(60).selectExpr("'v.mp4' AS name", "CASE WHEN id = 59 THEN 7 END AS owner", "concat('/w/', id) AS path", "id % 30 AS bytes", "1000 - id AS mtime")
+    out = ledger.resolve_file(wants, index)
+    assert sorted(map(tuple, out.select("row", "path").collect())) == [(r, "/w/59" if r == 7 else f"/w/{r}" if r < 30 else "/w/0") for r in range(40)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert any("Join Inner" in line and "bytes" in line for line in plan.splitlines())  # by name alone each want met every size
