@@ -6,12 +6,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cutlake.functions.color import circular_mean
 from cutlake.operators.scan import top_k_per
+from cutlake.session import cut_lineage
 
 
 
@@ -168,7 +170,7 @@ def closest_variants(slots: DataFrame) -> DataFrame:
     return both.select("family", F.coalesce("m", "f").alias("m")).select("family", "m.*")
 
 
-def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float, size: int, projections: int = 3, block: int = 256) -> DataFrame:
+def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float, size: int, projections: int = 3, block: int = 16384) -> DataFrame:
     """All pairs of distinct vectors whose mean absolute difference is at most ``limit``, with the distance.
 
     Identical vectors are folded into one first (``copies``). For any signs, the
@@ -177,45 +179,90 @@ def frame_distance_pairs(vectors: DataFrame, key: str, vector: str, limit: float
     signed sums. The result is exact for any limit; how few candidates meet
     depends on the limit being small against the spread of the vectors, which
     is what a search for near copies asks. Vectors of neighbouring cells meet
-    in blocks that are compared as matrices.
+    in blocks of about ``block``, one group for each pair of blocks: where all
+    cells are neighbours the work is that of all pairs, a vector travels once
+    for each block it meets, and a group stays as large as two blocks.
     """
-    values = vectors.withColumn("_v", F.col(vector).cast("array<double>"))
+    kind = vectors.schema[vector].dataType.elementType
+    values = vectors.withColumn("_v", F.col(vector) if isinstance(kind, T.FloatType) else F.col(vector).cast("array<double>"))
     unique = values.groupBy("_v").agg(F.min(key).alias(key), F.count("*").alias("copies"))
+
     def signed_sum(width: int) -> Column:
         # Signs flip in runs of that many entries.
         flip = lambda x, i: F.when(F.pmod(F.floor(i / F.lit(float(width))), F.lit(2)) == 0, x).otherwise(-x)
-        return F.aggregate(F.transform("_v", flip), F.lit(0.0), lambda a, x: a + x)
+        return F.aggregate(F.transform(F.col("_v").cast("array<double>"), flip), F.lit(0.0), lambda a, x: a + x)
 
     sums = {f"_g{p}": F.floor(signed_sum(2**p) / F.lit(float(size) * limit)) for p in range(projections)}
     grid = list(sums)
-    home = unique.select(F.col(key).alias("id"), "_v", "copies", *[e.alias(n) for n, e in sums.items()])
+    # a vector with a value that is missing or not finite is near to none
+    finite = unique.where(F.abs(signed_sum(1)) < float("inf"))
+    home = cut_lineage(finite.select(F.col(key).alias("id"), "_v", "copies", *[e.alias(n) for n, e in sums.items()]))
     counted = home.groupBy(*grid).agg(F.ceil(F.count("*") / block).alias("_parts"))
-    placed = home.join(counted, grid).withColumn("_block", F.struct(*grid, F.pmod(F.xxhash64("id"), F.col("_parts")).alias("part")))
-    rows = placed.groupBy("_block").agg(F.collect_list(F.struct("id", "_v", "copies")).alias("rs"))
-    blocks = rows.select(F.to_json("_block").alias("_block"), *[F.transform("rs", lambda r: r[f]).alias(f) for f in ("id", "copies")], F.flatten(F.transform("rs", lambda r: r["_v"])).alias("v"))
-    # cells and block names meet their neighbours; vectors follow only to the pairs of blocks that are compared
-    names = counted.select(*grid, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("part"))
-    names = names.select(*grid, F.to_json(F.struct(*grid, "part")).alias("_block"))
-    near = names.withColumnRenamed("_block", "_b")
+    # cells and block numbers meet their neighbours; vectors follow only to the pairs of blocks that are compared
+    names = counted.select(*grid, "_parts", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"))
+    names = cut_lineage(names.withColumn("_block", F.monotonically_increasing_id()))
+    near = names.select(*grid, F.col("_block").alias("_b"))
     for g in grid:
         near = near.withColumn(g, F.explode(F.array(F.col(g) - 1, F.col(g), F.col(g) + 1)))
-    both = names.withColumnRenamed("_block", "_a").join(near, grid).where("_a <= _b").select("_a", "_b")
-    side = lambda p: blocks.select(F.col("_block").alias(f"_{p}"), *[F.col(c).alias(f"{p}_{c}") for c in ("id", "copies", "v")])
-    pairs = both.join(side("a"), "_a").join(side("b"), "_b").select(*[f"{p}_{c}" for p in "ab" for c in ("id", "v", "copies")], (F.col("_a") == F.col("_b")).alias("same"))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                left, right = (np.asarray(v, dtype="float64").reshape(-1, size) for v in (row.a_v, row.b_v))
-                gap = np.abs(left[:, None, :] - right[None, :, :]).mean(axis=2)
-                own, other = np.asarray(row.a_id), np.asarray(row.b_id)
-                i, j = np.nonzero((gap <= limit) & (~np.bool_(row.same) | (own[:, None] < other[None, :])))
-                a, b, turn = own[i], other[j], own[i] > other[j]
-                n, m = np.asarray(row.a_copies)[i], np.asarray(row.b_copies)[j]
-                yield pd.DataFrame({"a": np.where(turn, b, a), "b": np.where(turn, a, b), "a_copies": np.where(turn, m, n), "b_copies": np.where(turn, n, m), "distance": gap[i, j]})
-
+    both = cut_lineage(names.withColumnRenamed("_block", "_a").join(near, grid).where("_a <= _b").select("_a", "_b"))
+    sides = both.select("_a", "_b", F.col("_a").alias("_block")).unionByName(both.where("_a <> _b").select("_a", "_b", F.col("_b").alias("_block")))
+    placed = home.join(counted, grid).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts"))).join(names.drop("_parts"), [*grid, "_part"]).select("_block", "id", "copies", "_v")
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        a, b, at = (table[c].to_numpy() for c in ("_a", "_b", "_block"))
+        ids, copies = table["id"].to_numpy(), table["copies"].to_numpy()
+        v = table["_v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+        left, right = np.flatnonzero(at == a), np.flatnonzero(at == b)
+        for i, j, distance in _close(v, left, right, limit, a[0] == b[0]):
+            i, j = np.where(ids[i] > ids[j], j, i), np.where(ids[i] > ids[j], i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[i], ids[j], copies[i], copies[j], distance)], names=["a", "b", "a_copies", "b_copies", "distance"])
+
+    # as many tasks as there are pairs to compare, so that a few do not gather in one
+    tasks = min(4 * max(both.count(), 1), 4096)
     kind = dict(vectors.dtypes)[key]
-    return pairs.mapInPandas(measure, f"a {kind}, b {kind}, a_copies long, b_copies long, distance double")
+    members = placed.join(sides, "_block").repartition(tasks, "_a", "_b")
+    return members.groupBy("_a", "_b").applyInArrow(measure, f"a {kind}, b {kind}, a_copies long, b_copies long, distance double")
+
+
+def _close(v: np.ndarray, left: np.ndarray, right: np.ndarray, limit: float, same: bool, tile: int = 512, steps: int = 8) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers and mean absolute difference of the pairs ``left`` x ``right`` within ``limit``, each once if they are the ``same``.
+
+    A value's range is cut into steps; each step counts how far the value fills it. Two
+    values fill a step of width w to u and u', and |u - u'| >= (u - u')^2 / w, so squared
+    distances of these fillings, one matrix product, never exceed the absolute difference.
+    What the bound leaves is measured exactly.
+    """
+    size = v.shape[1]
+    known = v[np.isfinite(v)].astype("float64")
+    middle, reach = (float(known.mean()), 2 * float(known.std())) if known.size else (0.0, 0.0)
+    step = 2 * reach / steps or 1.0
+    floors = middle - reach + step * np.arange(steps)
+
+    def filled(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        u = (np.clip(v[rows][:, :, None] - floors, 0, step) / np.sqrt(step)).astype("float32").reshape(len(rows), -1)
+        return u, -(u * u).sum(axis=1, keepdims=True) / 2
+
+    # two more columns add the halves of the squares, so that a product is minus half of the squared distance
+    one = np.ones((tile, 1), "float32")
+    tiles = [(rows := right[q : q + tile], *filled(rows)) for q in range(0, len(right), tile)]
+    tiles = [(rows, np.hstack([w, one[: len(rows)], half]), half) for rows, w, half in tiles]
+    for p in range(0, len(left), tile):
+        rows = left[p : p + tile]
+        u, half = filled(rows)
+        u = np.hstack([u, half, one[: len(rows)]])
+        for others, w, other_half in tiles[p // tile if same else 0 :]:
+            slack = limit * size / 2 - 1e-4 * float(half.min() + other_half.min())
+            near = np.flatnonzero(~(u @ w.T < -slack))  # what is not a number is not far
+            for c in range(0, len(near), 4096):
+                i, j = rows[near[c : c + 4096] // len(others)], others[near[c : c + 4096] % len(others)]
+                if same:
+                    once = i < j
+                    i, j = i[once], j[once]
+                distance = np.abs(v[i].astype("float64") - v[j].astype("float64")).mean(axis=1)
+                hit = distance <= limit
+                if hit.any():
+                    yield i[hit], j[hit], distance[hit]
 
 
 def shot_stats(frames: DataFrame, keys: list[str], metrics: list[str], hue: str, hist: str) -> DataFrame:

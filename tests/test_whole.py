@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,20 @@ def test_wanted_files_meet_few_ownerless_copies(spark):
     assert sorted(map(tuple, out.select("row", "path").collect())) == [(r, "/w/59" if r == 7 else f"/w/{r}" if r < 30 else "/w/0") for r in range(40)]
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert any("Join Inner" in line and "bytes" in line for line in plan.splitlines())  # by name alone each want met every size
+
+
+def test_vectors_that_are_all_neighbours_are_compared_in_many_tasks(spark):
+    rng = np.random.default_rng(4)
+    data = rng.normal(0, 1, (3000, 8)) * np.array([1, 1, 1, 1, 1, 1, 1, 20])
+    data[7, 3], data[9, 0] = np.nan, np.inf
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, v array<double>")
+    found = reuse.frame_distance_pairs(df, "id", "v", 0.6, 8, block=700)
+    got = {(r.a, r.b): r.distance for r in found.collect()}
+    want = {}
+    for i in range(3000):
+        gap = np.abs(data[i + 1 :] - data[i]).mean(axis=1)
+        want.update({(i, i + 1 + int(j)): gap[j] for j in np.flatnonzero(gap <= 0.6)})
+    assert got.keys() == want.keys() and len(want) > 1000 and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    # pairs of blocks are dealt by their numbers and stay apart, however few bytes they have
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "REPARTITION_BY_NUM" in plan
