@@ -16,25 +16,31 @@ SOURCE_KEYS = (
 ).split()
 
 
-def records(doc: Column) -> Column:
+MAP_KEYS = ["recast", "reseated", "reseat"]
+
+# One cast reads all keys of an object; a key that is absent or of another type is null.
+RECORD = "struct<" + ",".join(f"`{k}`:string" for k in SLOT_KEYS + SOURCE_KEYS) + ">"
+PLAN = "struct<" + ",".join(f"`{k}`:array<variant>" for k in LIST_KEYS) + ">"
+CHANGE = "struct<" + ",".join([f"`{k}`:map<string,variant>" for k in MAP_KEYS] + ["`installed`:variant", PLAN[7:-1], RECORD[7:-1]]) + ">"
+
+
+def records(doc: Column, keys: Column) -> Column:
     """The slot list of a document: the first non-empty list of objects under the known keys, or the array itself."""
-    listed = [get(doc, f"$.{k}", "array<variant>") for k in LIST_KEYS]
     first_object = lambda a: F.coalesce(F.schema_of_variant(F.try_element_at(a, F.lit(1))).startswith("OBJECT"), F.lit(False))
-    return F.coalesce(*[F.when(first_object(a), a) for a in listed], get(doc, "$", "array<variant>"), F.array().cast("array<variant>"))
+    return F.coalesce(*[F.when(first_object(keys[k]), keys[k]) for k in LIST_KEYS], get(doc, "$", "array<variant>"), F.array().cast("array<variant>"))
 
 
 def slot_id(record: Column, index: Column) -> Column:
-    given = F.array(*[F.struct(F.lit(k).alias("k"), F.trim(get(record, f"$.{k}")).alias("v")) for k in SLOT_KEYS])
+    """Name of a slot from its keys, read as ``RECORD``."""
     wide = lambda text: F.lpad(text, F.greatest(F.length(text), F.lit(3)), F.lit("0"))
-    named = F.transform(
-        F.filter(given, lambda g: F.coalesce(g["v"], F.lit("")) != ""), lambda g: F.when(g["v"].rlike(r"^\d+$"), F.concat(g["k"], wide(g["v"]))).otherwise(g["v"])
-    )
-    return F.coalesce(F.try_element_at(named, F.lit(1)), F.concat(F.lit("idx"), wide(index.cast("string"))))
+    given = [(k, F.trim(record[k])) for k in SLOT_KEYS]
+    named = [F.when(v != "", F.when(v.rlike(r"^\d+$"), F.concat(F.lit(k), wide(v))).otherwise(v)) for k, v in given]
+    return F.coalesce(*named, F.concat(F.lit("idx"), wide(index.cast("string"))))
 
 
 def sources(record: Column) -> Column:
-    """Master ids named by the record's own source keys; nested prose is never read."""
-    given = F.array_compact(F.array(*[get(record, f"$.{k}") for k in SOURCE_KEYS]))
+    """Master ids named by the record's own source keys, read as ``RECORD``; nested prose is never read."""
+    given = F.array_compact(F.array(*[record[k] for k in SOURCE_KEYS]))
     return F.array_distinct(F.array_compact(F.transform(given, master_id)))
 
 
@@ -45,7 +51,9 @@ def flatten_plan(plans: DataFrame, key: str, value: str = "value", deal: bool =
     cores, as each document is heavy work. Inputs of many splits need none.
     """
     parsed = (plans.select(key, value).repartition(key) if deal else plans).select(key, F.try_parse_json(F.col(value)).alias("_doc"))
-    rows = parsed.select(key, F.posexplode(records(F.col("_doc"))).alias("index", "r"))
+    read = parsed.select(key, "_doc", get("_doc", "$", PLAN).alias("_keys"))
+    rows = read.select(key, F.posexplode(records(F.col("_doc"), F.col("_keys"))).alias("index", "r"))
+    rows = rows.select(key, "index", get("r", "$", RECORD).alias("r"))
     return rows.select(key, "index", slot_id(F.col("r"), F.col("index")).alias("slot"), sources(F.col("r")).alias("masters"))
 
 
@@ -53,29 +61,31 @@ def flatten_supersession(plans: DataFrame, key: str, value: str = "value") -> Da
     """(slot, master) pairs a recast or reseat document installs; what was removed is never read.
 
     Shapes are tried in order: slot maps, a single installed block, a slot
-    list, and a document that is itself one slot. The first that yields wins.
+    list, and a document that is itself one slot. The first that yields wins,
+    and those after it are not worked out.
     """
-    # The document is parsed once and each shape is worked out once: both are used several times below.
+    # The document is parsed once and its keys are read once: both are used several times below.
     parsed = plans.select(key, F.try_parse_json(F.col(value)).alias("_doc"))
-    doc = F.col("_doc")
-    own = F.coalesce(*[get(doc, f"$.{k}") for k in ("block_id", "block", "slot")])
+    read = parsed.select(key, "_doc", get("_doc", "$", CHANGE).alias("_keys"))
+    doc, keys = F.col("_doc"), F.col("_keys")
+    own = F.coalesce(*[keys[k] for k in ("block_id", "block", "slot")])
     pair = lambda slot, masters: F.transform(masters, lambda m: F.struct(slot.alias("slot"), m.alias("master_id")))
+    # Each step of a chain of transforms binds what it made, so that the next reads it without a second cast.
+    told = lambda values: F.transform(values, lambda v: get(v, "$", RECORD))
 
     def from_map(name: str) -> Column:
-        entries = F.map_entries(get(doc, f"$.{name}", "map<string,variant>"))
         now = lambda v: F.when(F.schema_of_variant(get(v, "$.now", "variant")).startswith("OBJECT"), get(v, "$.now", "variant")).otherwise(v)
-        return F.flatten(F.transform(entries, lambda e: pair(e["key"], sources(now(e["value"])))))
+        entries = F.transform(F.map_entries(keys[name]), lambda e: F.struct(e["key"].alias("key"), get(now(e["value"]), "$", RECORD).alias("r")))
+        return F.flatten(F.transform(entries, lambda e: pair(e["key"], sources(e["r"]))))
 
     empty = F.array().cast("array<struct<slot:string,master_id:string>>")
-    maps = F.concat(*[F.coalesce(from_map(n), empty) for n in ("recast", "reseated", "reseat")])
-    installed = F.coalesce(pair(own, sources(get(doc, "$.installed", "variant"))), empty)
-    listed = F.flatten(F.transform(F.col("_records"), lambda r, i: pair(slot_id(r, i), sources(r))))
-    flat = F.when(own.isNotNull(), pair(own, sources(doc))).otherwise(empty)
-    some = lambda name: F.when(F.size(name) > 0, F.col(name))
-    shaped = parsed.select(key, "_doc", maps.alias("_maps"), installed.alias("_installed"), records(doc).alias("_records"))
-    shaped = shaped.select(key, "_maps", "_installed", listed.alias("_listed"), flat.alias("_flat"))
-    chosen = F.coalesce(some("_maps"), some("_installed"), some("_listed"), F.col("_flat"))
-    return shaped.select(key, F.explode(chosen).alias("p")).select(key, "p.*")
+    maps = F.concat(*[F.coalesce(from_map(n), empty) for n in MAP_KEYS])
+    installed = F.flatten(F.transform(told(F.array(keys["installed"])), lambda r: pair(own, sources(r))))
+    listed = F.flatten(F.transform(told(records(doc, keys)), lambda r, i: pair(slot_id(r, i), sources(r))))
+    flat = F.when(own.isNotNull(), pair(own, sources(keys)))
+    some = lambda found: F.try_element_at(F.filter(F.array(found), lambda a: F.size(a) > 0), F.lit(1))
+    chosen = F.coalesce(some(maps), some(installed), some(listed), flat, empty)
+    return read.select(key, F.explode(chosen).alias("p")).select(key, "p.*")
 
 
 STATE = "array<struct<id:string,text:string,start:bigint,end_exclusive:bigint,box:array<double>,style_id:string>>"

@@ -10,7 +10,7 @@ from cutlake.functions import rules as R
 from cutlake.functions import text as X
 from cutlake.operators import filters, joins, ledger, lineage, reuse, series
 from cutlake.plans import base
-from cutlake.sources import receipts
+from cutlake.sources import plan_docs, receipts
 from cutlake.streaming import bus
 
 
@@ -216,3 +216,20 @@ def test_vectors_that_are_all_neighbours_are_compared_in_many_tasks(spark):
     # pairs of blocks are dealt by their numbers and stay apart, however few bytes they have
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("flatten", [plan_docs.flatten_plan, plan_docs.flatten_supersession])
+def test_the_keys_of_a_document_are_read_in_few_casts(spark, flatten):
+    texts = [
+        '[{"slot": " 4 ", "source": "a/CLIP_0001.MP4"}, 5, {"file": "CAM_0002", "path": "x/CAM_0003.mov"}]', '{"slots": "x", "blocks": [{"i": 7, "file": {"source": "CLIP_0001"}}]}', "{bad", "[1]",
+        '{"recast": {"s1": {"now": {"source": "CLIP_0001"}}, "s3": 5, "s6": {"now": "CLIP_0005", "file": "CLIP_0006"}}, "reseated": [1]}', '{"block": "b1", "installed": {"source": "n/CLIP_0008", "clip_file": "/m/CLIP_0009.MP4"}}',
+        '{"slot": 3, "installed": null, "slots": [null, {"slot": "z"}], "path": " /x/CLIP_0012. "}',
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "plan long, value string")
+    got = flatten(df, "plan")
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("try_variant_get(") < 24  # one for each key: 35 and more
+    if flatten is plan_docs.flatten_plan:
+        want = [(0, 0, "slot004", ["CLIP_0001"]), (0, 1, "idx001", []), (0, 2, "idx002", ["CAM_0003", "CAM_0002"]), (1, 0, "i007", []), (3, 0, "idx000", [])]
+    else:
+        want = [(0, "slot004", "CLIP_0001"), (0, "idx002", "CAM_0002"), (0, "idx002", "CAM_0003"), (4, "s1", "CLIP_0001"), (4, "s6", "CLIP_0006"), (5, "b1", "CLIP_0008"), (5, "b1", "CLIP_0009"), (6, "3", "CLIP_0012")]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
