@@ -54,3 +54,16 @@ def nearest(
     pick = F.when(F.col("_lo").isNull() | (after < before), F.col("_hi")).otherwise(F.col("_lo"))
     best: Column = F.abs(F.col("_at") - pick)
     return seen.where("_side = 1").select("_row.*", pick.alias("nearest"), best.alias("distance"))
+
+
+def neighbours(
+    left: DataFrame, right: DataFrame, keys: list[str], at: str, right_at: str, carry: list[str], width: float | None = None
+) -> DataFrame:
+    """Each left row with ``before`` and ``after``: structs of the right row at or before it and of the next one.
+
+    They hold ``at`` and the carried columns. Right rows must be unique per
+    (key, time); ``at`` must not be null.
+    """
+    both = _merged(left, right, keys, at, right_at, carry)
+    seen = S.scan(both, keys, ["_at", "_side"], width, before=S.last_known("_fact"), after=S.next_known("_fact"))
+    return seen.where("_side = 1").select("_row.*", "before", "after")

@@ -116,7 +116,9 @@ def scan(
     rows = rows.withColumn("_chunk", chunk if chunk is not None else chunk_of(df, order[0], width))
     sort = F.struct(*[F.col(o) for o in order]) if len(order) > 1 else F.col(order[0])
     part = Window.partitionBy("_key", "_chunk").orderBy(*order)
-    upto, onward = part.rowsBetween(FIRST, 0), part.rowsBetween(0, LAST)
+    upto = part.rowsBetween(FIRST, 0)
+    # What lies ahead is what was passed in the other direction: a frame that shrinks row by row is counted anew for each row.
+    onward = Window.partitionBy("_key", "_chunk").orderBy(*[F.col(o).desc() for o in order]).rowsBetween(FIRST, 0)
     across = Window.partitionBy("_key").orderBy("_chunk")
     earlier, later = across.rowsBetween(FIRST, -1), across.rowsBetween(1, LAST)
     whole = Window.partitionBy("_key")
@@ -143,7 +145,7 @@ def scan(
             carry[over] = F.last(F.col(sums), ignorenulls=True).over(earlier)
             final[name] = F.coalesce(inside, carried)
         elif kind == "first":
-            local[here] = F.first(value, ignorenulls=True).over(onward)
+            local[here] = F.last(value, ignorenulls=True).over(onward)
             summary[sums] = F.min_by(value, F.when(value.isNotNull(), sort))
             carry[over] = F.first(F.col(sums), ignorenulls=True).over(later)
             final[name] = F.coalesce(inside, carried)

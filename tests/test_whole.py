@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cutlake.functions import rules as R
 from cutlake.functions import text as X
-from cutlake.operators import filters, joins, ledger, lineage, reuse, series
+from cutlake.operators import filters, joins, ledger, lineage, nearest, reuse, series
 from cutlake.plans import base
 from cutlake.sources import plan_docs, receipts
 from cutlake.streaming import bus
@@ -233,3 +233,25 @@ def test_the_keys_of_a_document_are_read_in_few_casts(spark, flatten):
     else:
         want = [(0, "slot004", "CLIP_0001"), (0, "idx002", "CAM_0002"), (0, "idx002", "CAM_0003"), (4, "s1", "CLIP_0001"), (4, "s6", "CLIP_0006"), (5, "b1", "CLIP_0008"), (5, "b1", "CLIP_0009"), (6, "3", "CLIP_0012")]
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+def test_windows_are_joined_only_with_their_own_samples(spark):
+    rng = random.Random(8)
+    frames = sorted(rng.sample(range(0, 400), 60))
+    samples = [("a", f, rng.choice([0.01, 0.2])) for f in frames]
+    windows = [("a", i, s := rng.randint(-20, 900), s + rng.randint(-4, 40)) for i in range(400)] + [("b", 1, 3, 9), ("a", 400, None, None)]
+    want = {}
+    for key, w, f0, f1 in windows:
+        own = [h >= 0.06 for k, f, h in samples if f0 is not None and k == key and f0 - f0 % 4 <= f <= f1]
+        if not own and f0 is not None:
+            near = sorted((abs(f - (f0 + f1) // 2), f, h >= 0.06) for k, f, h in samples if k == key)
+            own = [near[0][2]] if near else []
+        want[key, w] = (len(own), sum(own), bool(own) and sum(own) >= max(1, round(len(own) / 3)))
+    got = joins.person_windows(
+        spark.createDataFrame(windows, "asset string, window_id long, f0 long, f1 long"), spark.createDataFrame(samples, "asset string, frame long, face_height double")
+    )
+    assert {(r.asset, r.window_id): (r.sampled, r.with_face, r.person) for r in got.collect()} == want
+    # no frame shrinks row by row: its cost grows with the square of a key's rows
+    looked = nearest.neighbours(spark.createDataFrame([("a", 1)], "asset string, at long"), spark.createDataFrame([("a", 2)], "asset string, frame long"), ["asset"], "at", "frame", [])
+    plan = looked._jdf.queryExecution().optimizedPlan().toString()
+    assert "currentrow$(), unboundedfollowing$()" not in plan and looked.first().after.at == 2
