@@ -48,7 +48,7 @@ def _(t):
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     inv = t.inventory.withColumn("path", c("relative_path"))
     sha = t.inventory.select(F.regexp_extract("relative_path", r"CLIP_(\d+)", 1).cast("long").alias("l_partkey"), "sha256")
-    picked = t.lineitem.join(sha, "l_partkey").select(*keys, F.concat(F.lit("masters/ab12__CLIP_"), c("l_partkey").cast("string"), F.lit(".MP4")).alias("source_path"), F.when(c("l_tax") >= 0.02, c("sha256")).alias("source_sha256"))
+    picked = t.lineitem.join(sha.hint("merge"), "l_partkey").select(*keys, F.concat(F.lit("masters/ab12__CLIP_"), c("l_partkey").cast("string"), F.lit(".MP4")).alias("source_path"), F.when(c("l_tax") >= 0.02, c("sha256")).alias("source_sha256"))
     return J.bind_to_inventory(picked, inv, keys)
 
 

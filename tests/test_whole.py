@@ -255,3 +255,8 @@ def test_windows_are_joined_only_with_their_own_samples(spark):
     looked = nearest.neighbours(spark.createDataFrame([("a", 1)], "asset string, at long"), spark.createDataFrame([("a", 2)], "asset string, frame long"), ["asset"], "at", "frame", [])
     plan = looked._jdf.queryExecution().optimizedPlan().toString()
     assert "currentrow$(), unboundedfollowing$()" not in plan and looked.first().after.at == 2
+
+
+def test_an_inventory_is_not_sent_to_the_driver(spark):
+    plan = base.QUERIES["j2_bind_to_inventory"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
