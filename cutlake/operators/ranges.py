@@ -80,8 +80,9 @@ def gap_runs(
         F.greatest("_s", F.lit(0).cast("long")).alias("_s"),
         F.least("_e", "_n").alias("_e"),
     )
-    runs = coverage_runs(inside.where("_s < _e").unionByName(clock.where("_e > 0")), keys, "_s", "_e", width)
-    # Neighbouring uncovered pieces only arise at shared edges; they are joined into one run.
-    pieces = runs.where("depth = 1")
-    joined = S.islands(pieces, keys, ["lo"], ["lo", "hi"], lambda b, r: b["hi"] < r["lo"], width, "_run")
-    return joined.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+    # A gap lies between the furthest end so far and the next start; the clock's own end closes the last one.
+    # Spans that start together need no order: only the first of them can see a gap.
+    closing = clock.where("_e > 0").select(*keys, F.col("_e").alias("_s"), "_e")
+    reached = S.scan(inside.where("_s < _e").unionByName(closing), keys, ["_s"], width, _reach=S.max_before("_e"))
+    lo = F.coalesce("_reach", F.lit(0).cast("long"))
+    return reached.select(*keys, lo.alias("lo"), F.col("_s").alias("hi")).where("lo < hi")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cutlake.functions import rules as R
 from cutlake.functions import text as X
-from cutlake.operators import filters, joins, ledger, lineage, nearest, reuse, series
+from cutlake.operators import filters, joins, ledger, lineage, nearest, ranges, reuse, series
 from cutlake.plans import base
 from cutlake.sources import plan_docs, receipts
 from cutlake.streaming import bus
@@ -260,3 +260,22 @@ def test_windows_are_joined_only_with_their_own_samples(spark):
 def test_an_inventory_is_not_sent_to_the_driver(spark):
     plan = base.QUERIES["j2_bind_to_inventory"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
+
+
+@pytest.mark.parametrize("width", [3, 4096])
+def test_gaps_are_found_in_one_scan_of_the_spans(spark, width):
+    rng = random.Random(3)
+    clocks = [("a", 40), ("b", 25), ("c", 0), ("d", 5)]
+    rows = [(k, s := rng.randint(-9, 45), s + rng.randint(-1, 4)) for k in "aaaaaaaabbbbbc"] + [("a", 4, 6), ("a", 4, 9), ("a", 9, 11), ("z", 1, 2), ("b", 0, 3), ("b", 20, 99)]
+    spans = spark.createDataFrame(rows, "k string, s long, e long")
+    found = ranges.gap_runs(spans, spark.createDataFrame(clocks, "k string, n long"), ["k"], "s", "e", "n", width)
+    want = set()
+    for k, n in clocks:
+        free = [f for f in range(n) if not any(q == k and s <= f < e for q, s, e in rows)]
+        for f in free:
+            if f - 1 not in free:
+                want.add((k, f, next(x for x in range(f + 1, n + 2) if x not in free)))
+    got = [tuple(r) for r in found.select("k", "lo", "hi").collect()]
+    assert set(got) == want and len(got) == len(want)
+    # one running maximum inside the chunks and one across them: no edges are grouped, swept and joined into runs
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
