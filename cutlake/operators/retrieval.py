@@ -119,7 +119,8 @@ def _asked(wanted: DataFrame, often: DataFrame) -> DataFrame:
 
 def score_overlaps(terms: DataFrame, clips: DataFrame) -> DataFrame:
     """Pairs that share a word, with weighted overlap, through an inverted-index join on the word."""
-    own = clips.withColumn("_c", F.col("path"))
+    # stored: words are counted, then joined, and finding them in the texts is the heavy part
+    own = cut_lineage(clips.select(F.col("path").alias("_c"), "path", "terms"))
     wanted = _wanted(terms)
     counts = cut_lineage(own.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")))
     often = _frequent(counts)

@@ -279,3 +279,8 @@ def test_gaps_are_found_in_one_scan_of_the_spans(spark, width):
     assert set(got) == want and len(got) == len(want)
     # one running maximum inside the chunks and one across them: no edges are grouped, swept and joined into runs
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_words_of_the_catalogue_are_found_once(spark):
+    plan = base.QUERIES["j10_score_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation [doc_id" not in plan  # the texts were read a second time by the join
