@@ -258,6 +258,7 @@ def test_windows_are_joined_only_with_their_own_samples(spark):
 
 
 def test_an_inventory_is_not_sent_to_the_driver(spark):
+    base.load_all()
     plan = base.QUERIES["j2_bind_to_inventory"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and plan.count("SortMergeJoin") == 2
 
@@ -282,5 +283,6 @@ def test_gaps_are_found_in_one_scan_of_the_spans(spark, width):
 
 
 def test_words_of_the_catalogue_are_found_once(spark):
+    base.load_all()
     plan = base.QUERIES["j10_score_overlaps"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Relation [doc_id" not in plan  # the texts were read a second time by the join
