@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cutlake.llm import quotient, store, words
-from cutlake.llm.numbering import numbered
 
 LEAST, LONGEST, KEEP = 100, 5, 2000
 CHUNK = 16 << 20
@@ -117,6 +116,37 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
     return docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")).mapInArrow(run, TOKENS)
 
 
+PLACED = "_chunk long, _local long, _task long, _turn long, _lang string, _word string, _f long"
+
+
+def frequent_words(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """``_chunk, _local, _id`` of the words that occur ``least`` times or more, their vocabulary ``_lang, _word, _id, _f`` and the largest id.
+
+    A word has a row for each chunk that holds it. These rows are dealt once, by word,
+    and numbered where they were counted, so that no vocabulary is joined back. Tasks
+    take ids from 1 by turns; they lie close where tasks hold about as many words.
+    """
+
+    def run(batches):
+        task, turn, last = TaskContext.get().partitionId(), -1, None
+        for batch in batches:
+            n, (chunk, local, lang, word, count) = batch.num_rows, batch.columns
+            if not n:
+                continue
+            other = pc.or_(pc.not_equal(word[1:], word[:-1]), pc.not_equal(lang[1:], lang[:-1])).to_numpy(zero_copy_only=False)
+            new = np.concatenate(([(lang[0], word[0]) != last], other))
+            turns = turn + np.cumsum(new)
+            turn, last = int(turns[-1]), (lang[-1], word[-1])
+            told = [pc.if_else(pa.array(new), x, pa.scalar(None, x.type)) for x in (lang, word, count)]
+            yield pa.RecordBatch.from_arrays([chunk, local, pa.array(np.full(n, task)), pa.array(turns), *told], names=[c.split()[0] for c in PLACED.split(", ")])
+
+    counted = tokens.where("_word is not null").select("_chunk", "_local", "_lang", "_word", F.sum("_n").over(W.partitionBy("_word", "_lang")).alias("_f"))
+    placed = store.keep(counted.where(F.col("_f") >= least).sortWithinPartitions("_word", "_lang").mapInArrow(run, PLACED), "word_places")
+    tasks, turns = placed.agg(F.max("_task") + 1, F.max("_turn") + 1).first()
+    placed = placed.withColumn("_id", (F.col("_turn") * (tasks or 0) + F.col("_task") + 1).cast("int"))
+    return placed.select("_chunk", "_local", "_id"), placed.where("_word is not null").select("_lang", "_word", "_id", "_f"), (tasks or 0) * (turns or 0)
+
+
 def _frequent_ids(pieces: pa.Table, names: pa.Table) -> pa.Table:
     """A chunk's pieces in ids of the frequent words; other words are breaks, and words between two breaks are left out."""
     out, number = [], 0
@@ -186,17 +216,17 @@ def _merge(filters: DataFrame, bits: int, least: int, tell: bool) -> DataFrame:
     return filters.groupBy("_size", "_shard").applyInArrow(run, PHRASES)
 
 
-def frequent_phrases(tokens: DataFrame, vocabulary: DataFrame, n_words: int, n_tokens: int, least: int, longest: int) -> DataFrame:
+def frequent_phrases(tokens: DataFrame, met: DataFrame, most_id: int, n_tokens: int, least: int, longest: int) -> DataFrame:
     """``_words`` (ids), ``_a``: every phrase of two to ``longest`` words that occurs ``least`` times or more inside pieces.
 
-    ``tokens`` are stored chunks, ``vocabulary`` their frequent words with ids from 1. A
+    ``tokens`` are stored chunks, ``met`` the ids (from 1) of their frequent words. A
     phrase that occurs ``least`` times has only pairs that do, so pairs are counted
     first, each chunk is told which of its pairs are frequent, and longer phrases
     are counted where all their pairs are.
     """
-    bits = max(1, n_words.bit_length())
+    bits = max(1, most_id.bit_length())
     shard_bits = min(MOST_SHARD_BITS, max(3, (n_tokens // SHARD_KEYS).bit_length()))
-    met = tokens.where("_word is not null").join(vocabulary, ["_lang", "_word"]).select(F.col("_chunk").alias("_of"), "_local", "_id")
+    met = met.withColumnRenamed("_chunk", "_of")
     pieces = tokens.where("_ids is not null").select("_chunk", "_ids")
     ids = store.keep(pieces.groupBy("_chunk").cogroup(met.groupBy("_of")).applyInArrow(lambda left, right: _frequent_ids(left, right), "_chunk long, _ids binary"), "word_ids")
 
@@ -245,7 +275,7 @@ def collocations(
     the phrase in byte order. Rows that repeat count each. An empty table gives no
     rows; other columns are ignored, whatever their names.
 
-    Word counts meet by language and word; no table of words is broadcast. N-grams of
+    Words are counted and numbered in one shuffle; no table of words is joined to chunks. N-grams of
     word ids are counted in quotient filters, per chunk, and merged per shard, a range of
     the permuted keys, so that no key can crowd one. All counts are exact.
     """
@@ -253,10 +283,8 @@ def collocations(
     totals = tokens.where("_word is not null").groupBy("_lang").agg(F.sum("_n").alias("n"))
     totals = store.keep(totals, "totals")
     n_tokens = totals.agg(F.sum("n")).first()[0] or 0
-    counts = tokens.where("_word is not null").groupBy("_lang", "_word").agg(F.sum("_n").alias("_f")).where(F.col("_f") >= least)
-    vocabulary, n_words = numbered(counts, ["_lang", "_word"], "_id")
-    vocabulary = vocabulary.withColumn("_id", (F.col("_id") + 1).cast("int"))
-    phrases = frequent_phrases(tokens, vocabulary.select("_lang", "_word", "_id"), n_words, n_tokens, least, longest)
+    met, vocabulary, most_id = frequent_words(tokens, least)
+    phrases = frequent_phrases(tokens, met, most_id, n_tokens, least, longest)
 
     size = F.size("_words")
     spans = lambda n: F.explode(F.sequence(F.lit(1), n))

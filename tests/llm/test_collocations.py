@@ -93,3 +93,27 @@ def test_words_of_a_chunk_are_held_as_numbers():
     assert all(np.array_equal(a, b) for a, b in zip(got, want)) and most < 12 * len(keys)
     few = np.array([7, 10**9, 7])
     assert [x.tolist() for x in C._numbered(few, 10**9 + 1)] == [[7, 10**9], [0, 1, 0], [2, 1]]
+
+
+def test_frequent_words_are_numbered_where_they_are_counted(spark, monkeypatch):
+    """A chunk's words get their ids without a join, whose rows grow faster than the input as more words become frequent."""
+    import re
+
+    from cutlake.llm import collocations as C
+
+    plans, keep = {}, C.store.keep
+    monkeypatch.setattr(C.store, "keep", lambda df, name: (plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()), keep(df, name))[1])
+    rows = sentences(5, 300)
+    tokens = C.store.keep(C.chunks(frame(spark, rows, 8), "text", "lang", 300), "tokens")
+    met, vocabulary, most = C.frequent_words(tokens, 8)
+    ids = {(r._lang, r._word): r._id for r in vocabulary.collect()}
+    counts = Counter()
+    for text, lang in rows:
+        counts.update((lang or "und", w) for w in re.findall(r"[^ \t.,;:!?\n-\r]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+    assert {(r._lang, r._word): r._f for r in vocabulary.collect()} == {w: c for w, c in counts.items() if c >= 8}
+    assert len(set(ids.values())) == len(ids) and min(ids.values()) >= 1 and max(ids.values()) <= most
+    own = tokens.where("_word is not null").collect()
+    assert len({r._chunk for r in own}) > 5
+    assert Counter(map(tuple, met.collect())) == Counter((r._chunk, r._local, ids[r._lang, r._word]) for r in own if (r._lang, r._word) in ids)
+    C.collocations(frame(spark, rows), least=8, chunk=300).collect()
+    assert "word_ids" in plans and not any("Join" in plan for plan in plans.values())
