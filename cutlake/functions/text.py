@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -69,14 +70,21 @@ def normalize_ascii(col: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(col, F.lit(""))), "[^0-9a-z]+", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once a row: Spark repeats an expression that a lambda's argument shares with its surroundings."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def tokens(text: Column) -> Column:
     """Distinct ``[a-z0-9]+`` words of two or more letters, without stopwords, plus their concepts."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]{2,})"), 1))
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), 0)
     kept = F.array_except(words, F.array(*[F.lit(w) for w in STOPWORDS]))
+    alias = {**{concept: concept for concept in CONCEPTS}, **ALIAS}
+    names = F.array(*[F.lit(w) for w in alias])
+    told = F.create_map(*[F.lit(x) for pair in alias.items() for x in pair])
     # One hashed intersection finds the few words that have a concept; only those are looked up.
-    named = F.array_intersect(kept, F.array(*[F.lit(w) for w in ALIAS]))
-    alias = F.create_map(*[F.lit(x) for pair in ALIAS.items() for x in pair])
-    return F.array_union(kept, F.transform(named, lambda w: F.element_at(alias, w)))
+    concepts = lambda named: F.array_except(F.transform(named, lambda w: F.element_at(told, w)), named)
+    return _once(kept, lambda held: F.concat(held, _once(F.array_intersect(held, names), concepts)))
 
 
 def slug(text: Column) -> Column:

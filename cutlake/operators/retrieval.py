@@ -202,8 +202,9 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     thin = lambda df: F.pmod(F.xxhash64("_c"), df) < SEEDS * top_n  # noqa: E731  about so many clips of a word
     some = postings.where(F.col("_df").isNull() | thin(F.col("_df"))).join(_asked(few, often), ["term", "_salt"]).where(thin(F.col("df")))
     some = some.groupBy("role_id", "_c").agg(F.sum("weight").alias("_sum"))
-    some = S.top_k_per(some, ["role_id"], [F.col("_sum").desc(), F.col("_c")], SEEDS * top_n)
-    scored = _scored(some.select("role_id", "_c"), terms, clips).select("role_id", "path", "score")
+    # stored: few pairs, whose known size spares the clips a shuffle
+    some = cut_lineage(S.top_k_per(some, ["role_id"], [F.col("_sum").desc(), F.col("_c")], SEEDS * top_n).select("role_id", "_c"))
+    scored = _scored(some, terms, clips).select("role_id", "path", "score")
     bars = S.top_k_per(scored, ["role_id"], order, top_n).groupBy("role_id").agg(F.count("*").alias("_k"), F.min("score").alias("_worst"))
     lowest = -1e9
     reaches = wanted.groupBy("role_id").agg(F.collect_set("_reach").alias("_reaches"))
@@ -223,7 +224,8 @@ def shortlist(roles: DataFrame, catalog: DataFrame, features: DataFrame, top_n:
     open_ = (F.col("_sum") + unread + F.col("_cap")) >= F.col("_bar")
     sums = cut_lineage(sums.where(open_).select("role_id", "_c", "_bar", "_cap", (F.col("_sum") + F.col("_cap")).alias("_near")))
     more = sums.join(wanted.where("term <> ''").select("role_id", "term", "weight", "_reach"), "role_id").where(F.col("_reach") + F.col("_cap") < F.col("_bar"))
-    more = more.select("role_id", "_c", "term", "weight").join(postings.select("term", "_c"), ["term", "_c"])
+    # by clip, then word: rows sort by a number, not by words that many rows share
+    more = more.select("role_id", "_c", "term", "weight").join(postings.select("_c", "term"), ["_c", "term"])
     near = sums.select("role_id", "_c", "_near").unionByName(more.select("role_id", "_c", F.col("weight").alias("_near"))).groupBy("role_id", "_c").agg(F.sum("_near").alias("_near"))
     near = cut_lineage(near)
     last = S.top_k_per(near, ["role_id"], [F.col("_near").desc(), F.col("_c")], top_n).groupBy("role_id").agg(F.min("_near").alias("_least"))

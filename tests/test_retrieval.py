@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cutlake.functions.text import ALIAS, STOPWORDS
+from cutlake.functions.text import ALIAS, STOPWORDS, tokens
 from cutlake.operators import retrieval as A
 
 ROLE = "id string, role string, reference_observation string, composition string, substitute_requirements array<string>, target_duration double, target_luma double, target_sat double"
@@ -108,3 +108,27 @@ def test_overlaps_of_a_frequent_word(spark):
     terms = spark.createDataFrame([("a", ["common"], ["w5"], []), ("b", [], ["w5"], ["none"])], "role_id string, t_role array<string>, t_requirement array<string>, t_observation array<string>")
     got = A.score_overlaps(terms, clips)
     assert got.count() == 3001 and got.where("path = 'p5'").orderBy("role_id").select("word_score").collect() == [(8.0,), (3.0,)]
+
+
+def test_words_of_a_text_are_found_once(spark):
+    """A text is searched and its words are gathered once a row, however often they are used after."""
+    rng = random.Random(4)
+    pool = [*ALIAS, *ALIAS.values(), *STOPWORDS, "a", "x", "Walk", "W1", "wide-open", "été", "b2b"]
+    texts = [(i, rng.choice([" ", ", ", "\n"]).join(rng.choices(pool, k=rng.randint(0, 40)))) for i in range(300)]
+    found = spark.createDataFrame([*texts, (-1, None)], "id int, text string").select("id", tokens(F.col("text")).alias("ts"))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("array_except(regexp") == 1
+    got = {r.id: r.ts for r in found.collect()}
+    assert got.pop(-1) is None
+    assert all(len(got[i]) == len(set(got[i])) and set(got[i]) == words(text) for i, text in texts)
+
+
+def test_clips_are_not_dealt_for_the_bar(spark, monkeypatch):
+    """The few pairs that give a role's bar are stored before they meet the clips, so that Spark knows how few they are."""
+    asked, held = tables(6, 200, 6)
+    read = []
+    monkeypatch.setattr(A, "_scored", lambda pairs, *more, real=A._scored: (read.append(pairs), real(pairs, *more))[1])
+    catalog = spark.createDataFrame(held, CLIP).repartition(4)
+    A.shortlist(spark.createDataFrame(asked, ROLE), catalog, catalog, 3).collect()
+    plan = read[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Relation") and 0 < read[0].count() <= 6 * 3 * A.SEEDS
