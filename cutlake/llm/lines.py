@@ -63,6 +63,8 @@ def drop_shared_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", s
     met = rows.join(gone.hint("merge"), F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_text_hash")), "left")
     parts, none = F.split("_body", "\n"), F.col("_gone").isNull()
     left = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone"))  # hashed: linear in the lines
-    kept = F.when(none, F.col("_body")).otherwise(F.array_join(F.transform(left, lambda i: F.get(parts, i)), "\n"))
+    # the lines are bound by a lambda of their own: inside the other one Spark would split the text anew for each line
+    joined = F.element_at(F.transform(F.array(parts), lambda held: F.array_join(F.transform(left, lambda i: F.get(held, i)), "\n")), 1)
+    kept = F.when(none, F.col("_body")).otherwise(joined)
     out = met.select(F.col("_own").alias(id), F.size(parts).cast("long").alias("n_lines"), F.when(none, 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"), "_body", kept.alias("kept_text"))
     return out.select(id, "n_lines", "n_removed", (F.octet_length("_body") - F.octet_length("kept_text")).cast("long").alias("removed_bytes"), "kept_text")
