@@ -15,7 +15,9 @@ MIN_SITES, LG_K, ERRORS = 5, 12, 4.0
 
 def _lines(docs: DataFrame, id: str, text: str, site: str) -> DataFrame:
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.col(id).alias("_id"), F.col(site).cast("string").alias("_site"), F.hash(body).alias("_text_hash"), F.posexplode(F.split(body, "\n")).alias("_pos", "_line"))
+    # hashed and split below the explode: beside it Spark would hash the whole text again for each line
+    texts = docs.select(F.col(id).alias("_id"), F.col(site).cast("string").alias("_site"), F.hash(body).alias("_text_hash"), F.split(body, "\n").alias("_lines"))
+    return texts.select("_id", "_site", "_text_hash", F.posexplode("_lines").alias("_pos", "_line"))
 
 
 def line_key(line: Column) -> Column:

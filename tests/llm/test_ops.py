@@ -499,3 +499,12 @@ def test_lines_of_a_long_text_leave_in_linear_time(spark):
     began = time.time()
     got = lines.drop_shared_lines(docs).agg(F.min("n_removed"), F.max("n_removed"), F.max(F.length("kept_text"))).first()
     assert got[0] == got[1] == 60_000 and got[2] > 600_000 and time.time() - began < 100
+
+
+def test_texts_are_hashed_once_not_for_each_line(spark):
+    """A hash of the whole text beside the explode of its lines would be taken for every line."""
+    import re
+
+    plan = lines._lines(awkward(spark, ROWS), "doc_id", "text", "source")._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate posexplode")]
+    assert "Generate" in plan and not re.search(r"hash\(|split\(", above)
