@@ -16,6 +16,7 @@ LEAST, LONGEST, KEEP = 100, 5, 2000
 CHUNK = 16 << 20
 SHARD_KEYS, MOST_SHARD_BITS = 1 << 21, 16
 PART = 1 << 20
+PACK = 1 << 19
 
 #: Bytes that end a piece; these, space and tab end a word.
 ENDS = np.zeros(256, dtype=bool)
@@ -116,19 +117,33 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
     return docs.select(F.col(lang).cast("string").alias("_lang"), F.col(text).cast("string").alias("_text")).mapInArrow(run, TOKENS)
 
 
-PLACED = "_chunk long, _local long, _task long, _turn long, _lang string, _word string, _f long"
+PLACED = "_task int, _turn int, _lang string, _word string, _f long, _chunk long, _locals array<int>, _turns array<int>"
 
 
-def frequent_words(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
-    """``_chunk, _local, _id`` of the words that occur ``least`` times or more, their vocabulary ``_lang, _word, _id, _f`` and the largest id.
+def _packed(task: int, held: list) -> pa.RecordBatch:
+    """The words held as one row a chunk."""
+    chunk, local, turn = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(chunk, kind="stable")
+    chunk, local, turn = chunk[order], local[order], turn[order]
+    first = np.flatnonzero(np.concatenate(([True], chunk[1:] != chunk[:-1])))
+    at, n = pa.array(np.append(first, len(chunk)).astype(np.int32)), len(first)
+    none = [pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.string(), pa.int64())]
+    lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (local, turn)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), *none, pa.array(chunk[first]), *lists], names=[c.split()[0] for c in PLACED.split(", ")])
+
+
+def placed_words(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int, int]:
+    """The words that occur ``least`` times or more, with ids from 1: per chunk, packed; their vocabulary ``_lang, _word, _id, _f``; tasks; the largest id.
 
     A word has a row for each chunk that holds it. These rows are dealt once, by word,
     and numbered where they were counted, so that no vocabulary is joined back. Tasks
-    take ids from 1 by turns; they lie close where tasks hold about as many words.
+    take ids by turns, turn ``t`` of task ``k`` of ``n`` is ``t * n + k + 1``; they lie
+    close where tasks hold about as many words. For the way back to the chunks a task
+    packs up to ``PACK`` words into ``_chunk, _task, _locals, _turns``, a row a chunk.
     """
 
     def run(batches):
-        task, turn, last = TaskContext.get().partitionId(), -1, None
+        task, turn, last, held, size = TaskContext.get().partitionId(), -1, None, [], 0
         for batch in batches:
             n, (chunk, local, lang, word, count) = batch.num_rows, batch.columns
             if not n:
@@ -137,22 +152,40 @@ def frequent_words(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame,
             new = np.concatenate(([(lang[0], word[0]) != last], other))
             turns = turn + np.cumsum(new)
             turn, last = int(turns[-1]), (lang[-1], word[-1])
-            told = [pc.if_else(pa.array(new), x, pa.scalar(None, x.type)) for x in (lang, word, count)]
-            yield pa.RecordBatch.from_arrays([chunk, local, pa.array(np.full(n, task)), pa.array(turns), *told], names=[c.split()[0] for c in PLACED.split(", ")])
+            told = [x.filter(pa.array(new)) for x in (pa.array(turns.astype(np.int32)), lang, word, count)]
+            m = int(new.sum())
+            none = [pa.nulls(m, t) for t in (pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task, np.int32)), *told, *none], names=[c.split()[0] for c in PLACED.split(", ")])
+            held.append((chunk.to_numpy().copy(), local.to_numpy().astype(np.int32), turns.astype(np.int32)))  # no view that holds the batch's words
+            size += n
+            if size >= PACK:
+                yield _packed(task, held)
+                held, size = [], 0
+        if held:
+            yield _packed(task, held)
 
     counted = tokens.where("_word is not null").select("_chunk", "_local", "_lang", "_word", F.sum("_n").over(W.partitionBy("_word", "_lang")).alias("_f"))
     placed = store.keep(counted.where(F.col("_f") >= least).sortWithinPartitions("_word", "_lang").mapInArrow(run, PLACED), "word_places")
-    tasks, turns = placed.agg(F.max("_task") + 1, F.max("_turn") + 1).first()
-    placed = placed.withColumn("_id", (F.col("_turn") * (tasks or 0) + F.col("_task") + 1).cast("int"))
-    return placed.select("_chunk", "_local", "_id"), placed.where("_word is not null").select("_lang", "_word", "_id", "_f"), (tasks or 0) * (turns or 0)
+    vocabulary = placed.where("_word is not null")
+    tasks, turns = (x or 0 for x in vocabulary.agg(F.max("_task") + 1, F.max("_turn") + 1).first())
+    vocabulary = vocabulary.select("_lang", "_word", (F.col("_turn") * tasks + F.col("_task") + 1).cast("int").alias("_id"), "_f")
+    return placed.where("_chunk is not null").select("_chunk", "_task", "_locals", "_turns"), vocabulary, tasks, tasks * turns
+
+
+def frequent_words(tokens: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int]:
+    """``placed_words`` with a row ``_chunk, _local, _id`` for each word of a chunk."""
+    packs, vocabulary, tasks, most_id = placed_words(tokens, least)
+    met = packs.select("_chunk", "_task", F.explode(F.arrays_zip("_locals", "_turns")).alias("_one"))
+    return met.select("_chunk", F.col("_one._locals").cast("long").alias("_local"), (F.col("_one._turns") * tasks + F.col("_task") + 1).cast("int").alias("_id")), vocabulary, most_id
 
 
-def _frequent_ids(pieces: pa.Table, names: pa.Table) -> pa.Table:
+def _frequent_ids(pieces: pa.Table, packs: pa.Table, tasks: int) -> pa.Table:
     """A chunk's pieces in ids of the frequent words; other words are breaks, and words between two breaks are left out."""
     out, number = [], 0
-    if pieces.num_rows and names.num_rows:
+    if pieces.num_rows and packs.num_rows:
         number = pieces["_chunk"][0].as_py()
-        local, ids = np.asarray(names["_local"]), np.asarray(names["_id"])
+        local, turn = (np.asarray(pc.list_flatten(packs[c])) for c in ("_locals", "_turns"))
+        ids = turn * np.int64(tasks) + np.repeat(np.asarray(packs["_task"]), np.asarray(pc.list_value_length(packs["_locals"]))) + 1
         parts = [_ids(x) for x in pieces["_ids"].to_pylist()]
         to = np.zeros(max(int(local.max()), *(int(p.max(initial=0)) for p in parts)) + 1, np.uint32)
         to[local] = ids
@@ -216,19 +249,19 @@ def _merge(filters: DataFrame, bits: int, least: int, tell: bool) -> DataFrame:
     return filters.groupBy("_size", "_shard").applyInArrow(run, PHRASES)
 
 
-def frequent_phrases(tokens: DataFrame, met: DataFrame, most_id: int, n_tokens: int, least: int, longest: int) -> DataFrame:
+def frequent_phrases(tokens: DataFrame, packs: DataFrame, tasks: int, most_id: int, n_tokens: int, least: int, longest: int) -> DataFrame:
     """``_words`` (ids), ``_a``: every phrase of two to ``longest`` words that occurs ``least`` times or more inside pieces.
 
-    ``tokens`` are stored chunks, ``met`` the ids (from 1) of their frequent words. A
+    ``tokens`` are stored chunks, ``packs`` their frequent words as ``placed_words`` gives them. A
     phrase that occurs ``least`` times has only pairs that do, so pairs are counted
     first, each chunk is told which of its pairs are frequent, and longer phrases
     are counted where all their pairs are.
     """
     bits = max(1, most_id.bit_length())
     shard_bits = min(MOST_SHARD_BITS, max(3, (n_tokens // SHARD_KEYS).bit_length()))
-    met = met.withColumnRenamed("_chunk", "_of")
+    packs = packs.withColumnRenamed("_chunk", "_of")
     pieces = tokens.where("_ids is not null").select("_chunk", "_ids")
-    ids = store.keep(pieces.groupBy("_chunk").cogroup(met.groupBy("_of")).applyInArrow(lambda left, right: _frequent_ids(left, right), "_chunk long, _ids binary"), "word_ids")
+    ids = store.keep(pieces.groupBy("_chunk").cogroup(packs.groupBy("_of")).applyInArrow(lambda left, right: _frequent_ids(left, right, tasks), "_chunk long, _ids binary"), "word_ids")
 
     def pairs(batches):
         for batch in batches:
@@ -275,7 +308,7 @@ def collocations(
     the phrase in byte order. Rows that repeat count each. An empty table gives no
     rows; other columns are ignored, whatever their names.
 
-    Words are counted and numbered in one shuffle; no table of words is joined to chunks. N-grams of
+    Words are counted and numbered in one shuffle and go back to their chunks in packs; no table of words is joined to chunks. N-grams of
     word ids are counted in quotient filters, per chunk, and merged per shard, a range of
     the permuted keys, so that no key can crowd one. All counts are exact.
     """
@@ -283,8 +316,8 @@ def collocations(
     totals = tokens.where("_word is not null").groupBy("_lang").agg(F.sum("_n").alias("n"))
     totals = store.keep(totals, "totals")
     n_tokens = totals.agg(F.sum("n")).first()[0] or 0
-    met, vocabulary, most_id = frequent_words(tokens, least)
-    phrases = frequent_phrases(tokens, met, most_id, n_tokens, least, longest)
+    packs, vocabulary, tasks, most_id = placed_words(tokens, least)
+    phrases = frequent_phrases(tokens, packs, tasks, most_id, n_tokens, least, longest)
 
     size = F.size("_words")
     spans = lambda n: F.explode(F.sequence(F.lit(1), n))

@@ -117,3 +117,20 @@ def test_frequent_words_are_numbered_where_they_are_counted(spark, monkeypatch):
     assert Counter(map(tuple, met.collect())) == Counter((r._chunk, r._local, ids[r._lang, r._word]) for r in own if (r._lang, r._word) in ids)
     C.collocations(frame(spark, rows), least=8, chunk=300).collect()
     assert "word_ids" in plans and not any("Join" in plan for plan in plans.values())
+
+
+@pytest.mark.parametrize("pack", [1, 1 << 19])
+def test_frequent_words_go_back_to_their_chunks_in_packs(spark, monkeypatch, pack):
+    """Stored are a row for each frequent word and one a task and chunk, not one for each word of each chunk."""
+    from cutlake.llm import collocations as C
+
+    kept, keep = {}, C.store.keep
+    monkeypatch.setattr(C.store, "keep", lambda df, name: kept.setdefault(name, keep(df, name)))
+    monkeypatch.setattr(C, "PACK", pack)
+    rows = [(" ".join(f"w{i % 97} w{i % 89} of" for i in range(k, k + 300)), "en" if k % 2 else None) for k in range(36)]
+    got = C.collocations(frame(spark, rows, 12), least=8, chunk=3000).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.collocations(rows, least=8, keep=2000))
+    pairs, chunks = kept["tokens"].where("_word is not null").count(), kept["tokens"].select("_chunk").distinct().count()
+    words, tasks = kept["word_places"].where("_word is not null").count(), kept["word_places"].select("_task").distinct().count()
+    assert pairs > 1500 and kept["word_places"].selectExpr("sum(size(_locals))").first()[0] == pairs
+    assert pack == 1 or kept["word_places"].count() <= words + tasks * chunks < pairs / 2
