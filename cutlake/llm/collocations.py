@@ -17,6 +17,7 @@ CHUNK = 16 << 20
 SHARD_KEYS, MOST_SHARD_BITS = 1 << 21, 16
 PART = 1 << 20
 PACK = 1 << 19
+PARTS = 32
 
 #: Bytes that end a piece; these, space and tab end a word.
 ENDS = np.zeros(256, dtype=bool)
@@ -68,17 +69,23 @@ def chunks(docs: DataFrame, text: str, lang: str, chunk: int) -> DataFrame:
 
     def flush(number, held, langs):
         arrays = pa.chunked_array([h[0] for h in held]).unify_dictionaries()
-        dictionary = arrays.chunk(0).dictionary
-        keys = np.concatenate([np.asarray(one.indices).astype(np.int64) for one in arrays.chunks])
-        keys += np.concatenate([h[1] for h in held]).astype(np.int64) * len(dictionary)
-        opens = np.concatenate([h[2] for h in held])
-        del arrays
+        codes, opens = (np.concatenate([h[k] for h in held]) for k in (1, 2))
         held.clear()
+        dictionary = arrays.chunk(0).dictionary
+        keys, at = codes.astype(np.int64), 0
+        del codes
+        keys *= len(dictionary)
+        for one in arrays.chunks:
+            keys[at : at + len(one)] += np.asarray(one.indices)
+            at += len(one)
+        del arrays, one
         seen, local, counts = _numbered(keys, len(langs) * len(dictionary))
         del keys
-        places = np.arange(len(local)) + np.cumsum(opens, dtype=np.int64)
         ids = np.zeros(len(local) + int(opens.sum()), np.uint32)
-        ids[places] = local + 1
+        filled = np.ones(len(ids), bool)
+        filled[np.flatnonzero(opens) + np.arange(len(ids) - len(local))] = False
+        ids[filled] = local + 1
+        del opens, filled, local
         own = pa.array(seen // max(len(dictionary), 1))
         columns = [
             pa.array(np.full(len(seen), number)), pa.array(list(langs), pa.string()).take(own), dictionary.take(pa.array(seen % max(len(dictionary), 1))).cast(pa.string()),
@@ -337,5 +344,7 @@ def collocations(
     score = F.expr(f"cast({wide('_a')} * {wide('n')} * 1000bd as decimal(38, 0)) div cast({wide('_l')} * {wide('_r')} as decimal(38, 0))")
     lowest = parts.withColumn("_score", score).groupBy("_lang", "phrase", F.col("_a").alias("a"), "n").agg(F.min(F.struct("_score", "_k", "_l", "_r")).alias("_cut"))
     out = lowest.select(F.col("_lang").alias("lang"), "phrase", "a", F.col("_cut._l").alias("l"), F.col("_cut._r").alias("r"), "n", F.col("_cut._score").alias("score"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    return out.withColumn("_rank", rank).where(F.col("_rank") <= keep).select("lang", F.col("_rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # a language's first are among the first of its parts, so that the last task of a language gets at most keep * PARTS rows
+    out = out.withColumn("_part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)).cast("int")).withColumn("_own", rank("lang", "_part")).where(F.col("_own") <= keep)
+    return out.withColumn("_rank", rank("lang")).where(F.col("_rank") <= keep).select("lang", F.col("_rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

@@ -134,3 +134,17 @@ def test_frequent_words_go_back_to_their_chunks_in_packs(spark, monkeypatch, pac
     words, tasks = kept["word_places"].where("_word is not null").count(), kept["word_places"].select("_task").distinct().count()
     assert pairs > 1500 and kept["word_places"].selectExpr("sum(size(_locals))").first()[0] == pairs
     assert pack == 1 or kept["word_places"].count() <= words + tasks * chunks < pairs / 2
+
+
+def test_the_last_ranking_of_a_language_gets_the_first_of_its_parts(spark, monkeypatch):
+    """One task ranks a language, so it must not get all of the language's phrases."""
+    import re
+
+    from cutlake.llm import collocations as C
+
+    monkeypatch.setattr(C, "PARTS", 3)
+    rows = sentences(9, 400)
+    out = C.collocations(frame(spark, rows), least=8, keep=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Window \[row_number[^\n]*\], \[lang#\d+\][^\n]*\n(?:(?!Window).*\n)*.*Filter [^\n]*<= 4[^\n]*\n(?:(?!Window).*\n)*.*Window \[row_number[^\n]*\], \[lang#\d+, _part#\d+\]", plan)
+    assert sorted(map(tuple, out.collect())) == sorted(brute.collocations(rows, least=8, keep=4))
