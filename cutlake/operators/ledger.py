@@ -275,26 +275,35 @@ def merge_calls(registry: DataFrame, intake: DataFrame, answers: DataFrame) -> D
 
 
 def resolve_file(wants: DataFrame, index: DataFrame) -> DataFrame:
-    """Path for (row, name, bytes): own row's deliver copy, own copy, then ownerless copies; never another row's.
+    """Path for each different (row, name, bytes): own row's deliver copy, own copy, then ownerless copies; never another row's.
 
-    Inside a tier the copy of the wanted size wins, else the newest. The index
-    is reduced to one copy per (name, owner, tier, size) before the join, ownerless copies
-    to one per name and one per name and size.
+    Inside a tier the copy of the wanted size wins, then copies of another size, last those of unknown size;
+    among equals the newest. Owned copies travel once, to their row and name, where one a size is kept and meets
+    the wants; only wants that have none look up ownerless copies: the newest of their size, else of their name.
     """
-    tier = F.when(F.col("owner").isNull(), 2).when(F.col("path").contains("/deliver/") & ~F.col("path").contains("/variants/"), 0).otherwise(1)
-    copies = index.withColumn("_tier", tier).groupBy("name", "owner", "_tier", F.col("bytes").alias("_bytes")).agg(
-        F.max(F.struct("mtime", "path")).alias("_best")
-    )
-    own = wants.join(copies.where("owner IS NOT NULL"), (wants["name"] == copies["name"]) & (wants["row"] == F.col("owner"))).drop(copies["name"])
-    # of ownerless copies a want can take only the best of its size or the newest of all, so two rows meet it and not every size
-    loose = copies.where("owner IS NULL").drop("owner")
-    sized = loose.withColumn("bytes", F.col("_bytes"))
-    newest = loose.groupBy("name", "_tier").agg(F.max("_best").alias("_best")).withColumn("_bytes", F.lit(None).cast(dict(loose.dtypes)["_bytes"]))
-    free = wants.join(sized, ["name", "bytes"]).unionByName(wants.join(newest, "name"))
-    pool = own.drop("owner").unionByName(free)
-    rank = F.struct((-F.col("_tier")).alias("t"), F.coalesce(F.col("_bytes") == F.col("bytes"), F.lit(False)).alias("s"), F.col("_best.mtime").alias("m"), F.col("_best.path").alias("p"))
-    found = pool.groupBy("row", "name").agg(F.max(rank)["p"].alias("path"))
-    return wants.join(found, ["row", "name"], "left")
+    newest = F.struct("mtime", "path")
+    tier = F.when(F.col("path").contains("/deliver/") & ~F.col("path").contains("/variants/"), 0).otherwise(1)
+    copies = index.select(F.col("name").alias("_name"), "owner", F.col("bytes").alias("_bytes"), "mtime", "path")
+    owned = copies.where("owner IS NOT NULL").repartition("owner", "_name")
+    held = owned.groupBy("owner", "_name", "_bytes").agg(F.max(F.struct((-tier).alias("t"), "mtime", "path")).alias("_best"))
+    # Wants without row or name find nothing. They are set aside first, and a size is never null as a key, so that no join adds a test for null and all parts of the result read the same shuffles.
+    size = lambda name: F.struct(F.col(name).alias("size"))
+    placed = F.col("row").isNotNull() & F.col("name").isNotNull()
+    met = wants.where(placed).join(held, (F.col("row") == F.col("owner")) & (F.col("name") == F.col("_name")), "left")
+    rank = F.struct(F.col("_best.t"), (F.col("_bytes") == F.col("bytes")).alias("s"), F.col("_best.mtime"), F.col("_best.path"))
+    own = met.groupBy("row", "name", "bytes").agg(F.max(F.when(F.col("_best").isNotNull(), rank)).alias("_own"))
+    bare = own.where("_own IS NULL").drop("_own")
+    loose = copies.where("owner IS NULL")
+    sized = loose.where("_bytes IS NOT NULL").groupBy("_name", size("_bytes").alias("_size")).agg(F.max(newest).alias("_sized"))
+    fits = (F.col("name") == F.col("_name")) & (size("bytes") == F.col("_size"))
+    named = loose.groupBy(F.col("_name").alias("_any_name")).agg(F.max(F.when(F.col("_bytes").isNotNull(), newest)).alias("_known"), F.max(newest).alias("_any"))
+    rest = bare.join(sized, fits, "left").where("_sized IS NULL").join(named, F.col("name") == F.col("_any_name"), "left")
+    other = F.coalesce(F.when(F.col("bytes").isNotNull(), F.col("_known")), "_any")
+    want = ["row", "name", "bytes"]
+    found = own.where("_own IS NOT NULL").select(*want, F.col("_own.path").alias("path"))
+    found = found.unionByName(bare.join(sized, fits).select(*want, F.col("_sized.path").alias("path")))
+    found = found.unionByName(rest.select(*want, other["path"].alias("path")))
+    return found.unionByName(wants.where(~placed).select(*want).distinct().withColumn("path", F.lit(None).cast(index.schema["path"].dataType)))
 
 
 def unlisted_cards(cards: DataFrame, declared: DataFrame) -> DataFrame:

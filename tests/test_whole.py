@@ -2,6 +2,7 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +202,44 @@ def test_wanted_files_meet_few_ownerless_copies(spark):
     assert any("Join Inner" in line and "bytes" in line for line in plan.splitlines())  # by name alone each want met every size
 
 
+def test_files_travel_once_to_the_rows_that_want_them(spark):
+    base.load_all()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = base.QUERIES["j18_resolve_file"](spark, "/root/testdata/sf0.001")
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # wants and owned copies; ownerless ones by size and by name; wants still open to each of these
+    written = [line for line in plan.splitlines() if " Exchange " in line and "Reused" not in line]
+    assert len(written) == 6 and sum("REPARTITION_BY_COL" in line for line in written) == 1, plan
+
+
+def test_files_of_unknown_size_come_after_those_of_another(spark):
+    rng = np.random.default_rng(8)
+    some = lambda *values: values[rng.integers(len(values))]
+    kinds = "/w/deliver/", "/w/deliver/variants/", "/w/raw/"
+    files = [(some("a", "b", "c", None), some(None, 1, 2, 3), f"{some(*kinds)}{i % 90}", some(None, 4, 5, 6), some(None, 10, 11, 12)) for i in range(150)]
+    names = [(row, name, some(None, 4, 5, 9)) for row in (1, 2, 3, 7, None) for name in ("a", "b", "c", "d", None)]
+    index = spark.createDataFrame(files, "name string, owner long, path string, bytes long, mtime long")
+    wants = spark.createDataFrame(names, "row long, name string, bytes long")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE file_index (name VARCHAR, owner BIGINT, path VARCHAR, bytes BIGINT, mtime BIGINT)")
+    con.execute("CREATE TABLE w (row BIGINT, name VARCHAR, bytes BIGINT)")
+    con.executemany("INSERT INTO file_index VALUES (?, ?, ?, ?, ?)", files)
+    con.executemany("INSERT INTO w VALUES (?, ?, ?)", names)
+    base.load_all()
+    sql = base.ORACLES["j18_resolve_file"]
+    want = con.sql("WITH " + sql[sql.index("p AS"):]).fetchall()
+    got = ledger.resolve_file(wants, index).select("row", "name", "bytes", "path").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want)) and sum(path is not None for *_, path in want) > 8
+    # two sizes of one row and name are two wants
+    both = spark.createDataFrame([(1, "v", 4), (1, "v", 5)], wants.schema)
+    held = spark.createDataFrame([("v", 1, "/w/four", 4, 1), ("v", 1, "/w/five", 5, 2)], index.schema)
+    assert sorted((r.bytes, r.path) for r in ledger.resolve_file(both, held).collect()) == [(4, "/w/four"), (5, "/w/five")]
+
+
 def test_vectors_that_are_all_neighbours_are_compared_in_many_tasks(spark):
     rng = np.random.default_rng(4)
     data = rng.normal(0, 1, (3000, 8)) * np.array([1, 1, 1, 1, 1, 1, 1, 20])
